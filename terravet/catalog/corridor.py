@@ -9,7 +9,7 @@ from .registry import query
 
 SEGMENTS = ["BUILD", "HOUSE", "AUTO", "HOLD"]
 BUCKET = f"CASE WHEN status = 'ok' AND {B.IN_BOX} THEN 'in' WHEN status = 'ok' THEN 'out' ELSE 'not_geocoded' END"
-HINT = "array_to_string(list_filter(['BUILD','HOUSE','AUTO','HOLD'], k -> contains(address, k)), '|')"
+HINT = "array_to_string(list_filter(['BUILD','HOUSE','AUTO','HOLD'], lambda k: contains(address, k)), '|')"
 POI = f"(SELECT l_partkey % 7 AS category, l_orderkey FROM lineitem)"
 
 
