@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -20,6 +21,13 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def sql(self, text: str) -> DataFrame:
+        """Input derived by a SELECT that both engines read the same way."""
+        for name in TABLES:
+            if re.search(rf"\b{name}\b", text):
+                self.read(name).createOrReplaceTempView(name)
+        return self.spark.sql(text)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.read(name)

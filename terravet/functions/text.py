@@ -21,6 +21,15 @@ ENTITIES = [
 ]
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often it is used.
+
+    Without it each mention would repeat the whole expression, and the optimiser
+    would carry a tree that grows with every layer.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
@@ -42,23 +51,29 @@ def _code_point(digits: Column, base: int) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
 
 
-def unescape(c: Column) -> Column:
-    """Character references to characters; ``&amp;`` last, so one pass only."""
-    out = blank(c)
+def _numeric_references(text: Column) -> Column:
+    return F.array_join(F.transform(F.split(text, "&#"), lambda p, i: F.when(i == 0, p)
+                        .when(p.rlike(r"^\d{1,6};"), F.concat(
+                            _code_point(F.regexp_extract(p, r"^(\d+);", 1), 10), F.regexp_replace(p, r"^\d+;", "")))
+                        .when(p.rlike(r"^[xX][0-9a-fA-F]{1,5};"), F.concat(
+                            _code_point(F.regexp_extract(p, r"^[xX]([0-9a-fA-F]+);", 1), 16),
+                            F.regexp_replace(p, r"^[xX][0-9a-fA-F]+;", "")))
+                        .otherwise(F.concat(F.lit("&#"), p))), "")
+
+
+def _references(text: Column) -> Column:
+    out = text
     for name, char in ENTITIES:
         out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    pieces = F.split(out, "&#")
-    numeric = F.transform(pieces, lambda p, i: F.when(i == 0, p)
-                          .when(p.rlike(r"^\d{1,6};"), F.concat(
-                              _code_point(F.regexp_extract(p, r"^(\d+);", 1), 10), F.regexp_replace(p, r"^\d+;", "")))
-                          .when(p.rlike(r"^[xX][0-9a-fA-F]{1,5};"), F.concat(
-                              _code_point(F.regexp_extract(p, r"^[xX]([0-9a-fA-F]+);", 1), 16),
-                              F.regexp_replace(p, r"^[xX][0-9a-fA-F]+;", "")))
-                          .otherwise(F.concat(F.lit("&#"), p)))
-    out = F.when(F.instr(out, "&#") > 0, F.array_join(numeric, "")).otherwise(out)
+    out = let(out, lambda o: F.when(F.contains(o, F.lit("&#")), _numeric_references(o)).otherwise(o))
     return F.replace(out, F.lit("&amp;"), F.lit("&"))
 
 
+def unescape(c: Column) -> Column:
+    """Character references to characters; ``&amp;`` last, so one pass only."""
+    return let(blank(c), lambda t: F.when(F.contains(t, F.lit("&")), _references(t)).otherwise(t))
+
+
 def collapse_space(c: Column) -> Column:
     return F.trim(F.regexp_replace(blank(c), f"{WS}+", " "))
 
@@ -72,27 +87,24 @@ def compact_len(c: Column) -> Column:
 
 
 def compact_text(c: Column, limit: int) -> Column:
-    flat = collapse_space(c)
-    cut = F.concat(F.rtrim(F.substring(flat, 1, limit - 1)), F.lit("…"))
-    return F.when(F.length(flat) <= limit, flat).otherwise(cut)
+    return let(collapse_space(c), lambda flat: F.when(F.length(flat) <= limit, flat).otherwise(
+        F.concat(F.rtrim(F.substring(flat, 1, limit - 1)), F.lit("…"))))
 
 
 def hits(text: Column, terms: Sequence[str], ignore_case: bool = False) -> Column:
     """Terms that occur in the text, in dictionary order."""
     hay = F.lower(blank(text)) if ignore_case else blank(text)
-    return F.filter(words(terms), lambda t: F.contains(hay, F.lower(t) if ignore_case else t))
+    return let(hay, lambda h: F.filter(words(terms), lambda t: F.contains(h, F.lower(t) if ignore_case else t)))
 
 
 def lacks(text: Column, terms: Sequence[str]) -> Column:
-    return F.filter(words(terms), lambda t: ~F.contains(blank(text), t))
+    return let(blank(text), lambda h: F.filter(words(terms), lambda t: ~F.contains(h, t)))
 
 
 def has_any(text: Column, terms: Sequence[str], ignore_case: bool = False) -> Column:
     hay = F.lower(blank(text)) if ignore_case else blank(text)
-    cond = F.lit(False)
-    for t in terms:
-        cond = cond | F.contains(hay, F.lit(t.lower() if ignore_case else t))
-    return cond
+    listed = words([t.lower() if ignore_case else t for t in terms])
+    return let(hay, lambda h: F.exists(listed, lambda t: F.contains(h, t)))
 
 
 def count_terms(text: Column, terms: Sequence[str]) -> Column:
@@ -115,12 +127,12 @@ def keyword_flag(text: Column, terms: Sequence[str]) -> Column:
 def slugify(c: Column, default: str = "ai-submission") -> Column:
     slug = F.regexp_replace(F.lower(blank(c)), "[^a-z0-9-]+", "-")
     slug = F.regexp_replace(F.regexp_replace(slug, "^-+|-+$", ""), "-{2,}", "-")
-    return F.when(F.length(slug) >= 3, slug).otherwise(F.lit(default))
+    return let(slug, lambda v: F.when(F.length(v) >= 3, v).otherwise(F.lit(default)))
 
 
 def clean_address(c: Column, prefix: str) -> Column:
-    flat = collapse_space(c)
-    return F.when(F.contains(flat, F.lit(prefix)), flat).otherwise(F.concat(F.lit(prefix), flat))
+    return let(collapse_space(c), lambda flat: F.when(
+        F.contains(flat, F.lit(prefix)), flat).otherwise(F.concat(F.lit(prefix), flat)))
 
 
 # ---- markdown -----------------------------------------------------------------
@@ -161,11 +173,12 @@ def sections(text: Column) -> Column:
     row and no shuffle is needed.
     """
     joined = F.concat(F.lit("\n"), F.array_join(_lines(text), "\n"))
-    parts = F.split(joined, r"\n##(?=\s+\S)")
-    return F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p, i: F.struct(
-        i.alias("pos"), strip(F.substring_index(F.ltrim(p), "\n", 1)).alias("title"),
-        strip(F.when(F.instr(F.ltrim(p), "\n") > 0,
-                     F.substr(F.ltrim(p), F.instr(F.ltrim(p), "\n") + 1)).otherwise(F.lit(""))).alias("body")))
+    def one(p, i):
+        at = F.instr(p, "\n")
+        return F.struct(i.alias("pos"), strip(F.substring_index(p, "\n", 1)).alias("title"),
+                        strip(F.when(at > 0, F.substr(p, at + 1)).otherwise(F.lit(""))).alias("body"))
+    parts = F.transform(F.split(joined, r"\n##(?=\s+\S)"), F.ltrim)
+    return let(parts, lambda ps: F.transform(F.slice(ps, 2, F.greatest(F.size(ps) - 1, F.lit(0))), one))
 
 
 def find_section(secs: Column, aliases: Sequence[str]) -> Column:
@@ -181,29 +194,33 @@ def reference_lines(section: Column) -> Column:
 
 def section_from_marker(text: Column, marker: str) -> Column:
     """Text from the marker up to the next level-2 heading, trimmed; null if absent."""
-    at = F.locate(marker, blank(text))
-    rest = F.substr(blank(text), F.greatest(at, F.lit(1)))
-    nxt = F.locate("\n## ", rest, len(marker) + 1)
-    body = F.when(nxt > 0, F.substr(rest, F.lit(1), nxt - 1)).otherwise(rest)
-    return F.when(at > 0, strip(body))
+    def body_of(rest):
+        nxt = F.locate("\n## ", rest, len(marker) + 1)
+        return strip(F.when(nxt > 0, F.substr(rest, F.lit(1), nxt - 1)).otherwise(rest))
+    rest = let(blank(text), lambda t: F.when(F.contains(t, F.lit(marker)), F.substr(t, F.locate(marker, t))))
+    return let(rest, body_of)
 
 
-def front_matter(text: Column) -> Column:
-    """(meta array of (key, value), body) of a document with front matter."""
-    t = F.regexp_replace(blank(text), r"^[\uFEFF\n]+", "")
-    end = F.locate("\n---", t, 5)
-    present = t.startswith("---\n") & (end > 0)
-    raw = F.substr(t, F.lit(5), F.greatest(end - 5, F.lit(0)))
+def _header_pairs(raw: Column) -> Column:
     rows = F.filter(F.transform(_lines(raw), strip),
                     lambda x: (x != "") & ~x.startswith("#") & F.contains(x, F.lit(":")))
-    pairs = F.transform(rows, lambda x: F.struct(
+    return F.transform(rows, lambda x: F.struct(
         strip(F.substring_index(x, ":", 1)).alias("key"),
         F.regexp_replace(F.regexp_replace(strip(F.substr(x, F.instr(x, ":") + 1)), '^"+|"+$', ""),
                          "^'+|'+$", "").alias("value")))
+
+
+def front_matter(text: Column) -> Column:
+    """(meta array of (key, value), body) of a document with front matter."""
     empty = F.array().cast("array<struct<key:string,value:string>>")
-    body = F.regexp_replace(F.substr(t, end + 4), "^\n+", "")
-    return F.struct(F.when(present, pairs).otherwise(empty).alias("meta"),
-                    F.when(present, body).otherwise(t).alias("body"))
+
+    def parse(t):
+        end = F.locate("\n---", t, 5)
+        present = t.startswith("---\n") & (end > 0)
+        raw = F.substr(t, F.lit(5), F.greatest(end - 5, F.lit(0)))
+        return F.struct(F.when(present, _header_pairs(raw)).otherwise(empty).alias("meta"),
+                        F.when(present, F.regexp_replace(F.substr(t, end + 4), "^\n+", "")).otherwise(t).alias("body"))
+    return let(F.regexp_replace(blank(text), r"^[\uFEFF\n]+", ""), parse)
 
 
 def meta_value(meta: Column, key: str) -> Column:
@@ -213,21 +230,21 @@ def meta_value(meta: Column, key: str) -> Column:
 
 def parse_tag_list(raw: Column) -> Column:
     """Tags from JSON list text, bracketed text or comma text."""
-    t = strip(blank(raw))
-    bracketed = t.startswith("[") & t.endswith("]")
-    parsed = F.when(bracketed, F.from_json(t, "array<string>"))
-    parsed = F.filter(F.transform(parsed, strip), lambda x: x.isNotNull() & (x != ""))
-    inner = F.when(bracketed, F.substr(t, F.lit(2), F.length(t) - 2)).otherwise(t)
-    plain = F.transform(F.split(inner, ","), lambda x: F.regexp_replace(
-        F.regexp_replace(strip(x), '^"+|"+$', ""), "^'+|'+$", ""))
-    return F.when(bracketed & F.try_parse_json(t).isNotNull(), parsed).otherwise(
-        F.filter(plain, lambda x: x != ""))
+    def parse(t):
+        bracketed = t.startswith("[") & t.endswith("]")
+        listed = F.filter(F.transform(F.from_json(t, "array<string>"), strip), lambda x: x.isNotNull() & (x != ""))
+        inner = F.when(bracketed, F.substr(t, F.lit(2), F.length(t) - 2)).otherwise(t)
+        plain = F.transform(F.split(inner, ","), lambda x: F.regexp_replace(
+            F.regexp_replace(strip(x), '^"+|"+$', ""), "^'+|'+$", ""))
+        return F.when(bracketed & F.try_parse_json(t).isNotNull(), listed).otherwise(
+            F.filter(plain, lambda x: x != ""))
+    return let(strip(blank(raw)), parse)
 
 
 def pattern_hits(text: Column, patterns: Sequence[tuple[str, str]]) -> Column:
     """Reasons of the patterns that are found in the text."""
-    return F.array_compact(F.array(*[
-        F.when(F.rlike(blank(text), F.lit(p)), F.lit(reason)) for p, reason in patterns]))
+    return let(blank(text), lambda t: F.array_compact(F.array(*[
+        F.when(F.rlike(t, F.lit(p)), F.lit(reason)) for p, reason in patterns])))
 
 
 def module_rollup(body: Column, caption: Column, lists: Sequence[Column], limit: int = 260) -> Column:
@@ -243,8 +260,7 @@ def keyed_text(title: Column, body: Column) -> Column:
 
 
 def iso_date(c: Column) -> Column:
-    head = F.regexp_extract(blank(c), r"^(\d{4}-\d{2}-\d{2})", 1)
-    return F.when(head != "", head).otherwise(F.substring(blank(c), 1, 10))
+    return F.substring(blank(c), 1, 10)
 
 
 def fingerprint(rule_id: Column, detail: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import params as P
-from .text import blank, collapse_space, has_any, hits, normalize_space, strip, unescape, words
+from .text import blank, collapse_space, has_any, let, normalize_space, strip, unescape, words
 
 URL = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#([\s\S]*))?$"
 
@@ -35,30 +35,34 @@ def _unsplit(scheme: Column, netloc: Column, path: Column, query: Column) -> Col
 
 
 def canonicalize_url_keep_query(url: Column) -> Column:
-    u = strip(blank(url))
-    return _unsplit(F.lower(url_part(u, "scheme")), host_of(u),
-                    F.regexp_replace(url_part(u, "path"), "/{2,}", "/"), url_part(u, "query"))
+    return let(strip(blank(url)), lambda u: let(
+        F.struct(F.lower(url_part(u, "scheme")).alias("s"), host_of(u).alias("h"),
+                 F.regexp_replace(url_part(u, "path"), "/{2,}", "/").alias("p"), url_part(u, "query").alias("q")),
+        lambda r: _unsplit(r["s"], r["h"], r["p"], r["q"])))
 
 
-def canonicalize_url(url: Column) -> Column:
-    """Registry-independent identity of a URL; tracking parameters are dropped."""
-    u = strip(blank(url))
-    pairs = F.filter(F.split(url_part(u, "query"), "&"), lambda x: x != "")
+def _kept_query(query: Column) -> Column:
+    pairs = F.filter(F.split(query, "&"), lambda x: x != "")
     named = F.transform(pairs, lambda x: F.struct(
         _decode(F.substring_index(x, "=", 1)).alias("k"),
         _decode(F.when(F.instr(x, "=") > 0, F.substr(x, F.instr(x, "=") + 1)).otherwise(F.lit(""))).alias("v")))
     kept = F.filter(named, lambda p: ~F.lower(p["k"]).rlike("^(" + "|".join(P.DROPPED_QUERY_PREFIXES) + ")"))
-    query = F.array_join(F.transform(kept, lambda p: F.concat(_encode(p["k"]), F.lit("="), _encode(p["v"]))), "&")
-    return _unsplit(F.lower(url_part(u, "scheme")), host_of(u),
-                    F.regexp_replace(url_part(u, "path"), "/{2,}", "/"), query)
+    return F.array_join(F.transform(kept, lambda p: F.concat(_encode(p["k"]), F.lit("="), _encode(p["v"]))), "&")
+
+
+def canonicalize_url(url: Column) -> Column:
+    """Registry-independent identity of a URL; tracking parameters are dropped."""
+    return let(strip(blank(url)), lambda u: let(
+        F.struct(F.lower(url_part(u, "scheme")).alias("s"), host_of(u).alias("h"),
+                 F.regexp_replace(url_part(u, "path"), "/{2,}", "/").alias("p"),
+                 _kept_query(url_part(u, "query")).alias("q")),
+        lambda r: _unsplit(r["s"], r["h"], r["p"], r["q"])))
 
 
 def supported_url(url: Column) -> Column:
-    low = F.lower(blank(url))
-    ends = F.lit(False)
-    for ext in P.EXCLUDED_EXTENSIONS:
-        ends = ends | url_part(low, "path").endswith(ext)
-    return blank(url).rlike("^https?://") & ~has_any(low, P.EXCLUDED_URL_PARTS) & ~ends
+    endings = "(" + "|".join(e.replace(".", r"\.") for e in P.EXCLUDED_EXTENSIONS) + ")$"
+    return let(blank(url), lambda u: u.rlike("^https?://") & ~has_any(u, P.EXCLUDED_URL_PARTS, True)
+               & ~url_part(F.lower(u), "path").rlike(endings))
 
 
 def result_url(url: Column, anchor: Column) -> Column:
@@ -69,51 +73,54 @@ def result_url(url: Column, anchor: Column) -> Column:
 
 def title_from_url(url: Column) -> Column:
     path = F.regexp_replace(url_part(url, "path"), "/+$", "")
-    name = F.element_at(F.split(path, "/"), -1)
-    name = F.when(name == "", host_of(url)).otherwise(name)
+    name = let(F.element_at(F.split(path, "/"), -1), lambda n: F.when(n == "", host_of(url)).otherwise(n))
     # A plus sign stays a plus sign in a path.
     decoded = _decode(F.replace(name, F.lit("+"), F.lit("%2B")))
     return normalize_space(F.regexp_replace(decoded, "[_-]+", " "))
 
 
 def content_kind(content_type: Column, url: Column) -> Column:
-    low = F.lower(blank(content_type))
-    path = url_part(F.lower(blank(url)), "path")
-    last = F.element_at(F.split(path, "/"), -1)
-    return (F.when(F.contains(low, F.lit("pdf")) | path.endswith(".pdf"), "pdf")
-            .when(F.contains(low, F.lit("wordprocessingml")) | path.rlike(r"\.docx?$"), "docx")
-            .when(F.contains(low, F.lit("html")) | path.rlike(r"\.s?html?$") & ~path.endswith(".shtm")
-                  | ~F.contains(last, F.lit(".")), "html")
-            .when(F.contains(low, F.lit("json")), "json")
-            .when(F.contains(low, F.lit("csv")) | path.endswith(".csv"), "csv")
-            .otherwise("other"))
+    def kind(low, path):
+        last = F.element_at(F.split(path, "/"), -1)
+        return (F.when(F.contains(low, F.lit("pdf")) | path.endswith(".pdf"), "pdf")
+                .when(F.contains(low, F.lit("wordprocessingml")) | path.rlike(r"\.docx?$"), "docx")
+                .when(F.contains(low, F.lit("html")) | path.rlike(r"\.(htm|html|shtml)$")
+                      | ~F.contains(last, F.lit(".")), "html")
+                .when(F.contains(low, F.lit("json")), "json")
+                .when(F.contains(low, F.lit("csv")) | path.endswith(".csv"), "csv")
+                .otherwise("other"))
+    return let(F.struct(F.lower(blank(content_type)).alias("t"), url_part(F.lower(blank(url)), "path").alias("p")),
+               lambda v: kind(v["t"], v["p"]))
+
+
+def _without_dots(path: Column) -> Column:
+    """Path with ``.`` and ``..`` segments resolved."""
+    kept = let(F.split(path, "/"), lambda ps: F.aggregate(
+        F.slice(ps, 2, F.greatest(F.size(ps) - 1, F.lit(0))), F.array().cast("array<string>"),
+        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+        .when(s == ".", acc).otherwise(F.array_append(acc, s))))
+    closing = F.when(path.rlike(r"/\.{1,2}$"), "/").otherwise("")
+    return F.regexp_replace(F.concat(F.lit("/"), F.array_join(kept, "/"), closing), "^/+$", "/")
 
 
 def resolve_url(base: Column, href: Column) -> Column:
     """Absolute URL of a link found on a page."""
-    h = strip(blank(href))
-    scheme, netloc, path = url_part(base, "scheme"), url_part(base, "netloc"), url_part(base, "path")
-    root = F.concat(scheme, F.lit("://"), netloc)
-    own_path = url_part(h, "path")
-    tail = F.substr(h, F.length(own_path) + 1)
-    folder = F.regexp_replace(path, "[^/]*$", "")
-    merged = F.when(own_path.startswith("/"), own_path).otherwise(
-        F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), own_path))
-    pieces = F.split(merged, "/")
-    kept = F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
-                       F.array().cast("array<string>"),
-                       lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-                       .when(s == ".", acc).otherwise(F.array_append(acc, s)))
-    clean = F.concat(F.lit("/"), F.array_join(kept, "/"),
-                     F.when(merged.rlike(r"/\.{1,2}$") & (F.size(kept) > 0), "/").otherwise(F.lit("")))
-    base_query = url_part(base, "query")
-    return (F.when(h == "", blank(base))
-            .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
-            .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-            .when(h.startswith("?"), F.concat(root, path, h))
-            .when(h.startswith("#"), F.concat(root, path, F.when(base_query != "", F.concat(
-                F.lit("?"), base_query)).otherwise(F.lit("")), h))
-            .otherwise(F.concat(root, clean, tail)))
+    def join(b, h):
+        root = F.concat(b["s"], F.lit("://"), b["n"])
+        own = url_part(h, "path")
+        tail = F.substr(h, F.length(own) + 1)
+        folder = F.regexp_replace(b["p"], "[^/]*$", "")
+        merged = F.when(own.startswith("/"), own).otherwise(
+            F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), own))
+        return (F.when(h == "", b["u"])
+                .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
+                .when(h.startswith("//"), F.concat(b["s"], F.lit(":"), h))
+                .when(h.startswith("?"), F.concat(root, b["p"], h))
+                .when(h.startswith("#"), F.concat(F.substring_index(b["u"], "#", 1), h))
+                .otherwise(F.concat(root, let(merged, _without_dots), tail)))
+    parts = F.struct(blank(base).alias("u"), url_part(base, "scheme").alias("s"),
+                     url_part(base, "netloc").alias("n"), url_part(base, "path").alias("p"))
+    return let(F.struct(parts.alias("b"), strip(blank(href)).alias("h")), lambda v: join(v["b"], v["h"]))
 
 
 # ---- HTML -----------------------------------------------------------------------
@@ -140,9 +147,7 @@ def _chunks(markup: Column) -> Column:
     return F.filter(plain, lambda p: p != "")
 
 
-def visible_text(html: Column, cap: int = 80_000) -> Column:
-    """Text of a page; pieces are added while fewer than ``cap`` characters are in."""
-    chunks = _chunks(_visible(html))
+def _joined(chunks: Column, cap: int) -> Column:
     total = F.aggregate(chunks, F.lit(0), lambda a, x: a + F.length(x))
     capped = F.aggregate(
         chunks, F.struct(F.lit("").alias("t"), F.lit(0).alias("n")),
@@ -152,6 +157,11 @@ def visible_text(html: Column, cap: int = 80_000) -> Column:
     return F.when(total < cap, F.array_join(chunks, " ")).otherwise(capped)
 
 
+def visible_text(visible: Column, cap: int = 80_000) -> Column:
+    """Text of a page; pieces are added while fewer than ``cap`` characters are in."""
+    return let(_chunks(visible), lambda c: _joined(c, cap))
+
+
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute inside a tag, entities resolved; null if absent."""
     pattern = rf"(?is)(?:^|[\s\"'/]){name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
@@ -159,9 +169,9 @@ def attribute(tag: Column, name: str) -> Column:
     return F.when(tag.rlike(pattern), unescape(found))
 
 
-def meta_tags(html: Column) -> Column:
+def meta_tags(visible: Column) -> Column:
     """(key, value) of each meta tag, in page order."""
-    tags = F.regexp_extract_all(_visible(html), F.lit(
+    tags = F.regexp_extract_all(visible, F.lit(
         r"(?is)<meta\b((?:\"[^\"]*\"|'[^']*'|[^'\">]+)*+)>"), F.lit(1))
     first = lambda t: F.coalesce(
         *[F.nullif(attribute(t, a), F.lit("")) for a in ("name", "property", "http-equiv")], F.lit(""))
@@ -172,19 +182,20 @@ def meta_tags(html: Column) -> Column:
 
 def first_meta(metas: Column, keys: list[str]) -> Column:
     """Value of the first key that has one; the last tag of a key counts."""
-    return F.coalesce(*[F.try_element_at(F.filter(metas, lambda m: m["key"] == k), F.lit(-1))["value"]
-                        for k in keys], F.lit(""))
+    ranked = F.filter(F.transform(words(keys), lambda k: F.try_element_at(
+        F.filter(metas, lambda m: m["key"] == k), F.lit(-1))["value"]), lambda v: v.isNotNull())
+    return F.coalesce(F.get(ranked, F.lit(0)), F.lit(""))
 
 
-def html_title(html: Column) -> Column:
-    bodies = F.regexp_extract_all(_visible(html), F.lit(r"(?is)<title\b[^>]*>(.*?)</title\s*>"), F.lit(1))
+def html_title(visible: Column) -> Column:
+    bodies = F.regexp_extract_all(visible, F.lit(r"(?is)<title\b[^>]*>(.*?)</title\s*>"), F.lit(1))
     return collapse_space(F.array_join(F.flatten(F.transform(bodies, _chunks)), " "))
 
 
-def page_links(html: Column) -> Column:
+def page_links(visible: Column) -> Column:
     """(href, anchor) of each closed link, in page order."""
-    parts = F.split(_visible(html), r"(?i)<a(?=[\s>])")
-    opened = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    opened = let(F.split(visible, r"(?i)<a(?=[\s>])"), lambda ps: F.slice(
+        ps, 2, F.greatest(F.size(ps) - 1, F.lit(0))))
     closed = F.filter(opened, lambda p: p.rlike(r"(?i)</a\s*>"))
     head = r"(?s)^((?:\"[^\"]*\"|'[^']*'|[^'\">]+)*+)>"
     links = F.transform(closed, lambda p: F.struct(
@@ -195,28 +206,30 @@ def page_links(html: Column) -> Column:
 
 
 def page_metadata(html: Column) -> Column:
-    metas = meta_tags(html)
-    named = first_meta(metas, P.TITLE_META_KEYS)
-    return F.struct(
-        normalize_space(F.when(named != "", named).otherwise(html_title(html))).alias("title"),
-        normalize_space(first_meta(metas, P.DESCRIPTION_META_KEYS)).alias("description"),
-        metas.alias("meta"), visible_text(html).alias("text"))
+    """Struct of title, description, meta pairs and visible text of a page."""
+    def build(v):
+        return let(meta_tags(v), lambda metas: F.struct(
+            let(first_meta(metas, P.TITLE_META_KEYS), lambda named: normalize_space(
+                F.when(named != "", named).otherwise(html_title(v)))).alias("title"),
+            normalize_space(first_meta(metas, P.DESCRIPTION_META_KEYS)).alias("description"),
+            metas.alias("meta"), visible_text(v).alias("text")))
+    return let(_visible(html), build)
+
+
+def _link_target(u: Column) -> Column:
+    found = F.regexp_extract(url_part(u, "query"), "(?:^|&)uddg=([^&]+)", 1)
+    return F.when(F.contains(u, F.lit("uddg=")) & (found != ""), _decode(found)).otherwise(u)
 
 
 def extract_links(html: Column, base_url: Column) -> Column:
     """Distinct supported links of a page as (url, anchor); the first anchor wins."""
-    usable = F.filter(page_links(html), lambda x: (strip(x["href"]) != "")
-                      & ~strip(x["href"]).rlike("^(javascript:|mailto:|tel:)"))
+    usable = F.filter(page_links(_visible(html)), lambda x: ~strip(x["href"]).rlike("^(javascript:|mailto:|tel:|$)"))
     absolute = F.transform(usable, lambda x: F.struct(
-        resolve_url(base_url, x["href"]).alias("url"), x["anchor"].alias("anchor")))
-    target = lambda u: F.when(
-        url_part(u, "query").rlike("(^|&)uddg=[^&]"),
-        _decode(F.regexp_extract(url_part(u, "query"), "(?:^|&)uddg=([^&]+)", 1))).otherwise(u)
-    direct = F.transform(absolute, lambda x: F.struct(target(x["url"]).alias("url"), x["anchor"].alias("anchor")))
-    good = F.transform(F.filter(direct, lambda x: supported_url(x["url"])), lambda x: F.struct(
+        let(resolve_url(base_url, x["href"]), _link_target).alias("url"), x["anchor"].alias("anchor")))
+    good = F.transform(F.filter(absolute, lambda x: supported_url(x["url"])), lambda x: F.struct(
         canonicalize_url(x["url"]).alias("url"), x["anchor"].alias("anchor")))
-    urls = F.transform(good, lambda x: x["url"])
-    return F.filter(good, lambda x, i: F.array_position(urls, x["url"]) == i + 1)
+    return let(good, lambda g: let(F.transform(g, lambda x: x["url"]), lambda urls: F.filter(
+        g, lambda x, i: F.array_position(urls, x["url"]) == i + 1)))
 
 
 # ---- dates ----------------------------------------------------------------------
@@ -226,9 +239,7 @@ def _valid_date(y: Column, m: Column, d: Column) -> Column:
     return F.date_format(F.try_to_date(text, "yyyy-MM-dd"), "yyyy-MM-dd")
 
 
-def parse_dateish(text: Column) -> Column:
-    """Full date, else year-month, else year, else empty."""
-    t = blank(text)
+def _dateish(t: Column) -> Column:
     full = r"(20\d{2})[-/.年](\d{1,2})[-/.月](\d{1,2})日?"
     tight = r"(20\d{2})(\d{2})(\d{2})"
     tagged = r"t(20\d{2})(\d{2})(\d{2})"
@@ -237,13 +248,19 @@ def parse_dateish(text: Column) -> Column:
     dates = [F.when(g(p, 1) != "", _valid_date(g(p, 1), g(p, 2), g(p, 3))) for p in (full, tight, tagged)]
     ym = F.when((g(month, 1) != "") & g(month, 2).try_cast("int").between(1, 12),
                 F.concat(g(month, 1), F.lit("-"), F.lpad(g(month, 2), 2, "0")))
-    return F.coalesce(*dates, ym, g(r"(20\d{2})", 1))
+    return F.when(F.contains(t, F.lit("20")), F.coalesce(*dates, ym, g(r"(20\d{2})", 1))).otherwise("")
+
+
+def parse_dateish(text: Column) -> Column:
+    """Full date, else year-month, else year, else empty."""
+    return let(blank(text), _dateish)
 
 
 def published_date(metas: Column, title: Column, description: Column, url: Column, raw: Column) -> Column:
-    from_meta = [F.nullif(parse_dateish(first_meta(metas, [k])), F.lit("")) for k in P.DATE_META_KEYS]
+    tried = F.transform(words(P.DATE_META_KEYS), lambda k: parse_dateish(F.try_element_at(
+        F.filter(metas, lambda m: m["key"] == k), F.lit(-1))["value"]))
     hay = F.concat_ws(" ", blank(title), blank(description), blank(url), F.substring(blank(raw), 1, 5000))
-    return F.coalesce(*from_meta, parse_dateish(hay))
+    return F.coalesce(F.get(F.filter(tried, lambda d: d != ""), F.lit(0)), parse_dateish(hay))
 
 
 # ---- scoring --------------------------------------------------------------------
@@ -256,18 +273,22 @@ def _official(host: Column) -> Column:
 
 
 def classify_authority(url: Column, title: Column, text: Column) -> Column:
-    host = host_of(url)
+    def decide(v):
+        host = v["host"]
+        title_hay = F.lower(F.concat_ws(" ", v["main"], v["url"]))
+        formal = has_any(title_hay, P.FORMAL_DOC_TERMS, True) | (
+            F.contains(v["hay"], F.lit(P.GAZETTE_WORD)) & has_any(v["hay"], P.GAZETTE_COMPANIONS))
+        login = F.contains(v["hay"], F.lit("ssologin")) | F.contains(v["title"], F.lit(P.LOGIN_TITLE_WORD))
+        return (F.when(login, "X")
+                .when(host.isin(P.INTERNATIONAL_HOSTS), "A3")
+                .when(host.isin(P.MEDIA_HOSTS), "A2")
+                .when(_official(host) & ((host == P.OPEN_DATA_HOST) | formal), "A0")
+                .when(_official(host) | host.endswith(".edu.cn"), "A1")
+                .otherwise("A2"))
     main = F.element_at(F.split(blank(title), r"[_|｜]", 2), 1)
-    title_hay = F.lower(F.concat_ws(" ", main, blank(url)))
-    text_hay = F.lower(F.concat_ws(" ", main, F.substring(blank(text), 1, 2000), blank(url)))
-    formal = has_any(title_hay, P.FORMAL_DOC_TERMS, True) | (
-        F.contains(text_hay, F.lit(P.GAZETTE_WORD)) & has_any(text_hay, P.GAZETTE_COMPANIONS))
-    return (F.when(F.contains(text_hay, F.lit("ssologin")) | F.contains(blank(title), F.lit(P.LOGIN_TITLE_WORD)), "X")
-            .when(host.isin(P.INTERNATIONAL_HOSTS), "A3")
-            .when(host.isin(P.MEDIA_HOSTS), "A2")
-            .when(_official(host) & ((host == P.OPEN_DATA_HOST) | formal), "A0")
-            .when(_official(host) | host.endswith(".edu.cn"), "A1")
-            .otherwise("A2"))
+    return let(F.struct(
+        host_of(url).alias("host"), blank(url).alias("url"), blank(title).alias("title"), main.alias("main"),
+        F.lower(F.concat_ws(" ", main, F.substring(blank(text), 1, 2000), blank(url))).alias("hay")), decide)
 
 
 def classify_recency(published: Column, title: Column, text: Column, year: int) -> Column:
@@ -282,7 +303,8 @@ def topic_hits(title: Column, text: Column, url: Column, terms: list[str] | None
     hay = F.replace(F.lower(F.concat_ws(" ", blank(title), F.substring(blank(text), 1, 8000), blank(url))),
                     F.lit(" "), F.lit(""))
     listed = terms if terms is not None else P.TOPIC_TERMS
-    found = F.filter(words(listed), lambda t: F.contains(hay, F.replace(F.lower(t), F.lit(" "), F.lit(""))))
+    found = let(hay, lambda h: F.filter(words(listed), lambda t: F.contains(
+        h, F.replace(F.lower(t), F.lit(" "), F.lit("")))))
     return F.array_sort(F.array_distinct(found))
 
 
@@ -296,24 +318,28 @@ def _points(c: Column, table: dict[str, int]) -> Column:
 def score_candidate(url: Column, title: Column, text: Column, published: Column, content_type: Column,
                     year: int, terms: list[str] | None = None) -> Column:
     """Struct of score 0..100, authority, recency, topic hits and notes."""
-    authority = classify_authority(url, title, text)
-    recency = classify_recency(published, title, text, year)
-    found = topic_hits(title, text, url, terms)
+    formal = has_any(F.concat_ws(" ", blank(title), blank(url)), P.FORMAL_DOC_TERMS, True)
     draft = F.contains(blank(title), F.lit(P.CONSULTATION_WORD)) | F.contains(
         F.substring(blank(text), 1, 2000), F.lit(P.CONSULTATION_WORD))
-    unrelated = (F.size(found) == 0) & ~authority.isin("A0", "A3")
-    formal = has_any(F.lower(F.concat_ws(" ", blank(title), blank(url))), P.FORMAL_DOC_TERMS, True)
-    score = (_points(authority, P.AUTHORITY_POINTS) + _points(recency, P.RECENCY_POINTS)
-             + F.least(F.lit(28), F.size(found) * 4)
-             + F.when(content_kind(content_type, url).isin("pdf", "docx", "csv", "json"), 5).otherwise(0)
-             + F.when(formal, 6).otherwise(0) - F.when(draft, 8).otherwise(0)
-             - F.when(unrelated, 12).otherwise(0))
-    notes = F.array_compact(F.array(F.when(draft, "draft_or_consultation"),
-                                    F.when(authority == "X", "excluded_or_login"),
-                                    F.when(unrelated, "low_topic_match")))
-    return F.struct(F.greatest(F.lit(0), F.least(F.lit(100), score)).alias("score"),
-                    authority.alias("authority"), recency.alias("recency"), found.alias("topic_hits"),
-                    F.array_join(notes, ";").alias("notes"))
+
+    def total(v):
+        unrelated = (F.size(v["found"]) == 0) & ~v["authority"].isin("A0", "A3")
+        score = (_points(v["authority"], P.AUTHORITY_POINTS) + _points(v["recency"], P.RECENCY_POINTS)
+                 + F.least(F.lit(28), F.size(v["found"]) * 4)
+                 + F.when(v["kind"].isin("pdf", "docx", "csv", "json"), 5).otherwise(0)
+                 + F.when(v["formal"], 6).otherwise(0) - F.when(v["draft"], 8).otherwise(0)
+                 - F.when(unrelated, 12).otherwise(0))
+        notes = F.array_compact(F.array(F.when(v["draft"], "draft_or_consultation"),
+                                        F.when(v["authority"] == "X", "excluded_or_login"),
+                                        F.when(unrelated, "low_topic_match")))
+        return F.struct(F.greatest(F.lit(0), F.least(F.lit(100), score)).alias("score"),
+                        v["authority"].alias("authority"), v["recency"].alias("recency"),
+                        v["found"].alias("topic_hits"), F.array_join(notes, ";").alias("notes"))
+    return let(F.struct(
+        classify_authority(url, title, text).alias("authority"),
+        classify_recency(published, title, text, year).alias("recency"),
+        topic_hits(title, text, url, terms).alias("found"), content_kind(content_type, url).alias("kind"),
+        draft.alias("draft"), formal.alias("formal")), total)
 
 
 def review_bucket(score: Column) -> Column:
@@ -334,7 +360,7 @@ def link_relevance(url: Column, anchor: Column, terms: list[str] | None = None)
 def normalize_id(value: Column, url: Column) -> Column:
     base = F.upper(F.regexp_replace(F.regexp_replace(blank(value), "[^A-Za-z0-9]+", "-"), "^-+|-+$", ""))
     hashed = F.concat(F.lit("URL-"), F.upper(F.left(F.sha1(blank(url)), F.lit(10))))
-    return F.concat(F.lit("DRAFT-"), F.when(base == "", hashed).otherwise(base))
+    return F.concat(F.lit("DRAFT-"), let(base, lambda b: F.when(b == "", hashed).otherwise(b)))
 
 
 def registry_file_type(row_type: Column, content_type: Column, url: Column) -> Column:
