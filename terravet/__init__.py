@@ -1,5 +1,4 @@
 """terravet: data-quality, evidence and spatial-audit operators on Spark.
 
-Every operator takes DataFrames (or Columns) and returns DataFrames (or
-Columns); nothing here triggers an action.
+Operators take DataFrames (or Columns) and return DataFrames (or Columns).
 """
