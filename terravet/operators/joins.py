@@ -35,16 +35,15 @@ def mentions(docs: DataFrame, key: str, text: str, tokens: DataFrame, token: str
              small: int = 2_000) -> DataFrame:
     """Distinct (key, token) where the token occurs in the text.
 
-    A token table of at most ``small`` rows is read as one array and tested
+    A token table of at most ``small`` rows becomes one literal array, tested
     inside the row.  A larger one meets the texts through character grams: each
     token is filed under its first 8, 4, 2 or 1 characters, the distinct grams of
     a text are joined to them, and each candidate is verified against the text.
     """
     words = tokens.select(F.col(token).alias("token")).filter(X.blank(F.col("token")) != "").distinct()
-    if words.limit(small + 1).count() <= small:
-        packed = words.agg(F.collect_list("token").alias("t")).scalar()
-        found = F.filter(packed, lambda w: F.contains(F.col(text), w))
-        return docs.select(key, F.explode(found).alias("token"))
+    head = [r[0] for r in words.limit(small + 1).collect()]
+    if len(head) <= small:
+        return docs.select(key, F.explode(X.hits(F.col(text), sorted(head))).alias("token"))
     size = F.lit(GRAM_SIZES[-1])
     for n in reversed(GRAM_SIZES):
         size = F.when(F.length("token") >= n, n).otherwise(size)
@@ -56,8 +55,8 @@ def mentions(docs: DataFrame, key: str, text: str, tokens: DataFrame, token: str
 
 
 def _grams(text: Column, n: int) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(n))))
+    """Distinct substrings of n characters, found in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
 def match_sources(docs: DataFrame, key: str, text: str, sources: DataFrame) -> DataFrame:
