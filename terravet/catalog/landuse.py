@@ -166,7 +166,7 @@ def _(t):
     UNION ALL SELECT a.submission, 'KEY_AREA_AREA_MISMATCH', 'major', 'f' || pos, '100.0', area::VARCHAR FROM a JOIN f ON p_partkey = pos WHERE k % 3 = 0 AND abs(100 - area) > 3
     UNION ALL SELECT x.submission, 'KEY_AREA_OVERLAP', 'major', 'f' || x.pos, 'no overlap', ((least(x.x1, y.x1) - greatest(x.x0, y.x0)) * (least(x.y1, y.y1) - greatest(x.y0, y.y0)))::VARCHAR FROM {A} x JOIN {A} y ON x.submission = y.submission AND x.pos < y.pos AND x.pos % 2 = 0 AND y.pos % 2 = 0
       AND least(x.x1, y.x1) > greatest(x.x0, y.x0) AND least(x.y1, y.y1) > greatest(x.y0, y.y0) WHERE (least(x.x1, y.x1) - greatest(x.x0, y.x0)) * (least(x.y1, y.y1) - greatest(x.y0, y.y0)) > 1
-    UNION ALL SELECT DISTINCT p_brand, 'KEY_AREA_MISSING', 'major', NULL, 'gone', NULL FROM f)""")
+    UNION ALL SELECT p_brand, 'KEY_AREA_MISSING', 'major', NULL, array_to_string(list_filter(['ECONOMY','LARGE','MEDIUM','PROMO','SMALL','STANDARD','gone'], lambda x: NOT list_contains(list(p_type), x)), ', '), NULL FROM f WHERE p_partkey % 2 = 0 GROUP BY 1)""")
 def _(t):
     k = F.col("size") % 3
     f = rects(t).filter("pos % 2 = 0").withColumn("area_id", F.col("layer")).withColumn("official_area_sqm", F.when(F.col("pos") % 4 == 0, 100.0)).withColumn(

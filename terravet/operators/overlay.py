@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
+from ..session import cut_lineage
 
 
 def pick_tile(df: DataFrame, rings: str = "rings") -> float:
@@ -37,17 +38,25 @@ def _span(low: Column, high: Column, tile: float) -> Column:
     return F.sequence(first, F.greatest(first, (F.ceil(high / tile) - 1).cast("bigint")))
 
 
-def tiled(df: DataFrame, tile: float, rings: str = "rings") -> DataFrame:
-    """One row per feature and tile it touches, rings cut to the tile."""
+def tiled(df: DataFrame, tile: float, rings: str = "rings", near: DataFrame | None = None,
+          on: Sequence[str] = ()) -> DataFrame:
+    """One row per feature and tile it touches, rings cut to the tile.
+
+    ``near`` (on..., tx, ty) keeps only the listed tiles; the others are dropped
+    before anything is cut.
+    """
     cut = lambda axis, n: G.clip_rings(F.col("__r"), axis, F.col(n) * tile, (F.col(n) + 1) * tile)
     keep = [c for c in df.columns if c != rings]
     columns = (df.withColumn("__b", G.bbox(F.col(rings))).filter("__b.x0 IS NOT NULL")
-               .select(*keep, F.col(rings).alias("__r"), F.explode(_span(F.col("__b.x0"), F.col("__b.x1"), tile)).alias("tx"))
-               .select(*keep, "tx", cut("x", "tx").alias("__r")).filter(F.size("__r") > 0))
-    rows = (columns.withColumn("__b", G.bbox(F.col("__r")))
-            .select(*keep, "tx", "__r", F.explode(_span(F.col("__b.y0"), F.col("__b.y1"), tile)).alias("ty"))
-            .select(*keep, "tx", "ty", cut("y", "ty").alias(rings)).filter(F.size(rings) > 0))
-    return rows
+               .select(*keep, F.col(rings).alias("__r"), F.explode(_span(F.col("__b.x0"), F.col("__b.x1"), tile)).alias("tx")))
+    if near is not None:
+        columns = columns.join(near.select(*on, "tx").distinct(), [*on, "tx"], "left_semi")
+    strips = columns.select(*keep, "tx", cut("x", "tx").alias("__r")).filter(F.size("__r") > 0)
+    rows = (strips.withColumn("__b", G.bbox(F.col("__r")))
+            .select(*keep, "tx", "__r", F.explode(_span(F.col("__b.y0"), F.col("__b.y1"), tile)).alias("ty")))
+    if near is not None:
+        rows = rows.join(near.select(*on, "tx", "ty").distinct(), [*on, "tx", "ty"], "left_semi")
+    return rows.select(*keep, "tx", "ty", cut("y", "ty").alias(rings)).filter(F.size(rings) > 0)
 
 
 def _edges(pieces: DataFrame, scope: Sequence[str]) -> DataFrame:
@@ -61,7 +70,8 @@ def sweep(pieces: DataFrame, scope: Sequence[str]) -> DataFrame:
     twice), both_area, a_only_area, b_only_area.
     """
     cell = [*scope, "tx", "ty"]
-    e = _edges(pieces, scope)
+    # Read four times below: written once to the checkpoint folder instead of cut again.
+    e = cut_lineage(_edges(pieces, scope))
     f = e.select(*cell, *[F.col(c).alias(f"f_{c}") for c in ("x1", "y1", "x2", "y2")])
     left = F.struct(*[F.col(c) for c in ("x1", "y1", "x2", "y2")])
     right = F.struct(*[F.col(f"f_{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
@@ -119,9 +129,9 @@ def against(features: DataFrame, other: DataFrame, group: Sequence[str], key: st
     Only the pieces of ``other`` in the tiles of a feature travel to it.
     """
     t = tile or pick_tile(features.select("rings"))
-    a = tiled(features.select(*group, key, "rings"), t)
-    b = tiled(other.select(*group, "rings"), t).distinct()
     cell = [*group, "tx", "ty"]
+    a = cut_lineage(tiled(features.select(*group, key, "rings"), t))
+    b = tiled(other.select(*group, "rings"), t, near=a, on=group).distinct()
     near = a.select(*cell, key).distinct().join(b, cell)
     pieces = a.withColumn("side", F.lit(0)).unionByName(near.withColumn("side", F.lit(1))).withColumn(
         "fid", F.xxhash64(F.to_json("rings")))
