@@ -8,7 +8,7 @@ from ..plans import landuse as L
 from ..plans import spatial_review as SR
 from . import bindings as B
 from .registry import query
-from .spatial import A, AGAINST, SITE, rects, site_boxes
+from .spatial import A, AGAINST, SITE, rects, site_boxes, sql_union
 
 # Lines and zones per brand; the brand number decides what is missing or wrong.
 K = "CAST(substr(p_brand, 7) AS INTEGER)"
@@ -212,3 +212,34 @@ def _(t):
     z = BD.zones_from_pixels(px, min_pixels=3)
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     return z.select((F.col("label.y") * 1000 + F.col("label.x0")).alias("label"), "pixels", F.array_min(xs).alias("x_min"), F.array_max(xs).alias("x_max"), F.array_min(ys).alias("y_min"), F.array_max(ys).alias("y_max"))
+
+
+ROLE = "CASE pos % 4 WHEN 0 THEN 'LAND_USE' WHEN 1 THEN 'KEY_AREA' WHEN 2 THEN 'BUILDING_FOOTPRINT' ELSE 'GREEN_SPACE' END"
+RF = f"(SELECT *, {ROLE} AS role FROM {A})"
+LAND_CUT = f"(SELECT a.submission, greatest(a.x0, b.x0) AS x0, least(a.x1, b.x1) AS x1, greatest(a.y0, b.y0) AS y0, least(a.y1, b.y1) AS y1 FROM {A} a JOIN {SITE} b USING (submission) WHERE a.pos % 4 = 0 AND a.x0 < b.x1 AND a.x1 > b.x0 AND a.y0 < b.y1 AND a.y1 > b.y0)"
+GREEN = f"(SELECT * FROM {A} WHERE pos % 4 = 3)"
+KN = "CAST(substr(submission, 7) AS INTEGER)"
+
+
+@query("spatial_review", "C3", f"""SELECT 'none' AS submission, 'SITE_BOUNDARY_EMPTY' AS check_id, 'blocking' AS severity, NULL AS feature_id
+    UNION ALL SELECT submission, 'DECLARED_AREA_MISMATCH', 'major', feature_id FROM {RF} WHERE pos % 8 = 0 AND abs(declared / 10 - (x1-x0)*(y1-y0)) > greatest(1, (x1-x0)*(y1-y0) * 0.01)
+    UNION ALL SELECT s.submission, 'LAND_USE_COVERAGE_GAP', 'major', NULL FROM {SITE} s LEFT JOIN {sql_union(LAND_CUT, 'submission')} c USING (submission) WHERE (x1-x0)*(y1-y0) - coalesce(c.area, 0) > greatest(1, (x1-x0)*(y1-y0) * 1e-4)
+    UNION ALL SELECT a.submission, CASE WHEN a.role = 'LAND_USE' THEN 'LAND_USE_OVERLAP' ELSE 'KEY_AREA_OVERLAP' END, 'major', a.feature_id FROM {RF} a JOIN {RF} b ON a.submission = b.submission AND a.role = b.role AND a.pos < b.pos AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)
+      WHERE a.role IN ('LAND_USE','KEY_AREA') AND (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) > 1
+    UNION ALL SELECT g.submission, CASE WHEN g.pos % 4 = 1 THEN 'KEY_AREA_OUTSIDE_SITE' ELSE 'GEOMETRY_OUTSIDE_SITE' END, 'major', 'f' || g.pos FROM {AGAINST} g JOIN {SITE} s USING (submission) WHERE g.pos % 4 <> 0 AND g.area - g.inside_area > CASE WHEN g.pos % 4 = 1 THEN 1 ELSE greatest(1, (s.x1-s.x0)*(s.y1-s.y0) * 1e-4) END
+    UNION ALL SELECT submission, 'KEY_AREA_AREA_MISMATCH', 'major', feature_id FROM {RF} WHERE role = 'KEY_AREA' AND size % 2 = 0 AND abs(100 - (x1-x0)*(y1-y0)) > 3 UNION ALL SELECT submission, 'KEY_AREA_MISSING', 'major', NULL FROM {SITE}
+    UNION ALL SELECT submission, 'METRIC_RECALC_MISMATCH', 'major', 'site_area_sqm' FROM {SITE} WHERE {KN} % 2 = 0
+    UNION ALL SELECT submission, 'METRIC_RATIO_RANGE', 'major', 'green_ratio' FROM {SITE} WHERE {KN} % 3 = 0 UNION ALL SELECT submission, 'METRIC_RECALC_MISMATCH', 'major', 'green_ratio' FROM {SITE} s JOIN {sql_union(GREEN, 'submission')} g USING (submission) WHERE {KN} % 3 <> 0 AND abs(0.5 - g.area / ((x1-x0)*(y1-y0))) > greatest(0.01, 0.01 * g.area / ((x1-x0)*(y1-y0)))""")
+def _(t):
+    k = F.col("pos") % 4
+    f = rects(t).select("submission", "pos", "feature_id", F.when(k == 0, "LAND_USE").when(k == 1, "KEY_AREA").when(k == 2, "BUILDING_FOOTPRINT").otherwise("GREEN_SPACE").alias("layer"), "rings",
+                        F.when(F.col("pos") % 8 == 0, F.col("declared") / 10).alias("area_declared"), F.lit("").alias("area_id"), F.lit(True).alias("official_boundary"),
+                        F.lit("official_constraint").alias("geometry_role"), F.when(F.col("size") % 2 == 0, 100.0).alias("official_area_sqm"))
+    s = site_boxes(t).withColumn("layer", F.lit("SITE_BOUNDARY"))
+    subs = s.select("submission").unionByName(t.region.limit(1).select(F.lit("none").alias("submission")))
+    n = F.substring("submission", 7, 9).cast("int")
+    side = F.col("rings")[0][1]["x"] - F.col("rings")[0][0]["x"]
+    m = s.select("submission", F.inline(F.array(
+        F.struct(F.lit("site_area_sqm").alias("metric"), F.when(n % 2 == 0, side * side * 1.5).otherwise(side * side).alias("value"), F.lit("sqm").alias("unit")),
+        F.struct(F.lit("green_ratio").alias("metric"), F.when(n % 3 == 0, 2.0).otherwise(0.5).alias("value"), F.lit("ratio").alias("unit")))))
+    return SR.review(f.unionByName(s, allowMissingColumns=True), m, subs, {"zz": 1.0}).select("submission", "check_id", "severity", "feature_id")

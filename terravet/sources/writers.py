@@ -49,8 +49,10 @@ def write_geojson(df: DataFrame, meta: dict[str, str], path: str, lines: bool =
 
 def summary_document(counts: DataFrame, **fields: Column | str | int) -> DataFrame:
     """One JSON row of (kind, value, n) counts and extra fields."""
-    pairs = counts.groupBy("kind").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias("m"))
-    packed = pairs.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "m")))).alias("counts"))
+    pairs = counts.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("m"))
+    listed = pairs.agg(F.array_sort(F.collect_list(F.struct("kind", "m"))).alias("k"))
+    packed = listed.select(F.map_from_entries(F.transform("k", lambda e: F.struct(
+        e["kind"].alias("kind"), F.map_from_entries(e["m"]).alias("m")))).alias("counts"))
     extra = [v.alias(k) if isinstance(v, Column) else F.lit(v).alias(k) for k, v in fields.items()]
     return packed.select(F.to_json(F.struct(*extra, "counts")).alias("value"))
 
