@@ -240,9 +240,16 @@ def crossing_x(e: Column, f: Column) -> Column:
     return let(F.struct(se.alias("se"), sf.alias("sf")), lambda v: F.when(v["se"] != v["sf"], at(v)))
 
 
-def intersection_area(a: Column, b: Column) -> Column:
+def even_odd_area(rings: Column) -> Column:
+    """Area of a ring set read by the even-odd rule, whatever the ring order."""
+    return intersection_area(rings, None)
+
+
+def intersection_area(a: Column, b: Column | None) -> Column:
     """Area common to two ring sets, each read by the even-odd rule.
 
+    Without ``b`` it is the area of ``a`` alone.
+
     The edges cut the plane into vertical slabs in which no two edges cross, so
     the middle height of a slab gives its area exactly.
     """
@@ -255,7 +262,7 @@ def intersection_area(a: Column, b: Column) -> Column:
         heights = F.array_sort(F.transform(active, lambda e: F.struct(
             (e["y1"] + (e["y2"] - e["y1"]) * (mid - e["x1"]) / (e["x2"] - e["x1"])).alias("y"), e["s"].alias("s"))))
         walked = F.aggregate(
-            heights, F.struct(F.lit(False).alias("a"), F.lit(False).alias("b"), F.lit(0.0).alias("y"), F.lit(0.0).alias("sum")),
+            heights, F.struct(F.lit(False).alias("a"), F.lit(b is None).alias("b"), F.lit(0.0).alias("y"), F.lit(0.0).alias("sum")),
             lambda acc, h: F.struct(
                 (acc["a"] != (h["s"] == 0)).alias("a"), (acc["b"] != (h["s"] == 1)).alias("b"), h["y"].alias("y"),
                 (acc["sum"] + F.when(acc["a"] & acc["b"], h["y"] - acc["y"]).otherwise(0.0)).alias("sum")),
@@ -271,7 +278,7 @@ def intersection_area(a: Column, b: Column) -> Column:
         return let(xs, lambda v: _sum(F.zip_with(
             F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(0))), F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))),
             lambda left, right: slab(es, left, right))))
-    return let(F.concat(tag(a, 0), tag(b, 1)), measure)
+    return let(tag(a, 0) if b is None else F.concat(tag(a, 0), tag(b, 1)), measure)
 
 
 def clip_rings(rings: Column, axis: str, low: Column, high: Column) -> Column:

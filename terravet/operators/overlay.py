@@ -123,20 +123,38 @@ def coverage(layer: DataFrame, site: DataFrame, group: Sequence[str], tile: floa
         F.col("b_only_area").alias("gap_area"), F.col("a_only_area").alias("outside_area"), F.col("both_area").alias("covered_area"))
 
 
-def against(features: DataFrame, other: DataFrame, group: Sequence[str], key: str, tile: float | None = None) -> DataFrame:
-    """Area of each feature inside and outside the union of the other layer of its group.
+def inside_areas(features: DataFrame, other: DataFrame, group: Sequence[str], key: str, kind: Sequence[str] = (),
+                 tile: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(area per feature, area per feature inside the union of the other layer and kind).
 
-    Only the pieces of ``other`` in the tiles of a feature travel to it.
+    Only pieces of ``other`` in tiles of a feature travel to it.  In a tile with
+    one such piece the common area is measured in the row; tiles in which several
+    pieces may cover each other go through the sweep.
     """
     t = tile or pick_tile(features.select("rings"))
     cell = [*group, "tx", "ty"]
     a = cut_lineage(tiled(features.select(*group, key, "rings"), t))
-    b = tiled(other.select(*group, "rings"), t, near=a, on=group).distinct()
-    near = a.select(*cell, key).distinct().join(b, cell)
-    pieces = a.withColumn("side", F.lit(0)).unionByName(near.withColumn("side", F.lit(1))).withColumn(
-        "fid", F.xxhash64(F.to_json("rings")))
-    return sweep(pieces, [*group, key]).filter("a_area > 0").select(
-        *group, key, F.col("a_area").alias("area"), F.col("both_area").alias("inside_area"), F.col("a_only_area").alias("outside_area"))
+    b = cut_lineage(tiled(other.select(*group, *kind, "rings"), t, near=a, on=group).distinct())
+    areas = a.groupBy(*group, key).agg(F.sum(G.even_odd_area(F.col("rings"))).alias("area"))
+    counted = b.groupBy(*cell, *kind).agg(F.count(F.lit(1)).alias("__n"))
+    alone = b.join(counted.filter("__n = 1").drop("__n"), [*cell, *kind], "left_semi")
+    crowd = b.join(counted.filter("__n > 1").drop("__n"), [*cell, *kind], "left_semi")
+    direct = a.join(alone.withColumnRenamed("rings", "__o"), cell).select(
+        *group, key, *kind, G.intersection_area(F.col("rings"), F.col("__o")).alias("v"))
+    spots = crowd.select(*cell, *kind).distinct()
+    first = a.join(spots, cell).withColumn("side", F.lit(0))
+    second = a.select(*cell, key).join(crowd, cell).withColumn("side", F.lit(1))
+    pieces = first.unionByName(second).withColumn("fid", F.xxhash64(F.to_json("rings")))
+    swept = sweep(pieces, [*group, key, *kind]).select(*group, key, *kind, F.col("both_area").alias("v"))
+    inside = direct.unionByName(swept).groupBy(*group, key, *kind).agg(F.sum("v").alias("inside_area"))
+    return areas, inside
+
+
+def against(features: DataFrame, other: DataFrame, group: Sequence[str], key: str, tile: float | None = None) -> DataFrame:
+    """Area of each feature inside and outside the union of the other layer of its group."""
+    areas, inside = inside_areas(features, other, group, key, (), tile)
+    both = areas.filter("area > 0").join(inside, [*group, key], "left").withColumn("inside_area", F.coalesce("inside_area", F.lit(0.0)))
+    return both.select(*group, key, "area", "inside_area", F.greatest(F.col("area") - F.col("inside_area"), F.lit(0.0)).alias("outside_area"))
 
 
 def _boxes(df: DataFrame, tile: float) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo as G
 from ..operators import overlay as O
+from ..session import cut_lineage
 
 LINES = ("farmland", "redline", "boundary")
 ZONES = ("ecological", "agricultural", "urban")
@@ -29,23 +30,18 @@ def measured(parcels: DataFrame, layers: DataFrame, group: str, kind: str, kinds
     ``layers`` holds (group, kind, rings).  A kind that a group lacks gives nulls.
     """
     t = tile or O.pick_tile(parcels)
-    usable = parcels.filter(F.col("rings").isNotNull()).select(group, "parcel_id", "rings")
-    wide = usable.withColumn(kind, F.explode(F.array(*[F.lit(k) for k in kinds])))
-    areas = O.against(wide, layers.filter(F.col("rings").isNotNull()), [group, kind], "parcel_id", t)
-    have = layers.filter(F.col("rings").isNotNull()).groupBy(group).agg(*[
-        F.bool_or(F.col(kind) == k).alias(f"has_{k}") for k in kinds])
-    per = areas.groupBy(group, "parcel_id").agg(
-        *[F.sum(F.when(F.col(kind) == k, F.col("inside_area"))).alias(f"in_{k}") for k in kinds],
-        *[F.sum(F.when(F.col(kind) == k, F.col("outside_area"))).alias(f"out_{k}") for k in kinds])
-    size = F.when(F.col("rings").isNotNull(), ring_set_area(F.col("rings")))
+    usable = parcels.filter(F.col("rings").isNotNull())
+    present = layers.filter(F.col("rings").isNotNull())
+    _, inside = O.inside_areas(usable, present, [group], "parcel_id", [kind], t)
+    have = present.groupBy(group).agg(*[F.bool_or(F.col(kind) == k).alias(f"has_{k}") for k in kinds])
+    per = inside.groupBy(group, "parcel_id").agg(*[F.sum(F.when(F.col(kind) == k, F.col("inside_area"))).alias(f"in_{k}") for k in kinds])
+    size = F.when(F.col("rings").isNotNull(), G.even_odd_area(F.col("rings")))
     base = parcels.select(group, "parcel_id", size.alias("parcel_area"))
     joined = base.join(per, [group, "parcel_id"], "left").join(have, group, "left")
-    shown = lambda c, k: F.when(F.coalesce(F.col(f"has_{k}"), F.lit(False)) & F.col("parcel_area").isNotNull(), F.coalesce(F.col(c), F.lit(0.0))).alias(c)
-    return joined.select(group, "parcel_id", "parcel_area", *[shown(f"in_{k}", k) for k in kinds], *[shown(f"out_{k}", k) for k in kinds])
-
-
-def ring_set_area(rings: Column) -> Column:
-    return G.polygon_area(rings)
+    shown = lambda c, k: F.when(F.coalesce(F.col(f"has_{k}"), F.lit(False)) & F.col("parcel_area").isNotNull(), c)
+    part = lambda k: F.coalesce(F.col(f"in_{k}"), F.lit(0.0))
+    return joined.select(group, "parcel_id", "parcel_area", *[shown(part(k), k).alias(f"in_{k}") for k in kinds],
+                         *[shown(F.greatest(F.col("parcel_area") - part(k), F.lit(0.0)), k).alias(f"out_{k}") for k in kinds])
 
 
 def inconsistent_lines(lines: DataFrame, group: str, kind: str = "line", tile: float | None = None) -> DataFrame:
@@ -63,7 +59,8 @@ def inconsistent_lines(lines: DataFrame, group: str, kind: str = "line", tile: f
 def three_lines(parcels: DataFrame, lines: DataFrame, group: str = "region", tile: float | None = None) -> DataFrame:
     """Verdict per parcel; the order farmland, redline, boundary is the priority."""
     m = measured(parcels, lines, group, "line", LINES, tile)
-    bad = inconsistent_lines(lines, group, tile=tile).withColumn("__bad", F.lit(True))
+    # The lines are far larger than a parcel: they are compared on tiles of their own size.
+    bad = inconsistent_lines(lines, group).withColumn("__bad", F.lit(True))
     s = slack(F.col("parcel_area"))
     metric = {"farmland": F.col("in_farmland"), "redline": F.col("in_redline"), "boundary": F.col("out_boundary")}
     verdict = F.when(F.coalesce("__bad", F.lit(False)), "FAIL_CLOSED")
@@ -112,7 +109,9 @@ def three_zones(parcels: DataFrame, zones: DataFrame, group: str = "region", til
 def land_permission(parcels: DataFrame, lines: DataFrame, zones: DataFrame, group: str = "region", tile: float | None = None) -> DataFrame:
     """Building permission: lines first; zones are measured only for parcels the lines allow."""
     t = tile or O.pick_tile(parcels)
-    l = three_lines(parcels, lines, group, t).select(group, "parcel_id", F.col("verdict").alias("line_verdict"), F.col("evidence").alias("line_evidence"))
+    # One row per parcel, read twice: to pick the parcels that go on, and for the result.
+    l = cut_lineage(three_lines(parcels, lines, group, t).select(
+        group, "parcel_id", F.col("verdict").alias("line_verdict"), F.col("evidence").alias("line_evidence")))
     passed = parcels.join(l.filter("line_verdict = 'ALLOWED'").select(group, "parcel_id"), [group, "parcel_id"], "left_semi")
     z = three_zones(passed, zones, group, t).select(group, "parcel_id", F.col("verdict").alias("zone_verdict"))
     lv, zv = F.col("line_verdict"), F.col("zone_verdict")
