@@ -348,7 +348,7 @@ CHECKERS: dict[str, Checker] = {
     "verify_no_land_use_overlap": _overlap,
     "verify_area_tolerance": _area_tolerance,
     "verify_provisional_marking": _feature_check(
-        "geometry_role string", lambda: (F.col("geometry_role") == "provisional_constraint") & (
+        "boundary_precision_required boolean", lambda: (F.col("geometry_role") == "provisional_constraint") & (
             ~F.col("official_boundary").eqNullSafe(F.lit(False)) | (X.blank(F.col("boundary_precision")) == "")),
         lambda: _where(F.lit("provisional marking")), "features marked wrongly"),
     "verify_task_coverage": _task_coverage,
