@@ -14,10 +14,15 @@ from ..functions import web as W
 from ..plans.corridor import standard_columns
 
 
+def file_uri(c: Column) -> Column:
+    """One spelling of local paths: ``/a``, ``file:/a`` and ``file:///a`` are the same file."""
+    return F.regexp_replace(c, "^(file:)?/+", "file:///")
+
+
 def read_texts(spark: SparkSession, path) -> DataFrame:
     """Whole text files with their path; a byte-order mark is dropped."""
     return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"^﻿", "").alias("text"))
+        file_uri(F.col("_metadata.file_path")).alias("file"), F.regexp_replace("value", r"^\uFEFF", "").alias("text"))
 
 
 def parse_layers(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -51,7 +56,7 @@ def read_layers(spark: SparkSession, path, expected: DataFrame | None = None) ->
     files = read_texts(spark, path)
     features, issues = parse_layers(files)
     if expected is not None:
-        gone = expected.select("file").join(files.select("file"), "file", "left_anti").select(
+        gone = expected.select(file_uri(F.col("file")).alias("file")).join(files.select("file"), "file", "left_anti").select(
             "file", F.lit(None).cast("string").alias("feature_id"), F.lit("GEOMETRY_FILE_MISSING").alias("check_id"))
         issues = issues.unionByName(gone)
     return features, issues
