@@ -195,11 +195,11 @@ def _(t):
 
 
 @query("anchor_corrected_boundaries", "C26", """SELECT 'z' || s_suppkey AS feature_id, 1 AS parts, round(116.3 + s_suppkey::DOUBLE / 1000 + CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 5 <> 0 THEN 0.01 ELSE 0 END, 6) AS x_sum FROM supplier
-    UNION ALL SELECT 'sum' AS feature_id, count(*)::INTEGER, round(sum(116.3 + s_suppkey::DOUBLE / 1000 + CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 5 <> 0 THEN 0.01 ELSE 0 END), 6) FROM supplier WHERE s_nationkey < 3""")
+    UNION ALL SELECT 'sum' AS feature_id, count(*)::INTEGER, round(sum(116.3 + s_suppkey::DOUBLE / 1000 + CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 5 <> 0 THEN 0.01 ELSE 0 END), 6) FROM supplier WHERE s_nationkey < 3 HAVING count(*) > 0""")
 def _(t):
     f = geo_boxes(t)
     total = f.filter("s_nationkey < 3").groupBy().agg(F.array_sort(F.collect_list(F.struct("s_suppkey", F.col("polys")[0].alias("p")))).alias("ps")).select(
-        F.lit("sum").alias("feature_id"), F.transform("ps", lambda x: x["p"]).alias("polys"), F.lit(None).cast("boolean").alias("anchor_corrected"))
+        F.lit("sum").alias("feature_id"), F.transform("ps", lambda x: x["p"]).alias("polys"), F.lit(None).cast("boolean").alias("anchor_corrected")).filter(F.size("polys") > 0)
     every = f.select("feature_id", "polys", "anchor_corrected").unionByName(total)
     out = BD.correct(every, shifts(t), ["sum"])
     return out.select("feature_id", F.size("polys").alias("parts"), F.round(F.aggregate("polys", F.lit(0.0), lambda a, p: a + p[0][0]["x"]), 6).alias("x_sum"))
@@ -223,13 +223,14 @@ KN = "CAST(substr(submission, 7) AS INTEGER)"
 
 @query("spatial_review", "C3", f"""SELECT 'none' AS submission, 'SITE_BOUNDARY_EMPTY' AS check_id, 'blocking' AS severity, NULL AS feature_id
     UNION ALL SELECT submission, 'DECLARED_AREA_MISMATCH', 'major', feature_id FROM {RF} WHERE pos % 8 = 0 AND abs(declared / 10 - (x1-x0)*(y1-y0)) > greatest(1, (x1-x0)*(y1-y0) * 0.01)
-    UNION ALL SELECT s.submission, 'LAND_USE_COVERAGE_GAP', 'major', NULL FROM {SITE} s LEFT JOIN {sql_union(LAND_CUT, 'submission')} c USING (submission) WHERE (x1-x0)*(y1-y0) - coalesce(c.area, 0) > greatest(1, (x1-x0)*(y1-y0) * 1e-4)
+    UNION ALL SELECT s.submission, 'LAND_USE_COVERAGE_GAP', 'major', NULL FROM {SITE} s LEFT JOIN {sql_union(LAND_CUT, 'submission')} c USING (submission) WHERE (x1-x0)*(y1-y0) - coalesce(c.area, 0) > greatest(1, (x1-x0)*(y1-y0) * 1e-4) AND submission IN (SELECT submission FROM {RF} WHERE role = 'LAND_USE')
+    UNION ALL SELECT submission, 'LAND_USE_EMPTY', 'major', NULL FROM {SITE} WHERE submission NOT IN (SELECT submission FROM {RF} WHERE role = 'LAND_USE') UNION ALL SELECT submission, 'KEY_AREAS_EMPTY', 'major', NULL FROM {SITE} WHERE submission NOT IN (SELECT submission FROM {RF} WHERE role = 'KEY_AREA')
     UNION ALL SELECT a.submission, CASE WHEN a.role = 'LAND_USE' THEN 'LAND_USE_OVERLAP' ELSE 'KEY_AREA_OVERLAP' END, 'major', a.feature_id FROM {RF} a JOIN {RF} b ON a.submission = b.submission AND a.role = b.role AND a.pos < b.pos AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)
       WHERE a.role IN ('LAND_USE','KEY_AREA') AND (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) > 1
     UNION ALL SELECT g.submission, CASE WHEN g.pos % 4 = 1 THEN 'KEY_AREA_OUTSIDE_SITE' ELSE 'GEOMETRY_OUTSIDE_SITE' END, 'major', 'f' || g.pos FROM {AGAINST} g JOIN {SITE} s USING (submission) WHERE g.pos % 4 <> 0 AND g.area - g.inside_area > CASE WHEN g.pos % 4 = 1 THEN 1 ELSE greatest(1, (s.x1-s.x0)*(s.y1-s.y0) * 1e-4) END
-    UNION ALL SELECT submission, 'KEY_AREA_AREA_MISMATCH', 'major', feature_id FROM {RF} WHERE role = 'KEY_AREA' AND size % 2 = 0 AND abs(100 - (x1-x0)*(y1-y0)) > 3 UNION ALL SELECT submission, 'KEY_AREA_MISSING', 'major', NULL FROM {SITE}
+    UNION ALL SELECT submission, 'KEY_AREA_AREA_MISMATCH', 'major', feature_id FROM {RF} WHERE role = 'KEY_AREA' AND size % 2 = 0 AND abs(100 - (x1-x0)*(y1-y0)) > 3 UNION ALL SELECT submission, 'KEY_AREA_MISSING', 'major', NULL FROM {SITE} WHERE submission IN (SELECT submission FROM {RF} WHERE role = 'KEY_AREA')
     UNION ALL SELECT submission, 'METRIC_RECALC_MISMATCH', 'major', 'site_area_sqm' FROM {SITE} WHERE {KN} % 2 = 0
-    UNION ALL SELECT submission, 'METRIC_RATIO_RANGE', 'major', 'green_ratio' FROM {SITE} WHERE {KN} % 3 = 0 UNION ALL SELECT submission, 'METRIC_RECALC_MISMATCH', 'major', 'green_ratio' FROM {SITE} s JOIN {sql_union(GREEN, 'submission')} g USING (submission) WHERE {KN} % 3 <> 0 AND abs(0.5 - g.area / ((x1-x0)*(y1-y0))) > greatest(0.01, 0.01 * g.area / ((x1-x0)*(y1-y0)))""")
+    UNION ALL SELECT submission, 'METRIC_RATIO_RANGE', 'major', 'green_ratio' FROM {SITE} WHERE {KN} % 3 = 0 UNION ALL SELECT submission, 'METRIC_RECALC_MISMATCH', 'major', 'green_ratio' FROM {SITE} s LEFT JOIN {sql_union(GREEN, 'submission')} g USING (submission) WHERE {KN} % 3 <> 0 AND abs(0.5 - coalesce(g.area, 0) / ((x1-x0)*(y1-y0))) > greatest(0.01, 0.01 * coalesce(g.area, 0) / ((x1-x0)*(y1-y0)))""")
 def _(t):
     k = F.col("pos") % 4
     f = rects(t).select("submission", "pos", "feature_id", F.when(k == 0, "LAND_USE").when(k == 1, "KEY_AREA").when(k == 2, "BUILDING_FOOTPRINT").otherwise("GREEN_SPACE").alias("layer"), "rings",

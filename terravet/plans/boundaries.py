@@ -51,7 +51,7 @@ def correct(features: DataFrame, shifts: DataFrame, summary_ids: list[str], reve
     joined = moved.groupBy("feature_id").agg(F.array_sort(F.collect_list(F.struct("part", "poly"))).alias("p")).select(
         "feature_id", F.transform("p", lambda x: x["poly"]).alias("__polys"))
     cols = single.columns
-    whole = open_.join(joined, "feature_id").withColumn("polys", F.col("__polys")).withColumn("anchor_corrected", F.lit(not revert)).drop("__polys")
+    whole = open_.join(joined, "feature_id", "left").withColumn("polys", F.coalesce("__polys", "polys")).withColumn("anchor_corrected", F.lit(not revert)).drop("__polys")
     pad = lambda d: d.withColumn("area_before", G.sphere_area(F.col("polys"))).withColumn("area_after", G.sphere_area(F.col("polys"))).select(*cols)
     return single.unionByName(pad(whole)).unionByName(pad(rest.withColumn("anchor_corrected", done)))
 

@@ -132,7 +132,7 @@ def review(features: DataFrame, metrics: DataFrame, submissions: DataFrame, offi
     f = features.join(sited, GROUP, "left_semi")
     layer = lambda n: f.filter(F.col("layer") == n)
     land, keys = layer("LAND_USE"), layer("KEY_AREA")
-    gap = O.coverage_gap(land, site_all, [GROUP], t)
+    gap = O.coverage_gap(land, site_all, [GROUP], t).join(land.select(GROUP).distinct(), GROUP, "left_semi")
     pairs = O.overlap_pairs(land, [GROUP], "pos", 1.0, t).join(land.select(GROUP, "pos", "feature_id"), [GROUP, "pos"])
     inner = f.filter(F.col("layer").isin("BUILDING_FOOTPRINT", "GREEN_SPACE", "PUBLIC_SPACE"))
     out = O.outside_site(inner, site_all, [GROUP], "feature_id", None, t)
