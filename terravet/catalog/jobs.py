@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from .. import params as P
-from ..functions import text as X
 from ..operators import aggregates as A
 from ..plans import reviews as R
 from ..plans import rules as RU
@@ -11,10 +10,10 @@ from ..plans import validation as V
 from ..sources import writers as W
 from ..streaming import history as H
 from . import bindings as B
-from .checks import DIMS, FEAT_SPARK, FEAT_SQL, MAT, MET, MROW, NEED, matrix, metrics
+from .checks import DIMS, FEAT_SPARK, FEAT_SQL, MET, MROW, metrics
 from .registry import query
-from .rollups import GATE_SQL, REC, ISS, SC, gates
-from .texts import WS, sql_strip
+from .rollups import ISS, REC, SC, gates
+from .texts import WS
 
 # ---- rules over submissions -------------------------------------------------------------------------
 RULE = """(SELECT 'C' || n_nationkey AS constraint_id, n_name AS name, CASE WHEN n_nationkey % 7 = 6 THEN 'LLM' ELSE 'CODE' END AS check_type,

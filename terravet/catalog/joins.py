@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
-from ..operators import checks as K
 from ..operators import joins as J
 from . import bindings as B
 from .checks import DISK_SQL, LISTED_SQL, MET, listed, metrics

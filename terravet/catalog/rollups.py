@@ -2,13 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from .. import params as P
 from ..functions import geo as G
-from ..functions import text as X
 from ..operators import aggregates as A
 from ..operators import joins as J
 from . import bindings as B
-from .checks import FEAT_SPARK, FEAT_SQL, PKG_SQL, PUB, PUB_SQL, RISK, feats
+from .checks import PUB, PUB_SQL, RISK
 from .registry import query
 from .spatial import rects, sql_union
 

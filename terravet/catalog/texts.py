@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions import text as X
 from ..operators import documents as D
-from ..operators.rows import rule_rows
 from . import bindings as B
 from .registry import query
 

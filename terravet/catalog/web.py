@@ -6,7 +6,7 @@ from .. import params as P
 from ..functions import web as W
 from ..plans import discovery as D
 from .registry import query
-from .texts import UNESC, WS, sql_norm
+from .texts import sql_norm
 
 YEAR = 2025
 TERMS = ["the", "of", "heon", "tion the", "erheit", "queau"]
