@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, secrets
+from . import bpe, near_dup, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_near_duplicates": near_dup.op5_near_duplicates,
     "op7_quality_scores": quality.op7_quality_scores,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op4_byte_bpe": bpe.op4_byte_bpe,
