@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,21 +45,55 @@ def pieces(texts: Iterable[str | None], limit: int = PIECE_CHARS) -> Iterator[tu
         yield start, held
 
 
+class Members:
+    """Bloom filter of the ids of a frame: at most ``MOST_BITS`` bits, whatever the frame holds.
+
+    It only spares work: what passes still meets the ids in a join.
+    """
+
+    MOST_BITS, HASHES = 1 << 25, 2
+
+    def __init__(self, ids: DataFrame, column: str):
+        self.column = column
+        wanted = max(16 * ids.count(), 1 << 16)
+        self.bits = min(1 << (wanted - 1).bit_length(), self.MOST_BITS)
+        place = F.explode(F.array(*self.places()))
+        words = (ids.select(place.alias("p")).groupBy((F.col("p") / 64).cast("long").alias("word"))
+                 .agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).toArrow())
+        self.table = np.zeros(self.bits // 64, np.int64)
+        self.table[np.asarray(words.column("word"))] = np.asarray(words.column("bits"))
+
+    def places(self) -> list[Column]:
+        return [F.pmod(F.xxhash64(self.column, F.lit(i)), F.lit(self.bits)).alias(f"__place{i}")
+                for i in range(self.HASHES)]
+
+    def mask(self, batch: pa.RecordBatch) -> pa.Array:
+        keep = np.ones(batch.num_rows, bool)
+        for i in range(self.HASHES):
+            at = np.asarray(batch.column(f"__place{i}"))
+            keep &= (self.table[at >> 6] >> (at & 63)) & 1 == 1
+        return pa.array(keep)
+
+
 def per_text(df: DataFrame, keep: list[str], text: str, schema: str,
-             make: Callable[[], Callable[[list[str]], dict[str, pa.Array]]]) -> DataFrame:
+             make: Callable[[], Callable[[list[str]], dict[str, pa.Array]]],
+             members: Members | None = None) -> DataFrame:
     """Columns ``keep`` and what ``make()(texts)`` gives for each text.
 
     ``make`` runs once in each task and returns the function for one piece of
     texts, so memory follows the piece (or the longest single text), not the batch.
+    ``members`` drops rows that are surely not among its ids before any work.
     """
-    wanted = df.select(*keep, F.col(text).alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.drop("__text").schema]
+    wanted = df.select(*keep, *(members.places() if members else []), F.col(text).alias("__text"))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.select(*keep).schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
+            if members:
+                batch = batch.filter(members.mask(batch))
             body = batch.column(batch.num_columns - 1)
-            held = [batch.column(i) for i in range(batch.num_columns - 1)]
+            held = [batch.column(i) for i in range(len(keep))]
             for first, texts in pieces(x.as_py() for x in body):
                 made = work(texts)
                 columns = [c.slice(first, len(texts)) for c in held]

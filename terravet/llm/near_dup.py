@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text, read, stored
+from .common import Members, per_text, read, stored
 from .shingles import digest, shingle_sets, signatures
 
 COORDINATES = 32
@@ -64,15 +64,20 @@ def sketch(docs: DataFrame, width: int, text: str = "text", size: int = COORDINA
     return per_text(docs, ["doc_id"], text, "n_shingles bigint, digest binary, signature array<bigint>", make)
 
 
-def full_sets(docs: DataFrame, width: int, text: str = "text", size: int = COORDINATES) -> DataFrame:
-    """doc_id, signature and whole shingle set (as 64-bit values)."""
+def full_sets(docs: DataFrame, wanted: DataFrame, width: int, text: str = "text",
+              size: int = COORDINATES) -> DataFrame:
+    """doc_id, signature and whole shingle set (as 64-bit values) of the wanted ids.
+
+    A few other documents that pass the member filter are there too; joins leave them out.
+    """
     def make():
         def work(texts: list[str]) -> dict[str, pa.Array]:
             sets = shingle_sets(texts, width)
             return {"signature": pa.array(list(signatures(sets, size)), pa.list_(pa.int64())),
                     "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))}
         return work
-    return per_text(docs, ["doc_id"], text, "signature array<bigint>, shingles array<bigint>", make)
+    return per_text(docs, ["doc_id"], text, "signature array<bigint>, shingles array<bigint>", make,
+                    Members(wanted, "doc_id"))
 
 
 def stars(carriers: DataFrame, size: int, t: int) -> DataFrame:
@@ -174,7 +179,8 @@ def confirmed(table: pa.Table, percent: int, t: int) -> pa.Table:
 def tested(pairs: DataFrame, sets: DataFrame, percent: int, t: int) -> DataFrame:
     """Links of the blocks in ``pairs`` (leader, size_class, left_block, right_block, right, doc_id)."""
     keys = ["leader", "size_class", "left_block", "right_block"]
-    return (pairs.join(sets, "doc_id").groupBy(*keys)
+    # Neither side has a bound that would allow a broadcast.
+    return (pairs.hint("merge").join(sets, "doc_id").groupBy(*keys)
             .applyInArrow(lambda table: confirmed(table, percent, t), "a bigint, b bigint"))
 
 
@@ -240,8 +246,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
                       .agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("c")).select("digest", "c.*"), "carriers")
     star = stored(stars(carriers, size, t), "stars")
     wanted = star.select("doc_id").union(star.select("leader")).distinct()
-    sets = stored(full_sets(docs.select("doc_id", text).join(wanted, "doc_id", "left_semi"), width, text, size)
-                  .join(carriers.select("doc_id").distinct(), "doc_id", "left_semi"), "sets")
+    sets = stored(full_sets(docs, wanted, width, text, size), "sets")
     first = stored(tested(leader_tests(star), sets, percent, t), "links")
     # Two classes under one doc_id are one node already; equal sets are linked by their carrier.
     labels = components(first)
