@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, near_dup, quality, secrets
+from . import bpe, decontaminate, html_text, near_dup, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_main_text": html_text.op1_main_text,
+    "op3_benchmark_leaks": decontaminate.op3_benchmark_leaks,
     "op5_near_duplicates": near_dup.op5_near_duplicates,
     "op7_quality_scores": quality.op7_quality_scores,
     "op8_secret_scan": secrets.op8_secret_scan,
