@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terravet.session import ensure_checkpoint_dir
@@ -105,3 +105,29 @@ def per_text(df: DataFrame, keep: list[str], text: str, schema: str,
 def same_order(*columns: str) -> list[Column]:
     """Ascending order with nulls first, so that it is total on every input."""
     return [F.col(c).asc_nulls_first() for c in columns]
+
+
+def ranged(df: DataFrame, order: list[Column], label: str) -> DataFrame:
+    """``df`` dealt to consecutive ranges of ``order`` and stored, with the range number ``part``.
+
+    The number is written with the row, so later steps can rely on it whatever runs again.
+    """
+    return stored(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), label)
+
+
+def with_next(df: DataFrame, order: list[Column], columns: list[str], label: str, prefix: str = "next_") -> DataFrame:
+    """Adds the values of the following row in ``order``; after the last row comes the first.
+
+    Windows run inside ranges; only the head of each range is seen by the others.
+    """
+    rows = ranged(df, order, label)
+    inside = Window.partitionBy("part").orderBy(*order)
+    numbered = rows.withColumn("__n", F.row_number().over(inside))
+    heads = numbered.filter("__n = 1").select("part", F.struct(*columns).alias("head"))
+    over = Window.orderBy("part")  # one row for each range
+    every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = heads.select("part", F.coalesce(F.lead("head").over(over), F.first("head").over(every)).alias("__after"))
+    return (numbered.withColumn("__lead", F.lead(F.struct(*columns)).over(inside))
+            .join(F.broadcast(after), "part")
+            .withColumn("__next", F.coalesce("__lead", "__after"))
+            .select(*df.columns, *[F.col(f"__next.{c}").alias(prefix + c) for c in columns]))

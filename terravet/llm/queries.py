@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, near_dup, quality, secrets
+from . import bpe, chat, decontaminate, html_text, near_dup, quality, secrets, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": html_text.op1_main_text,
+    "op2_preference_pairs": chat.op2_preference_pairs,
     "op3_benchmark_leaks": decontaminate.op3_benchmark_leaks,
     "op5_near_duplicates": near_dup.op5_near_duplicates,
     "op7_quality_scores": quality.op7_quality_scores,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op10_balanced_shards": shards.op10_balanced_shards,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_preference_pairs": chat.OP2_SQL,
+}
