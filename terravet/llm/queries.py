@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, html_text, near_dup, quality, secrets, shards
+from . import bpe, chat, decontaminate, fingerprints, html_text, near_dup, quality, secrets, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": html_text.op1_main_text,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_scores": quality.op7_quality_scores,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_balanced_shards": shards.op10_balanced_shards,
 }
 
