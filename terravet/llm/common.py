@@ -84,15 +84,18 @@ def per_text(df: DataFrame, keep: list[str], text: str, schema: str,
     texts, so memory follows the piece (or the longest single text), not the batch.
     ``members`` drops rows that are surely not among its ids before any work.
     """
-    wanted = df.select(*keep, *(members.places() if members else []), F.col(text).alias("__text"))
+    apart = [] if text in keep else [F.col(text).alias("__text")]
+    wanted = df.select(*keep, *(members.places() if members else []), *apart)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.select(*keep).schema]
 
+    apart = bool(apart)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             if members:
                 batch = batch.filter(members.mask(batch))
-            body = batch.column(batch.num_columns - 1)
+            body = batch.column("__text" if apart else keep.index(text))
             held = [batch.column(i) for i in range(len(keep))]
             for first, texts in pieces(x.as_py() for x in body):
                 made = work(texts)

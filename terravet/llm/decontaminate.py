@@ -246,6 +246,25 @@ def item_blocks(benchmark: DataFrame, percent: int):
             yield Items([i for i, _ in kept], [w for _, w in kept], percent)
 
 
+LEAK = "array<struct<item_id:bigint,distance:int,similarity:double,start:bigint,end:bigint>>"
+LEAK_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("similarity", pa.float64()),
+                                 ("start", pa.int64()), ("end", pa.int64())]))
+
+
+def with_leaks(docs: DataFrame, items: Items, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` and the array ``leaks`` of each row, for one block of the benchmark."""
+    def make():
+        def work(texts: list[str]) -> dict[str, pa.Array]:
+            out = []
+            for body, row in zip(texts, items.matches(texts)):
+                spans = [m.span() for m in WORD.finditer(body)] if row else []
+                out.append([{"item_id": items.ids[item], "distance": d, "similarity": 1 - d / len(items.rows[item]),
+                             "start": spans[a][0], "end": spans[b - 1][1]} for item, d, a, b in row])
+            return {"leaks": pa.array(out, LEAK_ARROW)}
+        return work
+    return per_text(docs, keep, text, f"leaks {LEAK}", make)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, keep: list[str] | None = None,
           text: str = "text") -> DataFrame:
     """One row for each document and benchmark item that it holds.
@@ -254,38 +273,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, keep: list[s
     code points ``start`` to ``end`` of the closest stretch.
     """
     keep = ["doc_id"] if keep is None else keep
-    kind = "array<struct<item_id:bigint,distance:int,similarity:double,start:bigint,end:bigint>>"
-    arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("similarity", pa.float64()),
-                                ("start", pa.int64()), ("end", pa.int64())]))
-
-    def found(items: Items) -> DataFrame:
-        def make():
-            def work(texts: list[str]) -> dict[str, pa.Array]:
-                out = []
-                for body, row in zip(texts, items.matches(texts)):
-                    spans = [m.span() for m in WORD.finditer(body)] if row else []
-                    out.append([{"item_id": items.ids[item], "distance": d, "similarity": 1 - d / len(items.rows[item]),
-                                 "start": spans[a][0], "end": spans[b - 1][1]} for item, d, a, b in row])
-                return {"leaks": pa.array(out, arrow)}
-            return work
-        return per_text(docs, keep, text, f"leaks {kind}", make)
-
-    parts = [found(items) for items in item_blocks(benchmark, percent)]
-    if not parts:
-        parts = [docs.select(*keep, F.lit(None).cast(kind).alias("leaks"))]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    out = None
+    for items in item_blocks(benchmark, percent):
+        part = with_leaks(docs, items, keep, text)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = docs.select(*keep, F.lit(None).cast(LEAK).alias("leaks"))
     return out.select(*keep, F.inline("leaks"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, text: str = "text") -> DataFrame:
-    """Documents that hold no benchmark item; rows with a null doc_id are judged by a row key of their own."""
-    key = F.xxhash64(F.lit(7), F.col(text))
-    named = docs.withColumn("__key", key)
-    bad = leaks(named, benchmark, percent, ["doc_id", "__key"], text).select("doc_id", "__key").distinct()
-    same = named["doc_id"].eqNullSafe(bad["doc_id"]) & (named["__key"] == bad["__key"])
-    return named.join(bad, same, "left_anti").drop("__key")
+    """The rows that hold no benchmark item, with all their columns.  Each row is judged on its own."""
+    out = docs
+    for items in item_blocks(benchmark, percent):
+        out = with_leaks(out, items, docs.columns, text).filter("size(leaks) = 0").drop("leaks")
+    return out
 
 
 def op3_benchmark_leaks(spark, sf_dir: str) -> DataFrame:

@@ -29,10 +29,10 @@ from math import comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Members, per_text, read, stored
+from .common import Members, per_text, read, same_order, stored
 from .shingles import digest, shingle_sets, signatures
 
 COORDINATES = 32
@@ -263,5 +263,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+    """One row of each group of near duplicates, with all its columns; rows without doc_id stay."""
+    kept = near_duplicates(docs, width, percent, text).filter("kept and doc_id is not null").select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(text), *same_order(*sorted(docs.columns)))
+    one = (docs.join(kept, "doc_id", "left_semi").withColumn("__n", F.row_number().over(first))
+           .filter("__n = 1").select(*docs.columns))
+    return one.unionByName(docs.filter("doc_id is null"))
+
+
 def op5_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)

@@ -6,20 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, fingerprints, html_text, near_dup, quality, secrets, shards
+import corpus_pipeline
+
+from . import bpe, chat, decontaminate, fingerprints, html_text, licences, near_dup, quality, secrets, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": html_text.op1_main_text,
     "op2_preference_pairs": chat.op2_preference_pairs,
     "op3_benchmark_leaks": decontaminate.op3_benchmark_leaks,
     "op5_near_duplicates": near_dup.op5_near_duplicates,
+    "op6_licence_scan": licences.op6_licence_scan,
     "op7_quality_scores": quality.op7_quality_scores,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_balanced_shards": shards.op10_balanced_shards,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
     "op2_preference_pairs": chat.OP2_SQL,
+    "op6_licence_scan": licences.OP6_SQL,
 }
