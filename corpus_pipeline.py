@@ -15,8 +15,7 @@ from terravet.llm.common import read, stored
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    model = quality.train(docs, read(spark, sf_dir, "labels"))
-    return quality.classify(docs, model, docs.columns).filter("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +30,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of every secret that was found."""
-    rest = [c for c in docs.columns if c != "text"]
-    clean = secrets.scan(docs, secrets.train(docs), keep=rest, clean="text")
     length = F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast("long"))
-    return clean.withColumn("n_chars", length).select(*docs.columns)
+    return secrets.cleaned(docs, secrets.train(docs)).withColumn("n_chars", length)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -105,6 +105,16 @@ def per_text(df: DataFrame, keep: list[str], text: str, schema: str,
     return wanted.mapInArrow(run, ", ".join([*fields, schema]))
 
 
+def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` under names that no result column can clash with, and the new name of each column."""
+    new = {c: f"__c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*new.values()), new
+
+
+def own_names(df: DataFrame, new: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(made).alias(name) for name, made in new.items()])
+
+
 def same_order(*columns: str) -> list[Column]:
     """Ascending order with nulls first, so that it is total on every input."""
     return [F.col(c).asc_nulls_first() for c in columns]

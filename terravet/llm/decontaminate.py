@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text, read
+from .common import own_names, per_text, plain_names, read
 from .shingles import BASE, U, mix, words
 
 MIN_WORDS = 8
@@ -284,10 +284,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, keep: list[s
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, text: str = "text") -> DataFrame:
     """The rows that hold no benchmark item, with all their columns.  Each row is judged on its own."""
-    out = docs
+    out, new = plain_names(docs)
     for items in item_blocks(benchmark, percent):
-        out = with_leaks(out, items, docs.columns, text).filter("size(leaks) = 0").drop("leaks")
-    return out
+        out = with_leaks(out, items, list(new.values()), new[text]).filter("size(leaks) = 0").drop("leaks")
+    return own_names(out, new)
 
 
 def op3_benchmark_leaks(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text, read
+from .common import own_names, per_text, plain_names, read
 
 MAX_LABELLED = 20_000
 PAIRS_PER_BAD = 12
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
     if not known:
         return None
     ids = docs.sparkSession.createDataFrame(known, "doc_id bigint, y int")
-    rows = feature_columns(docs.join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text"),
+    rows = feature_columns(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text"),
                            ["doc_id", "y"]).dropDuplicates(["doc_id"]).collect()
     if not rows:
         return None
@@ -184,6 +184,12 @@ def classify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
     return per_text(docs, keep, text, "score double, predicted int", make)
 
 
+def accepted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """The rows that the model predicts to be good, with all their columns."""
+    plain, new = plain_names(docs)
+    return own_names(classify(plain, model, list(new.values()), new[text]).filter("predicted = 1"), new)
+
+
 def op7_quality_scores(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = train(docs, read(spark, sf_dir, "labels"))

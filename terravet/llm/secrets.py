@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text, read
+from .common import own_names, per_text, plain_names, read
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -334,6 +334,13 @@ def scan(docs: DataFrame, network: Network | None, text: str = "text", keep: lis
     return per_text(docs, keep, text, FINDINGS + (f", `{clean}` string" if clean else ""), make)
 
 
+def cleaned(docs: DataFrame, network: Network | None, text: str = "text") -> DataFrame:
+    """All rows and columns, with the secrets in ``text`` replaced by a mark."""
+    plain, new = plain_names(docs)
+    rest = [made for name, made in new.items() if name != text]
+    return own_names(scan(plain, network, new[text], rest, clean=new[text]), new)
+
+
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = scan(docs, train(docs), keep=["doc_id"])
