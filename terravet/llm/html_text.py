@@ -45,6 +45,7 @@ SCOPE = frozenset("html body article aside main section div table td th ul ol dl
 CLOSES_P = BLOCKS - {"br", "title", "head", "html", "body", "option", "optgroup", "select", "textarea", "caption",
                      "tbody", "thead", "tfoot", "tr", "td", "th", "legend"}
 NAME = re.compile(r"[a-z]+")
+CUT_TAG = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ/!?")
 
 
 class Tree(HTMLParser):
@@ -149,11 +150,22 @@ def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, bo
     return chars / tags * log(max(chars / linked * tags / link_tags, 1.0)) / log(base)
 
 
+def without_open_end(html: str) -> str:
+    """``html`` without a comment or tag that its end cuts off."""
+    at = html.rfind("<!--")
+    if at >= 0 and html.find("-->", at) < 0:
+        html = html[:at]
+    at = html.rfind("<")
+    if at >= 0 and html.find(">", at) < 0 and html[at + 1:at + 2] in CUT_TAG:
+        html = html[:at]
+    return html
+
+
 def main_text(html: str) -> str:
     if not html:
         return ""
     tree = Tree()
-    tree.feed(html.replace("<![", "<!"))
+    tree.feed(without_open_end(html).replace("<![", "<!"))
     tree.close()
     n, parent, drop = len(tree.tags), tree.parent, tree.drop
     chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n

@@ -17,9 +17,10 @@
 4. Components are minimum labels over the confirmed links.
 
 Defined results: a text without words has an empty set and is linked with nothing; a null
-text is empty; a null doc_id is linked with nothing, has no component and is kept; rows
-that share a doc_id are one document with the links of all its texts; repeated rows get
-equal results; an empty table gives an empty result.
+text is empty; a null doc_id is linked with nothing, has no component and is kept; a
+doc_id with several texts gives each row the component of its text, and texts carried by
+one doc_id count as linked; repeated rows get equal results; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ def match_threshold(size: int, percent: int, miss: float = MISS) -> int:
 
 
 def sketch(docs: DataFrame, width: int, text: str = "text", size: int = COORDINATES) -> DataFrame:
-    """doc_id, n_shingles, set digest and signature of each row."""
+    """doc_id, text_key, n_shingles, set digest and signature of each row."""
     def make():
         def work(texts: list[str]) -> dict[str, pa.Array]:
             sets = shingle_sets(texts, width)
@@ -61,7 +62,9 @@ def sketch(docs: DataFrame, width: int, text: str = "text", size: int = COORDINA
                     "digest": pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
                     "signature": pa.array(list(signatures(sets, size)), pa.list_(pa.int64()))}
         return work
-    return per_text(docs, ["doc_id"], text, "n_shingles bigint, digest binary, signature array<bigint>", make)
+    named = docs.select("doc_id", F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
+    return per_text(named, ["doc_id", "text_key"], "text",
+                    "n_shingles bigint, digest binary, signature array<bigint>", make)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int, text: str = "text",
@@ -239,7 +242,7 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text",
                     size: int = COORDINATES) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+    """doc_id, text_key (hash of the text), n_shingles, component_id and kept of every row."""
     t = match_threshold(size, percent)
     base = stored(sketch(docs, width, text, size), "sketch")
     carriers = stored(base.filter("digest is not null and doc_id is not null").groupBy("digest")
@@ -254,23 +257,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     links = first.unionByName(second)
     if second.limit(1).count():
         labels = components(links)
-    rows = base.select("doc_id", "n_shingles", "digest")
+    rows = base.select("doc_id", "text_key", "n_shingles", "digest")
     of_class = (carriers.select("digest", F.col("doc_id").alias("node")).join(labels, "node", "left")
                 .select("digest", F.coalesce("label", "node").alias("component_id")))
     joined = rows.join(of_class, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return (joined.select("doc_id", "n_shingles", component.alias("component_id"))
+    return (joined.select("doc_id", "text_key", "n_shingles", component.alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """One row of each group of near duplicates, with all its columns; rows without doc_id stay."""
-    kept = near_duplicates(docs, width, percent, text).filter("kept and doc_id is not null").select("doc_id").distinct()
+    kept = (near_duplicates(docs, width, percent, text).filter("kept and doc_id is not null")
+            .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64(text), *same_order(*sorted(docs.columns)))
-    one = (docs.join(kept, "doc_id", "left_semi").withColumn("__n", F.row_number().over(first))
-           .filter("__n = 1").select(*docs.columns))
+    one = (docs.join(kept, (docs["doc_id"] == kept["__id"]) & (F.xxhash64(docs[text]) == kept["__key"]), "left_semi")
+           .withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*docs.columns))
     return one.unionByName(docs.filter("doc_id is null"))
 
 
 def op5_near_duplicates(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
+    return near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85).drop("text_key")
