@@ -11,6 +11,7 @@ from ..sources import writers as W
 from ..streaming import history as H
 from . import bindings as B
 from .checks import DIMS, FEAT_SPARK, FEAT_SQL, MET, MROW, metrics
+from ..scale import literal_table
 from .registry import query
 from .rollups import ISS, REC, SC, gates
 from .texts import WS
@@ -62,8 +63,9 @@ OVERRIDDEN = f"(SELECT constraint_id, name, check_type, check_function, CASE WHE
 @query("runtime_rule_edits", "E2", f"SELECT submission, constraint_id, outcome FROM {_outcome(OVERRIDDEN)} UNION ALL SELECT DISTINCT submission, 'C99', 'SKIP' FROM {MET}")
 def _(t):
     rules = RU.set_enabled(rule_rows(t), "C9", False)
-    extra = t.region.limit(1).select(F.lit("C99").alias("constraint_id"), F.lit("x").alias("name"), F.lit("CODE").alias("check_type"), F.lit("later").alias("check_function"),
-                                     F.lit("low").alias("severity"), F.lit("c").alias("category"), F.lit(True).alias("enabled"), F.lit("{}").alias("params"))
+    extra = literal_table(t.spark, [("C99", "x", "CODE", "later", "low", "c", True, "{}")],
+                          "constraint_id string, name string, check_type string, check_function string, severity string,"
+                          " category string, enabled boolean, params string")
     return RU.evaluate(RU.add_rule(rules, extra), rule_tables(t)).select("submission", "constraint_id", "outcome")
 
 
@@ -73,8 +75,8 @@ REPORT = f"""SELECT submission, count(*) AS total, count(*) FILTER (WHERE outcom
 
 @query("rule_run_report", "C2", REPORT)
 def _(t):
-    ov = t.region.filter("r_regionkey < 3").select(F.element_at(F.array(F.lit("C0"), F.lit("C3"), F.lit("C9")), F.col("r_regionkey") + 1).alias("constraint_id"),
-                                                  F.lit("critical").alias("severity"), F.when(F.col("r_regionkey") == 2, False).alias("enabled"))
+    ov = literal_table(t.spark, [("C0", "critical", None), ("C3", "critical", None), ("C9", "critical", False)],
+                       "constraint_id string, severity string, enabled boolean")
     return RU.run(rule_rows(t), ov, rule_tables(t))[1]
 
 
@@ -159,7 +161,7 @@ def _(t):
     sec = lambda name, skip: F.when(k == skip, "").otherwise(F.concat(F.lit(f"\n## {name}\n"), body))
     text = F.concat(F.lit("---\ntitle: t\n---\n"), sec("核心概念", 0), sec("AI 创新生态", 1), sec("落地路径", 2), F.lit("\n## 风险\n"), body,
                     F.when(k == 3, "涉密 内部资料").otherwise(""), F.lit("\n## 参考资料\n- "), F.when(k == 3, "`brief-one` text").otherwise("unknown work"), F.lit("\n京张\n## own\n"), F.translate("text", "#`", ""))
-    src = t.region.limit(1).select(F.lit("brief-one").alias("id"), F.lit("").alias("citation"), F.lit("").alias("path"), F.lit("").alias("url"))
+    src = literal_table(t.spark, [("brief-one", "", "", "")], "id string, citation string, path string, url string")
     return R.advisory_score(t.documents.select(F.col("doc_id").cast("string").alias("submission"), text.alias("text")), src)
 
 
@@ -228,7 +230,7 @@ def _(t):
     k = F.col("c_custkey")
     cards = t.customer.select(k.alias("submission"), F.when(k % 5 == 0, "").otherwise(F.col("c_name")).alias("summary"), F.array(F.concat(F.lit("n"), "c_nationkey"), F.when(
         k % 7 == 0, "youth-friendly-public-space").otherwise("x")).alias("tracks"), F.array("c_mktsegment").alias("tags"))
-    dim = t.nation.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("title")).unionByName(t.region.limit(1).select(F.lit("youth-friendly-public-space").alias("id"), F.lit("x").alias("title")))
+    dim = t.nation.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("title")).unionByName(literal_table(t.spark, [("youth-friendly-public-space", "x")], "id string, title string"))
     o = F.concat(F.lit("o"), F.col("o_orderkey"))
     risk = t.orders.select(F.col("o_custkey").alias("submission"), o.alias("id"), o.alias("label"), (1 + F.col("o_orderkey") % 5).cast("string").alias("score"))
     con = t.orders.select(F.col("o_custkey").alias("submission"), F.lit("node").alias("type"), o.alias("title"), F.lit(1).alias("order"))

@@ -6,6 +6,7 @@ from ..functions import geo as G
 from ..plans import boundaries as BD
 from ..plans import landuse as L
 from ..plans import spatial_review as SR
+from ..scale import literal_table
 from . import bindings as B
 from .registry import query
 from .spatial import A, AGAINST, SITE, rects, site_boxes, sql_union
@@ -138,7 +139,7 @@ def _(t):
 
 @query("announced_areas", "X18", f"SELECT submission, 'b' AS scope_id, ((80 + k) * 10)::DOUBLE AS area, 900.0::DOUBLE AS expected, abs((80 + k) * 10 - 900) <= 50 AS near FROM (SELECT DISTINCT p_brand AS submission, {K} AS k FROM part)")
 def _(t):
-    ann = t.region.limit(1).select(F.lit("b").alias("scope_id"), F.lit(900.0).alias("expected"), F.lit(50.0).alias("delta"))
+    ann = literal_table(t.spark, [("b", 900.0, 50.0)], "scope_id string, expected double, delta double")
     return SR.announced_areas(scopes(t), ann)
 
 
@@ -150,26 +151,28 @@ def _(t):
     return SR.reproduce(m, r)
 
 
-@query("zone_share", "X20", f"SELECT submission, round(sum({'greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))'}) / max((b.x1-b.x0)*(b.y1-b.y0)), 9) AS share FROM {A} a JOIN {SITE} b USING (submission) WHERE layer = 'PROMO' AND size < 12 GROUP BY 1")
+IN_SITE = f"""(SELECT a.submission, greatest(a.x0, b.x0) AS x0, least(a.x1, b.x1) AS x1, greatest(a.y0, b.y0) AS y0, least(a.y1, b.y1) AS y1
+    FROM {A} a JOIN {SITE} b USING (submission) WHERE a.x0 < b.x1 AND a.x1 > b.x0 AND a.y0 < b.y1 AND a.y1 > b.y0)"""
+
+
+@query("zone_share", "X20", f"""SELECT s.submission, round(coalesce(u.area, 0) / ((x1 - x0) * (y1 - y0)), 9) AS share
+    FROM {SITE} s LEFT JOIN {sql_union(IN_SITE, 'submission')} u USING (submission)""")
 def _(t):
-    # Side lengths below ten never overlap, so the sum of the boxes is their union.
-    z = rects(t).filter("layer = 'PROMO' AND size < 12")
-    small = z.filter(F.col("x1") - F.col("x0") <= 16)
-    return SR.zone_share(site_boxes(t), small).join(small.select("submission").distinct(), "submission", "left_semi").withColumn("share", F.round("share", 9))
+    return SR.zone_share(site_boxes(t), rects(t)).withColumn("share", F.round("share", 9))
 
 
-@query("key_area_audit", "X12", f"""WITH f AS (SELECT *, p_size AS k FROM part), a AS (SELECT * FROM {AGAINST} WHERE pos % 2 = 0)
+@query("key_area_audit", "X12", f"""WITH f AS (SELECT *, p_size AS k FROM part), a AS (SELECT * FROM {AGAINST})
     SELECT submission, check_id, severity, feature_id, expected, actual FROM (
-    SELECT p_brand AS submission, 'KEY_AREA_NOT_OFFICIAL' AS check_id, 'major' AS severity, 'f' || p_partkey AS feature_id, NULL AS expected, NULL AS actual FROM f WHERE p_partkey % 2 = 0 AND k % 3 = 2
-    UNION ALL SELECT p_brand, 'KEY_AREA_PROVISIONAL', 'minor', 'f' || p_partkey, NULL, NULL FROM f WHERE p_partkey % 2 = 0 AND k % 3 = 1
+    SELECT p_brand AS submission, 'KEY_AREA_NOT_OFFICIAL' AS check_id, 'major' AS severity, 'f' || p_partkey AS feature_id, NULL AS expected, NULL AS actual FROM f WHERE k % 3 = 2
+    UNION ALL SELECT p_brand, 'KEY_AREA_PROVISIONAL', 'minor', 'f' || p_partkey, NULL, NULL FROM f WHERE k % 3 = 1
     UNION ALL SELECT submission, 'KEY_AREA_OUTSIDE_SITE', 'major', 'f' || pos, 'inside site boundary', (area - inside_area)::VARCHAR FROM a WHERE area - inside_area > 1
     UNION ALL SELECT a.submission, 'KEY_AREA_AREA_MISMATCH', 'major', 'f' || pos, '100.0', area::VARCHAR FROM a JOIN f ON p_partkey = pos WHERE k % 3 = 0 AND abs(100 - area) > 3
-    UNION ALL SELECT x.submission, 'KEY_AREA_OVERLAP', 'major', 'f' || x.pos, 'no overlap', ((least(x.x1, y.x1) - greatest(x.x0, y.x0)) * (least(x.y1, y.y1) - greatest(x.y0, y.y0)))::VARCHAR FROM {A} x JOIN {A} y ON x.submission = y.submission AND x.pos < y.pos AND x.pos % 2 = 0 AND y.pos % 2 = 0
+    UNION ALL SELECT x.submission, 'KEY_AREA_OVERLAP', 'major', 'f' || x.pos, 'no overlap', ((least(x.x1, y.x1) - greatest(x.x0, y.x0)) * (least(x.y1, y.y1) - greatest(x.y0, y.y0)))::VARCHAR FROM {A} x JOIN {A} y ON x.submission = y.submission AND x.pos < y.pos
       AND least(x.x1, y.x1) > greatest(x.x0, y.x0) AND least(x.y1, y.y1) > greatest(x.y0, y.y0) WHERE (least(x.x1, y.x1) - greatest(x.x0, y.x0)) * (least(x.y1, y.y1) - greatest(x.y0, y.y0)) > 1
-    UNION ALL SELECT p_brand, 'KEY_AREA_MISSING', 'major', NULL, array_to_string(list_filter(['ECONOMY','LARGE','MEDIUM','PROMO','SMALL','STANDARD','gone'], lambda x: NOT list_contains(list(p_type), x)), ', '), NULL FROM f WHERE p_partkey % 2 = 0 GROUP BY 1)""")
+    UNION ALL SELECT p_brand, 'KEY_AREA_MISSING', 'major', NULL, array_to_string(list_filter(['ECONOMY','LARGE','MEDIUM','PROMO','SMALL','STANDARD','gone'], lambda x: NOT list_contains(list(p_type), x)), ', '), NULL FROM f GROUP BY 1)""")
 def _(t):
     k = F.col("size") % 3
-    f = rects(t).filter("pos % 2 = 0").withColumn("area_id", F.col("layer")).withColumn("official_area_sqm", F.when(F.col("pos") % 4 == 0, 100.0)).withColumn(
+    f = rects(t).withColumn("area_id", F.col("layer")).withColumn("official_area_sqm", F.when(F.col("pos") % 4 == 0, 100.0)).withColumn(
         "official_boundary", F.when(k == 0, True).when(k == 1, False)).withColumn("geometry_role", F.when(k == 0, "official_constraint").when(k == 1, "provisional_constraint"))
     return SR.key_area_audit(f, site_boxes(t), {"ECONOMY": 100.0, "STANDARD": 100.0, "PROMO": 100.0, "LARGE": 100.0, "SMALL": 100.0, "MEDIUM": 100.0, "gone": 1.0})
 
@@ -194,21 +197,27 @@ def _(t):
     return BD.translate(geo_boxes(t), shifts(t)).select("feature_id", F.round(F.col("polys")[0][0][0]["x"], 6).alias("x"), "anchor_corrected")
 
 
-@query("anchor_corrected_boundaries", "C26", """SELECT 'z' || s_suppkey AS feature_id, 1 AS parts, round(116.3 + s_suppkey::DOUBLE / 1000 + CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 5 <> 0 THEN 0.01 ELSE 0 END, 6) AS x_sum FROM supplier
-    UNION ALL SELECT 'sum' AS feature_id, count(*)::INTEGER, round(sum(116.3 + s_suppkey::DOUBLE / 1000 + CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 5 <> 0 THEN 0.01 ELSE 0 END), 6) FROM supplier WHERE s_nationkey < 3 HAVING count(*) > 0""")
+SHIFTED = "116.3 + s_suppkey::DOUBLE / 1000 + CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 5 <> 0 THEN 0.01 ELSE 0 END"
+
+
+@query("anchor_corrected_boundaries", "C26", f"""SELECT 'z' || s_suppkey AS feature_id, 1 AS parts, round({SHIFTED}, 6) AS x_sum FROM supplier
+    UNION ALL SELECT 'sum' || (s_suppkey // 5) AS feature_id, count(*)::INTEGER, round(sum({SHIFTED}), 6) FROM supplier GROUP BY 1""")
 def _(t):
     f = geo_boxes(t)
-    total = f.filter("s_nationkey < 3").groupBy().agg(F.array_sort(F.collect_list(F.struct("s_suppkey", F.col("polys")[0].alias("p")))).alias("ps")).select(
-        F.lit("sum").alias("feature_id"), F.transform("ps", lambda x: x["p"]).alias("polys"), F.lit(None).cast("boolean").alias("anchor_corrected")).filter(F.size("polys") > 0)
+    # Summary features of at most five neighbours each.
+    sums = F.concat(F.lit("sum"), F.expr("s_suppkey div 5"))
+    total = f.groupBy(sums.alias("feature_id")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", F.col("polys")[0].alias("p")))).alias("ps")).select(
+        "feature_id", F.transform("ps", lambda x: x["p"]).alias("polys"), F.lit(None).cast("boolean").alias("anchor_corrected"))
     every = f.select("feature_id", "polys", "anchor_corrected").unionByName(total)
-    out = BD.correct(every, shifts(t), ["sum"])
+    out = BD.correct(every, shifts(t), F.col("feature_id").startswith("sum"))
     return out.select("feature_id", F.size("polys").alias("parts"), F.round(F.aggregate("polys", F.lit(0.0), lambda a, p: a + p[0][0]["x"]), 6).alias("x_sum"))
 
 
-@query("pixel_zones", "X21", """WITH RECURSIVE px AS (SELECT DISTINCT l_partkey % 48 AS x, l_orderkey % 48 AS y FROM lineitem WHERE l_quantity < 3 AND l_discount < 0.02), r AS (SELECT x, y, x AS sx, y AS sy FROM px UNION SELECT px.x, px.y, r.sx, r.sy FROM r JOIN px ON abs(px.x - r.x) + abs(px.y - r.y) = 1),
+@query("pixel_zones", "X21", """WITH RECURSIVE px AS (SELECT DISTINCT l_partkey % 600 AS x, (l_orderkey * 7 + l_linenumber) % 599 AS y FROM lineitem), r AS (SELECT x, y, x AS sx, y AS sy FROM px UNION SELECT px.x, px.y, r.sx, r.sy FROM r JOIN px ON abs(px.x - r.x) + abs(px.y - r.y) = 1),
     c AS (SELECT x, y, min(sy * 1000 + sx) AS label FROM r GROUP BY x, y) SELECT label, count(*) AS pixels, min(x)::DOUBLE AS x_min, max(x)::DOUBLE AS x_max, min(y)::DOUBLE AS y_min, max(y)::DOUBLE AS y_max FROM c GROUP BY label HAVING count(*) >= 3""")
 def _(t):
-    px = t.lineitem.filter("l_quantity < 3 AND l_discount < 0.02").select(F.lit("f").alias("fig"), F.lit("c").alias("class"), (F.col("l_partkey") % 48).alias("x"), (F.col("l_orderkey") % 48).alias("y"))
+    px = t.lineitem.select(F.lit("f").alias("fig"), F.lit("c").alias("class"), (F.col("l_partkey") % 600).alias("x"),
+                           ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 599).alias("y"))
     z = BD.zones_from_pixels(px, min_pixels=3)
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     return z.select((F.col("label.y") * 1000 + F.col("label.x0")).alias("label"), "pixels", F.array_min(xs).alias("x_min"), F.array_max(xs).alias("x_max"), F.array_min(ys).alias("y_min"), F.array_max(ys).alias("y_max"))
@@ -237,7 +246,7 @@ def _(t):
                         F.when(F.col("pos") % 8 == 0, F.col("declared") / 10).alias("area_declared"), F.lit("").alias("area_id"), F.lit(True).alias("official_boundary"),
                         F.lit("official_constraint").alias("geometry_role"), F.when(F.col("size") % 2 == 0, 100.0).alias("official_area_sqm"))
     s = site_boxes(t).withColumn("layer", F.lit("SITE_BOUNDARY"))
-    subs = s.select("submission").unionByName(t.region.limit(1).select(F.lit("none").alias("submission")))
+    subs = s.select("submission").unionByName(literal_table(t.spark, [("none",)], "submission string"))
     n = F.substring("submission", 7, 9).cast("int")
     side = F.col("rings")[0][1]["x"] - F.col("rings")[0][0]["x"]
     m = s.select("submission", F.inline(F.array(

@@ -278,10 +278,10 @@ def _(t):
     return A.order_risk(t.customer.select(F.col("c_nationkey").alias("submission"), (F.col("c_custkey") % 5).alias("score"), F.col("c_name").alias("label")))
 
 
-@query("dimension_order", "O7", "SELECT event_id, event_type AS dimension, list_position(['view','click','error','purchase'], event_type)::INTEGER AS dim_rank FROM events WHERE event_type IN ('view','click','error','purchase')")
+@query("dimension_order", "O7", "SELECT event_id, event_type AS dimension, coalesce(list_position(['view','click','error'], event_type), 0)::INTEGER AS dim_rank FROM events")
 def _(t):
-    order = ["view", "click", "error", "purchase"]
-    return A.order_dims(t.events.filter(F.col("event_type").isin(order)).select("event_id", F.col("event_type").alias("dimension")), order)
+    order = ["view", "click", "error"]
+    return A.order_dims(t.events.select("event_id", F.col("event_type").alias("dimension")), order)
 
 
 @query("publication_class", "F32", """SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'do-not-publish' WHEN p_retailprice / 12 >= 85 AND p_size % 3 = 0 THEN 'featured-candidate' WHEN p_retailprice / 12 >= 65 THEN 'publish-qualified' ELSE 'do-not-publish' END AS cls FROM part""")
@@ -305,11 +305,11 @@ def _(t):
     return classified(t)
 
 
-GALLERY = f"""SELECT p.path, p.status_key, p.status_key = 'formal_review_ready' AS publishable FROM (SELECT 'submissions/u/' || (c_custkey % 1450) AS path, c_custkey, {STATUS_SQL} AS status_key FROM customer WHERE c_custkey < 1450) p JOIN (SELECT path FROM {PUB_SQL} WHERE published AND pos < 1450) USING (path)"""
+GALLERY = f"""SELECT p.path, p.status_key, p.status_key = 'formal_review_ready' AS publishable FROM (SELECT 'submissions/u/' || c_custkey AS path, c_custkey, {STATUS_SQL} AS status_key FROM customer) p JOIN (SELECT 'submissions/u/' || pos AS path FROM {PUB_SQL} WHERE published) USING (path)"""
 
 
 @query("gallery_join", "J18", GALLERY)
 def _(t):
-    pk = classified(t.__class__(t.spark, t.folder)).filter("c_custkey < 1450").select(F.concat(F.lit("submissions/u/"), F.col("c_custkey") % 1450).alias("path"), "status_key")
-    pub = t.sql(f"SELECT path, published FROM {PUB.replace('{sha}', 'c_name')} WHERE pos < 1450")
+    pk = classified(t.__class__(t.spark, t.folder)).select(F.concat(F.lit("submissions/u/"), "c_custkey").alias("path"), "status_key")
+    pub = t.sql(f"SELECT 'submissions/u/' || pos AS path, published FROM {PUB.replace('{sha}', 'c_name')}")
     return J.gallery(pk, pub)

@@ -52,7 +52,7 @@ def _(t):
     return S.quota_latch(r, "k", ["o_orderkey"], F.floor(F.col("o_orderkey") / 1000)).select("o_orderkey", "final_status")
 
 
-TOK = """(SELECT l_orderkey AS page, l_linenumber * 37 + l_partkey % 20 AS y, l_suppkey AS x, l_partkey AS seq, CASE WHEN l_partkey % 5 = 0 THEN '总计' WHEN l_partkey % 5 = 1 THEN CAST(l_extendedprice AS {t}) ELSE CAST(l_quantity AS {t}) END AS text FROM lineitem)"""
+TOK = """(SELECT l_orderkey AS page, l_linenumber * 37 + l_partkey % 20 AS y, l_suppkey AS x, l_linenumber AS seq, CASE WHEN l_partkey % 5 = 0 THEN '总计' WHEN l_partkey % 5 = 1 THEN CAST(l_extendedprice AS {t}) ELSE CAST(l_quantity AS {t}) END AS text FROM lineitem)"""
 TOK_SQL, TOK_SPARK = TOK.replace("{t}", "DECIMAL(12,2)"), TOK.replace("{t}", "DECIMAL(12,2)")
 TOK_SQL = TOK_SQL.replace("THEN CAST(l_extendedprice AS DECIMAL(12,2)) ELSE CAST(l_quantity AS DECIMAL(12,2)) END", "THEN CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS VARCHAR) ELSE CAST(CAST(l_quantity AS DECIMAL(12,2)) AS VARCHAR) END")
 TOK_SPARK = TOK_SPARK.replace("THEN CAST(l_extendedprice AS DECIMAL(12,2)) ELSE CAST(l_quantity AS DECIMAL(12,2)) END", "THEN CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS STRING) ELSE CAST(CAST(l_quantity AS DECIMAL(12,2)) AS STRING) END")
@@ -96,7 +96,7 @@ WORDS = """(SELECT l_orderkey AS doc, l_linenumber % 4 AS page, CAST(50 + l_part
     CASE l_partkey % 7 WHEN 0 THEN '用地规模' WHEN 1 THEN '控制高度' WHEN 2 THEN '容积' WHEN 3 THEN '地上建筑' WHEN 4 THEN '绿地' WHEN 5 THEN '建筑密' ELSE 'x' END AS text FROM lineitem)"""
 
 
-@query("pick_header", "W13", f"""WITH h AS (SELECT doc, page, CASE text WHEN '用地规模' THEN 0 WHEN '控制高度' THEN 1 WHEN '容积' THEN 2 WHEN '地上建筑' THEN 3 WHEN '绿地' THEN 4 ELSE 5 END AS pos, x FROM {WORDS} WHERE page < 3 AND y > 40 AND y < 200 AND x >= 140 AND text <> 'x'),
+@query("pick_header", "W13", f"""WITH h AS (SELECT doc, page, CASE text WHEN '用地规模' THEN 0 WHEN '控制高度' THEN 1 WHEN '容积' THEN 2 WHEN '地上建筑' THEN 3 WHEN '绿地' THEN 4 ELSE 5 END AS pos, x FROM {WORDS} WHERE y > 40 AND x >= 140 AND text <> 'x'),
     c AS (SELECT doc, page, pos::INTEGER AS pos, CASE WHEN pos = 0 THEN hi ELSE lo END AS x FROM (SELECT doc, page, pos, max(x) AS hi, min(x) AS lo FROM h GROUP BY doc, page, pos)), p AS (SELECT doc, page, max(x) - min(x) AS spread FROM c GROUP BY ALL HAVING count(*) >= 4),
     b AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY spread DESC, page) AS rn FROM p) SELECT c.doc, c.page, c.pos, ['land','h','far','floor','green','density'][pos + 1] AS col, x, spread FROM c JOIN b USING (doc, page) WHERE rn = 1""")
 def _(t):
@@ -112,7 +112,7 @@ def _(t):
     return S.pick_attachments(t.sql(f"SELECT * FROM {ATT}"))
 
 
-@query("total_neighbourhood", "W18", f"""WITH t AS (SELECT * FROM {TOK_SQL}), a AS (SELECT page, arg_min(y, seq) AS y0 FROM t WHERE text = '总计' GROUP BY page),
+@query("total_neighbourhood", "W18", f"""WITH t AS (SELECT * FROM {TOK_SQL}), a AS (SELECT page, first(y ORDER BY seq, y, x) AS y0 FROM t WHERE text = '总计' GROUP BY page),
     n AS (SELECT page, list(text::DOUBLE ORDER BY x, seq, text) AS v FROM t JOIN a USING (page) WHERE abs(y - y0) <= 40 AND text <> '总计' AND text::DOUBLE >= 100 GROUP BY page)
     SELECT page, v[1] AS total_land, v[2] AS total_floor FROM n WHERE len(v) >= 2""")
 def _(t):

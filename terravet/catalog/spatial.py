@@ -131,10 +131,10 @@ def _(t):
 
 
 @query("point_in_polygon", "X13", f"""SELECT p.point_id, f.pos FROM (SELECT point_id, point_id % 400 + 0.25 AS x, point_id % 490 + 0.25 AS y FROM {B.POINTS}) p
-    JOIN {A} f ON x > x0 AND x < x1 AND y > y0 AND y < y1 WHERE f.layer = 'ECONOMY'""")
+    JOIN {A} f ON x > x0 AND x < x1 AND y > y0 AND y < y1""")
 def _(t):
     p = B.points(t).select("point_id", (F.col("point_id") % 400 + 0.25).alias("x"), (F.col("point_id") % 490 + 0.25).alias("y"))
-    return O.points_in_zones(p, rects(t).filter("layer = 'ECONOMY'").select("pos", "rings"), 16.0).select("point_id", "pos")
+    return O.points_in_zones(p, rects(t).select("pos", "rings"), 16.0).select("point_id", "pos")
 
 
 @query("spherical_area", "X14", f"""SELECT point_id, round(abs(sum((radians(lon2) - radians(lon1)) * (2 + sin(radians(la1)) + sin(radians(la2))))) * 6371000.0 * 6371000.0 / 2, 0) AS area FROM

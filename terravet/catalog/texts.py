@@ -316,7 +316,7 @@ def _(t):
 
 
 @query("changelog_rules", "P45", f"""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '# 方案迭代记录' || chr(10) ELSE '' END ||
-    CASE WHEN doc_id % 3 = 0 THEN '## v0.' || doc_id || ' - 2026-06-14 ' || chr(10) ELSE '' END || left(text, 100) AS t FROM documents)
+    CASE WHEN doc_id % 3 = 0 THEN '## v0.' || doc_id || ' - 2026-06-14 ' || chr(10) ELSE '' END || text AS t FROM documents)
     SELECT doc_id, 'CHANGELOG_TITLE' AS check_id, 'error' AS severity, '# 方案迭代记录' AS detail FROM c WHERE doc_id % 2 = 1
     UNION ALL SELECT doc_id, 'CHANGELOG_VERSION', 'error', '' FROM c WHERE doc_id % 3 <> 0
     UNION ALL SELECT doc_id, 'CHANGELOG_SHORT', 'warning', '' FROM c WHERE {CLEN.format(c='t')} < 80
@@ -325,7 +325,7 @@ def _(t):
 def _(t):
     text = F.concat(F.when(F.col("doc_id") % 2 == 0, P.CHANGELOG_TITLE + "\n").otherwise(""),
                     F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("## v0."), F.col("doc_id"), F.lit(" - 2026-06-14 \n"))).otherwise(""),
-                    F.substring("text", 1, 100))
+                    F.col("text"))
     return D.check_changelog(t.documents.select("doc_id", text.alias("t")), "doc_id", "t")
 
 

@@ -110,7 +110,7 @@ def _(t):
     return t.sql(f"SELECT o_orderkey, {DATE_TEXT} AS d FROM orders").select("o_orderkey", W.parse_dateish(F.col("d")).alias("d"))
 
 
-PUBLISHED = sql_date(f"({TITLE} || '  ' || url || ' ' || left(html, 5000))")
+PUBLISHED = sql_date(f"({TITLE} || '  ' || url || ' ' || html)")
 
 
 @query("published_date", "F19", f"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '2024-03-0' || (1 + page_id % 9)
@@ -128,14 +128,14 @@ HOSTED = """CASE page_id % 7 WHEN 0 THEN 'https://www.oecd.org/a/' || page_id WH
     WHEN 2 THEN 'http://www.gov.cn/x/' || page_id WHEN 3 THEN 'https://a.bjhd.gov.cn/y' WHEN 4 THEN 'https://lab.x.edu.cn/z'
     WHEN 5 THEN 'https://xinhuanet.com/n' ELSE url END"""
 HEADLINE = """CASE page_id % 4 WHEN 0 THEN '实施方案 2035 the_site' WHEN 1 THEN 'x_通知' WHEN 2 THEN '登录 page' ELSE '文化 of heon' END"""
-AUTH_IN = f"(SELECT page_id, {HOSTED} AS u, {HEADLINE} AS title, left(html, 3000) AS body FROM pages)"
+AUTH_IN = f"(SELECT page_id, {HOSTED} AS u, {HEADLINE} AS title, html AS body FROM pages)"
 FORMAL = "|".join(P.FORMAL_DOC_TERMS)
 
 
 def sql_authority(u, title, text):
     main = f"regexp_extract({title}, '^([^_|｜]*)', 1)"
     host = HOST.format(u=u)
-    tx = f"lower({main} || ' ' || left({text}, 2000) || ' ' || {u})"
+    tx = f"lower({main} || ' ' || {text} || ' ' || {u})"
     return f"""CASE WHEN contains({tx}, 'ssologin') OR contains({title}, '登录') THEN 'X'
       WHEN {host} IN ({str(P.INTERNATIONAL_HOSTS)[1:-1]}) THEN 'A3' WHEN {host} IN ({str(P.MEDIA_HOSTS)[1:-1]}) THEN 'A2'
       WHEN ({host} LIKE '%.gov.cn' OR {host} = 'cac.gov.cn') AND ({host} = 'data.beijing.gov.cn' OR regexp_matches(lower({main} || ' ' || {u}), '{FORMAL}')
@@ -145,14 +145,14 @@ def sql_authority(u, title, text):
 
 def sql_recency(pub, title, text):
     y = f"TRY_CAST(regexp_extract({pub}, '^(20[0-9][0-9])', 1) AS INTEGER)"
-    hay = f"lower({title} || ' ' || left({text}, 2000))"
+    hay = f"lower({title} || ' ' || {text})"
     return f"""CASE WHEN {y} >= {YEAR} THEN 'T0' WHEN {y} = {YEAR - 1} THEN 'T1'
       WHEN regexp_matches({hay}, '{"|".join(P.PLAN_PERIOD_WORDS)}') THEN 'T2'
       WHEN regexp_matches({hay}, '{"|".join(P.HERITAGE_WORDS)}') THEN 'T3' ELSE 'T4' END"""
 
 
 def sql_hits(title, text, url):
-    hay = f"replace(lower({title} || ' ' || left({text}, 8000) || ' ' || {url}), ' ', '')"
+    hay = f"replace(lower({title} || ' ' || {text} || ' ' || {url}), ' ', '')"
     return f"list_sort(list_filter({SQL_TERMS}, lambda k: contains({hay}, replace(lower(k), ' ', ''))))"
 
 
@@ -187,11 +187,11 @@ def sql_scored(source):
       array_to_string(list_filter([CASE WHEN draft THEN 'draft_or_consultation' END, CASE WHEN authority = 'X' THEN 'excluded_or_login' END,
         CASE WHEN len(hits) = 0 AND authority NOT IN ('A0','A3') THEN 'low_topic_match' END], lambda x: x IS NOT NULL), ';') AS notes
       FROM (SELECT *, {sql_authority('u', 'title', 'body')} AS authority, {sql_recency('pub', 'title', 'body')} AS recency,
-        {sql_hits('title', 'body', 'u')} AS hits, contains(title || ' ' || left(body, 2000), '征求意见') AS draft FROM {source}))"""
+        {sql_hits('title', 'body', 'u')} AS hits, contains(title || ' ' || body, '征求意见') AS draft FROM {source}))"""
 
 
 SCORE_IN = f"""(SELECT page_id, {HOSTED} AS u, {HEADLINE} || CASE WHEN page_id % 11 = 0 THEN '征求意见' ELSE '' END AS title,
-    CASE WHEN page_id % 3 = 0 THEN 'zz' ELSE left(html, 3000) END AS body, {PUB_IN} AS pub,
+    CASE WHEN page_id % 3 = 0 THEN 'zz' ELSE html END AS body, {PUB_IN} AS pub,
     CASE WHEN page_id % 2 = 0 THEN 'application/pdf' ELSE 'text/html' END AS mime,
     CASE WHEN page_id % 2 = 0 THEN 5 ELSE 0 END AS kind_points FROM pages)"""
 
@@ -304,7 +304,7 @@ def _(t):
     return D.rank_links(D.seed_page_links(t.pages, TERMS), 3).drop("pos")
 
 
-PAGE_IN = f"""(SELECT page_id AS seq, url AS u, {TITLE} AS title, ' ' || {TEXT} || ' ' || left(html, 2000) AS body,
+PAGE_IN = f"""(SELECT page_id AS seq, url AS u, {TITLE} AS title, ' ' || {TEXT} || ' ' || html AS body,
     {PUBLISHED} AS pub, 0 AS kind_points FROM pages)"""
 FOUND = f"""(SELECT * FROM (SELECT *, {sql_canonical('u')} AS canonical FROM {sql_scored(PAGE_IN)}) WHERE authority <> 'X')"""
 BUCKETS = "CASE WHEN score >= 75 THEN 'core_review' WHEN score >= 55 THEN 'secondary_review' WHEN score >= 35 THEN 'background' ELSE 'low_priority' END"

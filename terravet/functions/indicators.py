@@ -59,7 +59,7 @@ def announcement_reads(text: Column) -> Column:
     bare = lambda c: F.replace(c, F.lit(","), F.lit(""))
     land = bare(F.coalesce(_g(text, "(?:总)?用地面积" + num), _g(text, "土地面积" + num)))
     floor = bare(F.coalesce(_g(text, "(?:总)?地上建筑规模" + num), _g(text, "建筑控制规模" + num)))
-    segment = F.regexp_extract(blank(text), r"(?s)挂牌编号(.{0,400})", 1)
+    segment = F.regexp_extract(blank(text), r"(?s)挂牌编号(.*)", 1)
     segment = F.substring_index(F.substring_index(segment, "起始价", 1), "万元", 1)
     segment = let(segment, lambda s: F.when(F.instr(s, "（平方米）") > 0, F.substr(s, F.instr(s, "（平方米）"))).otherwise(s))
     nums = F.filter(F.transform(F.regexp_extract_all(segment, F.lit(r"\d[\d,]*\.?\d*"), F.lit(0)),
@@ -142,14 +142,14 @@ def repaired(text: Column) -> Column:
     return F.regexp_replace(joined_decimals(blank(text)), r"(\d{3,})[:：](\d{2,3})", "$1.$2")
 
 
-def plot_rows_plain(text: Column, max_lines: int = 30) -> Column:
+def plot_rows_plain(text: Column) -> Column:
     """(line, code, values) of each plot-code line and the lines up to the next code."""
     def rows(d):
         lines, marks = d["l"], d["m"]
         idx = F.filter(F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))), lambda i: F.get(marks, i - 1)["token"] != "")
         return let(idx, lambda ix: F.transform(ix, lambda i: let(F.struct(
             i.alias("i"), F.get(marks, i - 1).alias("m"),
-            F.least(F.coalesce(F.array_min(F.filter(ix, lambda j: j > i)), F.size(lines) + 1), i + max_lines, F.size(lines) + 1).alias("e")),
+            F.least(F.coalesce(F.array_min(F.filter(ix, lambda j: j > i)), F.size(lines) + 1), F.size(lines) + 1).alias("e")),
             lambda v: F.struct(v["i"].alias("line"), v["m"]["code"].alias("code"), _window_values(
                 F.array_join(F.slice(lines, v["i"], v["e"] - v["i"]), " "), v["m"]["token"], v["m"]["code"], d["h"]).alias("vals")))))
     lines = F.split(repaired(text), "\n")

@@ -147,19 +147,9 @@ def _chunks(markup: Column) -> Column:
     return F.filter(plain, lambda p: p != "")
 
 
-def _joined(chunks: Column, cap: int) -> Column:
-    total = F.aggregate(chunks, F.lit(0), lambda a, x: a + F.length(x))
-    capped = F.aggregate(
-        chunks, F.struct(F.lit("").alias("t"), F.lit(0).alias("n")),
-        lambda a, x: F.when(a["n"] < cap, F.struct(
-            F.concat(a["t"], F.lit(" "), x).alias("t"), (a["n"] + F.length(x)).alias("n"))).otherwise(a),
-        lambda a: F.trim(a["t"]))
-    return F.when(total < cap, F.array_join(chunks, " ")).otherwise(capped)
-
-
-def visible_text(visible: Column, cap: int = 80_000) -> Column:
-    """Text of a page; pieces are added while fewer than ``cap`` characters are in."""
-    return let(_chunks(visible), lambda c: _joined(c, cap))
+def visible_text(visible: Column) -> Column:
+    """Whole text of a page."""
+    return F.array_join(_chunks(visible), " ")
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -259,7 +249,7 @@ def parse_dateish(text: Column) -> Column:
 def published_date(metas: Column, title: Column, description: Column, url: Column, raw: Column) -> Column:
     tried = F.transform(words(P.DATE_META_KEYS), lambda k: parse_dateish(F.try_element_at(
         F.filter(metas, lambda m: m["key"] == k), F.lit(-1))["value"]))
-    hay = F.concat_ws(" ", blank(title), blank(description), blank(url), F.substring(blank(raw), 1, 5000))
+    hay = F.concat_ws(" ", blank(title), blank(description), blank(url), blank(raw))
     return F.coalesce(F.get(F.filter(tried, lambda d: d != ""), F.lit(0)), parse_dateish(hay))
 
 
@@ -288,19 +278,19 @@ def classify_authority(url: Column, title: Column, text: Column) -> Column:
     main = F.element_at(F.split(blank(title), r"[_|｜]", 2), 1)
     return let(F.struct(
         host_of(url).alias("host"), blank(url).alias("url"), blank(title).alias("title"), main.alias("main"),
-        F.lower(F.concat_ws(" ", main, F.substring(blank(text), 1, 2000), blank(url))).alias("hay")), decide)
+        F.lower(F.concat_ws(" ", main, blank(text), blank(url))).alias("hay")), decide)
 
 
 def classify_recency(published: Column, title: Column, text: Column, year: int) -> Column:
     y = F.nullif(F.regexp_extract(blank(published), r"^(20\d{2})", 1), F.lit("")).cast("int")
-    hay = F.lower(F.concat_ws(" ", blank(title), F.substring(blank(text), 1, 2000)))
+    hay = F.lower(F.concat_ws(" ", blank(title), blank(text)))
     return (F.when(y >= year, "T0").when(y == year - 1, "T1")
             .when(has_any(hay, P.PLAN_PERIOD_WORDS), "T2")
             .when(has_any(hay, P.HERITAGE_WORDS), "T3").otherwise("T4"))
 
 
 def topic_hits(title: Column, text: Column, url: Column, terms: list[str] | None = None) -> Column:
-    hay = F.replace(F.lower(F.concat_ws(" ", blank(title), F.substring(blank(text), 1, 8000), blank(url))),
+    hay = F.replace(F.lower(F.concat_ws(" ", blank(title), blank(text), blank(url))),
                     F.lit(" "), F.lit(""))
     listed = terms if terms is not None else P.TOPIC_TERMS
     found = let(hay, lambda h: F.filter(words(listed), lambda t: F.contains(
@@ -319,8 +309,7 @@ def score_candidate(url: Column, title: Column, text: Column, published: Column,
                     year: int, terms: list[str] | None = None) -> Column:
     """Struct of score 0..100, authority, recency, topic hits and notes."""
     formal = has_any(F.concat_ws(" ", blank(title), blank(url)), P.FORMAL_DOC_TERMS, True)
-    draft = F.contains(blank(title), F.lit(P.CONSULTATION_WORD)) | F.contains(
-        F.substring(blank(text), 1, 2000), F.lit(P.CONSULTATION_WORD))
+    draft = F.contains(blank(title), F.lit(P.CONSULTATION_WORD)) | F.contains(blank(text), F.lit(P.CONSULTATION_WORD))
 
     def total(v):
         unrelated = (F.size(v["found"]) == 0) & ~v["authority"].isin("A0", "A3")

@@ -116,10 +116,10 @@ def merge_rows(cells: DataFrame, page: Sequence[str], reach: int = 2) -> DataFra
     return parts.select(*page, "bucket", "col", joined.alias("value"))
 
 
-def pick_header(words: DataFrame, doc: str, patterns=None, top: float = 200.0) -> DataFrame:
-    """Header columns of the page with the widest header (at least four columns)."""
+def pick_header(words: DataFrame, doc: str, patterns=None) -> DataFrame:
+    """Header columns of the page with the widest header (at least four columns), of all pages."""
     patterns = patterns or P.HEADER_WORDS
-    inside = words.filter((F.col("page") < 3) & (F.col("y") > 40) & (F.col("y") < top) & (F.col("x") >= 140))
+    inside = words.filter((F.col("y") > 40) & (F.col("x") >= 140))
     named = F.array_compact(F.array(*[F.when(has_any(F.col("text"), pats), F.struct(F.lit(i).alias("pos"), F.lit(c).alias("col")))
                                       for i, (c, pats) in enumerate(patterns)]))
     hits = inside.select(doc, "page", "x", F.inline(named)).groupBy(doc, "page", "pos", "col").agg(
@@ -152,7 +152,7 @@ def numbers(text: Column) -> Column:
 def totals(tokens: DataFrame, page: Sequence[str], reach: int = 40, marks=("总", "合"), tail: str = "计") -> DataFrame:
     """First two numbers of at least 100, by x, within reach of the first "total" token."""
     is_total = has_any(F.col("text"), list(marks)) & F.contains(blank(F.col("text")), F.lit(tail))
-    anchor = tokens.filter(is_total).groupBy(*page).agg(F.min_by("y", "seq").alias("__y"))
+    anchor = tokens.filter(is_total).groupBy(*page).agg(F.min_by("y", F.struct("seq", "y", "x")).alias("__y"))
     near = tokens.join(anchor, list(page)).filter(F.abs(F.col("y") - F.col("__y")) <= reach)
     line = near.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("x", "seq", "text"))).alias("__t")).withColumn(
         "__n", F.filter(numbers(joined_decimals(F.array_join(F.transform("__t", lambda t: t["text"]), " "))), lambda v: v >= 100))

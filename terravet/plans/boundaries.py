@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
@@ -31,9 +31,12 @@ def translate(features: DataFrame, shifts: DataFrame, revert: bool = False, tole
     return held.select(*keep, F.coalesce("__new", "polys").alias("polys"), flag.alias("anchor_corrected"), "area_before", "area_after")
 
 
-def correct(features: DataFrame, shifts: DataFrame, summary_ids: list[str], revert: bool = False) -> DataFrame:
-    """Shifts the listed features, and the equal parts of the summary features with them."""
-    is_sum = F.col("feature_id").isin(summary_ids)
+def correct(features: DataFrame, shifts: DataFrame, summary: list[str] | Column, revert: bool = False) -> DataFrame:
+    """Shifts the listed features, and the equal parts of the summary features with them.
+
+    ``summary`` lists the summary features or is a condition that holds for them.
+    """
+    is_sum = summary if isinstance(summary, Column) else F.col("feature_id").isin(summary)
     single = translate(features.filter(~is_sum), shifts, revert)
     done = F.coalesce("anchor_corrected", F.lit(False))
     open_ = features.filter(is_sum & (F.lit(True) if revert else ~done))
@@ -71,7 +74,7 @@ def pixel_runs(px: DataFrame, fig: str = "fig") -> DataFrame:
         "node", F.struct("y", "x0"))
 
 
-def components(runs: DataFrame, fig: str = "fig", max_rounds: int = 60) -> DataFrame:
+def components(runs: DataFrame, fig: str = "fig") -> DataFrame:
     """Smallest node of each run's 4-connected component.
 
     Every round takes the smallest label among the neighbours and then jumps to
@@ -85,7 +88,7 @@ def components(runs: DataFrame, fig: str = "fig", max_rounds: int = 60) -> DataF
     touch = a.join(b, [*keys, "y"]).filter((F.col("x0") <= F.col("o1")) & (F.col("o0") <= F.col("x1"))).select(*keys, "node", "other")
     edges = cut_lineage(touch.unionByName(touch.select(*keys, F.col("other").alias("node"), F.col("node").alias("other"))))
     labels = cut_lineage(runs.select(*keys, "node", F.col("node").alias("label")))
-    for _ in range(max_rounds):
+    while True:
         near = edges.join(labels.select(*keys, F.col("node").alias("other"), F.col("label").alias("l")), [*keys, "other"]).groupBy(*keys, "node").agg(F.min("l").alias("l"))
         stepped = labels.join(near, [*keys, "node"], "left").select(*keys, "node", "label", F.least("label", "l").alias("best"))
         jump = stepped.select(*keys, F.col("node").alias("best"), F.col("best").alias("far"))
@@ -94,7 +97,6 @@ def components(runs: DataFrame, fig: str = "fig", max_rounds: int = 60) -> DataF
         labels = new.drop("changed")
         if not new.filter("changed").limit(1).count():
             return labels
-    raise RuntimeError("labels still change; raise max_rounds")
 
 
 def zones_from_pixels(px: DataFrame, fig: str = "fig", min_pixels: int = 60, to_lonlat=None) -> DataFrame:

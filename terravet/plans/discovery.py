@@ -58,7 +58,7 @@ def seed_page_links(pages: DataFrame, terms: list[str] | None = None) -> DataFra
 def candidates(pages: DataFrame, year: int, terms: list[str] | None = None) -> DataFrame:
     """Candidate row per stored page: metadata, date, class and score, in one narrow stage."""
     meta = pages.select("seq", "url", "content_type", "html", F.inline(F.array(W.page_metadata(F.col("html")))))
-    text = F.concat_ws(" ", "description", "text", F.substring("html", 1, 2000))
+    text = F.concat_ws(" ", "description", "text", "html")
     staged = meta.select(
         "seq", "url", "content_type",
         F.when(F.col("title") != "", F.col("title")).otherwise(W.title_from_url(F.col("url"))).alias("title"),
@@ -130,7 +130,7 @@ def suffix_ids(rows: DataFrame, id_col: str = "source_id", order: str = "seq", b
 def registry_draft(rows: DataFrame, registry: DataFrame, year: int, accessed: str) -> DataFrame:
     """Draft registry rows for the URLs the registry does not hold yet."""
     topic = F.when(X.blank(F.col("topic")) != "", F.col("topic")).otherwise(
-        F.array_join(F.slice(F.split(X.blank(F.col("topic_hits")), r"\|"), 1, 5), "|"))
+        X.blank(F.col("topic_hits")))
     title = F.coalesce(F.nullif("title", F.lit("")), F.col("url"))
     fresh = new_urls(rows, registry).withColumn("title", title)
     dated = F.coalesce(F.nullif("published_date", F.lit("")), W.parse_dateish(F.concat_ws(" ", "title", "url", X.blank(F.col("notes")))))
