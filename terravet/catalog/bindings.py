@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scale import literal_table
 from .registry import Tables
 
 
@@ -89,3 +90,9 @@ def runs(t: Tables) -> DataFrame:
 
 RUNS = """(SELECT user_id AS run_key, event_id AS seq, ts, event_type AS fingerprint,
     floor(value)::BIGINT AS failures FROM events)"""
+
+
+def with_empty(rows, name, key="submission"):
+    """Submissions with rows, and one without any."""
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key).distinct().unionByName(literal_table(rows.sparkSession, [(name,)], f"{key} {kind}"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..operators import checks as K
+from .bindings import with_empty
 from .registry import query
 
 # ---- registry rows from customer -----------------------------------------------------------
@@ -270,12 +271,13 @@ def _(t):
 @query("required_layers", "P23", """SELECT submission, CASE WHEN a AND c THEN 'PASS' ELSE 'FAIL' END AS outcome,
     array_to_string(list_filter([CASE WHEN NOT a THEN 'STANDARD' END, CASE WHEN NOT c THEN 'GONE' END], lambda x: x IS NOT NULL), ', ') AS missing,
     CASE WHEN o THEN '' ELSE 'SITE_BOUNDARY' END AS skipped FROM (SELECT p_brand AS submission, bool_or(p_type = 'STANDARD') AS a,
-    bool_or(p_size = 50 AND p_type = 'ECONOMY') AS c, bool_or(false) AS o FROM part GROUP BY 1)""")
+    bool_or(p_size = 50 AND p_type = 'ECONOMY') AS c, bool_or(false) AS o FROM part GROUP BY 1) UNION ALL SELECT 'none', 'FAIL', 'STANDARD, GONE', 'SITE_BOUNDARY'""")
 def _(t):
     f = t.part.select(F.col("p_brand").alias("submission"), F.concat(F.lit("geometry/"), F.when(
         (F.col("p_size") == 50) & (F.col("p_type") == "ECONOMY"), "gone_alias").otherwise(F.lower("p_type")), F.lit(".geojson")).alias("path"))
     g = t.part.filter("p_type = 'ECONOMY'").select(F.col("p_brand").alias("submission"), F.lit("geometry/economy.geojson").alias("path"))
-    return K.check_required_layers(f.unionByName(g), ["STANDARD", "GONE", "SITE_BOUNDARY"], {"GONE": "gone_alias.geojson"})
+    return K.check_required_layers(f.unionByName(g), ["STANDARD", "GONE", "SITE_BOUNDARY"], {"GONE": "gone_alias.geojson"},
+                                   submissions=with_empty(f, "none"))
 
 
 @query("building_heights", "P30", f"""SELECT pos, raw AS value, CASE WHEN raw IS NULL THEN 'missing' WHEN TRY_CAST(raw AS DOUBLE) IS NULL THEN 'not_a_number' ELSE 'out_of_range' END AS reason
@@ -336,11 +338,11 @@ LISTED_SQL, DISK_SQL = LISTED.replace("{sha}", "sha256(text)"), DISK.replace("{s
     SELECT submission, path, 'UNSAFE_PATH' AS check_id FROM l WHERE path = '../x' UNION ALL SELECT submission, path, 'DUPLICATE_PATH' FROM l WHERE rn > 1 AND path <> '../x'
     UNION ALL SELECT submission, path, 'FILE_MISSING' FROM b WHERE dsha IS NULL UNION ALL SELECT submission, path, 'HASH_MISSING' FROM b WHERE dsha IS NOT NULL AND sha256 IS NULL AND path <> 'manifest.json'
     UNION ALL SELECT submission, path, 'HASH_MISMATCH' FROM b WHERE sha256 <> dsha
-    UNION ALL SELECT s.submission, r.p, 'REQUIRED_UNLISTED' FROM (SELECT DISTINCT submission FROM l WHERE path <> '../x') s, (SELECT unnest(['manifest.json','d1']) AS p) r
+    UNION ALL SELECT s.submission, r.p, 'REQUIRED_UNLISTED' FROM (SELECT DISTINCT submission FROM l UNION SELECT 'none') s, (SELECT unnest(['manifest.json','d1']) AS p) r
     WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.submission = s.submission AND l.path = r.p)""")
 def _(t):
     l, d = listed(t)
-    return K.check_manifest_files(l, d, ["manifest.json", "d1"])
+    return K.check_manifest_files(l, d, ["manifest.json", "d1"], with_empty(l, "none"))
 
 
 @query("manifest_header", "P38", """WITH m AS (SELECT c_custkey % 6 AS k, c_nationkey % 4 AS n, c_custkey AS submission FROM customer)
@@ -398,7 +400,7 @@ def _(t):
 
 MAT = """(SELECT c_nationkey AS submission, c_custkey AS pos, CASE WHEN c_custkey % 10 = 0 THEN '' ELSE 'r' || (c_custkey % 40) END AS rid, CASE WHEN c_custkey % 6 = 0 THEN FALSE ELSE TRUE END AS mandatory,
     CASE WHEN c_custkey % 4 = 0 THEN 'data_gap' WHEN c_custkey % 4 = 1 THEN 'odd' ELSE 'addressed' END AS review_status, CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE 'text' END AS body, c_custkey % 5 AS k FROM customer)"""
-COVER = f"""SELECT s.submission, NULL AS pos, 'NOT_COVERED' AS check_id, 'major' AS severity, r.p AS detail FROM (SELECT DISTINCT submission FROM {MAT}) s, (SELECT unnest(['r1','r2','r39','r99']) AS p) r
+COVER = f"""SELECT s.submission, NULL AS pos, 'NOT_COVERED' AS check_id, 'major' AS severity, r.p AS detail FROM (SELECT DISTINCT submission FROM {MAT} UNION SELECT -1) s, (SELECT unnest(['r1','r2','r39','r99']) AS p) r
     WHERE NOT EXISTS (SELECT 1 FROM {MAT} m WHERE m.submission = s.submission AND m.rid = r.p)"""
 ROW_ID = f"SELECT submission, pos, 'ID_MISSING' AS check_id, 'major' AS severity, '' AS detail FROM {MAT} WHERE rid = ''"
 ARR = f"SELECT submission, pos, 'STRING_ARRAY' AS check_id, 'major' AS severity, 'refs' AS detail FROM {MAT} WHERE k < 2"
@@ -412,14 +414,15 @@ def matrix(t, name):
 
 @query("requirement_matrix", "P41", f"{ROW_ID} UNION ALL {ARR} UNION ALL SELECT submission, pos, 'NOT_MANDATORY', 'major', '' FROM {MAT} WHERE NOT mandatory UNION ALL {COVER}")
 def _(t):
-    return K.check_requirements(matrix(t, "requirement_id"), NEED, ["refs"])
+    m = matrix(t, "requirement_id")
+    return K.check_requirements(m, NEED, ["refs"], with_empty(m, -1))
 
 
 @query("standard_matrix", "P42", f"""{ROW_ID} UNION ALL {ARR} UNION ALL SELECT submission, pos, 'TEXT_MISSING', 'major', 'evidence_summary_zh' FROM {MAT} WHERE body = ' '
     UNION ALL SELECT submission, pos, 'STATUS', 'major', review_status FROM {MAT} WHERE review_status = 'odd' UNION ALL SELECT submission, pos, 'MANDATORY_NOT_ADDRESSED', 'major', '' FROM {MAT} WHERE mandatory AND review_status <> 'addressed' UNION ALL {COVER}""")
 def _(t):
     m = matrix(t, "standard_id").withColumn("requirement_zh", F.lit("x")).withColumn("professional_dimension", F.lit("x")).withColumn("evidence_summary_zh", F.col("body"))
-    return K.check_standards(m, NEED, ["refs"])
+    return K.check_standards(m, NEED, ["refs"], with_empty(m, -1))
 
 
 @query("depth_matrix", "P43", f"""{ROW_ID} UNION ALL {ARR} UNION ALL SELECT submission, pos, 'TEXT_MISSING', 'major', 'title_zh' FROM {MAT} WHERE body = ' '
@@ -427,7 +430,7 @@ def _(t):
 def _(t):
     m = matrix(t, "item_id").withColumn("title_zh", F.col("body")).withColumn("professional_dimension", F.lit("x")).withColumn("evidence_summary_zh", F.lit("x"))
     m = m.withColumn("required", F.col("mandatory")).withColumn("status", F.when(F.col("review_status") == "addressed", "complete").otherwise(F.col("review_status")))
-    return K.check_depth(m, NEED, ["refs"])
+    return K.check_depth(m, NEED, ["refs"], with_empty(m, -1))
 
 
 CHK = """(SELECT event_id, 'C' || user_id AS chk, CASE event_id % 5 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' WHEN 2 THEN 'unknown' WHEN 3 THEN 'odd' ELSE 'not_applicable' END AS result,

@@ -198,9 +198,9 @@ def _(t):
     array_to_string(g, ', ') AS uncovered FROM (SELECT source, list_filter(['Heon','queau','zzz'],
     lambda k: NOT CASE k WHEN 'Heon' THEN a WHEN 'queau' THEN b ELSE c END) AS g FROM
     (SELECT source, bool_or(contains(lower(text), 'heon')) AS a, bool_or(contains(lower(text), 'queau')) AS b,
-    bool_or(contains(lower(text), 'zzz')) AS c FROM documents GROUP BY source))""")
+    bool_or(contains(lower(text), 'zzz')) AS c FROM documents GROUP BY source)) UNION ALL SELECT 'none', 'FAIL', 'Heon, queau, zzz'""")
 def _(t):
-    return D.check_documented(t.documents, "source", "text", ["Heon", "queau", "zzz"])
+    return D.check_documented(t.documents, "source", "text", ["Heon", "queau", "zzz"], B.with_empty(t.documents, "none", "source"))
 
 
 @query("source_authority_misuse", "P28", """SELECT doc_id, source, u[1] AS used_for FROM (SELECT doc_id, source,

@@ -383,10 +383,19 @@ def _(t):
     return D.new_urls(t.sql(SEED_ROWS), t.sql(KNOWN_ROWS)).select("seq", "canonical")
 
 
-@query("suffix_ids", "W4", """SELECT c_custkey AS seq, CASE WHEN rn = 1 THEN id ELSE id || '-' || rn END AS source_id FROM
-    (SELECT c_custkey, c_mktsegment AS id, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS rn FROM customer)""")
+# A fourth of the rows form a family whose natural ids meet generated ones.
+SUFFIX_IN = """(SELECT c_custkey AS seq, CASE c_custkey % 40 WHEN 0 THEN 'X' WHEN 1 THEN 'X' WHEN 2 THEN 'X-2-2' WHEN 3 THEN 'X-2' WHEN 4 THEN 'X-4' WHEN 5 THEN 'X-2'
+    WHEN 6 THEN 'Y-7' WHEN 7 THEN 'Z-2' ELSE c_mktsegment END AS id FROM customer)"""
+
+
+@query("suffix_ids", "W4", f"""WITH RECURSIVE f AS (SELECT seq, id, row_number() OVER (ORDER BY seq) AS i FROM {SUFFIX_IN} WHERE starts_with(id, 'X')),
+    st AS (SELECT 0::BIGINT AS i, 0::BIGINT AS seq, '' AS source_id, []::VARCHAR[] AS used UNION ALL
+      SELECT i, seq, made, list_append(used, made) FROM (SELECT f.i, f.seq, used, CASE WHEN NOT list_contains(used, id) THEN id ELSE id || '-' ||
+        list_min(list_filter(range(2, f.i + 2), lambda k: NOT list_contains(used, id || '-' || k))) END AS made FROM st JOIN f ON f.i = st.i + 1))
+    SELECT seq, source_id FROM st WHERE i > 0 UNION ALL
+    SELECT seq, CASE WHEN rn = 1 THEN id ELSE id || '-' || rn END FROM (SELECT seq, id, row_number() OVER (PARTITION BY id ORDER BY seq) AS rn FROM {SUFFIX_IN} WHERE NOT starts_with(id, 'X'))""")
 def _(t):
-    return D.suffix_ids(t.customer.select(F.col("c_custkey").alias("seq"), F.col("c_mktsegment").alias("source_id")), block=100)
+    return D.suffix_ids(t.sql(f"SELECT seq, id AS source_id FROM {SUFFIX_IN}"), block=100)
 
 
 DRAFT_ID = """'DRAFT-' || upper(trim(regexp_replace(CASE WHEN id <> '' THEN id ELSE ttl || '-' || left(sha1(url), 8) END, '[^A-Za-z0-9]+', '-', 'g'), '-'))"""

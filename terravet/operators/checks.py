@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions.text import WS, blank, let, pattern_hits, strip, words
 from ..scale import first_in_group, later_duplicates
-from .rows import issue, list_issues, rule_rows
+from .rows import for_all, issue, list_issues, rule_rows
 
 
 def with_each(df: DataFrame, table: DataFrame) -> DataFrame:
@@ -224,13 +224,14 @@ def check_layer_names(features: DataFrame, keys: Sequence[str], valid: Sequence[
 
 
 def check_required_layers(files: DataFrame, layers: Sequence[str], aliases: dict[str, str] | None = None,
-                          optional: Sequence[str] = ("SITE_BOUNDARY",)) -> DataFrame:
+                          optional: Sequence[str] = ("SITE_BOUNDARY",),
+                          submissions: DataFrame | None = None) -> DataFrame:
     """Layers per submission, from one aggregate over the file list."""
     aliases = P.CANONICAL_LAYER_FILES if aliases is None else aliases
     name = F.element_at(F.split("path", "/"), -1)
     flags = [F.bool_or(name.isin([f"{x.lower()}.geojson", aliases.get(x, f"{x.lower()}.geojson")])).alias(f"l{i}")
              for i, x in enumerate(layers)]
-    seen = files.groupBy("submission").agg(*flags)
+    seen = for_all(files.groupBy("submission").agg(*flags), submissions)
     gap = lambda keep: F.array_compact(F.array(*[
         F.when(~F.col(f"l{i}"), F.lit(x)) for i, x in enumerate(layers) if (x in optional) == keep]) if any(
         (x in optional) == keep for x in layers) else F.array().cast("array<string>"))
@@ -414,7 +415,8 @@ def check_manifest(manifest: DataFrame, project: str | None = None) -> DataFrame
     return rule_rows(manifest, ["submission"], rules)
 
 
-def check_manifest_files(listed: DataFrame, files: DataFrame, required: Sequence[str] = P.REQUIRED_PACKAGE_FILES) -> DataFrame:
+def check_manifest_files(listed: DataFrame, files: DataFrame, required: Sequence[str] = P.REQUIRED_PACKAGE_FILES,
+                         submissions: DataFrame | None = None) -> DataFrame:
     """Listed paths: unsafe, duplicate, absent, without hash or with another hash; required but unlisted."""
     def rows(df, check_id):
         return df.select("submission", "path", F.lit(check_id).alias("check_id"))
@@ -426,7 +428,7 @@ def check_manifest_files(listed: DataFrame, files: DataFrame, required: Sequence
                .when((blank(F.col("sha256")) != "") & (F.col("sha256") != F.col("__sha")), "HASH_MISMATCH"))
     judged = both.select("submission", "path", verdict.alias("check_id")).filter("check_id IS NOT NULL")
     flags = [F.coalesce(F.bool_or(F.col("path") == r), F.lit(False)).alias(f"r{i}") for i, r in enumerate(required)]
-    gaps = safe.groupBy("submission").agg(*flags).select("submission", F.explode(F.array_compact(F.array(*[
+    gaps = for_all(safe.groupBy("submission").agg(*flags), submissions).select("submission", F.explode(F.array_compact(F.array(*[
         F.when(~F.col(f"r{i}"), F.lit(r)) for i, r in enumerate(required)]))).alias("path"))
     return (rows(listed.filter(~safe_path(F.col("path"))), "UNSAFE_PATH")
             .unionByName(rows(later_duplicates(safe, ["submission", "path"], "pos"), "DUPLICATE_PATH"))
@@ -494,9 +496,9 @@ def check_concepts(items: DataFrame, group: Sequence[str], scenarios: DataFrame,
             .unionByName(shape(linked, "CONCEPT_SCENARIO", F.col("detail"))))
 
 
-def _coverage(matrix: DataFrame, col: str, required: Sequence[str]) -> DataFrame:
+def _coverage(matrix: DataFrame, col: str, required: Sequence[str], submissions: DataFrame | None) -> DataFrame:
     flags = [F.coalesce(F.bool_or(F.col(col) == r), F.lit(False)).alias(f"r{i}") for i, r in enumerate(required)]
-    return matrix.groupBy("submission").agg(*flags).select(
+    return for_all(matrix.groupBy("submission").agg(*flags), submissions).select(
         "submission", F.lit(None).cast(matrix.schema["pos"].dataType).alias("pos"), F.lit("NOT_COVERED").alias("check_id"),
         F.lit("major").alias("severity"), F.explode(F.array_compact(F.array(*[
             F.when(~F.col(f"r{i}"), F.lit(r)) for i, r in enumerate(required)]))).alias("detail"))
@@ -508,15 +510,17 @@ def _arrays(cols: Sequence[str]) -> Column:
 
 
 def check_requirements(matrix: DataFrame, required: Sequence[str] = P.REQUIRED_TASK_IDS,
-                       arrays: Sequence[str] = P.REQUIREMENT_ARRAYS) -> DataFrame:
+                       arrays: Sequence[str] = P.REQUIREMENT_ARRAYS,
+                       submissions: DataFrame | None = None) -> DataFrame:
     rows = rule_rows(matrix, ["submission", "pos"], [
         (blank(F.col("requirement_id")) == "", "ID_MISSING", ""),
         (~F.col("mandatory").eqNullSafe(F.lit(True)), "NOT_MANDATORY", "")], _arrays(arrays))
-    return rows.unionByName(_coverage(matrix, "requirement_id", required))
+    return rows.unionByName(_coverage(matrix, "requirement_id", required, submissions))
 
 
 def check_standards(matrix: DataFrame, required: Sequence[str] = P.REQUIRED_STANDARD_IDS,
-                    arrays: Sequence[str] = P.EVIDENCE_ARRAYS) -> DataFrame:
+                    arrays: Sequence[str] = P.EVIDENCE_ARRAYS,
+                    submissions: DataFrame | None = None) -> DataFrame:
     status = F.col("review_status")
     rows = rule_rows(matrix, ["submission", "pos"], [
         (blank(F.col("standard_id")) == "", "ID_MISSING", ""),
@@ -526,11 +530,12 @@ def check_standards(matrix: DataFrame, required: Sequence[str] = P.REQUIRED_STAN
         (~F.coalesce(status.isin("addressed", "data_gap", "not_applicable"), F.lit(False)), "STATUS", blank(status)),
         (F.col("mandatory").eqNullSafe(F.lit(True)) & ~status.eqNullSafe(F.lit("addressed")), "MANDATORY_NOT_ADDRESSED", "")],
         _arrays(arrays))
-    return rows.unionByName(_coverage(matrix, "standard_id", required))
+    return rows.unionByName(_coverage(matrix, "standard_id", required, submissions))
 
 
 def check_depth(matrix: DataFrame, required: Sequence[str] = P.REQUIRED_DEPTH_IDS,
-                arrays: Sequence[str] = P.EVIDENCE_ARRAYS) -> DataFrame:
+                arrays: Sequence[str] = P.EVIDENCE_ARRAYS,
+                    submissions: DataFrame | None = None) -> DataFrame:
     rows = rule_rows(matrix, ["submission", "pos"], [
         (blank(F.col("item_id")) == "", "ID_MISSING", ""),
         (~nonblank(F.col("title_zh")), "TEXT_MISSING", "title_zh"),
@@ -538,7 +543,7 @@ def check_depth(matrix: DataFrame, required: Sequence[str] = P.REQUIRED_DEPTH_ID
         (~nonblank(F.col("evidence_summary_zh")), "TEXT_MISSING", "evidence_summary_zh"),
         (~F.col("required").eqNullSafe(F.lit(True)), "NOT_REQUIRED", ""),
         (~F.col("status").eqNullSafe(F.lit("complete")), "NOT_COMPLETE", blank(F.col("status")))], _arrays(arrays))
-    return rows.unionByName(_coverage(matrix, "item_id", required))
+    return rows.unionByName(_coverage(matrix, "item_id", required, submissions))
 
 
 def check_selfcheck(checks: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import text as X
-from .rows import issue, list_issues, rule_rows
+from .rows import for_all, issue, list_issues, rule_rows
 
 
 def _keywords(phrases: Sequence[str]) -> list[str]:
@@ -52,7 +52,8 @@ def scan_concepts(docs: DataFrame, key: str, text: str, pairs=None, domain=None)
                        F.array_join(missing, ", ").alias("missing"))
 
 
-def check_documented(assumptions: DataFrame, key: str, entry: str, controls: Sequence[str]) -> DataFrame:
+def check_documented(assumptions: DataFrame, key: str, entry: str, controls: Sequence[str],
+                     submissions: DataFrame | None = None) -> DataFrame:
     """Controls that no assumption entry of the key names.
 
     One map-side combined flag per control, so no join and no hot key.
@@ -60,7 +61,7 @@ def check_documented(assumptions: DataFrame, key: str, entry: str, controls: Seq
     low = F.lower(X.blank(F.col(entry)))
     flags = [F.coalesce(F.bool_or(F.contains(low, F.lit(c.lower()))), F.lit(False)).alias(f"c{i}")
              for i, c in enumerate(controls)]
-    seen = assumptions.groupBy(key).agg(*flags)
+    seen = for_all(assumptions.groupBy(key).agg(*flags), submissions, key)
     gaps = F.array_compact(F.array(*[F.when(~F.col(f"c{i}"), F.lit(c)) for i, c in enumerate(controls)]))
     return seen.select(key, F.when(F.size(gaps) > 0, "FAIL").otherwise("PASS").alias("outcome"),
                        F.array_join(gaps, ", ").alias("uncovered"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geo as G
 from ..functions import text as X
 from .checks import with_each
+from .rows import for_all
 
 GRAM_SIZES = (8, 4, 2, 1)
 
@@ -160,10 +161,11 @@ def dangling_ids(matrix: DataFrame, keys: Sequence[str], ids: str, known: DataFr
         known.select("submission", "id").distinct(), ["submission", "id"], "left_anti")
 
 
-def missing_areas(features: DataFrame, ids: Sequence[str], group: str = "submission", col: str = "area_id") -> DataFrame:
+def missing_areas(features: DataFrame, ids: Sequence[str], group: str = "submission", col: str = "area_id",
+                  submissions: DataFrame | None = None) -> DataFrame:
     flags = [F.coalesce(F.bool_or(F.col(col) == i), F.lit(False)).alias(f"a{n}") for n, i in enumerate(sorted(ids))]
     gaps = F.array_compact(F.array(*[F.when(~F.col(f"a{n}"), F.lit(i)) for n, i in enumerate(sorted(ids))]))
-    return features.groupBy(group).agg(*flags).select(group, F.array_join(gaps, ", ").alias("missing")).filter("missing <> ''")
+    return for_all(features.groupBy(group).agg(*flags), submissions, group).select(group, F.array_join(gaps, ", ").alias("missing")).filter("missing <> ''")
 
 
 def undeclared_metrics(submissions: DataFrame, metrics: DataFrame, required: DataFrame) -> DataFrame:

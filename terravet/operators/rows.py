@@ -31,3 +31,14 @@ def rule_rows(df: DataFrame, keys: Sequence[str], rules: Sequence[Rule], *more:
 def list_issues(values: Column, check_id: str, detail, severity: str = "major") -> Column:
     """Issue structs for the items of an array; ``detail`` maps item to text."""
     return F.transform(values, lambda v: issue(check_id, detail(v), severity))
+
+
+def for_all(seen: DataFrame, submissions: DataFrame | None, key: str = "submission") -> DataFrame:
+    """Flags of every submission; one without rows of its own has none of them.
+
+    Without ``submissions`` only those with rows are judged.
+    """
+    if submissions is None:
+        return seen
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in seen.columns if c != key]
+    return submissions.select(key).distinct().join(seen, key, "left").select(key, *flags)

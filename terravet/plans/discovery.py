@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import text as X
 from ..functions import web as W
+from ..session import cut_lineage
 from ..scale import blocked_row_number, first_in_group, top_k
 
 
@@ -110,21 +112,65 @@ def new_urls(rows: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def suffix_ids(rows: DataFrame, id_col: str = "source_id", order: str = "seq", block: int = 1_000_000) -> DataFrame:
-    """id, id-2, id-3 ... in order.
+    """id, id-2, id-3 ... in order: the first form that no earlier row has.
 
-    A suffixed id may meet a natural one (``X-2``).  Such later rows are pushed
-    past the numbers in use: their suffix is counted from the size of the group.
+    A generated ``X-2`` can only meet a row whose own id is ``X-2``, so ids without such
+    a relation are numbered by blocks.  Families in which ids meet are read in order; a
+    reader holds the distinct ids of its family and a counter for each.
     """
-    blk = F.floor(F.col(order) / block)
-    numbered = blocked_row_number(rows, [id_col], [order], blk, "__n").withColumn(
-        "__new", F.when(F.col("__n") == 1, F.col(id_col)).otherwise(
-            F.concat(F.col(id_col), F.lit("-"), F.col("__n"))))
-    # A generated id that equals a natural one gives way to it.
-    natural = numbered.filter("__n = 1").select(F.col(id_col).alias("__new"), F.lit(True).alias("__taken"))
-    marked = numbered.join(natural, "__new", "left")
-    clash = F.coalesce(F.col("__taken"), F.lit(False)) & (F.col("__n") > 1)
-    final = F.when(clash, F.concat(F.col("__new"), F.lit("-x"))).otherwise(F.col("__new"))
-    return marked.withColumn(id_col, final).drop("__n", "__new", "__taken")
+    ids = rows.select(F.col(id_col).alias("id")).distinct()
+    stem = F.regexp_extract("id", r"^(.*)-[1-9][0-9]*$", 1)
+    ties = ids.withColumn("stem", stem).filter("stem <> ''").join(ids.select(F.col("id").alias("stem")), "stem")
+    if not ties.limit(1).count():
+        return _numbered(rows, id_col, order, block)
+    roots = cut_lineage(ties.select("id", F.col("stem").alias("root")))
+    while True:
+        up = roots.select(F.col("id").alias("root"), F.col("root").alias("next"))
+        moved = cut_lineage(roots.join(up, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        roots = moved.drop("moved")
+        if not moved.filter("moved").limit(1).count():
+            break
+    members = roots.unionByName(roots.select(F.col("root").alias("id"), "root")).distinct()
+    key = members.select(F.col("id").alias(id_col), F.col("root").alias("__root"))
+    apart = _numbered(rows.join(key.select(id_col), id_col, "left_anti"), id_col, order, block)
+    met = rows.join(key, id_col).withColumn("__kind", F.lit(1)).unionByName(
+        key.withColumn("__kind", F.lit(0)), allowMissingColumns=True)
+    held = met.repartition("__root").sortWithinPartitions("__root", "__kind", order).select("__root", "__kind", *rows.columns)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return apart.unionByName(held.mapInArrow(_first_free(id_col), fields))
+
+
+def _numbered(rows: DataFrame, id_col: str, order: str, block: int) -> DataFrame:
+    numbered = blocked_row_number(rows, [id_col], [order], F.floor(F.col(order) / block), "__n")
+    new = F.when(F.col("__n") == 1, F.col(id_col)).otherwise(F.concat(F.col(id_col), F.lit("-"), F.col("__n")))
+    return numbered.withColumn(id_col, new).select(*rows.columns)
+
+
+def _first_free(id_col: str):
+    """Reader of families: their distinct ids come first (kind 0), then the rows in order."""
+    def run(batches):
+        root, known, used, following = None, set(), set(), {}
+        for batch in batches:
+            new, keep = [], []
+            for r, kind, own in zip(*[batch.column(c).to_pylist() for c in ("__root", "__kind", id_col)]):
+                if r != root:
+                    root, known, used, following = r, set(), set(), {}
+                keep.append(kind == 1)
+                if kind == 0:
+                    known.add(own)
+                    new.append(own)
+                    continue
+                made, n = own, following.get(own, 2)
+                while made in used:
+                    made, n = f"{own}-{n}", n + 1
+                following[own] = n
+                if made in known:
+                    used.add(made)
+                new.append(made)
+            at = batch.schema.names.index(id_col)
+            columns = [pa.array(new, batch.schema.types[at]) if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns[2:], names=batch.schema.names[2:]).filter(pa.array(keep))
+    return run
 
 
 def registry_draft(rows: DataFrame, registry: DataFrame, year: int, accessed: str) -> DataFrame:

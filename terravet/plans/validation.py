@@ -23,9 +23,10 @@ def validate(tables: dict[str, DataFrame], **options) -> DataFrame:
     Tables: proposals (submission, text), changelogs, files (submission, path, length),
     listed and stored (manifest paths and file hashes), manifests, features, metrics,
     requirements, standards, depths, self_checks, risks, concepts with scenarios, images,
-    reports (submission, html), drawings (submission, content).
+    reports (submission, html), drawings (submission, content).  With ``submissions`` the
+    required files and matrix entries of a submission without any row are reported too.
     """
-    t, parts = tables, []
+    t, parts, every = tables, [], tables.get("submissions")
 
     def add(df, area, severity=None, detail="detail"):
         parts.append(_shape(df, area, severity, detail))
@@ -43,7 +44,7 @@ def validate(tables: dict[str, DataFrame], **options) -> DataFrame:
     if "files" in t:
         add(K.check_sizes(t["files"], ["submission"]), "files", "error", "path")
     if "listed" in t:
-        add(K.check_manifest_files(t["listed"], t["stored"], options.get("required_files", K.P.REQUIRED_PACKAGE_FILES)), "manifest", "error", "path")
+        add(K.check_manifest_files(t["listed"], t["stored"], options.get("required_files", K.P.REQUIRED_PACKAGE_FILES), every), "manifest", "error", "path")
     if "manifests" in t:
         add(K.check_manifest(t["manifests"]), "manifest")
     if "features" in t:
@@ -57,7 +58,7 @@ def validate(tables: dict[str, DataFrame], **options) -> DataFrame:
         add(K.check_metric_rows(t["metrics"], ["submission", "pos"]), "metrics", "error")
     for name, check in (("requirements", K.check_requirements), ("standards", K.check_standards), ("depths", K.check_depth)):
         if name in t:
-            add(check(t[name], **options.get(name, {})), name, "error")
+            add(check(t[name], submissions=every, **options.get(name, {})), name, "error")
     if "self_checks" in t:
         add(K.check_selfcheck(t["self_checks"], ["submission"]), "self_check", "error")
     if "risks" in t:
