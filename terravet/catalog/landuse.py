@@ -90,13 +90,20 @@ def _(t):
 
 
 @query("geometry_validity", "X10", f"""SELECT pos, 'NO_GEOMETRY' AS reason FROM {A} WHERE size % 10 = 0 UNION ALL SELECT pos, 'NOT_A_POLYGON' FROM {A} WHERE size % 10 = 1 UNION ALL SELECT pos, 'ZERO_AREA' FROM {A} WHERE size % 10 = 2
-    UNION ALL SELECT pos, 'RING_NOT_CLOSED' FROM {A} WHERE size % 10 = 3 UNION ALL SELECT pos, 'SELF_CROSSING' FROM {A} WHERE size % 10 = 4""")
+    UNION ALL SELECT pos, 'RING_NOT_CLOSED' FROM {A} WHERE size % 10 = 3 UNION ALL SELECT pos, 'SELF_CROSSING' FROM {A} WHERE size % 10 IN (2, 4, 5, 6) UNION ALL SELECT pos, 'HOLE_OUTSIDE' FROM {A} WHERE size % 10 = 7""")
 def _(t):
     x, y, k = F.col("x0"), F.col("y0"), F.col("size") % 10
-    flat = F.array(F.array(G.pt(x, y), G.pt(x + 1, y), G.pt(x + 2, y), G.pt(x, y)))
-    bow = F.array(F.array(G.pt(x, y), G.pt(x + 5, y + 5), G.pt(x + 5, y), G.pt(x, y + 4), G.pt(x, y)))
-    r = rects(t).withColumn("geom_type", F.when(k == 1, "Point").otherwise("Polygon")).withColumn(
-        "rings", F.when(k == 2, flat).when(k == 3, F.transform("rings", lambda q: F.slice(q, 1, 4))).when(k == 4, bow).when(k != 0, F.col("rings")))
+    ring = lambda *ps: F.array(*[G.pt(x + a, y + b) for a, b in ps])
+    square = ((0, 0), (8, 0), (8, 8), (0, 8), (0, 0))
+    shapes = {2: [((0, 0), (1, 0), (2, 0), (0, 0))], 4: [((0, 0), (5, 5), (5, 0), (0, 4), (0, 0))],
+              5: [((0, 0), (4, 4), (8, 0), (8, 8), (4, 4), (0, 8), (0, 0))],  # touches itself at (4, 4)
+              6: [square, ((0, 2), (4, 2), (4, 4), (0, 4), (0, 2))],  # hole along an edge of its shell
+              7: [square, ((9, 9), (11, 9), (11, 11), (9, 9))],  # hole outside its shell
+              8: [square, ((0, 4), (4, 2), (4, 6), (0, 4))]}  # hole that meets its shell in one point is valid
+    rings = F.when(k == 3, F.transform("rings", lambda q: F.slice(q, 1, 4)))
+    for n, parts in shapes.items():
+        rings = rings.when(k == n, F.array(*[ring(*p) for p in parts]))
+    r = rects(t).withColumn("geom_type", F.when(k == 1, "Point").otherwise("Polygon")).withColumn("rings", rings.when(k != 0, F.col("rings")))
     return SR.validity(r, ["pos"])
 
 
@@ -106,13 +113,22 @@ def _(t):
     return outside_site(rects(t), site_boxes(t), ["submission"], tolerance=30.0).select("submission", "pos", "outside_area")
 
 
-@query("strict_containment", "J10", f"""SELECT submission, feature_id FROM (SELECT f.submission, feature_id, pos, f.x0 AS fx0, f.y0 AS fy0, f.x1 AS fx1, f.y1 AS fy1, s.* EXCLUDE (submission) FROM {A} f JOIN {SITE} s USING (submission))
-    WHERE CASE WHEN pos % 3 = 0 THEN fx0 + 0.5 <= x0 OR fx0 + 0.5 >= x1 OR fy0 + 0.5 <= y0 OR fy0 + 0.5 >= y1 WHEN pos % 3 = 1 THEN fx0 + 0.5 <= x0 OR fx1 + 0.5 >= x1 OR fy0 + 0.5 <= y0 OR fy1 + 0.5 >= y1 ELSE fx0 < x0 OR fx1 > x1 OR fy0 < y0 OR fy1 > y1 END""")
+# Sites with a hole: lines over it have both ends inside and leave the site all the same.
+HOLED = f"(SELECT *, x0 + 20.25 AS hx0, x0 + 40.25 AS hx1, y0 + 20.25 AS hy0, y0 + 40.25 AS hy1 FROM {SITE})"
+
+
+@query("strict_containment", "J10", f"""SELECT submission, feature_id FROM (SELECT f.submission, feature_id, pos, f.x0 AS fx0, f.y0 AS fy0, f.x1 AS fx1, f.y1 AS fy1, s.* EXCLUDE (submission) FROM {A} f JOIN {HOLED} s USING (submission))
+    WHERE CASE WHEN pos % 3 = 0 THEN fx0 + 0.5 <= x0 OR fx0 + 0.5 >= x1 OR fy0 + 0.5 <= y0 OR fy0 + 0.5 >= y1 OR (fx0 + 0.5 BETWEEN hx0 AND hx1 AND fy0 + 0.5 BETWEEN hy0 AND hy1)
+      WHEN pos % 3 = 1 THEN fx0 + 0.5 < x0 OR fx1 + 0.5 > x1 OR fy0 + 0.5 < y0 OR fy1 + 0.5 > y1
+        OR greatest(hx0 - fx0 - 0.5, hy0 - fy0 - 0.5, 0) < least(hx1 - fx0 - 0.5, hy1 - fy0 - 0.5, fx1 - fx0)
+      ELSE fx0 < x0 OR fx1 > x1 OR fy0 < y0 OR fy1 > y1 OR (fx0 < hx1 AND fx1 > hx0 AND fy0 < hy1 AND fy1 > hy0) END""")
 def _(t):
     k, x, y = F.col("pos") % 3, F.col("x0") + 0.5, F.col("y0") + 0.5
     r = rects(t).withColumn("geom_type", F.when(k == 0, "Point").when(k == 1, "LineString").otherwise("Polygon")).withColumn(
         "rings", F.when(k == 0, F.array(F.array(G.pt(x, y)))).when(k == 1, F.array(F.array(G.pt(x, y), G.pt(F.col("x1") + 0.5, F.col("y1") + 0.5)))).otherwise(F.col("rings")))
-    return SR.not_contained(r, site_boxes(t), tile=64.0)
+    c = F.col("rings")[0][0]
+    hole = B.box_rings(c["x"] + 20.25, c["y"] + 20.25, c["x"] + 40.25, c["y"] + 40.25)
+    return SR.not_contained(r, site_boxes(t).withColumn("rings", F.concat("rings", hole)), tile=64.0)
 
 
 @query("pairwise_overlap", "J8", f"SELECT a.submission, a.pos, b.pos AS other_pos FROM {A} a JOIN {A} b ON a.submission = b.submission AND a.pos < b.pos AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0) WHERE (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) > 2")

@@ -210,6 +210,24 @@ def point_in_rings(p: Column, rings: Column) -> Column:
     return F.size(F.filter(hits, lambda h: h)) % 2 == 1
 
 
+def on_ring(p: Column, ring: Column) -> Column:
+    """Whether a point lies on the line of a ring."""
+    hits = _steps(ring, lambda a, b: (
+        ((b["x"] - a["x"]) * (p["y"] - a["y"]) == (b["y"] - a["y"]) * (p["x"] - a["x"]))
+        & p["x"].between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"]))
+        & p["y"].between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))))
+    return F.exists(hits, lambda h: h)
+
+
+def hole_outside(rings: Column) -> Column:
+    """Whether a ring after the first has a vertex or an edge middle outside the first."""
+    def points(r):
+        return F.concat(r, _steps(r, lambda a, b: pt((a["x"] + b["x"]) / 2, (a["y"] + b["y"]) / 2)))
+    shell = F.get(rings, F.lit(0))
+    holes = F.flatten(F.transform(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), points))
+    return F.exists(holes, lambda p: ~point_in_rings(p, F.array(shell)) & ~on_ring(p, shell))
+
+
 def parse_boundary_text(text: Column, shift: bool = True) -> Column:
     """``lon,lat;...|...`` to closed rings; rings of fewer than four points are dropped."""
     def ring(chunk):

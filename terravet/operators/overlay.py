@@ -209,25 +209,46 @@ def topology_report(layer: DataFrame, site: DataFrame, group: Sequence[str], pos
 
 
 def self_crossing(features: DataFrame, keys: Sequence[str], cell: float | None = None) -> DataFrame:
-    """Features with two edges that properly cross.
+    """Features whose edges cross, run along each other, or touch inside one ring.
 
-    Edges meet only in grid cells they share, so a polygon of many vertices is
-    checked by many tasks.
+    Edges that follow each other may share their common vertex, and two rings may meet
+    in single points; everything else that edges have in common is a fault.  Edges meet
+    only in grid cells they share, so a polygon of many vertices is checked by many tasks.
     """
     size = cell or pick_tile(features)
-    n = lambda r: F.greatest(F.size(r) - 1, F.lit(0))
-    raw = F.flatten(F.transform(F.col("rings"), lambda r: F.zip_with(F.slice(r, 1, n(r)), F.slice(r, 2, n(r)), lambda p, q: F.struct(
-        p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by")))))
-    e = features.select(*keys, F.posexplode(raw).alias("i", "e")).select(*keys, "i", "e.*")
-    e = e.withColumn("cx", F.explode(_span(F.least("ax", "bx"), F.greatest("ax", "bx"), size))).withColumn(
-        "cy", F.explode(_span(F.least("ay", "by"), F.greatest("ay", "by"), size)))
-    f = e.select(*keys, "cx", "cy", F.col("i").alias("j"), *[F.col(c).alias("f" + c) for c in ("ax", "ay", "bx", "by")])
-
-    def turn(ox, oy, px, py, qx, qy):
+    no_repeats = F.transform("rings", lambda r: F.filter(r, lambda p, i: (i == 0) | (p != F.get(r, i - 1))))
+
+    def of_ring(r, ring):
+        last = F.size(r) - 2
+        return F.transform(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), lambda k: F.struct(
+            ring.alias("ring"), k.alias("k"), last.alias("last"), F.get(r, k)["x"].alias("ax"), F.get(r, k)["y"].alias("ay"),
+            F.get(r, k + 1)["x"].alias("bx"), F.get(r, k + 1)["y"].alias("by")))
+    e = features.select(*keys, no_repeats.alias("rings")).select(*keys, F.inline(F.flatten(F.transform("rings", of_ring))))
+    # Cells are closed here: edges that touch on a cell border must meet.
+    cells = lambda p, q: F.explode(F.sequence(
+        F.floor(F.least(p, q) / size).cast("bigint"), F.floor(F.greatest(p, q) / size).cast("bigint")))
+    e = e.withColumn("cx", cells("ax", "bx")).withColumn("cy", cells("ay", "by"))
+    f = e.select(*keys, "cx", "cy", *[F.col(c).alias("f" + c) for c in ("ring", "k", "ax", "ay", "bx", "by")])
+
+    def turn(o, p, q):
+        (ox, oy), (px, py), (qx, qy) = o, p, q
         return F.signum((F.col(px) - F.col(ox)) * (F.col(qy) - F.col(oy)) - (F.col(py) - F.col(oy)) * (F.col(qx) - F.col(ox)))
-    crossing = ((turn("ax", "ay", "bx", "by", "fax", "fay") * turn("ax", "ay", "bx", "by", "fbx", "fby") < 0)
-                & (turn("fax", "fay", "fbx", "fby", "ax", "ay") * turn("fax", "fay", "fbx", "fby", "bx", "by") < 0))
-    return e.join(f, [*keys, "cx", "cy"]).filter((F.col("i") < F.col("j")) & crossing).select(*keys).distinct()
+
+    def within(q, o, p):
+        return (F.col(q[0]).between(F.least(o[0], p[0]), F.greatest(o[0], p[0]))
+                & F.col(q[1]).between(F.least(o[1], p[1]), F.greatest(o[1], p[1])))
+    a, b, c, d = ("ax", "ay"), ("bx", "by"), ("fax", "fay"), ("fbx", "fby")
+    both = e.join(f, [*keys, "cx", "cy"]).filter((F.col("ring") < F.col("fring")) | (F.col("ring") == F.col("fring")) & (F.col("k") < F.col("fk")))
+    both = both.select("*", turn(a, b, c).alias("t1"), turn(a, b, d).alias("t2"), turn(c, d, a).alias("t3"), turn(c, d, b).alias("t4"))
+    crossing = (F.col("t1") * F.col("t2") < 0) & (F.col("t3") * F.col("t4") < 0)
+    shared = lambda i: (F.least(F.greatest(a[i], b[i]), F.greatest(c[i], d[i]))
+                        > F.greatest(F.least(a[i], b[i]), F.least(c[i], d[i])))
+    along = (F.col("t1") == 0) & (F.col("t2") == 0) & (shared(0) | shared(1))
+    next_to = (F.col("fk") == F.col("k") + 1) | (F.col("k") == 0) & (F.col("fk") == F.col("last"))
+    meets = ((F.col("t1") == 0) & within(c, a, b) | (F.col("t2") == 0) & within(d, a, b)
+             | (F.col("t3") == 0) & within(a, c, d) | (F.col("t4") == 0) & within(b, c, d))
+    touching = (F.col("ring") == F.col("fring")) & ~next_to & meets
+    return both.filter(crossing | along | touching).select(*keys).distinct()
 
 
 def points_in_zones(points: DataFrame, zones: DataFrame, tile: float) -> DataFrame:

@@ -36,12 +36,15 @@ def declared_mismatch(features: DataFrame) -> DataFrame:
 
 
 def validity(features: DataFrame, keys: Sequence[str], cell: float | None = None) -> DataFrame:
-    """Kind, positive area, closed rings, no self-crossing: one row per finding."""
+    """Kind, positive area, closed and complete rings, holes inside their shell, no ring
+    that crosses or touches itself: one row per finding."""
     ok_kind = F.coalesce(F.col("geom_type").isin("Polygon", "MultiPolygon"), F.lit(False))
     row = F.array_compact(F.array(
         F.when(F.col("rings").isNull(), "NO_GEOMETRY"), F.when(F.col("rings").isNotNull() & ~ok_kind, "NOT_A_POLYGON"),
         F.when(ok_kind & (G.polygon_area(F.col("rings")) <= 0), "ZERO_AREA"),
-        F.when(ok_kind & ~F.forall("rings", G.closed), "RING_NOT_CLOSED")))
+        F.when(ok_kind & ~F.forall("rings", G.closed), "RING_NOT_CLOSED"),
+        F.when(ok_kind & ((F.size("rings") == 0) | F.exists("rings", lambda r: F.size(r) < 4)), "EMPTY_PART"),
+        F.when((F.col("geom_type") == "Polygon") & (F.size("rings") > 1) & G.hole_outside(F.col("rings")), "HOLE_OUTSIDE")))
     simple = features.select(*keys, F.explode(row).alias("reason"))
     crossed = O.self_crossing(features.filter(ok_kind).select(*keys, "rings"), keys, cell).withColumn("reason", F.lit("SELF_CROSSING"))
     return simple.unionByName(crossed)
@@ -103,20 +106,62 @@ def zone_share(site: DataFrame, zone: DataFrame, tile: float | None = None) -> D
 
 
 def not_contained(features: DataFrame, site: DataFrame, key: str = "feature_id", tile: float = 256.0) -> DataFrame:
-    """Features of any kind that are not strictly inside the united site.
+    """Features of any kind that are not inside the united site.
 
-    A vertex outside every site polygon decides for points and lines; polygons
-    are decided by their area outside.
+    Points are decided by their place, polygons by their area outside, and lines by all
+    of their length: each segment is cut at tile borders and at the edges of the site,
+    and the middle of every piece must lie inside.
     """
-    polys = features.filter(F.col("geom_type").isin("Polygon", "MultiPolygon"))
+    kind = F.col("geom_type")
+    polys = features.filter(kind.isin("Polygon", "MultiPolygon"))
     areas = O.outside_site(polys, site, [GROUP], key, 1e-6, tile).select(GROUP, key)
-    v = features.filter(~F.col("geom_type").isin("Polygon", "MultiPolygon")).select(GROUP, key, F.posexplode(F.flatten("rings")).alias("i", "p")).select(
-        GROUP, key, "i", "p.x", "p.y")
-    v = v.withColumn("tx", F.floor(F.col("x") / tile).cast("bigint")).withColumn("ty", F.floor(F.col("y") / tile).cast("bigint"))
     s = O.tiled(site.select(GROUP, "rings"), tile)
+    lines = features.filter(kind.isin("LineString", "MultiLineString"))
+    v = features.filter(~kind.isin("Polygon", "MultiPolygon", "LineString", "MultiLineString")).select(
+        GROUP, key, F.posexplode(F.flatten("rings")).alias("i", "p")).select(GROUP, key, "i", "p.x", "p.y")
+    v = v.withColumn("tx", F.floor(F.col("x") / tile).cast("bigint")).withColumn("ty", F.floor(F.col("y") / tile).cast("bigint"))
     hit = v.join(s, [GROUP, "tx", "ty"]).filter(G.point_in_rings(F.struct("x", "y"), F.col("rings"))).select(GROUP, key, "i").distinct()
     out = v.join(hit, [GROUP, key, "i"], "left_anti").select(GROUP, key).distinct()
-    return areas.unionByName(out)
+    return areas.unionByName(out).unionByName(lines_leaving(lines, s, key, tile))
+
+
+def lines_leaving(lines: DataFrame, pieces: DataFrame, key: str, tile: float) -> DataFrame:
+    """Lines with a stretch outside the site pieces of its tile."""
+    n = lambda r: F.greatest(F.size(r) - 1, F.lit(0))
+    steps = F.flatten(F.transform("rings", lambda r: F.zip_with(F.slice(r, 1, n(r)), F.slice(r, 2, n(r)), lambda p, q: F.struct(
+        p["x"].alias("ax"), p["y"].alias("ay"), (q["x"] - p["x"]).alias("dx"), (q["y"] - p["y"]).alias("dy")))))
+    seg = lines.select(GROUP, key, F.posexplode(steps).alias("i", "e")).select(GROUP, key, "i", "e.*").withColumn(
+        "t0", F.lit(0.0)).withColumn("t1", F.lit(1.0))
+    for o, d, cell in (("ax", "dx", "tx"), ("ay", "dy", "ty")):
+        # Cells along this axis, and the stretch of the segment inside each.
+        low, high = F.col(o) + F.col("t0") * F.col(d), F.col(o) + F.col("t1") * F.col(d)
+        first = lambda v: F.floor(v / tile).cast("bigint")
+        seg = seg.withColumn(cell, F.explode(F.sequence(first(F.least(low, high)), first(F.greatest(low, high)))))
+        at = lambda m: (F.col(cell) * tile + m * tile - F.col(o)) / F.nullif(F.col(d), F.lit(0.0))
+        seg = seg.withColumn("__a", F.coalesce(F.greatest("t0", F.least(at(0), at(1))), "t0")).withColumn(
+            "t1", F.coalesce(F.least("t1", F.greatest(at(0), at(1))), "t1")).withColumn("t0", F.col("__a")).drop("__a")
+    held = pieces.groupBy(GROUP, "tx", "ty").agg(F.collect_list("rings").alias("site"))
+    both = seg.filter("t0 <= t1").join(held, [GROUP, "tx", "ty"], "left").withColumn(
+        "site", F.coalesce("site", F.array().cast(held.schema["site"].dataType)))
+
+    def cut(p, q):
+        sx, sy = q["x"] - p["x"], q["y"] - p["y"]
+        den = F.col("dx") * sy - F.col("dy") * sx
+        px, py = p["x"] - F.col("ax"), p["y"] - F.col("ay")
+        t = (px * sy - py * sx) / F.nullif(den, F.lit(0.0))
+        u = (px * F.col("dy") - py * F.col("dx")) / F.nullif(den, F.lit(0.0))
+        return F.when(u.between(0, 1) & (t > F.col("t0")) & (t < F.col("t1")), t)
+    cuts = F.array_compact(F.flatten(F.transform(F.flatten("site"), lambda r: F.zip_with(
+        F.slice(r, 1, n(r)), F.slice(r, 2, n(r)), cut))))
+    stops = F.array_sort(F.array_distinct(F.concat(F.array("t0"), cuts, F.array("t1"))))
+    middles = both.withColumn("__s", stops).withColumn("__m", F.transform(F.filter(
+        F.sequence(F.lit(1), F.size("__s")), lambda k: F.coalesce(F.get("__s", k) - F.get("__s", k - 1) > 1e-9, F.lit(False))),
+        lambda k: (F.get("__s", k) + F.get("__s", k - 1)) / 2))
+    # A segment of no length is its one point.
+    middles = middles.withColumn("__m", F.when((F.col("dx") == 0) & (F.col("dy") == 0), F.array(F.lit(0.0))).otherwise(F.col("__m")))
+    lost = F.exists("__m", lambda m: ~F.exists("site", lambda r: G.point_in_rings(
+        F.struct((F.col("ax") + m * F.col("dx")).alias("x"), (F.col("ay") + m * F.col("dy")).alias("y")), r)))
+    return middles.filter(lost).select(GROUP, key).distinct()
 
 
 def review(features: DataFrame, metrics: DataFrame, submissions: DataFrame, official: dict[str, float] | None = None,

@@ -283,3 +283,64 @@ def test_registry_messages(spark):
     df = spark.createDataFrame([(1, "A", "approved", "no", "restricted_or_unknown", "A0", "https://x", "long text"), (2, "A", "provisional", "yes", "public_url", "A0", "ftp://x", "no")], cols)
     got = {(r.pos, r.check_id) for r in K.check_registry_cross(df, ["pos"]).collect()}
     assert got == {(1, "RESTRICTED_APPROVED"), (2, "FORMAL_NOT_APPROVED"), (2, "PROVISIONAL_FORMAL"), (2, "PUBLIC_URL_NOT_HTTP"), (2, "LICENSE_TOO_SHORT")}
+
+
+def test_line_over_a_notch_leaves_the_site(spark):
+    from pyspark.sql import functions as F
+    from terravet.plans.spatial_review import not_contained
+    ring = lambda *ps: [[{"x": float(x), "y": float(y)} for x, y in ps]]
+    kind = "array<array<struct<x:double,y:double>>>"
+    site = spark.createDataFrame([("s", ring((0, 0), (30, 0), (30, 20), (20, 20), (20, 5), (10, 5), (10, 20), (0, 20), (0, 0)))],
+                                 f"submission string, rings {kind}")
+    rows = [("over", "LineString", ring((5, 15), (25, 15))), ("around", "LineString", ring((5, 15), (5, 2), (25, 2), (25, 15))),
+            ("edge", "LineString", ring((1, 1), (29, 1))), ("out", "LineString", ring((5, 15), (5, 25))), ("dot", "LineString", ring((15, 10), (15, 10))),
+            ("point", "Point", ring((15, 10))), ("inside", "Point", ring((15, 2)))]
+    f = spark.createDataFrame([("s", *r) for r in rows], f"submission string, feature_id string, geom_type string, rings {kind}")
+    for tile in (4.0, 64.0):
+        assert {r.feature_id for r in not_contained(f, site, tile=tile).collect()} == {"over", "out", "dot", "point"}
+    assert not_contained(f.filter(F.lit(False)), site).count() == 0
+
+
+def test_rings_that_touch_or_overlap_are_invalid(spark):
+    from terravet.plans.spatial_review import validity
+    ring = lambda *ps: [{"x": float(x), "y": float(y)} for x, y in ps]
+    square = ring((0, 0), (8, 0), (8, 8), (0, 8), (0, 0))
+    rows = [("fine", [square]), ("repeat", [ring((0, 0), (8, 0), (8, 0), (8, 8), (0, 8), (0, 0))]),
+            ("touch", [ring((0, 0), (4, 4), (8, 0), (8, 8), (4, 4), (0, 8), (0, 0))]), ("spike", [ring((0, 0), (8, 0), (12, 0), (8, 0), (8, 8), (0, 0))]),
+            ("hole", [square, ring((2, 2), (4, 2), (4, 4), (2, 2))]), ("point", [square, ring((0, 4), (4, 2), (4, 6), (0, 4))]),
+            ("outside", [square, ring((9, 9), (11, 9), (11, 11), (9, 9))]), ("twice", [square, square])]
+    df = spark.createDataFrame([(k, "Polygon", r) for k, r in rows], "id string, geom_type string, rings array<array<struct<x:double,y:double>>>")
+    for cell in (1.0, 4.0, 100.0):
+        found = {(r.id, r.reason) for r in validity(df, ["id"], cell).collect()} - {("twice", "ZERO_AREA")}
+        assert found == {("touch", "SELF_CROSSING"), ("spike", "SELF_CROSSING"), ("outside", "HOLE_OUTSIDE"), ("twice", "SELF_CROSSING")}
+
+
+def test_ids_take_the_first_free_form(spark):
+    from terravet.plans.discovery import suffix_ids
+    def plain(ids):
+        used, out = set(), []
+        for i in ids:
+            made, n = i, 2
+            while made in used:
+                made, n = f"{i}-{n}", n + 1
+            used.add(made)
+            out.append(made)
+        return out
+    import random
+    rng = random.Random(1)
+    for ids in (["X", "X", "X-2", "X-2-x"], ["X-2", "X", "X", "X"], ["a", "a", "b"],
+                [rng.choice(["X", "X-2", "X-3", "X-2-2", "Y", "Y-5", "Z"]) for _ in range(300)]):
+        rows = spark.createDataFrame(list(enumerate(ids)), "seq bigint, source_id string")
+        got = [r.source_id for r in suffix_ids(rows, block=50).orderBy("seq").collect()]
+        assert got == plain(ids) and len(set(got)) == len(got)
+
+
+def test_whole_texts_are_read(one):
+    from pyspark.sql import functions as F
+    from terravet.functions import indicators as I, web as W
+    page = "<html><head><title>t</title></head><body>" + "<p>filler words here</p>" * 6_000 + "<p>lastword</p></body></html>"
+    assert one(W.page_metadata(F.lit(page)))["text"].endswith("lastword")
+    long = "x " * 50_000
+    assert one(W.topic_hits(F.lit("t"), F.lit(long + "lastword"), F.lit("u"), ["lastword"])) == ["lastword"]
+    text = "密度 HD00-0403-0043\n" + "\n" * 40 + "2000.5 2.1 30 24 7000 35"
+    assert one(I.plot_rows_plain(F.lit(text)))[0]["vals"]["land"] == "2000.5"
