@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from .. import params as P
+from ..functions import text as X
 from ..operators import aggregates as A
 from ..plans import reviews as R
 from ..plans import rules as RU
@@ -223,18 +224,40 @@ def _(t):
     return R.gallery_table(pk, pub)
 
 
-@query("portal_compare", "C14", """SELECT c_custkey AS submission, CASE WHEN c_custkey % 5 = 0 THEN '未提供' ELSE c_name END AS core_concept, n_name || '、x' AS tracks, coalesce(t, '未提供') AS concept_space, coalesce(r, '未提供') AS risk, CASE WHEN c_custkey % 7 = 0 THEN '已覆盖' ELSE '未单独声明' END AS youth, c_mktsegment AS beneficiaries
-    FROM (SELECT *, 'n' || c_nationkey AS nk FROM customer) JOIN nation ON n_nationkey = c_nationkey LEFT JOIN (SELECT o_custkey, string_agg(CASE WHEN rn <= 4 THEN 'o' || o_orderkey END, '；' ORDER BY rn) AS t FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY 'o' || o_orderkey) AS rn FROM orders) GROUP BY 1) a ON a.o_custkey = c_custkey
-    LEFT JOIN (SELECT o_custkey, string_agg(CASE WHEN rn <= 3 THEN 'o' || o_orderkey || ' ' || s || '/5' END, '；' ORDER BY rn) AS r FROM (SELECT *, 1 + o_orderkey % 5 AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY 1 + o_orderkey % 5 DESC, 'o' || o_orderkey) AS rn FROM orders) GROUP BY 1) b ON b.o_custkey = c_custkey""")
+COMPARED = """SELECT c_custkey AS submission, CASE WHEN c_custkey % 15 = 0 THEN '未提供' WHEN c_custkey % 5 = 0 THEN 'sub' ELSE c_name END AS core_concept,
+    n_name || '、x' AS tracks, coalesce(t, '未提供') AS concept_space, CASE WHEN c_custkey % 2 = 0 THEN 'm ' || c_name ELSE '未提供' END AS public_space,
+    CASE WHEN c_custkey % 3 = 0 THEN 'w' ELSE c_mktsegment END AS industry_governance,
+    CASE WHEN c_custkey % 4 = 0 THEN 'g' WHEN c_custkey % 4 = 1 THEN 's1、s2' WHEN c_custkey % 4 = 2 THEN 'h1；h2' ELSE '未提供' END AS ai_scene,
+    '未提供' AS landing_path, coalesce(r, '未提供') AS risk, CASE WHEN c_custkey % 7 = 0 THEN '已覆盖' ELSE '未单独声明' END AS youth, c_mktsegment AS beneficiaries
+    FROM customer JOIN nation ON n_nationkey = c_nationkey
+    LEFT JOIN (SELECT o_custkey, string_agg('L：o' || o_orderkey || '（P）', '；' ORDER BY rn) FILTER (rn <= 4) AS t FROM (
+      SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY 'o' || o_orderkey) AS rn FROM orders) GROUP BY 1) a ON a.o_custkey = c_custkey
+    LEFT JOIN (SELECT o_custkey, string_agg('o' || o_orderkey || ' ' || s || '/5', '；' ORDER BY rn) FILTER (rn <= 3) AS r FROM (
+      SELECT *, 1 + o_orderkey % 5 AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY 1 + o_orderkey % 5 DESC, 'o' || o_orderkey) AS rn FROM orders)
+      GROUP BY 1) b ON b.o_custkey = c_custkey"""
+
+
+@query("portal_compare", "C14", COMPARED)
 def _(t):
     k = F.col("c_custkey")
-    cards = t.customer.select(k.alias("submission"), F.when(k % 5 == 0, "").otherwise(F.col("c_name")).alias("summary"), F.array(F.concat(F.lit("n"), "c_nationkey"), F.when(
-        k % 7 == 0, "youth-friendly-public-space").otherwise("x")).alias("tracks"), F.array("c_mktsegment").alias("tags"))
-    dim = t.nation.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("title")).unionByName(literal_table(t.spark, [("youth-friendly-public-space", "x")], "id string, title string"))
+    none = F.array().cast("array<string>")
+    words = lambda *w: F.array(*[F.lit(x) for x in w])
+    cards = t.customer.select(
+        k.alias("submission"), F.when(k % 5 == 0, "").otherwise(F.col("c_name")).alias("summary"), F.when(k % 3 != 0, "sub").otherwise("").alias("subtitle"),
+        F.array(F.concat(F.lit("n"), "c_nationkey"), F.when(k % 7 == 0, "youth-friendly-public-space").otherwise("x")).alias("tracks"),
+        F.array("c_mktsegment").alias("tags"), F.when(k % 4 == 1, words("s1", "s2")).otherwise(none).alias("scenarios"),
+        F.when(k % 4 == 2, words("h1", "h2")).otherwise(none).alias("highlights"))
+    modules = t.customer.select(k.alias("submission"), F.explode(F.array(
+        F.struct(F.lit("spatial_strategy").alias("module"), F.when(k % 2 == 0, X.module_rollup(F.lit("m  "), F.lit(""), [])).alias("v")),
+        F.struct(F.lit("agent_workflow").alias("module"), F.when(k % 3 == 0, "w").alias("v")),
+        F.struct(F.lit("scenario_gallery").alias("module"), F.when(k % 4 == 0, "g").otherwise("").alias("v")))).alias("m"), "c_name").select(
+        "submission", "m.module", F.when(F.col("m.module") == "spatial_strategy", F.concat("m.v", F.lit(" "), "c_name")).otherwise(F.col("m.v")).alias("value"))
+    dim = t.nation.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("title")).unionByName(
+        literal_table(t.spark, [("youth-friendly-public-space", "x")], "id string, title string"))
     o = F.concat(F.lit("o"), F.col("o_orderkey"))
     risk = t.orders.select(F.col("o_custkey").alias("submission"), o.alias("id"), o.alias("label"), (1 + F.col("o_orderkey") % 5).cast("string").alias("score"))
-    con = t.orders.select(F.col("o_custkey").alias("submission"), F.lit("node").alias("type"), o.alias("title"), F.lit(1).alias("order"))
-    return R.compare_table(cards, dim, risk, con)
+    con = t.orders.select(F.col("o_custkey").alias("submission"), F.lit("L").alias("type_label"), F.lit("P").alias("place_label"), o.alias("title"), F.lit(1).alias("order"))
+    return R.compare_table(cards, dim, risk, con, modules)
 
 
 @query("packet_metrics", "C15", "SELECT p_brand AS submission, CAST(p_partkey AS VARCHAR) AS metric, 'known' AS status, CASE WHEN p_size % 4 = 0 THEN 'unknown' WHEN p_size % 4 = 1 THEN CAST(p_size AS VARCHAR) || ' m' WHEN p_size % 4 = 2 THEN '1.5e+05 m' ELSE '0.25 m' END AS shown FROM part")
@@ -250,6 +273,38 @@ def _(t):
     return R.packet_risks(t.customer.select(F.col("c_nationkey").alias("submission"), F.col("c_name").alias("label"), F.when(k % 11 != 0, k % 5).alias("score"), F.concat(F.lit(" "), "c_mktsegment").alias("note"), F.lit("").alias("mitigation")))
 
 
+@query("packet_checks", "C15", "SELECT c_nationkey AS submission, 'k' || c_custkey AS check_id, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'pass' END AS result, 'major' AS severity, c_name AS target, '' AS message FROM customer")
+def _(t):
+    k = F.col("c_custkey")
+    return R.packet_checks(t.customer.select(F.col("c_nationkey").alias("submission"), F.concat(F.lit("k"), k).alias("check_id"), F.when(k % 3 != 0, "pass").alias("result"),
+                                             F.lit("major").alias("severity"), F.col("c_name").alias("target"), F.lit(None).cast("string").alias("message")))
+
+
+@query("packet_blockers", "C15", "SELECT c_custkey AS submission, unnest(CASE WHEN c_custkey % 2 = 0 THEN [0, 2] ELSE [2] END)::INTEGER AS pos, unnest(CASE WHEN c_custkey % 2 = 0 THEN [c_name, 'open'] ELSE ['open'] END) AS blocker FROM customer WHERE c_custkey % 5 <> 0")
+def _(t):
+    k = F.col("c_custkey")
+    listed = F.when(k % 5 != 0, F.array(F.when(k % 2 == 0, F.col("c_name")).otherwise(" "), F.lit(None).cast("string"), F.lit("open")))
+    return R.packet_blockers(t.customer.select(k.alias("submission"), listed.alias("known_blockers")))
+
+
+@query("packet_assumptions", "C15", "SELECT s_nationkey AS submission, 'A' || s_suppkey AS id, 'open' AS status, s_name AS statement, '' AS impact FROM supplier")
+def _(t):
+    return R.packet_assumptions(t.supplier.select(F.col("s_nationkey").alias("submission"), F.concat(F.lit("A"), "s_suppkey").alias("id"), F.lit("open").alias("status"),
+                                                  F.col("s_name").alias("statement"), F.lit(None).cast("string").alias("impact")))
+
+
+@query("packet_sources", "C15", "SELECT lang AS submission, doc_id AS id, source AS source_type, CASE WHEN doc_id % 3 = 0 THEN 'p/' || doc_id WHEN doc_id % 3 = 1 THEN 'http://u/' || doc_id ELSE '' END AS place, '' AS usage FROM documents")
+def _(t):
+    k = F.col("doc_id")
+    return R.packet_sources(t.documents.select(F.col("lang").alias("submission"), k.alias("id"), F.col("source").alias("source_type"), F.when(k % 3 == 0, F.concat(F.lit("p/"), k)).alias("path"),
+                                               F.when(k % 3 == 1, F.concat(F.lit("http://u/"), k)).alias("url"), F.lit("").alias("usage")))
+
+
+@query("packet_files", "C15", "SELECT p_brand AS submission, p_name AS label, CASE WHEN p_size % 4 = 0 THEN '缺失' ELSE '有' END AS state, 'f' || p_partkey AS path FROM part")
+def _(t):
+    return R.packet_files(t.part.select(F.col("p_brand").alias("submission"), F.col("p_name").alias("label"), (F.col("p_size") % 4 != 0).alias("exists"), F.concat(F.lit("f"), "p_partkey").alias("path")))
+
+
 @query("packet_index", "S15", "SELECT 'p' || c_custkey AS path, c_name AS title, c_mktsegment AS author, 'ready' AS status, CASE c_custkey % 3 WHEN 0 THEN 'YES' WHEN 1 THEN 'NO' ELSE '未声明' END AS readiness FROM customer")
 def _(t):
     k = F.col("c_custkey")

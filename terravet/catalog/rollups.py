@@ -91,15 +91,19 @@ PAN = "(SELECT o_custkey AS submission, CASE WHEN o_orderkey % 7 = 0 THEN NULL E
 PANEL_SQL = f"SELECT submission, count(*) AS judges, count(*) FILTER (WHERE coalesce(refuted, TRUE)) AS n_refuted, count(*) FILTER (WHERE coalesce(refuted, TRUE) AND blocking) AS n_blocking, count(*) FILTER (WHERE coalesce(refuted, TRUE)) <= 2 AND count(*) FILTER (WHERE coalesce(refuted, TRUE) AND blocking) = 0 AS approved FROM {PAN} GROUP BY 1"
 
 
-@query("panel_decision", "G9", PANEL_SQL)
+DECIDED = f"""SELECT *, CASE WHEN approved THEN 'APPROVED' ELSE 'NEED_WORK' END AS decision, CASE WHEN n_blocking > 0 THEN 'blocking'
+    WHEN n_refuted > 2 THEN 'major_fixes' WHEN n_refuted > 0 THEN 'minor_fixes' ELSE 'approved' END AS route FROM ({PANEL_SQL})"""
+
+
+@query("panel_decision", "G9", DECIDED)
 def _(t):
     return A.panel(t.sql(f"SELECT * FROM {PAN}"))
 
 
-@query("panel_verdicts", "C12", f"SELECT submission, approved, (judges - n_refuted) || '/' || judges || ' not refuted, ' || n_blocking || ' blocking' AS summary FROM ({PANEL_SQL})")
+@query("panel_verdicts", "C12", f"SELECT submission, approved, (judges - n_refuted) || '/' || judges || ' not refuted, ' || n_blocking || ' blocking: ' || decision AS summary, route FROM ({DECIDED})")
 def _(t):
     from ..plans.reviews import panel_verdicts
-    return panel_verdicts(t.sql(f"SELECT * FROM {PAN}")).select("submission", "approved", "summary")
+    return panel_verdicts(t.sql(f"SELECT * FROM {PAN}")).select("submission", "approved", "summary", "route")
 
 
 @query("risk_summary", "G10", f"""WITH r AS (SELECT submission, label, score::INTEGER AS s, row_number() OVER (PARTITION BY submission ORDER BY score::INTEGER DESC, label, pos) AS rn FROM (SELECT submission, pos, id || pos AS label, score FROM {RISK} WHERE regexp_matches(score, '^[1-5]$')))

@@ -96,11 +96,19 @@ def weighted_score(scores: DataFrame, weights: dict[str, int], group: str = "sub
 
 
 def panel(verdicts: DataFrame, group: str = "submission", allowed: int = 2) -> DataFrame:
-    """Approved with at most two refutations and no blocking one among them."""
+    """Approved with at most two refutations and no blocking one among them.
+
+    ``route`` is where the procedure sends the package next: a blocking refutation goes
+    before everything, then more refutations than allowed, then any at all.
+    """
     refuted = F.coalesce(F.col("refuted"), F.lit(True))
     n, blocking = F.count_if(refuted), F.count_if(refuted & F.coalesce(F.col("blocking"), F.lit(False)))
-    return verdicts.groupBy(group).agg(F.count(F.lit(1)).alias("judges"), n.alias("n_refuted"), blocking.alias("n_blocking"),
-                                       ((n <= allowed) & (blocking == 0)).alias("approved"))
+    counts = verdicts.groupBy(group).agg(F.count(F.lit(1)).alias("judges"), n.alias("n_refuted"), blocking.alias("n_blocking"))
+    route = (F.when(F.col("n_blocking") > 0, "blocking").when(F.col("n_refuted") > allowed, "major_fixes")
+             .when(F.col("n_refuted") > 0, "minor_fixes").otherwise("approved"))
+    approved = (F.col("n_refuted") <= allowed) & (F.col("n_blocking") == 0)
+    return counts.withColumn("approved", approved).withColumn(
+        "decision", F.when(F.col("approved"), "APPROVED").otherwise("NEED_WORK")).withColumn("route", route)
 
 
 def risk_summary(risk: DataFrame, group: str = "submission", k: int = 3) -> DataFrame:

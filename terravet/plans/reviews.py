@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import aggregates as A
 from ..operators import documents as D
 from ..operators import joins as J
+from ..scale import top_k
 
 
 def _issues(df: DataFrame, check_id: str, severity: str, detail: Column) -> DataFrame:
@@ -149,7 +150,7 @@ def reviewed_score(scores: DataFrame, reviews: DataFrame, gate_rows: DataFrame,
 
 def panel_verdicts(verdicts: DataFrame) -> DataFrame:
     return A.panel(verdicts).withColumn("summary", F.concat(
-        F.col("judges") - F.col("n_refuted"), F.lit("/"), F.col("judges"), F.lit(" not refuted, "), F.col("n_blocking"), F.lit(" blocking")))
+        F.col("judges") - F.col("n_refuted"), F.lit("/"), F.col("judges"), F.lit(" not refuted, "), F.col("n_blocking"), F.lit(" blocking: "), F.col("decision")))
 
 
 # ---- gallery, portal, packets ------------------------------------------------------------------------
@@ -165,17 +166,35 @@ def gallery_table(packages: DataFrame, publication: DataFrame) -> DataFrame:
         X.iso_date(F.col("generated_at")).alias("date"), "status_key"))
 
 
-def compare_table(cards: DataFrame, tracks: DataFrame, risk: DataFrame, concepts: DataFrame, none: str = "未提供") -> DataFrame:
-    """Compare fields per proposal from its card, tracks, risks and concepts."""
+def compare_table(cards: DataFrame, tracks: DataFrame, risk: DataFrame, concepts: DataFrame, modules: DataFrame,
+                  none: str = "未提供") -> DataFrame:
+    """The ten compare fields per proposal from its card, tracks, risks, concepts and exhibit modules.
+
+    ``modules`` holds (submission, module, value) with the rolled-up text of a module;
+    concepts carry the label of their type and of their place.
+    """
     t = J.label_tags(cards, "submission", "tracks", tracks, 3).groupBy("submission").agg(F.array_sort(F.collect_list(F.struct("pos", "title", "id"))).alias("t"))
-    r, k = A.risk_summary(risk).select("submission", F.col("top").alias("risk_text")), A.concept_summary(concepts, k=4).select("submission", "first_titles")
-    all_ = cards.join(t, "submission", "left").join(r, "submission", "left").join(k, "submission", "left")
-    text = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit(none))
+    r = A.risk_summary(risk).select("submission", F.col("top").alias("risk_text"))
+    order = [F.coalesce(F.col("order"), F.lit(99)), F.col("title")]
+    shown = F.concat("type_label", F.lit("："), "title", F.lit("（"), "place_label", F.lit("）"))
+    k = (top_k(concepts.withColumn("__shown", shown), ["submission"], order, 4).groupBy("submission")
+         .agg(F.array_sort(F.collect_list(F.struct("rank", "__shown"))).alias("c"))
+         .select("submission", F.array_join(F.transform("c", lambda x: x["__shown"]), "；").alias("concept_text")))
+    names = ("spatial_strategy", "agent_workflow", "scenario_gallery", "timeline")
+    m = modules.groupBy("submission").agg(*[F.max(F.when(F.col("module") == x, F.nullif("value", F.lit("")))).alias(x) for x in names])
+    all_ = cards
+    for part in (t, r, k, m):
+        all_ = all_.join(part, "submission", "left")
+    text = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs], F.lit(none))
     young = F.exists("t", lambda x: x["id"] == "youth-friendly-public-space")
+    tags = F.array_join("tags", "、")
     return all_.select(
-        "submission", text(X.compact_text(F.col("summary"), 220)).alias("core_concept"), text(F.array_join(F.transform("t", lambda x: x["title"]), "、")).alias("tracks"),
-        text(F.replace("first_titles", F.lit("|"), F.lit("；"))).alias("concept_space"), text(F.col("risk_text")).alias("risk"),
-        F.when(F.coalesce(young, F.lit(False)), "已覆盖").otherwise("未单独声明").alias("youth"), text(F.array_join("tags", "、")).alias("beneficiaries"))
+        "submission", text(X.compact_text(F.coalesce(F.nullif("summary", F.lit("")), "subtitle"), 220)).alias("core_concept"),
+        text(F.array_join(F.transform("t", lambda x: x["title"]), "、")).alias("tracks"), text(F.col("concept_text")).alias("concept_space"),
+        text(F.col("spatial_strategy")).alias("public_space"), text(F.col("agent_workflow"), tags).alias("industry_governance"),
+        text(F.col("scenario_gallery"), F.array_join("scenarios", "、"), F.array_join("highlights", "；")).alias("ai_scene"),
+        text(F.col("timeline")).alias("landing_path"), text(F.col("risk_text")).alias("risk"),
+        F.when(F.coalesce(young, F.lit(False)), "已覆盖").otherwise("未单独声明").alias("youth"), text(tags).alias("beneficiaries"))
 
 
 def packet_rows(packets: DataFrame) -> DataFrame:
@@ -208,6 +227,20 @@ def significant(v: Column, digits: int = 4) -> Column:
     return X.let(X.let(v.cast("double"), show), text)
 
 
+def packet_checks(checks: DataFrame) -> DataFrame:
+    return checks.select("submission", *[X.blank(F.col(c)).alias(c) for c in ("check_id", "result", "severity", "target", "message")])
+
+
+def packet_blockers(manifests: DataFrame) -> DataFrame:
+    """Known blockers of a manifest that say something, in order."""
+    return (manifests.select("submission", F.posexplode("known_blockers").alias("pos", "blocker"))
+            .filter(F.trim(X.blank(F.col("blocker"))) != ""))
+
+
+def packet_assumptions(assumptions: DataFrame) -> DataFrame:
+    return assumptions.select("submission", *[X.blank(F.col(c)).alias(c) for c in ("id", "status", "statement", "impact")])
+
+
 def packet_sources(sources: DataFrame) -> DataFrame:
     return sources.select("submission", "id", "source_type", F.coalesce(F.nullif("path", F.lit("")), F.nullif("url", F.lit("")), F.lit("")).alias("place"), "usage")
 
