@@ -5,7 +5,8 @@ text outside links and lowered for text inside them.  The sum of the densities o
 children is the density sum of a node; the subtree of the largest sum holds the main
 text.  The least density on the path from body to it is the threshold: the densest part
 of every other subtree that reaches the threshold is main text as well.  A chosen subtree
-inside an article element is widened to that element.  Menus, page headers, footers,
+inside an article element is widened to that element, and is then the whole main text;
+inside a main element the search stays there.  Menus, page headers, footers,
 asides, forms, adverts, notices and comments (by element, role and class name), scripts
 and styles take no part.
 
@@ -34,8 +35,8 @@ DROPPED = frozenset("""script style noscript template head title nav footer asid
 iframe svg canvas object audio video dialog menu label fieldset""".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu".split())
 DROPPED_NAMES = frozenset("""ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored comment
-comments commentlist disqus respond sidebar menu navbar nav navigation breadcrumb breadcrumbs footer masthead cookie cookies
-consent gdpr notice notices popup modal newsletter subscribe share sharing social related recommended toolbar pager
+comments commentlist disqus respond replies discussion sidebar menu navbar nav navigation breadcrumb breadcrumbs footer masthead cookie cookies
+consent gdpr notice notices alert notification notifications paywall widget outbrain taboola popup modal newsletter subscribe share sharing social related recommended toolbar pager
 pagination login search skip""".split())
 KEPT_ALWAYS = frozenset("html body main".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -206,22 +207,27 @@ def main_text(html: str) -> str:
         threshold = min(threshold, density[at])
     chosen = bytearray(n)
 
+    def inside(node: int, tag: str) -> int:
+        """The outermost element of a kind around a node, 0 if there is none."""
+        found = 0
+        while node:
+            if tree.tags[node] == tag and not drop[node]:
+                found = node
+            node = parent[node]
+        return found
+
     def choose(node: int) -> None:
-        up, article = node, 0
-        while up:
-            if tree.tags[up] == "article" and not drop[up]:
-                article = up
-            up = parent[up]
-        node = article or node
         chosen[node:last[node]] = b"\1" * (last[node] - node)
 
-    choose(top)
-    i = body
-    while i < last[body]:
+    article = inside(top, "article")
+    choose(article or top)
+    scope = inside(top, "main") or body
+    i = last[scope] if article else scope
+    while i < last[scope]:
         if drop[i] or chosen[i]:
             i += 1
-        elif i == body or density[i] >= threshold:
-            if i != body and chosen.find(1, i, last[i]) < 0:
+        elif i == scope or density[i] >= threshold:
+            if i != scope and chosen.find(1, i, last[i]) < 0:
                 choose(best[i] if sums[best[i]] > 0 else i)
             i += 1
         else:
