@@ -50,7 +50,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
             .withColumn(h, F.expr(f"transform({w}, x -> xxhash64(x))"))
             .withColumn(s, F.expr(f"""case when size({h}) = 0 then cast(array() as array<bigint>)
                 when size({h}) < {WIDTH} then array(xxhash64({h}, size({h})))
-                else array_sort(transform(sequence(0, size({h}) - {WIDTH}), i -> xxhash64({shingle}))) end"""))
+                else sort_array(transform(sequence(0, size({h}) - {WIDTH}), i -> xxhash64({shingle}))) end"""))
             .withColumn(f, F.expr(f"""filter({s}, (x, i) -> i = 0 or
                 shiftrightunsigned(x, {BIN_SHIFT}) <> shiftrightunsigned({s}[i - 1], {BIN_SHIFT}))"""))
             .withColumn(b, F.expr(f"transform({f}, x -> cast(shiftrightunsigned(x, {BIN_SHIFT}) as int))"))
