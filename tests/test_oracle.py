@@ -1,7 +1,6 @@
 """Registered queries against their SQL oracle on the smallest tables.
 
-ORACLE_ONLY=name,name restricts the run; ORACLE_ALL=1 adds the slow overlay jobs,
-whose parts are covered by the faster queries.
+ORACLE_ONLY=name,name restricts the run.
 """
 
 import os
@@ -12,17 +11,13 @@ import oracle
 
 FOLDER = "/root/testdata/sf0.001"
 ONLY = [n for n in os.environ.get("ORACLE_ONLY", "").split(",") if n]
-SLOW = {"spatial_review", "land_permission", "three_lines", "three_zones", "zone_shares", "line_metrics", "outside_features",
-        "key_area_audit", "scope_nesting", "topology_report", "kpi_metrics", "strict_containment"}
-if os.environ.get("ORACLE_ALL"):
-    SLOW = set()
 # Too few rows at this scale for a non-empty answer; covered at the next one.
 MAY_BE_EMPTY = True
 
 
 def _names():
     import __spark_entry__ as contract
-    return [n for n in contract.queries() if (n in ONLY if ONLY else n not in SLOW)]
+    return [n for n in contract.queries() if n in contract.load_entries() and (not ONLY or n in ONLY)]
 
 
 @pytest.fixture(scope="module")
