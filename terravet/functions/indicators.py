@@ -46,19 +46,14 @@ def notice_no(text: Column) -> Column:
 
 def label_reads(text: Column) -> Column:
     """Struct of the six labelled values, null where absent."""
-    return F.struct(
-        _g(text, r"容积率\s*[：:]\s*([\d.]+)").alias("far"), _g(text, r"(?:建筑)?控制高度\s*[：:]\s*([\d.]+)").alias("h"),
-        _g(text, r"建筑密度\s*[：:]\s*([\d.]+)").alias("density"), _g(text, r"绿地率\s*[：:]\s*[≥>]?\s*([\d.]+)\s*%").alias("green"),
-        _g(text, r"用地规模\s*[：:]\s*([\d.]+)\s*平方米").alias("land"),
-        _g(text, r"地上建筑规模\s*[：:]\s*([\d.]+)\s*平方米").alias("floor"))
+    return F.struct(*[_g(text, pattern).alias(name) for name, pattern in P.LABEL_PATTERNS.items()])
 
 
 def announcement_reads(text: Column) -> Column:
     """Land and floor area of a notice: labels first, then the listing table."""
-    num = r"\s*[：:]\s*([\d,]+(?:\.\d+)?)\s*平方米"
     bare = lambda c: F.replace(c, F.lit(","), F.lit(""))
-    land = bare(F.coalesce(_g(text, "(?:总)?用地面积" + num), _g(text, "土地面积" + num)))
-    floor = bare(F.coalesce(_g(text, "(?:总)?地上建筑规模" + num), _g(text, "建筑控制规模" + num)))
+    land = bare(F.coalesce(*[_g(text, p) for p in P.LAND_AREA_PATTERNS]))
+    floor = bare(F.coalesce(*[_g(text, p) for p in P.FLOOR_AREA_PATTERNS]))
     segment = F.regexp_extract(blank(text), r"(?s)挂牌编号(.*)", 1)
     segment = F.substring_index(F.substring_index(segment, "起始价", 1), "万元", 1)
     segment = let(segment, lambda s: F.when(F.instr(s, "（平方米）") > 0, F.substr(s, F.instr(s, "（平方米）"))).otherwise(s))

@@ -315,3 +315,21 @@ HEADER_WORDS = [
     ("land", ["用地规模"]), ("h", ["控制高", "控制"]), ("far", ["容积", "容"]),
     ("floor", ["地上建筑", "地上建"]), ("green", ["绿地", "绿"]), ("density", ["建筑密"]),
 ]
+
+# Labels of indicators in notices and announcements.
+LABEL_PATTERNS = {
+    "far": r"容积率\s*[：:]\s*([\d.]+)",
+    "h": r"(?:建筑)?控制高度\s*[：:]\s*([\d.]+)",
+    "density": r"建筑密度\s*[：:]\s*([\d.]+)",
+    "green": r"绿地率\s*[：:]\s*[≥>]?\s*([\d.]+)\s*%",
+    "land": r"用地规模\s*[：:]\s*([\d.]+)\s*平方米",
+    "floor": r"地上建筑规模\s*[：:]\s*([\d.]+)\s*平方米",
+}
+LAND_AREA_PATTERNS = [
+    r"(?:总)?用地面积\s*[：:]\s*([\d,]+(?:\.\d+)?)\s*平方米",
+    r"土地面积\s*[：:]\s*([\d,]+(?:\.\d+)?)\s*平方米",
+]
+FLOOR_AREA_PATTERNS = [
+    r"(?:总)?地上建筑规模\s*[：:]\s*([\d,]+(?:\.\d+)?)\s*平方米",
+    r"建筑控制规模\s*[：:]\s*([\d,]+(?:\.\d+)?)\s*平方米",
+]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -395,27 +396,26 @@ def set_enabled(rules: DataFrame, constraint_id: str, enabled: bool) -> DataFram
 def evaluate(rules: DataFrame, tables: Tables, checkers: dict[str, Checker] | None = None) -> DataFrame:
     """Outcome rows of all enabled CODE rules for all submissions.
 
-    The rule table is a parameter table; the names of the checkers it uses are
-    read once.  Each checker is one plan over all its rules and submissions.  A
-    checker that cannot be planned (a table it needs is absent) gives ERROR rows.
+    The rule table is a parameter table; which of the known checkers it uses is read
+    once.  Each checker is one plan over all its rules and submissions.  A checker that
+    lacks a table or a column gives ERROR rows; unknown names give SKIP rows in one plan.
     """
     known = CHECKERS if checkers is None else checkers
     active = rules.filter((F.col("check_type") == "CODE") & F.coalesce("enabled", F.lit(True)))
-    used = [r[0] for r in active.select("check_function").distinct().orderBy("check_function").collect()]
-    parts = []
+    registered = F.coalesce(F.col("check_function").isin(list(known)), F.lit(False))
+    used = [r[0] for r in active.filter(registered).select("check_function").distinct().orderBy("check_function").collect()]
+
+    def fixed(mine: DataFrame, outcome: str, text: Column) -> DataFrame:
+        return _grid(tables, mine.select("constraint_id", text.alias("detail"))).select(
+            "submission", "constraint_id", F.lit(outcome).alias("outcome"), "detail", F.lit("").alias("evidence"))
+    unnamed = F.concat(F.lit("No checker registered for '"), X.blank(F.col("check_function")), F.lit("'"))
+    parts = [fixed(active.filter(~registered), "SKIP", unnamed)]
     for name in used:
         mine = active.filter(F.col("check_function") == name)
-        fixed = lambda outcome, text: _grid(tables, mine.select("constraint_id")).select(
-            "submission", "constraint_id", F.lit(outcome).alias("outcome"), F.lit(text).alias("detail"), F.lit("").alias("evidence"))
-        if name not in known:
-            parts.append(fixed("SKIP", f"No checker registered for '{name}'"))
-            continue
         try:
             parts.append(known[name](tables, mine).select(*OUT))
-        except Exception as exc:  # noqa: BLE001 - reported as a row, the other rules go on
-            parts.append(fixed("ERROR", f"Checker error: {type(exc).__name__}"))
-    if not parts:
-        return rules.sparkSession.createDataFrame([], "submission string, constraint_id string, outcome string, detail string, evidence string")
+        except (AnalysisException, KeyError) as exc:
+            parts.append(fixed(mine, "ERROR", F.lit(f"Checker error: {type(exc).__name__}")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -6,7 +6,6 @@
   holds a third of the table is spread over its blocks.
 * ``first_in_group`` / ``top_k``  ``row_number() <= k``: Spark pushes a group
   limit below the shuffle, so a hot key sends at most k rows per map task.
-* ``small_side``  a broadcast hint that is only given after a bounded count.
 """
 
 from __future__ import annotations
@@ -16,18 +15,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if at most ``max_rows`` rows exist.
-
-    The probe reads at most ``max_rows + 1`` rows.  Beyond the bound the frame
-    is returned as it is and the join is left to the optimiser.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def literal_table(spark, rows: Sequence[tuple], schema: str) -> DataFrame:
     """Parameter table written in the program, as a one-partition relation."""
     return spark.createDataFrame(list(rows), schema).coalesce(1)
