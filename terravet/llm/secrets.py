@@ -6,23 +6,25 @@ characters is a candidate.  A small network reads the candidate and the text on
 sides and gives a calibrated probability; candidates that touch no base finding and
 reach the threshold are added as kind ``model``.
 
-The network is trained on labelled findings of a bounded sample of documents: runs that
-a keyword or a key pattern confirms are positive, plain runs are negative.  A positive
-is also shown with the context of a negative and with redrawn characters, so that the
-shape counts and not the keyword alone.  Probabilities are calibrated by a logistic
+The network is trained on labelled findings of all documents, a bounded number of either
+label by hash: runs that a keyword or a key pattern confirms are positive, plain runs are
+negative.  A positive is also shown with the context of a negative and with redrawn
+characters, so that the shape counts and not the keyword alone; a few positives are
+redrawn until there are enough to train and to calibrate.  Probabilities are calibrated by a logistic
 map on a held-out part.  The largest threshold that keeps ``RECALL`` of the held-out
 positives bounds the threshold from above; it is then placed half way down to the next
 harmless candidate, and never under one half.
 
 Defined results: a null or empty text has no findings; repeated rows get equal
-findings; offsets are code points, end exclusive; without enough labelled findings
-there is no network and nothing is added.
+findings; offsets are code points, end exclusive; without any positive or without enough
+negatives there is no network and nothing is added.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_names, per_text, plain_names, read
+from .common import own_names, per_text, pieces, plain_names, read, stored
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -45,9 +47,9 @@ RUN_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=
 RUN_LEAST = 16
 SIDE, CORE = 16, 48
 RECALL = 0.99
-SAMPLE_DOCS = 20_000
 SAMPLE_ROWS = 3_000
 FEWEST = 20
+LEAST_STEPS = 100
 MASK = "[secret]"
 
 _IN_RUN = np.zeros(0x110000, bool)
@@ -223,57 +225,97 @@ def examples(rows: list[tuple[int, str, str, str]], rng: np.random.Generator) ->
     return np.array(x), np.array(y, float)
 
 
-def sample_rows(docs: DataFrame, text: str = "text", docs_limit: int = SAMPLE_DOCS,
-                rows_limit: int = SAMPLE_ROWS) -> list[tuple[int, str, str, str]]:
-    """At most ``rows_limit`` labelled candidates of either kind from about ``docs_limit`` documents.
+def labelled(body: str, found: list[tuple[int, int]]) -> list[tuple[int, str, str, str]]:
+    """(label, left, core, right) of the candidates of a text."""
+    base = base_findings(body, found)
+    confirmed = [(s, e) for _, kind, e, s in base if kind != 2]
+    touched = [(s, e) for s, _, e, _ in base]
+    rows = []
+    for a, b in found:
+        sure = any(s < b and a < e for s, e in confirmed)
+        if sure or not any(s < b and a < e for s, e in touched):
+            rows.append((int(sure), body[max(0, a - SIDE):a], body[a:min(b, a + CORE)], body[b:b + SIDE]))
+    return rows
 
-    Documents are taken by a hash of their text, so the sample does not depend on
-    partitions; the share comes from the row count.
-    """
-    share = min(1.0, docs_limit / max(docs.count(), 1))
-    part = docs.select(text).filter(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(share * 1_000_000))
 
-    def make():
-        def work(texts: list[str]) -> dict[str, pa.Array]:
-            out = []
-            for body, found in zip(texts, runs(texts)):
-                base = base_findings(body, found)
-                confirmed = [(s, e) for _, kind, e, s in base if kind != 2]
-                touched = [(s, e) for s, _, e, _ in base]
-                rows = []
-                for a, b in found:
-                    sure = any(s < b and a < e for s, e in confirmed)
-                    if sure or not any(s < b and a < e for s, e in touched):
-                        rows.append({"label": int(sure), "before": body[max(0, a - SIDE):a],
-                                     "core": body[a:min(b, a + CORE)], "after": body[b:b + SIDE]})
-                out.append(rows)
-            return {"rows": pa.array(out, pa.list_(pa.struct(
-                [("label", pa.int32()), ("before", pa.string()), ("core", pa.string()), ("after", pa.string())])))}
-        return work
+class Smallest:
+    """The ``limit`` distinct rows of smallest hash among all that were added; at most twice as many are held."""
+
+    def __init__(self, limit: int):
+        self.limit, self.rows, self.bound = limit, {}, 1 << 63
+
+    def add(self, row: tuple[int, str, str, str]) -> None:
+        text = "\0".join(row[1:]).encode("utf-8", "surrogatepass")
+        at = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "big") >> 1
+        if at <= self.bound:
+            self.rows[row] = at
+            if len(self.rows) > 2 * self.limit:
+                self.rows = dict(self.best())
+                self.bound = max(self.rows.values())
+
+    def best(self) -> list[tuple[tuple[int, str, str, str], int]]:
+        return sorted(self.rows.items(), key=lambda x: (x[1], x[0]))[:self.limit]
 
-    seen = per_text(part, [], text, "rows array<struct<label:int,before:string,core:string,after:string>>", make)
-    rows = seen.select(F.explode("rows").alias("r")).select("r.*").distinct()
-    order = [F.xxhash64("before", "core", "after"), F.col("core"), F.col("before"), F.col("after")]
+
+def sample_rows(docs: DataFrame, text: str = "text", rows_limit: int = SAMPLE_ROWS) -> list[tuple[int, str, str, str]]:
+    """At most ``rows_limit`` distinct labelled candidates of either kind, those of smallest hash of all documents.
+
+    Each task hands on its own smallest ones only; the result does not depend on partitions.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = Smallest(rows_limit), Smallest(rows_limit)
+        for batch in batches:
+            for _, texts in pieces(x.as_py() for x in batch.column(0)):
+                for body, found in zip(texts, runs(texts)):
+                    for row in labelled(body, found):
+                        kept[row[0]].add(row)
+        for few in kept:
+            best = few.best()
+            columns = list(zip(*[(*row, at) for row, at in best])) or [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64()))],
+                names=["label", "before", "core", "after", "at"])
+
+    seen = docs.select(text).mapInArrow(run, "label int, before string, core string, after string, at bigint")
+    rows = stored(seen, "secret-candidates").distinct()
     out = []
     for label in (1, 0):
-        out += [tuple(r) for r in rows.filter(F.col("label") == label).orderBy(*order).limit(rows_limit).collect()]
+        best = rows.filter(F.col("label") == label).orderBy("at", "before", "core", "after").limit(rows_limit)
+        out += [tuple(r)[:4] for r in best.collect()]
     return out
 
 
-def train(docs: DataFrame, text: str = "text", docs_limit: int = SAMPLE_DOCS, rows_limit: int = SAMPLE_ROWS,
-          seed: int = 11) -> Network | None:
-    return fit(sample_rows(docs, text, docs_limit, rows_limit), seed)
+def train(docs: DataFrame, text: str = "text", rows_limit: int = SAMPLE_ROWS, seed: int = 11) -> Network | None:
+    return fit(sample_rows(docs, text, rows_limit), seed)
+
+
+def redrawn(core: str, rng: np.random.Generator) -> str:
+    """``core`` with every letter and digit drawn anew from the characters of its kind."""
+    kinds = ("abcdef", "ghijklmnopqrstuvwxyz") if re.search("[g-z]", core) is None else ("abcdefghijklmnopqrstuvwxyz",)
+    kinds += ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
+    same = {c: kind for kind in kinds for c in kind}
+    return "".join(same[c][int(rng.integers(len(same[c])))] if c in same else c for c in core)
 
 
 def fit(rows: list[tuple[int, str, str, str]], seed: int = 11) -> Network | None:
-    """Every fifth row is held out for calibration; None with too few rows of a label."""
-    if min(sum(1 for r in rows if r[0] == k) for k in (0, 1)) < FEWEST:
+    """Every fifth row of either label is held out for calibration.
+
+    Fewer than ``FEWEST`` positives are filled up with redrawn ones, to a tenth of the
+    negatives at least; few rows are shown more often.  None without any positive, or with
+    fewer than ``FEWEST`` negatives.
+    """
+    sure, plain = ([r for r in rows if r[0] == k] for k in (1, 0))
+    if not sure or len(plain) < FEWEST:
         return None
     rng = np.random.default_rng(seed)
-    held = [r for i, r in enumerate(rows) if i % 5 == 4]
-    x, y = examples([r for i, r in enumerate(rows) if i % 5 != 4], rng)
+    known = len(sure)
+    while known < FEWEST and len(sure) < max(FEWEST, len(plain) // 10):
+        label, left, core, right = sure[len(sure) % known]
+        sure.append((label, left, redrawn(core, rng), right))
+    held = sure[4::5] + plain[4::5]
+    x, y = examples([r for k in (sure, plain) for i, r in enumerate(k) if i % 5 != 4], rng)
     network = Network.start(rng)
-    network.learn(x, y, rng)
+    network.learn(x, y, rng, rounds=max(4, -(-LEAST_STEPS * 128 // len(x))))
     network.calibrate(*examples(held, rng))
     return network
 

@@ -50,3 +50,21 @@ def test_odd_rows(spark):
     assert clean.columns == df.columns
     assert {r.text for r in clean.filter("doc_id is null").collect()} == {"é😀 " + secrets.MASK}
     assert secrets.train(df) is None and secrets.scan(df.limit(0), None, keep=["doc_id"]).count() == 0
+
+
+def test_rare_secrets_of_many_documents_are_all_sampled(spark):
+    from pyspark.sql import functions as F
+    key = F.concat(F.lit('the token = "'), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 30), F.lit('" of'))
+    docs = spark.range(40_000).select(F.when(F.col("id") % 2000 == 7, key).otherwise(
+        F.concat(F.lit("see incomprehensibilities-"), F.col("id").cast("string"))).alias("text"))
+    sample = secrets.sample_rows(docs, rows_limit=200)
+    assert [r[0] for r in sample] == [1] * 20 + [0] * 200
+    assert sample == secrets.sample_rows(docs.repartition(5), rows_limit=200)
+
+
+def test_few_positives_still_train():
+    few = [r for i, r in enumerate(rows()) if not r[0] or i < 6]
+    network = secrets.fit(few)
+    texts = ["the Zk39aQpL0xYv7TtR2mWc8HsQ1 of", "the thononandtherandoner of"]
+    assert [[secrets.KINDS[f[1]] for f in r] for r in secrets.scan_texts(texts, network)] == [["model"], []]
+    assert secrets.fit([r for r in rows() if not r[0]]) is None
