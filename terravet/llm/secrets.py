@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns plus a character convolutional network in numpy.
 
 Base findings (kinds ``assign``, ``access``, ``hex``) are the leftmost matches of the
-fixed patterns of each kind; they are always kept.  Every run of 16 or more secret-like
-characters is a candidate.  A small network reads the candidate and the text on both
-sides and gives a calibrated probability; candidates that touch no base finding and
-reach the threshold are added as kind ``model``.
+fixed patterns of each kind; they are always kept.  Every run of 12 or more secret-like
+characters, or what base findings leave of it, is a candidate.  A small network reads the
+candidate, a long one in overlapping cores, and the text on both sides of each core and
+gives a calibrated probability; candidates that reach the threshold are added as kind
+``model``.
 
 The network is trained on labelled findings of all documents, a bounded number of either
 label by hash: runs that a keyword or a key pattern confirms are positive, plain runs are
@@ -44,8 +45,9 @@ KINDS = ("assign", "access", "hex", "model")
 KEYWORD_PARTS = ("passw", "secret", "token", "api")
 
 RUN_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
-RUN_LEAST = 16
-SIDE, CORE = 16, 48
+RUN_LEAST = 12
+JOINTS = "=/.-"
+SIDE, CORE, STRIDE = 16, 48, 24
 RECALL = 0.99
 SAMPLE_ROWS = 3_000
 FEWEST = 20
@@ -93,18 +95,31 @@ def base_findings(text: str, found: list[tuple[int, int]]) -> list[tuple[int, in
     return sorted(out)
 
 
-def windows(text: str, a: int, b: int) -> list[np.ndarray]:
-    """Codes of left context, core and right context; a long candidate gives several cores."""
-    left, right = text[max(0, a - SIDE):a], text[b:b + SIDE]
-    out = []
-    for low in range(a, b, CORE):
-        core = text[low:min(low + CORE, b)]
-        if low > a and len(core) < RUN_LEAST:
-            break
-        out.append(codes(left, core, right))
+def parts(text: str, a: int, b: int, base: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """Stretches of a run outside all base findings, without the joints beside a finding."""
+    out, at = [], a
+    for start, end in [*sorted((f[0], f[2]) for f in base if f[0] < b and a < f[2]), (b, b)]:
+        low, high = at, min(start, b)
+        while low > a and low < high and text[low] in JOINTS:
+            low += 1
+        while high < b and low < high and text[high - 1] in JOINTS:
+            high -= 1
+        if high - low >= RUN_LEAST:
+            out.append((low, high))
+        at = max(at, end)
     return out
 
 
+def cores(a: int, b: int) -> list[tuple[int, int]]:
+    """A long candidate gives several cores that overlap by half; the last one ends with it."""
+    return [(low, low + CORE) for low in range(a, b - CORE, STRIDE)] + [(max(a, b - CORE), b)]
+
+
+def around(text: str, a: int, b: int) -> tuple[str, str, str]:
+    """Left context, core and right context."""
+    return text[max(0, a - SIDE):a], text[a:b], text[b:b + SIDE]
+
+
 def codes(left: str, core: str, right: str) -> np.ndarray:
     row = np.full(SIDE + CORE + SIDE, PAD, np.uint8)
     for place, part in ((SIDE - len(left), left), (SIDE, core), (SIDE + CORE, right)):
@@ -232,9 +247,11 @@ def labelled(body: str, found: list[tuple[int, int]]) -> list[tuple[int, str, st
     touched = [(s, e) for s, _, e, _ in base]
     rows = []
     for a, b in found:
-        sure = any(s < b and a < e for s, e in confirmed)
-        if sure or not any(s < b and a < e for s, e in touched):
-            rows.append((int(sure), body[max(0, a - SIDE):a], body[a:min(b, a + CORE)], body[b:b + SIDE]))
+        if not any(s < b and a < e for s, e in touched):
+            rows += [(0, *around(body, low, high)) for low, high in cores(a, b)]
+        elif any(s < b and a < e for s, e in confirmed):
+            rows += [(1, *around(body, low, high)) for low, high in cores(a, b)
+                     if any(min(e, high) - max(s, low) >= min(RUN_LEAST, e - s) for s, e in confirmed)]
     return rows
 
 
@@ -328,11 +345,11 @@ def scan_texts(texts: list[str], network: Network | None) -> list[list[tuple[int
         base = base_findings(body, found)
         out.append([(*f, 1.0) for f in base])
         if network is not None:
-            for a, b in found:
-                if not any(s < b and a < e for s, _, e, _ in base):
-                    cores = windows(body, a, b)
-                    asked.append((j, a, b, len(cores)))
-                    rows += cores
+            for run in found:
+                for a, b in parts(body, *run, base) if base else [run]:
+                    read = cores(a, b)
+                    asked.append((j, a, b, len(read)))
+                    rows += [codes(*around(body, *core)) for core in read]
     if rows:
         made, at = network.probability(np.array(rows)), 0
         for j, a, b, n in asked:

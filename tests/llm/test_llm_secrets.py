@@ -68,3 +68,34 @@ def test_few_positives_still_train():
     texts = ["the Zk39aQpL0xYv7TtR2mWc8HsQ1 of", "the thononandtherandoner of"]
     assert [[secrets.KINDS[f[1]] for f in r] for r in secrets.scan_texts(texts, network)] == [["model"], []]
     assert secrets.fit([r for r in rows() if not r[0]]) is None
+
+
+class Finder:
+    """A network that knows one key by its codes."""
+
+    threshold = 0.5
+
+    def __init__(self, key):
+        self.key = secrets.codes("", key, "")[secrets.SIDE:secrets.SIDE + len(key)].tobytes()
+
+    def probability(self, x):
+        import numpy as np
+        low, high = secrets.SIDE, secrets.SIDE + secrets.CORE
+        return np.array([float(self.key in row[low:high].tobytes()) for row in x])
+
+
+def test_every_part_of_a_run_is_read():
+    key, hexes, plain = "Zk39aQpL0xYv7TtR", "0123456789abcdef" * 2, "thononandtherandoner"
+    network = Finder(key)
+    for joint in "./=-":
+        text = f"the {hexes}{joint}{key} of {key}{joint}{hexes}"
+        found, = secrets.scan_texts([text], network)
+        assert [text[f[0]:f[2]] for f in found if f[1] == 3] == [key, key]
+        assert key not in secrets.redacted(text, found) and hexes not in secrets.redacted(text, found)
+    for before in range(0, 120):
+        run = (plain * 9)[:before] + key
+        for text in (f"the {run} of", f"the {run}{plain * 3} of"):
+            assert [f[1] for f in secrets.scan_texts([text], network)[0]] == [3]
+    short, = secrets.scan_texts(["the Zk39aQpL0xYv of"], Finder("Zk39aQpL0xYv"))
+    assert [(f[0], f[1], f[2]) for f in short] == [(4, 3, 16)]
+    assert secrets.around("a" * 20 + "b" * 48 + "c" * 20, 20, 68) == ("a" * 16, "b" * 48, "c" * 16)
