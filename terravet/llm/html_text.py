@@ -8,7 +8,10 @@ of every other subtree that reaches the threshold is main text as well.  A chose
 inside an article element is widened to that element, and is then the whole main text;
 inside a main element the search stays there.  Menus, page headers, footers,
 asides, forms, adverts, notices and comments (by element, role and class name), scripts
-and styles take no part.
+and styles take no part.  A form or a class name does not drop a subtree with most of the
+text of the page outside links, unless an article or main element keeps a share of it, and
+drops nothing where no text would be left.  The same holds for a subtree with the largest
+density sum, or with more text than all that the names leave.
 
 Defined results: null or empty html gives an empty text; broken markup is read as far as
 it goes, with missing end tags implied; white space inside a block is one space, blocks
@@ -31,13 +34,14 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 BLOCKS = frozenset("""address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset
 figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p
 pre section select summary table tbody td textarea tfoot th thead title tr ul""".split())
-DROPPED = frozenset("""script style noscript template head title nav footer aside form button select option textarea input
+DROPPED = frozenset("""script style noscript template head title nav footer aside button select option textarea input
 iframe svg canvas object audio video dialog menu label fieldset""".split())
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu".split())
+DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu".split())
 DROPPED_NAMES = frozenset("""ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored comment
 comments commentlist disqus respond replies discussion sidebar menu navbar nav navigation breadcrumb breadcrumbs footer masthead cookie cookies
 consent gdpr notice notices alert notification notifications paywall widget outbrain taboola popup modal newsletter subscribe share sharing social related recommended toolbar pager
 pagination login search skip""".split())
+ARTICLE_NAMES = frozenset("comment comments ad ads sponsored related".split())
 KEPT_ALWAYS = frozenset("html body main".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
              "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th", "thead", "tbody", "tfoot"},
@@ -45,7 +49,9 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 SCOPE = frozenset("html body article aside main section div table td th ul ol dl blockquote form header footer nav".split())
 CLOSES_P = BLOCKS - {"br", "title", "head", "html", "body", "option", "optgroup", "select", "textarea", "caption",
                      "tbody", "thead", "tfoot", "tr", "td", "th", "legend"}
-NAME = re.compile(r"[a-z]+")
+PART = re.compile(r"[-_]+|[0-9][0-9x]*")
+#: A subtree is not dropped for its name if articles keep less than this share of its text.
+KEPT_SHARE = 1 / 3
 CUT_TAG = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ/!?")
 
 
@@ -55,6 +61,7 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tags, self.parent, self.drop, self.in_link, self.in_article = ["#"], [0], [False], [False], [False]
+        self.named: list[int] = []  # what only a form or a name would drop
         self.pieces: list[tuple[int, str | None]] = []
         self.stack = [0]
         self.open: dict[str, int] = {}
@@ -88,6 +95,8 @@ class Tree(HTMLParser):
         self.parent.append(above)
         self.in_link.append(self.in_link[above] or tag == "a")
         self.drop.append(self.drop[above] or self._boilerplate(tag, attrs, article))
+        if self._named(tag, attrs, article):
+            self.named.append(len(self.tags) - 1)
         self.in_article.append(article or tag in ("article", "main"))
         return len(self.tags) - 1
 
@@ -105,12 +114,26 @@ class Tree(HTMLParser):
                 return True
             if name == "style" and "display:none" in value.replace(" ", ""):
                 return True
+        return False
+
+    @staticmethod
+    def _named(tag, attrs, article) -> bool:
+        """A form, or a whole class name or id that is in the list or put together of names in it."""
+        if tag == "form":
+            return True
+        if tag in KEPT_ALWAYS:
+            return False
+        for name, value in attrs:
+            if name == "role" and (value or "").lower() == "form":
+                return True
             if name in ("class", "id"):
-                words = set(NAME.findall(value))
-                if tag == "article":
-                    words &= {"comment", "comments", "ad", "ads", "sponsored", "related"}
-                if words & DROPPED_NAMES or not article and "header" in words:
-                    return True
+                for word in (value or "").lower().split():
+                    parts = {p for p in PART.split(word) if p}
+                    if tag == "article":
+                        if parts and parts <= ARTICLE_NAMES:
+                            return True
+                    elif parts and parts <= DROPPED_NAMES or not article and word == "header":
+                        return True
         return False
 
     def _close(self, tags, scope) -> bool:
@@ -162,13 +185,9 @@ def without_open_end(html: str) -> str:
     return html
 
 
-def main_text(html: str) -> str:
-    if not html:
-        return ""
-    tree = Tree()
-    tree.feed(without_open_end(html).replace("<![", "<!"))
-    tree.close()
-    n, parent, drop = len(tree.tags), tree.parent, tree.drop
+def measured(tree: Tree, drop: list[bool]) -> tuple[list[int], int, list[float], list[float], list[int]]:
+    """End of each subtree, body, densities, density sums, and the node of the largest sum in each subtree."""
+    n, parent = len(tree.tags), tree.parent
     chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     for node, text in tree.pieces:
         if text and not drop[node]:
@@ -200,6 +219,54 @@ def main_text(html: str) -> str:
         up = parent[i]
         if sums[best[i]] >= sums[best[up]] and best[up] != up or sums[best[i]] > sums[best[up]]:
             best[up] = best[i]
+    return last, body, density, sums, best
+
+
+def plain_sums(tree: Tree, drop: list[bool]) -> list[int]:
+    """Characters outside links of each subtree, without what is dropped."""
+    sums = [0] * len(tree.tags)
+    for node, text in tree.pieces:
+        if text and not drop[node] and not tree.in_link[node]:
+            sums[node] += len(text) - sum(map(text.count, " \n\t\r"))
+    for i in range(len(sums) - 1, 0, -1):
+        sums[tree.parent[i]] += sums[i]
+    return sums
+
+
+def spread(tree: Tree, roots: set[int]) -> list[bool]:
+    """What is dropped if the subtrees of ``roots`` are dropped as well."""
+    drop = list(tree.drop)
+    for i in range(1, len(drop)):
+        drop[i] = drop[i] or drop[tree.parent[i]] or i in roots
+    return drop
+
+
+def dropped(tree: Tree) -> list[bool]:
+    """Nodes that take no part; names drop no subtree that holds the main part of the page."""
+    if not tree.named:
+        return tree.drop
+    whole = plain_sums(tree, tree.drop)
+    drop = spread(tree, set(tree.named))
+    left = plain_sums(tree, drop)
+    article = max((left[i] for i, tag in enumerate(tree.tags) if tag in ("article", "main") and not drop[i]), default=0)
+    last, body, _, _, best = measured(tree, tree.drop)
+    most = max(left[0] + 1, max(whole[i] for i in tree.named))
+    main = {i for i in tree.named if article < KEPT_SHARE * whole[i]
+            and (2 * whole[i] > whole[0] or whole[i] >= most or i <= best[body] < last[i])}
+    if main:
+        drop = spread(tree, set(tree.named) - main)
+        left = plain_sums(tree, drop)
+    return drop if left[0] else tree.drop
+
+
+def main_text(html: str) -> str:
+    if not html:
+        return ""
+    tree = Tree()
+    tree.feed(without_open_end(html).replace("<![", "<!"))
+    tree.close()
+    n, parent, drop = len(tree.tags), tree.parent, dropped(tree)
+    last, body, density, sums, best = measured(tree, drop)
     top = best[body] if sums[best[body]] > 0 else body
     threshold, at = density[top], top
     while at != body and at:

@@ -51,3 +51,19 @@ def test_every_page_gives_its_article(spark):
     for row in html_text.extract(pages, keep=["page_id", "html"]).collect():
         body = row.html[row.html.index("<article>") + 9:].split("</article>")[0]
         assert row.text == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", body)).split())
+
+
+def test_names_do_not_drop_the_main_part():
+    body = "<article><p>First words of the text, many of them here.</p><p>More words of the text, many of them.</p></article>"
+    text = "First words of the text, many of them here. More words of the text, many of them."
+    menu = "<nav><a href=1>One</a></nav><div class='sidebar'><a href=2>Two</a></div>"
+    for opened, closed in (('<div class="content no-sidebar">', "</div>"), ('<div class="has-sidebar">', "</div>"),
+                           ('<section class="discussion">', "</section>"), ('<div id="social-policy">', "</div>"),
+                           ('<form action="x">', "</form>"), ('<form><div class="comments">', "</div></form>")):
+        for inner in (body, body.replace("article", "div")):
+            assert main_text(f"<body>{menu}{opened}{inner}{closed}</body>") == text, (opened, inner)
+    assert main_text("<body><div class=comments><p>Some words.</p></div><div class=social><p>Other text.</p></div></body>") != ""
+    comments = "<section class='comments'><p>Short reply of a reader, one of many more.</p></section>"
+    assert main_text(f"<body><div>{body}{comments * 3}</div></body>") == text
+    others = "".join(f"<div class='promo-{i}'><p>Words {'of an offer ' * 4}here.</p></div>" for i in range(5))
+    assert main_text(f"<body><h4>Top</h4><section class=discussion><div>{body[9:-10]}</div></section>{others}</body>").endswith(text)
