@@ -5,8 +5,8 @@ text outside links and lowered for text inside them.  The sum of the densities o
 children is the density sum of a node; the subtree of the largest sum holds the main
 text.  The least density on the path from body to it is the threshold: the densest part
 of every other subtree that reaches the threshold is main text as well.  A chosen subtree
-inside an article element is widened to that element, and is then the whole main text;
-inside a main element the search stays there.  Menus, page headers, footers,
+inside an article element is widened to that element; inside a main element the search
+stays there.  Menus, page headers, footers,
 asides, forms, adverts, notices and comments (by element, role and class name), scripts
 and styles take no part.  A form or a class name does not drop a subtree with most of the
 text of the page outside links, unless an article or main element keeps a share of it, and
@@ -286,16 +286,16 @@ def main_text(html: str) -> str:
     def choose(node: int) -> None:
         chosen[node:last[node]] = b"\1" * (last[node] - node)
 
-    article = inside(top, "article")
-    choose(article or top)
+    choose(inside(top, "article") or top)
     scope = inside(top, "main") or body
-    i = last[scope] if article else scope
+    i = scope
     while i < last[scope]:
         if drop[i] or chosen[i]:
             i += 1
         elif i == scope or density[i] >= threshold:
             if i != scope and chosen.find(1, i, last[i]) < 0:
-                choose(best[i] if sums[best[i]] > 0 else i)
+                part = best[i] if sums[best[i]] > 0 else i
+                choose(inside(part, "article") or part)
             i += 1
         else:
             i = last[i]  # a subtree under the threshold holds no main text

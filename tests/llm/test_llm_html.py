@@ -67,3 +67,16 @@ def test_names_do_not_drop_the_main_part():
     assert main_text(f"<body><div>{body}{comments * 3}</div></body>") == text
     others = "".join(f"<div class='promo-{i}'><p>Words {'of an offer ' * 4}here.</p></div>" for i in range(5))
     assert main_text(f"<body><h4>Top</h4><section class=discussion><div>{body[9:-10]}</div></section>{others}</body>").endswith(text)
+
+
+def test_all_articles_and_the_lead_are_kept():
+    part = "<article><h2>{0} head</h2><p>{0} words of the text, many of them here.</p><p>{0} more words of the text.</p></article>"
+    lead = "<p>Lead words of the text before its article.</p>"
+    both = "{0} head {0} words of the text, many of them here. {0} more words of the text."
+    text = both.format("Alpha") + " " + both.format("Beta")
+    menu = "<div><a href=1>One</a> <a href=2>Two</a></div>"
+    for page in (f"<body>{menu}{part.format('Alpha')}{part.format('Beta')}{menu}</body>",
+                 f"<body>{menu}<div>{part.format('Alpha')}{menu}{part.format('Beta')}</div></body>"):
+        assert main_text(page) == text
+    assert main_text(f"<body>{menu}<main>{lead}{part.format('Alpha')}{part.format('Beta')}</main>{menu}</body>") == (
+        "Lead words of the text before its article. " + text)
