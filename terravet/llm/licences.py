@@ -6,7 +6,8 @@ term weights (count times inverse document frequency over all segments and templ
 the cosine comes from a join on terms with the templates, which are fixed and few.  A
 file takes the best template of its segments at ``LEAST_SCORE`` or more.  A file without
 one inherits from the nearest directory above it (its own first) that holds a licence
-file: each directory meets its ancestors by path, and files meet their directory.
+file: each directory meets its ancestors by path, and files meet their directory.  A file
+that grants a licence without a template (``GRANT``) is ``unknown`` and does not inherit.
 
 Defined results: null and empty texts have no segment; equal scores go to the template
 of the smaller name; of several licence files in one directory the best score counts,
@@ -40,6 +41,32 @@ TEMPLATES = (
             " associated documentation files, to deal in the Software without restriction."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
+_CC = "This work is licensed under a Creative Commons {} 4.0 International License."
+_REDISTRIBUTION = ("Redistribution and use in source and binary forms, with or without modification, are permitted"
+                   " provided that the following conditions are met")
+#: Further notices; OP6_SQL and so op6_licence_scan know those above only.
+MORE_TEMPLATES = (
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-2-Clause", _REDISTRIBUTION),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", _REDISTRIBUTION + ". Neither the name of the copyright holder nor the names of its contributors may"
+                     " be used to endorse or promote products derived from this software"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", _CC.format("Attribution-NonCommercial")),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-ND-4.0", _CC.format("Attribution-NonCommercial-NoDerivatives")),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-SA-4.0", _CC.format("Attribution-NonCommercial-ShareAlike")),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND-4.0", _CC.format("Attribution-NoDerivatives")),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC0-1.0", "Licensed under CC0 1.0 Universal."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights"
+                " to this work."),
+)
+UNKNOWN = "unknown"
+GRANT = "(licen[cs]ed|released|distributed) under|spdx-license-identifier|all rights reserved"
 CUE = "licen[cs]|copyright|spdx|public domain"
 FILE_NAMES = ("LICENSE", "LICENCE", "COPYING", "NOTICE")
 LEAST_SCORE = 0.5
@@ -66,10 +93,10 @@ def segments(files: DataFrame, key: str) -> DataFrame:
     return files.select(key, F.explode(F.array_distinct(F.concat(lines, whole))).alias("segment"))
 
 
-def scored(found: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+def scored(found: DataFrame, least: float = LEAST_SCORE, templates: tuple = TEMPLATES + MORE_TEMPLATES) -> DataFrame:
     """(segment, licence, score) of the segments of ``found`` that reach a template."""
     spark = found.sparkSession
-    known = spark.createDataFrame([(f"{name}#{i}", text) for i, (name, text) in enumerate(TEMPLATES)],
+    known = spark.createDataFrame([(f"{name}#{i}", text) for i, (name, text) in enumerate(templates)],
                                   "template string, segment string").coalesce(1)
     seen = found.groupBy("segment").agg(F.count("*").alias("n"))
     bags = stored(seen.select("segment", "n", F.explode(terms(F.col("segment"))).alias("term"))
@@ -78,7 +105,7 @@ def scored(found: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
            .groupBy("template", "term").agg(F.count("*").alias("tf")))
     df = (bags.select("term", "n").unionByName(own.select("term", F.lit(1).cast("long").alias("n")))
           .groupBy("term").agg(F.sum("n").alias("df")))
-    total = (seen.agg(F.sum("n")).first()[0] or 0) + len(TEMPLATES)
+    total = (seen.agg(F.sum("n")).first()[0] or 0) + len(templates)
     idf = df.select("term", (F.log(F.lit(1.0 + total) / (1 + F.col("df"))) + 1).alias("idf"))
     weight = F.col("tf") * F.col("idf")
     ours = own.join(idf, "term").select("template", "term", weight.alias("weight"))
@@ -95,17 +122,22 @@ def scored(found: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     return best.select("segment", "b.licence", (-F.col("b.minus")).alias("score"))
 
 
-def scan(files: DataFrame, key: str = "file_id", least: float = LEAST_SCORE) -> DataFrame:
+def scan(files: DataFrame, key: str = "file_id", least: float = LEAST_SCORE,
+         templates: tuple = TEMPLATES + MORE_TEMPLATES, unknown: bool = True) -> DataFrame:
     """(key, path, own_licence, score, licence, inherited_from) of files (key, path, text)."""
     found = stored(segments(files, key), "licence-segments")
-    hits = (found.join(scored(found, least), "segment")
+    hits = (found.join(scored(found, least, templates), "segment")
             .groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("b"))
             .select(key, F.col("b.licence").alias("own_licence"), (-F.col("b.minus")).alias("score")))
+    if unknown:
+        grants = found.filter(F.lower("segment").rlike(GRANT)).select(key).distinct()
+        hits = (hits.join(grants.withColumn("__grant", F.lit(True)), key, "full")
+                .select(key, F.coalesce("own_licence", F.lit(UNKNOWN)).alias("own_licence"), "score"))
     path = F.coalesce(F.col("path"), F.lit(""))
     named = files.select(key, "path", directory(path).alias("dir"), is_licence_file(path).alias("is_file"))
     rows = stored(named.join(hits, key, "left"), "licence-files")
     granted = (rows.filter("is_file and own_licence is not null").groupBy("dir")
-               .agg(F.min(F.struct((-F.col("score")).alias("minus"), "own_licence")).alias("b"))
+               .agg(F.min(F.struct((-F.coalesce("score", F.lit(0.0))).alias("minus"), "own_licence")).alias("b"))
                .select(F.col("dir").alias("above"), F.col("b.own_licence").alias("from_above")))
     parts = F.split("dir", "/")
     above = F.concat(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")),
@@ -131,7 +163,8 @@ def document_files(docs: DataFrame) -> DataFrame:
 
 
 def op6_licence_scan(spark, sf_dir: str) -> DataFrame:
-    return scan(document_files(read(spark, sf_dir, "documents")), "doc_id")
+    # The results of OP6_SQL, which has neither the further templates nor an unknown licence.
+    return scan(document_files(read(spark, sf_dir, "documents")), "doc_id", templates=TEMPLATES, unknown=False)
 
 
 _QUOTED = ",\n  ".join("('{}#{}', '{}')".format(n, i, t.replace("'", "''")) for i, (n, t) in enumerate(TEMPLATES))

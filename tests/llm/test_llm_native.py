@@ -119,3 +119,16 @@ def test_licences_and_inheritance(spark):
     assert (out[5].licence, out[5].inherited_from) == ("MIT", "") and out[6].licence == "MIT"
     assert out[7].own_licence is None and out[7].licence == "Apache-2.0"
     assert licences.scan(df.limit(0)).count() == 0
+
+
+def test_other_licences_are_not_inherited_over(spark):
+    rows = [(1, "LICENSE", "Released under the MIT License."), (2, "a/x.txt", "text\nLicensed under CC BY-NC 4.0.\nmore"),
+            (3, "a/y.txt", "Licensed under the Acme Terms of 1999, see the office."), (4, "a/z.txt", "no notice"),
+            (5, "b/LICENSE", "Licensed under the Acme Terms of 1999."), (6, "b/c/z.txt", "no notice"),
+            (7, "c/x.txt", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+            (8, "c/y.txt", "Licensed under CC BY-ND 4.0."), (9, "d/x.txt", "Licensed under CC0 1.0 Universal."),
+            (10, "d/y.txt", "Licensed under the BSD 2-Clause License."), (11, "b/LICENSE.txt", "Released under the MIT License."),
+            (12, "e/LICENSE", "Licensed under the Acme Terms of 1999."), (13, "e/f/q.txt", None)]
+    out = {r.file_id: r.licence for r in licences.scan(spark.createDataFrame(rows, "file_id bigint, path string, text string")).collect()}
+    assert out == {1: "MIT", 2: "CC-BY-NC-4.0", 3: "unknown", 4: "MIT", 5: "unknown", 6: "MIT", 7: "CC-BY-NC-SA-4.0",
+                   8: "CC-BY-ND-4.0", 9: "CC0-1.0", 10: "BSD-2-Clause", 11: "MIT", 12: "unknown", 13: "unknown"}
