@@ -59,3 +59,12 @@ def test_round_trip_of_odd_rows(spark, vocab):
     assert {bytes(r.decoded) for r in full if r.doc_id is None} == {"é\n\n 中".encode()}
     assert [r.offsets[-1] for r in full if r.doc_id == 1] == [17, 17]
     assert bpe.round_trip(df.limit(0), bpe.default_vocabulary(), keep=["doc_id"]).count() == 0
+
+
+def test_offsets_cut_the_decoded_bytes_into_the_tokens(vocab):
+    import numpy as np
+    assert "kept for decoding" not in " ".join(bpe.__doc__.split())
+    for packed in bpe.encode_texts(vocab, ["Plain words, 12345 and\n\n  more é😀.", ""]):
+        decoded, ends = vocab.decode(packed), bpe.token_offsets(vocab, packed)
+        cut = [decoded[a:b] for a, b in zip([0, *ends], ends)]
+        assert cut == [vocab.tokens[i] for i in np.frombuffer(packed, "<u4").tolist()]
