@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from terravet.session import ensure_checkpoint_dir
 
@@ -83,7 +84,10 @@ def per_text(df: DataFrame, keep: list[str], text: str, schema: str,
     ``make`` runs once in each task and returns the function for one piece of
     texts, so memory follows the piece (or the longest single text), not the batch.
     ``members`` drops rows that are surely not among its ids before any work.
+    A result column takes the place of a kept column of the same name.
     """
+    made_names = {f.name.lower() for f in StructType.fromDDL(schema)}
+    keep = [c for c in keep if c.lower() not in made_names]
     apart = [] if text in keep else [F.col(text).alias("__text")]
     wanted = df.select(*keep, *(members.places() if members else []), *apart)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.select(*keep).schema]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, chat, decontaminate, fingerprints, html_text, licences, near_dup, quality, secrets, shards
+from . import bpe, chat, decontaminate, fingerprints, html_text, licences, near_dup, quality, runs, secrets, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": html_text.op1_main_text,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_balanced_shards": shards.op10_balanced_shards,
+    "op11_periodic_runs": runs.op11_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
