@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, chat, decontaminate, fingerprints, html_text, licences, near_dup, quality, runs, secrets, shards
+from . import bpe, chat, decontaminate, divergence, fingerprints, html_text, licences, near_dup, quality, runs, secrets, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": html_text.op1_main_text,
@@ -22,10 +22,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_balanced_shards": shards.op10_balanced_shards,
     "op11_periodic_runs": runs.op11_periodic_runs,
+    "op12_source_divergence": divergence.op12_source_divergence,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
     "op2_preference_pairs": chat.OP2_SQL,
     "op6_licence_scan": licences.OP6_SQL,
+    "op12_source_divergence": divergence.OP12_SQL,
 }
