@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, chat, decontaminate, divergence, fingerprints, html_text, licences, near_dup, quality, runs, secrets, shards
+from . import bpe, chat, decontaminate, divergence, fingerprints, html_text, licences, near_dup, quality, runs, secrets, shards, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": html_text.op1_main_text,
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_balanced_shards": shards.op10_balanced_shards,
     "op11_periodic_runs": runs.op11_periodic_runs,
     "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_capture_index": warc.op13_capture_index,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -30,4 +31,5 @@ ORACLES: dict[str, str] = {
     "op2_preference_pairs": chat.OP2_SQL,
     "op6_licence_scan": licences.OP6_SQL,
     "op12_source_divergence": divergence.OP12_SQL,
+    "op13_capture_index": warc.OP13_SQL,
 }

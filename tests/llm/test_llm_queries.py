@@ -16,7 +16,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_one_query_for_each_operator():
     numbers = {name.split("_")[0] for name in queries.QUERIES if name.startswith("op")}
-    assert numbers == {f"op{n}" for n in range(1, 13)} and "pipeline" in queries.QUERIES
+    assert numbers == {f"op{n}" for n in range(1, 14)} and "pipeline" in queries.QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
