@@ -58,6 +58,30 @@ def _(t):
     return RU.evaluate(rule_rows(t), rule_tables(t), chosen).select("submission", "constraint_id", "outcome")
 
 
+FAULTY = """SELECT submission, constraint_id, CASE WHEN CAST(substr(constraint_id, 2) AS INTEGER) % 5 = 0 THEN outcome
+    WHEN CAST(substr(constraint_id, 2) AS INTEGER) % 5 = 1 THEN 'ERROR' WHEN CAST(substr(constraint_id, 2) AS INTEGER) % 5 = 2 AND submission = 'S7' THEN 'ERROR'
+    WHEN CAST(substr(constraint_id, 2) AS INTEGER) % 5 = 2 THEN 'PASS' WHEN constraint_id IN ('C4', 'C9') THEN 'ERROR'
+    WHEN CAST(substr(constraint_id, 2) AS INTEGER) % 5 = 4 THEN 'PASS' ELSE 'SKIP' END AS outcome FROM """
+
+
+@query("failing_checkers", "J1", FAULTY + _outcome(RULE))
+def _(t):
+    """One checker raises while it is built, one cannot cast a value of one submission, one divides by zero for two rules."""
+    def raises(tables, rules):
+        raise ValueError("no such mode")
+
+    def passes(tables, rules, fault):
+        grid = tables["submissions"].join(F.broadcast(rules.select("constraint_id")))
+        return grid.select("submission", "constraint_id", F.when(fault > 0, "PASS").otherwise("FAIL").alias("outcome"),
+                           F.lit("").alias("detail"), F.lit("").alias("evidence"))
+    number = F.when(F.col("submission") == "S7", "xs").otherwise("1").cast("int")
+    zero = F.lit(1) / F.when(F.col("constraint_id").isin("C4", "C9"), 0).otherwise(1)
+    chosen = {"verify_sanity_bounds": RU.CHECKERS["verify_sanity_bounds"], "verify_locked_layers": raises,
+              "verify_layer_names": lambda tables, rules: passes(tables, rules, number),
+              "verify_area_tolerance": lambda tables, rules: passes(tables, rules, zero)}
+    return RU.evaluate(rule_rows(t), rule_tables(t), chosen).select("submission", "constraint_id", "outcome")
+
+
 OVERRIDDEN = f"(SELECT constraint_id, name, check_type, check_function, CASE WHEN constraint_id IN ('C0','C3','C9') THEN 'critical' ELSE severity END AS severity, category, CASE WHEN constraint_id = 'C9' THEN FALSE ELSE enabled END AS enabled, params FROM {RULE})"
 
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import partial
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +16,7 @@ from ..operators import joins as J
 from ..operators import overlay as O
 from ..scale import top_k
 from ..sources.readers import enum_codes
+from . import isolation
 
 RULE_SCHEMA = ("constraint_id string, name string, check_type string, check_function string, params string, "
                "severity string, category string, enabled boolean")
@@ -393,31 +394,31 @@ def set_enabled(rules: DataFrame, constraint_id: str, enabled: bool) -> DataFram
     return rules.withColumn("enabled", F.when(F.col("constraint_id") == constraint_id, F.lit(enabled)).otherwise(F.col("enabled")))
 
 
-def evaluate(rules: DataFrame, tables: Tables, checkers: dict[str, Checker] | None = None) -> DataFrame:
+def evaluate(rules: DataFrame, tables: Tables, checkers: dict[str, Checker] | None = None,
+             attempts: int = isolation.ATTEMPTS) -> DataFrame:
     """Outcome rows of all enabled CODE rules for all submissions.
 
     The rule table is a parameter table; which of the known checkers it uses is read
-    once.  Each checker is one plan over all its rules and submissions.  A checker that
-    lacks a table or a column gives ERROR rows; unknown names give SKIP rows in one plan.
+    once.  Each checker is one job over all its rules and submissions, and its rows are
+    written.  Whatever a checker raises, while its plan is built or while it runs, gives ERROR
+    rows for the rules and submissions it fails on (``isolation``); unknown names give SKIP rows.
     """
     known = CHECKERS if checkers is None else checkers
     active = rules.filter((F.col("check_type") == "CODE") & F.coalesce("enabled", F.lit(True)))
     registered = F.coalesce(F.col("check_function").isin(list(known)), F.lit(False))
     used = [r[0] for r in active.filter(registered).select("check_function").distinct().orderBy("check_function").collect()]
 
-    def fixed(mine: DataFrame, outcome: str, text: Column) -> DataFrame:
-        return _grid(tables, mine.select("constraint_id", text.alias("detail"))).select(
+    def fixed(mine: DataFrame, outcome: str, text: Column, of: Tables = tables) -> DataFrame:
+        return _grid(of, mine.select("constraint_id", text.alias("detail"))).select(
             "submission", "constraint_id", F.lit(outcome).alias("outcome"), "detail", F.lit("").alias("evidence"))
+
+    def failed(mine: DataFrame, of: Tables, why: str) -> DataFrame:
+        return fixed(mine, "ERROR", F.lit(why), of)
     unnamed = F.concat(F.lit("No checker registered for '"), X.blank(F.col("check_function")), F.lit("'"))
-    parts = [fixed(active.filter(~registered), "SKIP", unnamed)]
-    for name in used:
-        mine = active.filter(F.col("check_function") == name)
-        try:
-            parts.append(known[name](tables, mine).select(*OUT))
-        except (AnalysisException, KeyError) as exc:
-            parts.append(fixed(mine, "ERROR", F.lit(f"Checker error: {type(exc).__name__}")))
-    out = parts[0]
-    for p in parts[1:]:
+    jobs = [partial(isolation.run_checker, known[name], tables, active.filter(F.col("check_function") == name), OUT, failed, attempts)
+            for name in used]
+    out = fixed(active.filter(~registered), "SKIP", unnamed)
+    for p in isolation.run_all(jobs):
         out = out.unionByName(p)
     labels = active.select("constraint_id", "name", "severity", "category")
     return out.join(labels, "constraint_id").withColumn("fingerprint", X.fingerprint(F.col("constraint_id"), F.col("detail")))

@@ -344,3 +344,36 @@ def test_whole_texts_are_read(one):
     assert one(W.topic_hits(F.lit("t"), F.lit(long + "lastword"), F.lit("u"), ["lastword"])) == ["lastword"]
     text = "密度 HD00-0403-0043\n" + "\n" * 40 + "2000.5 2.1 30 24 7000 35"
     assert one(I.plot_rows_plain(F.lit(text)))[0]["vals"]["land"] == "2000.5"
+
+
+def test_throwing_checkers_take_no_outcome_of_others(spark):
+    from pyspark.sql import functions as F
+    subs = spark.createDataFrame([(f"s{i}", "xs" if i == 5 else str(i)) for i in range(40)], "submission string, text string")
+
+    def checker(fault):
+        def run(tables, rule):
+            rows = tables["submissions"].join(F.broadcast(rule.select("constraint_id")))
+            return rows.select("submission", "constraint_id", F.when(fault().isNotNull(), "PASS").otherwise("FAIL").alias("outcome"),
+                               F.lit("").alias("detail"), F.lit("").alias("evidence"))
+        return run
+
+    def refuses(tables, rule):
+        raise ValueError("not today")
+
+    @F.udf("int")
+    def odd(x):
+        if x == "b2":
+            raise TypeError("odd one")
+        return 1
+    checkers = {"cast": checker(lambda: F.col("text").cast("int")), "zero": checker(lambda: F.lit(1) / (F.length("constraint_id") - 2)),
+                "refuses": refuses, "python": checker(lambda: odd("constraint_id")), "fine": checker(lambda: F.lit(1))}
+    names = [("c1", "cast"), ("c2", "cast"), ("z1", "zero"), ("r1", "refuses"), ("r2", "refuses"), ("b1", "python"), ("b2", "python"), ("f1", "fine"), ("n1", "none")]
+    rule = spark.createDataFrame([(i, i, "CODE", f, "{}", "high", "c", True) for i, f in names], rules.RULE_SCHEMA)
+    rows = rules.evaluate(rule, {"submissions": subs}, checkers).collect()
+    got = {(r.submission, r.constraint_id): r.outcome for r in rows}
+    assert len(rows) == len(got) == 40 * len(names)
+    error = {k for k, v in got.items() if v == "ERROR"}
+    assert error == {(f"s{i}", c) for i in range(40) for c in ("z1", "r1", "r2", "b2")} | {("s5", "c1"), ("s5", "c2")}
+    assert {v for k, v in got.items() if k not in error and k[1] != "n1"} == {"PASS"}
+    details = {r.constraint_id: r.detail for r in rows if r.outcome == "ERROR"}
+    assert details["r1"] == "Checker error: ValueError: not today" and "CAST_INVALID_INPUT" in details["c1"] and "DIVIDE_BY_ZERO" in details["z1"]
