@@ -1,8 +1,11 @@
-"""Areas of overlays: tiles first, then a sweep over vertical slabs.
-
-Features are cut to square tiles (first to columns, then to rows), so a layer of
-any size spreads over tiles and a large site polygon becomes many small pieces.
-Inside a tile the edges are swept: between two neighbouring event positions no
+"""Areas of overlays: a hierarchy of cells first, then a sweep over vertical slabs.
+
+Features are cut to square cells (first to columns, then to rows).  A feature that is
+large beside the tile of its layer is cut top down: a cell wholly inside it stays whole,
+at its own level, and has an area but no ring; a cell that its border crosses is cut
+again by STEP in both directions, down to the tile.  So the number of cells follows the
+border of a polygon, not its area.  Whole cells meet smaller ones by the numbers of their
+ancestors; only border tiles are swept.  Inside a tile the edges are swept: between two neighbouring event positions no
 edges cross, the order of the edges by height is fixed, and a running sum of
 "enter" and "leave" gives how many features of each side cover each gap.  Areas
 add up over tiles.  Nothing is collected: every step is a join, a window inside
@@ -12,13 +15,51 @@ add up over tiles.  Nothing is collected: every step is a join, a window inside
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
 from ..session import cut_lineage
+from .cells import cut_batches
+
+
+#: A cell is cut in this many columns and rows; the shift of a cell number to its parent's.
+STEP, SHIFT = 4, 2
+
+
+_BUILT: dict[tuple, Column] = {}
+
+
+def _built(make: Callable[..., Column], *names) -> Column:
+    """``make`` of the named columns, built once in a session: these are large expressions over few names."""
+    context = SparkContext._active_spark_context
+    key = (id(context), make.__name__, *names)
+    if key not in _BUILT:
+        _BUILT[key] = make(*[F.col(n) if isinstance(n, str) else n for n in names])
+    return _BUILT[key]
+
+
+def _cut_x(ring: Column, place: Column, size: float) -> Column:
+    return G.clip_rings(ring, "x", place * size, (place + 1) * size)
+
+
+def _cut_y(ring: Column, place: Column, size: float) -> Column:
+    return G.clip_rings(ring, "y", place * size, (place + 1) * size)
+
+
+def _extents(df: DataFrame, rings: str = "rings") -> tuple[float | None, float]:
+    """(mean, largest) feature extent."""
+    box = df.select(G.bbox(F.col(rings)).alias("b")).select(
+        F.greatest(F.col("b.x1") - F.col("b.x0"), F.col("b.y1") - F.col("b.y0")).alias("w"))
+    mean, most = box.filter("w > 0").agg(F.avg("w"), F.max("w")).first()
+    return mean, most or 0.0
+
+
+def _tile(mean: float | None) -> float:
+    return 2.0 ** math.ceil(math.log2(mean)) if mean else 1.0
 
 
 def pick_tile(df: DataFrame, rings: str = "rings") -> float:
@@ -27,10 +68,24 @@ def pick_tile(df: DataFrame, rings: str = "rings") -> float:
     One number is read by the driver, so both sides of a later join are cut by
     the same constant however often a stage runs again.
     """
-    box = df.select(G.bbox(F.col(rings)).alias("b")).select(
-        F.greatest(F.col("b.x1") - F.col("b.x0"), F.col("b.y1") - F.col("b.y0")).alias("w"))
-    mean = box.filter("w > 0").agg(F.avg("w")).first()[0]
-    return 2.0 ** math.ceil(math.log2(mean)) if mean else 1.0
+    return _tile(_extents(df, rings)[0])
+
+
+#: Up to this many tiles a side a layer is cut flat: the hierarchy has more joins, and pays for larger features.
+FLAT = STEP ** 2
+
+
+def _levels(extent: float, tile: float) -> int:
+    """Levels above the tile for a feature of this extent: it spans at most five cells of the top one."""
+    return math.ceil(math.log(extent / tile, STEP)) - 1 if extent > FLAT * tile else 0
+
+
+def pick_grid(df: DataFrame, *others: DataFrame, tile: float | None = None) -> tuple[float, int, int]:
+    """Tile of a layer, the levels above it that its own features need, and those that all layers need."""
+    mean, most = _extents(df)
+    size = tile or _tile(mean)
+    own = _levels(most, size)
+    return size, own, max([own, *(_levels(_extents(o)[1], size) for o in others)])
 
 
 def _span(low: Column, high: Column, tile: float) -> Column:
@@ -45,22 +100,77 @@ def tiled(df: DataFrame, tile: float, rings: str = "rings", near: DataFrame | No
     ``near`` (on..., tx, ty) keeps only the listed tiles; the others are dropped
     before anything is cut.
     """
-    cut = lambda axis, n: G.clip_rings(F.col("__r"), axis, F.col(n) * tile, (F.col(n) + 1) * tile)
     keep = [c for c in df.columns if c != rings]
     columns = (df.withColumn("__b", G.bbox(F.col(rings))).filter("__b.x0 IS NOT NULL")
                .select(*keep, F.col(rings).alias("__r"), F.explode(_span(F.col("__b.x0"), F.col("__b.x1"), tile)).alias("tx")))
     if near is not None:
         columns = columns.join(near.select(*on, "tx").distinct(), [*on, "tx"], "left_semi")
-    strips = columns.select(*keep, "tx", cut("x", "tx").alias("__r")).filter(F.size("__r") > 0)
+    strips = columns.select(*keep, "tx", _built(_cut_x, "__r", "tx", tile).alias("__r")).filter(F.size("__r") > 0)
     rows = (strips.withColumn("__b", G.bbox(F.col("__r")))
             .select(*keep, "tx", "__r", F.explode(_span(F.col("__b.y0"), F.col("__b.y1"), tile)).alias("ty")))
     if near is not None:
         rows = rows.join(near.select(*on, "tx", "ty").distinct(), [*on, "tx", "ty"], "left_semi")
-    return rows.select(*keep, "tx", "ty", cut("y", "ty").alias(rings)).filter(F.size(rings) > 0)
+    return rows.select(*keep, "tx", "ty", _built(_cut_y, "__r", "ty", tile).alias(rings)).filter(F.size(rings) > 0)
+
+
+def cover(df: DataFrame, tile: float, levels: int, rings: str = "rings") -> DataFrame:
+    """Cells of each feature: (lev, tx, ty, whole) with the cut rings, null for a whole cell.
+
+    A cell of level k has the side ``tile * STEP^k``.  A feature starts at the level of its
+    extent, so a layer of small features is cut once.  Cells with a border are of level 0.
+    """
+    keep = [c for c in df.columns if c != rings]
+    box = df.withColumn("__b", G.bbox(F.col(rings))).filter("__b.x0 IS NOT NULL")
+    extent = F.greatest(F.col("__b.x1") - F.col("__b.x0"), F.col("__b.y1") - F.col("__b.y0"), F.lit(tile))
+    start = F.least(F.greatest(F.ceil(F.log(extent / tile) / math.log(STEP)) - 1, F.lit(0)), F.lit(levels)).cast("int")
+    rows = box.select(*keep, start.alias("__start"), F.col(rings).alias("__r"))
+    # Pieces of a feature that is hardly larger than a tile go to the sweep in any case.
+    small = tiled(rows.filter("__start = 0").drop("__start"), tile, "__r").select(
+        *keep, F.lit(0).alias("lev"), "tx", "ty", F.lit(False).alias("whole"), "__r")
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema]
+    large = rows.filter("__start > 0").mapInArrow(cut_batches(tile, STEP), ", ".join(
+        [*kept, "lev int, tx bigint, ty bigint, whole boolean, __r array<array<struct<x:double,y:double>>>"]))
+    return small.unionByName(large).withColumnRenamed("__r", rings)
+
+
+def _side(tile: float) -> Column:
+    return F.lit(tile) * F.pow(F.lit(float(STEP)), F.col("lev"))
+
+
+def _ancestors(cells: DataFrame, levels: int, strict: bool = False) -> DataFrame:
+    """Each row once for itself (unless ``strict``) and each cell above it: columns up, ux, uy."""
+    first = F.col("lev") + (1 if strict else 0)
+    ups = F.when(first <= levels, F.sequence(first, F.lit(levels))).otherwise(F.array().cast("array<int>"))
+    shifted = lambda c: F.expr(f"shiftright({c}, {SHIFT} * (up - lev))")
+    return cells.withColumn("up", F.explode(ups)).withColumn("ux", shifted("tx")).withColumn("uy", shifted("ty"))
+
+
+def _whole(cells: DataFrame, group: Sequence[str]) -> DataFrame:
+    return cells.filter("whole").select(*group, "lev", "tx", "ty").distinct()
+
+
+def _beneath(cells: DataFrame, whole: DataFrame, group: Sequence[str], levels: int, strict: bool = False) -> DataFrame:
+    """The cells (group..., lev, tx, ty) that are, or lie in, a whole cell."""
+    own = _ancestors(cells.select(*group, "lev", "tx", "ty").distinct(), levels, strict)
+    above = whole.select(*group, F.col("lev").alias("up"), F.col("tx").alias("ux"), F.col("ty").alias("uy"))
+    return own.join(above, [*group, "up", "ux", "uy"], "left_semi").select(*group, "lev", "tx", "ty").distinct()
+
+
+def _united(cells: DataFrame, group: Sequence[str], levels: int) -> tuple[DataFrame, DataFrame]:
+    """Union of a layer: (largest whole cells, border pieces that no whole cell covers)."""
+    key = [*group, "lev", "tx", "ty"]
+    whole = _whole(cells, group)
+    top = whole.join(_beneath(whole, whole, group, levels, strict=True), key, "left_anti")
+    border = cells.filter("NOT whole")
+    return top, border.join(_beneath(border, top, group, levels), key, "left_anti")
+
+
+def _cell(scope: Sequence[str]) -> list[str]:
+    return [*scope, *(c for c in ("tx", "ty") if c not in scope)]
 
 
 def _edges(pieces: DataFrame, scope: Sequence[str]) -> DataFrame:
-    return pieces.select(*scope, "tx", "ty", "side", "fid", F.inline(G.edges(F.col("rings"))))
+    return pieces.select(*_cell(scope), "side", "fid", F.inline(G.edges(F.col("rings"))))
 
 
 def sweep(pieces: DataFrame, scope: Sequence[str]) -> DataFrame:
@@ -69,7 +179,7 @@ def sweep(pieces: DataFrame, scope: Sequence[str]) -> DataFrame:
     Columns: a_area (side 0 covered), b_area, a2_area (side 0 covered at least
     twice), both_area, a_only_area, b_only_area.
     """
-    cell = [*scope, "tx", "ty"]
+    cell = _cell(scope)
     # Read four times below: written once to the checkpoint folder instead of cut again.
     e = cut_lineage(_edges(pieces, scope))
     f = e.select(*cell, *[F.col(c).alias(f"f_{c}") for c in ("x1", "y1", "x2", "y2")])
@@ -108,46 +218,115 @@ def sweep(pieces: DataFrame, scope: Sequence[str]) -> DataFrame:
 def union_area(features: DataFrame, group: Sequence[str], tile: float | None = None) -> DataFrame:
     """Area covered by the features of each group.  Copies count once, before the sweep."""
     base = features.select(*group, "rings")
-    pieces = tiled(base, tile or pick_tile(base)).distinct()
+    t, _, levels = pick_grid(base, tile=tile)
+    if levels:
+        top, border = _united(cut_lineage(cover(base, t, levels)), group, levels)
+        inner = top.groupBy(*group).agg(F.sum(F.pow(_side(t), 2)).alias("v"))
+        pieces = border.select(*group, "tx", "ty", "rings").distinct()
+    else:
+        inner, pieces = None, tiled(base, t).distinct()
     pieces = pieces.withColumn("side", F.lit(0)).withColumn("fid", F.xxhash64(F.to_json("rings")))
-    return sweep(pieces, group).select(*group, F.col("a_area").alias("union_area"))
+    swept = sweep(pieces, group).select(*group, F.col("a_area").alias("v"))
+    both = swept if inner is None else swept.unionByName(inner)
+    return both.groupBy(*group).agg(F.sum("v").alias("union_area")) if inner is not None else swept.withColumnRenamed("v", "union_area")
 
 
 def coverage(layer: DataFrame, site: DataFrame, group: Sequence[str], tile: float | None = None) -> DataFrame:
     """Site area, layer union, gap and overhang of each group."""
-    t = tile or pick_tile(layer.select("rings"))
-    cut = lambda df, side: tiled(df.select(*group, "rings"), t).distinct().withColumn("side", F.lit(side))
-    pieces = cut(layer, 0).unionByName(cut(site, 1)).withColumn("fid", F.xxhash64(F.to_json("rings")))
-    return sweep(pieces, group).select(
-        *group, F.col("a_area").alias("layer_area"), F.col("b_area").alias("site_area"),
-        F.col("b_only_area").alias("gap_area"), F.col("a_only_area").alias("outside_area"), F.col("both_area").alias("covered_area"))
-
-
-def inside_areas(features: DataFrame, other: DataFrame, group: Sequence[str], key: str, kind: Sequence[str] = (),
-                 tile: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(area per feature, area per feature inside the union of the other layer and kind).
-
-    Only pieces of ``other`` in tiles of a feature travel to it.  In a tile with
-    one such piece the common area is measured in the row; tiles in which several
+    t, _, levels = pick_grid(layer.select("rings"), site.select("rings"), tile=tile)
+    if not levels:
+        cut = lambda df, side: tiled(df.select(*group, "rings"), t).distinct().withColumn("side", F.lit(side))
+        pieces = cut(layer, 0).unionByName(cut(site, 1)).withColumn("fid", F.xxhash64(F.to_json("rings")))
+        return sweep(pieces, group).select(
+            *group, F.col("a_area").alias("layer_area"), F.col("b_area").alias("site_area"),
+            F.col("b_only_area").alias("gap_area"), F.col("a_only_area").alias("outside_area"), F.col("both_area").alias("covered_area"))
+    (a, a_border), (b, b_border) = (_united(cut_lineage(cover(df.select(*group, "rings"), t, levels)), group, levels) for df in (layer, site))
+    cell = [*group, "lev", "tx", "ty"]
+    under = lambda border, other: border.join(_beneath(border, other, group, levels).withColumn("under", F.lit(True)), cell, "left")
+    pieces = under(a_border, b).withColumn("side", F.lit(0)).unionByName(under(b_border, a).withColumn("side", F.lit(1)))
+    pieces = pieces.select(*group, F.coalesce("under", F.lit(False)).alias("under"), "tx", "ty", "side", "rings").distinct()
+    swept = sweep(pieces.withColumn("fid", F.xxhash64(F.to_json("rings"))), [*group, "under"])
+    area = F.pow(_side(t), 2)
+    zero = F.lit(0.0)
+    # Of two whole cells in each other the smaller one is common.
+    inside = lambda one, two, strict: _beneath(one, two, group, levels, strict)
+    parts = [a.select(*group, area.alias("layer_area"), zero.alias("site_area"), zero.alias("covered_area")),
+             b.select(*group, zero.alias("layer_area"), area.alias("site_area"), zero.alias("covered_area")),
+             inside(a, b, False).unionByName(inside(b, a, True)).select(
+                 *group, zero.alias("layer_area"), zero.alias("site_area"), area.alias("covered_area")),
+             swept.select(*group, F.col("a_area").alias("layer_area"), F.col("b_area").alias("site_area"),
+                          F.when(F.col("under"), F.col("a_area") + F.col("b_area")).otherwise(F.col("both_area")).alias("covered_area"))]
+    total = parts[0]
+    for part in parts[1:]:
+        total = total.unionByName(part)
+    total = total.groupBy(*group).agg(*[F.sum(c).alias(c) for c in ("layer_area", "site_area", "covered_area")])
+    return total.select(*group, "layer_area", "site_area", F.greatest(F.col("site_area") - F.col("covered_area"), zero).alias("gap_area"),
+                        F.greatest(F.col("layer_area") - F.col("covered_area"), zero).alias("outside_area"), "covered_area")
+
+
+def _border_areas(a: DataFrame, b: DataFrame, group: Sequence[str], key: str, kind: Sequence[str]) -> DataFrame:
+    """Common area of pieces of features and the united pieces of the other layer in the same tile.
+
+    With one piece of the other layer it is measured in the row; tiles in which several
     pieces may cover each other go through the sweep.
     """
-    t = tile or pick_tile(features.select("rings"))
     cell = [*group, "tx", "ty"]
-    a = cut_lineage(tiled(features.select(*group, key, "rings"), t))
-    b = cut_lineage(tiled(other.select(*group, *kind, "rings"), t, near=a, on=group).distinct())
-    areas = a.groupBy(*group, key).agg(F.sum(G.even_odd_area(F.col("rings"))).alias("area"))
     counted = b.groupBy(*cell, *kind).agg(F.count(F.lit(1)).alias("__n"))
     alone = b.join(counted.filter("__n = 1").drop("__n"), [*cell, *kind], "left_semi")
     crowd = b.join(counted.filter("__n > 1").drop("__n"), [*cell, *kind], "left_semi")
     direct = a.join(alone.withColumnRenamed("rings", "__o"), cell).select(
-        *group, key, *kind, G.intersection_area(F.col("rings"), F.col("__o")).alias("v"))
+        *group, key, *kind, _built(G.intersection_area, "rings", "__o").alias("v"))
     spots = crowd.select(*cell, *kind).distinct()
     first = a.join(spots, cell).withColumn("side", F.lit(0))
     second = a.select(*cell, key).join(crowd, cell).withColumn("side", F.lit(1))
     pieces = first.unionByName(second).withColumn("fid", F.xxhash64(F.to_json("rings")))
     swept = sweep(pieces, [*group, key, *kind]).select(*group, key, *kind, F.col("both_area").alias("v"))
-    inside = direct.unionByName(swept).groupBy(*group, key, *kind).agg(F.sum("v").alias("inside_area"))
-    return areas, inside
+    return direct.unionByName(swept)
+
+
+def _in_whole_cells(a: DataFrame, top: DataFrame, border: DataFrame, group: Sequence[str], key: str, kind: Sequence[str],
+                    tile: float, levels: int) -> tuple[DataFrame, DataFrame]:
+    """Areas of whole cells, and of united border pieces, of the other layer in whole cells of a feature."""
+    out, place = [*group, key, *kind], [*group, "up", "ux", "uy"]
+    held_by = a.filter("whole")
+    whole = held_by.select(*group, key, "lev", "tx", "ty").withColumnsRenamed({"lev": "up", "tx": "ux", "ty": "uy"})
+    above = _ancestors(top, levels, strict=True).join(whole, place).select(*out, F.pow(_side(tile), 2).alias("v"))
+    held = border.join(_beneath(border, held_by, group, levels), [*group, "lev", "tx", "ty"], "left_semi")
+    united = sweep(held.select(*group, *kind, "tx", "ty", "rings").distinct().withColumn("side", F.lit(0)).withColumn(
+        "fid", F.xxhash64(F.to_json("rings"))), [*group, *kind, "tx", "ty"])
+    inner = _ancestors(united.select(*group, *kind, F.lit(0).alias("lev"), "tx", "ty", "a_area"), levels).join(
+        whole, place).select(*out, F.col("a_area").alias("v"))
+    return above, inner
+
+
+def inside_areas(features: DataFrame, other: DataFrame, group: Sequence[str], key: str, kind: Sequence[str] = (),
+                 tile: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(area per feature, area per feature inside the union of the other layer and kind)."""
+    t, own, levels = pick_grid(features.select("rings"), other.select("rings"), tile=tile)
+    size = _built(G.even_odd_area, "rings")
+    if not levels:
+        # Only pieces of the other layer in tiles of a feature are cut.
+        a = cut_lineage(tiled(features.select(*group, key, "rings"), t))
+        b = cut_lineage(tiled(other.select(*group, *kind, "rings"), t, near=a, on=group).distinct())
+        areas = a.groupBy(*group, key).agg(F.sum(size).alias("area"))
+        common = _border_areas(a, b, group, key, kind)
+        return areas, common.groupBy(*group, key, *kind).agg(F.sum("v").alias("inside_area"))
+    a = cut_lineage(cover(features.select(*group, key, "rings"), t, levels).withColumn(
+        "size", F.when(F.col("whole"), F.pow(_side(t), 2)).otherwise(size)))
+    top, border = _united(cut_lineage(cover(other.select(*group, *kind, "rings"), t, levels)), [*group, *kind], levels)
+    areas = a.groupBy(*group, key).agg(F.sum("size").alias("area"))
+    place = [*group, "up", "ux", "uy"]
+    named = lambda df: df.withColumnsRenamed({"lev": "up", "tx": "ux", "ty": "uy"})
+    out = [*group, key, *kind]
+    small = a.drop("rings", "whole")
+    beneath = _ancestors(small, levels).join(named(top), place).select(*out, F.col("size").alias("v"))
+    edge = _border_areas(a.filter("NOT whole").select(*group, key, "tx", "ty", "rings"),
+                         border.select(*group, *kind, "tx", "ty", "rings").distinct(), group, key, kind)
+    common = beneath.unionByName(edge)
+    if own:
+        for part in _in_whole_cells(a, top, border, group, key, kind, t, levels):
+            common = common.unionByName(part)
+    return areas, common.groupBy(*out).agg(F.sum("v").alias("inside_area"))
 
 
 def against(features: DataFrame, other: DataFrame, group: Sequence[str], key: str, tile: float | None = None) -> DataFrame:
@@ -179,7 +358,7 @@ def overlap_pairs(features: DataFrame, group: Sequence[str], pos: str = "pos", t
             & (y < F.least(F.col("__b.y1"), F.col("__ob.y1")))
             & (F.floor(x / t) == F.col("tx")) & (F.floor(y / t) == F.col("ty")))
     pairs = a.join(b, [*group, "tx", "ty"]).filter(near)
-    return pairs.select(*group, pos, "other_pos", G.intersection_area(F.col("rings"), F.col("__or")).alias("overlap_area")).filter(
+    return pairs.select(*group, pos, "other_pos", _built(G.intersection_area, "rings", "__or").alias("overlap_area")).filter(
         F.col("overlap_area") > tolerance)
 
 
@@ -252,7 +431,10 @@ def self_crossing(features: DataFrame, keys: Sequence[str], cell: float | None =
 
 
 def points_in_zones(points: DataFrame, zones: DataFrame, tile: float) -> DataFrame:
-    """Zone of each point: points and zone pieces meet in a tile, then the even-odd test."""
-    p = points.withColumn("tx", F.floor(F.col("x") / tile).cast("bigint")).withColumn("ty", F.floor(F.col("y") / tile).cast("bigint"))
-    z = tiled(zones, tile)
-    return p.join(z, ["tx", "ty"]).filter(G.point_in_rings(F.struct("x", "y"), F.col("rings"))).drop("tx", "ty", "rings")
+    """Zone of each point: points meet whole cells and border pieces, and only the latter are tested."""
+    levels = pick_grid(zones, tile=tile)[2]
+    at = lambda c: F.floor(F.col(c) / tile).cast("bigint")
+    p = _ancestors(points.withColumn("lev", F.lit(0)).withColumn("tx", at("x")).withColumn("ty", at("y")), levels)
+    z = cover(zones, tile, levels).withColumnsRenamed({"lev": "up", "tx": "ux", "ty": "uy"})
+    inside = F.col("whole") | G.point_in_rings(F.struct("x", "y"), F.col("rings"))
+    return p.join(z, ["up", "ux", "uy"]).filter(inside).drop("lev", "tx", "ty", "up", "ux", "uy", "whole", "rings")

@@ -377,3 +377,61 @@ def test_throwing_checkers_take_no_outcome_of_others(spark):
     assert {v for k, v in got.items() if k not in error and k[1] != "n1"} == {"PASS"}
     details = {r.constraint_id: r.detail for r in rows if r.outcome == "ERROR"}
     assert details["r1"] == "Checker error: ValueError: not today" and "CAST_INVALID_INPUT" in details["c1"] and "DIVIDE_BY_ZERO" in details["z1"]
+
+
+def _star(cx, cy, outer, inner, points, turn=0.0):
+    import math
+    ring = []
+    for k in range(2 * points):
+        r, a = (outer if k % 2 == 0 else inner), turn + math.pi * k / points
+        ring.append({"x": cx + r * math.cos(a), "y": cy + r * math.sin(a)})
+    return ring + ring[:1]
+
+
+def test_cells_follow_the_border(spark):
+    from terravet.operators import overlay
+    site = spark.createDataFrame([("s", [box(0.5, 0.5, 600.5, 600.5)])], f"g string, rings array<{RING}>")
+    cells = overlay.cover(site, 1.0, 4).collect()
+    assert len(cells) < 10_000 and sum(not c.whole for c in cells) == 2400
+    assert sum((4.0 ** c.lev) ** 2 for c in cells if c.whole) == 599.0 ** 2 and all(c.lev == 0 for c in cells if not c.whole)
+
+
+def test_overlay_of_large_and_small_features(spark):
+    """The hierarchy, flat tiles and closed forms agree, holes, copies and nested sites included."""
+    from terravet.functions import geo
+    from terravet.operators import overlay
+    from pyspark.sql import functions as F
+    kind = f"g string, k int, rings array<{RING}>"
+    holed = [box(0, 0, 200, 200), box(50, 50, 150, 150)]
+    layers = [("s", 0, holed), ("s", 1, holed), ("s", 2, [_star(120, 90, 90, 30, 7)]), ("s", 3, [_star(40.3, 160.7, 35, 20, 5, 0.4)]),
+              ("t", 4, [box(-70.5, -70.5, 64, 64)]), ("t", 5, [box(10, 10, 12, 12)])]
+    small = [("s", 100 + i, [_star(7.7 * i, 150 - 4.3 * i, 2.0, 1.0, 4, 0.1 * i)]) for i in range(40)]
+    other, features = spark.createDataFrame(layers, kind), spark.createDataFrame(small + layers[2:], kind)
+
+    def rounded(df, *keys):
+        return sorted((tuple(r[k] for k in keys), *(round(r[c], 6) for c in df.columns if c not in keys)) for r in df.collect())
+    found = {}
+    for flat in (16, 10 ** 9):
+        overlay.FLAT, before = flat, overlay.FLAT
+        try:
+            united = overlay.union_area(other, ["g"], 2.0)
+            cover = overlay.coverage(features, other, ["g"], 2.0)
+            inside = overlay.against(features, other, ["g"], "k", 2.0)
+            found[flat] = rounded(united, "g"), rounded(cover, "g"), rounded(inside, "g", "k")
+        finally:
+            overlay.FLAT = before
+    assert found[16] == found[10 ** 9]
+    area = {r.k: r.a for r in features.select("k", geo.even_odd_area(F.col("rings")).alias("a")).collect()}
+    assert all(abs(row[1] - area[row[0][1]]) < 1e-6 for row in found[16][2])
+    assert dict((r[0][0], r[1]) for r in found[16][0])["t"] == round(134.5 ** 2, 6)
+
+
+def test_points_meet_whole_cells(spark):
+    from terravet.operators import overlay
+    zones = spark.createDataFrame([(1, [box(0, 0, 300, 300), box(100, 100, 200, 200)]), (2, [box(250, 250, 252, 252)])], f"zone int, rings array<{RING}>")
+    points = spark.createDataFrame([(i, 3.7 * i + 0.1, 2.9 * i + 0.1) for i in range(100)], "p int, x double, y double")
+    got = {(r.p, r.zone) for r in overlay.points_in_zones(points, zones, 2.0).collect()}
+    inside = lambda x, y, b: b[0] <= x < b[2] and b[1] <= y < b[3]
+    want = {(r.p, 1) for r in points.collect() if inside(r.x, r.y, (0, 0, 300, 300)) and not inside(r.x, r.y, (100, 100, 200, 200))}
+    want |= {(r.p, 2) for r in points.collect() if inside(r.x, r.y, (250, 250, 252, 252))}
+    assert got == want and want
