@@ -1,18 +1,21 @@
 """License scans: TF-IDF cosine to templates, then inheritance along directories.
 
-Segments are the lines of a file that mention a licence and the whole text of licence
-files.  Equal segments are scored once.  A segment and a template are sparse vectors of
-term weights (count times inverse document frequency over all segments and templates);
-the cosine comes from a join on terms with the templates, which are fixed and few.  A
-file takes the best template of its segments at ``LEAST_SCORE`` or more.  A file without
-one inherits from the nearest directory above it (its own first) that holds a licence
-file: each directory meets its ancestors by path, and files meet their directory.  A file
-that grants a licence without a template (``GRANT``) is ``unknown`` and does not inherit.
-
-Defined results: null and empty texts have no segment; equal scores go to the template
-of the smaller name; of several licence files in one directory the best score counts,
-then the smaller name; a null path counts as the root; repeated rows give repeated
-results.
+Segments are the header blocks of a file (lines up to an empty one, comment marks apart) and
+its single lines, where they hold a word of licence texts, and the whole text of licence
+files, which are known by their path.  Equal segments are scored once.  A segment and a
+template are sparse vectors of term weights (count times inverse document frequency over
+all segments and templates); the cosine comes from a join on terms with the templates,
+which are fixed and few.  A file takes the best template of its segments at
+``LEAST_SCORE`` or more.  A file without one inherits from the nearest directory above it
+(its own first) that holds a licence file: each directory meets its ancestors by path, and
+files meet their directory.  A file that grants a licence without a template (``GRANT``)
+is ``unknown`` and does not inherit.
+
+Defined results: null and empty texts have no segment; very long texts are split and scored
+whole; equal scores go to the template of the smaller name; of several licence files in one
+directory the best score counts, then the smaller name; a null path counts as the root;
+repeated rows give repeated results; an empty table gives an empty result; only the key, path
+and text are read, so clashing names of other columns do not matter.
 """
 
 from __future__ import annotations
@@ -22,53 +25,73 @@ from pyspark.sql import functions as F
 
 from .common import read, stored
 
-# Public licence notices, short and long forms.
+_CC_LONG = "This work is licensed under a Creative Commons {} 4.0 International License."
+_REDISTRIBUTION = ("Redistribution and use in source and binary forms, with or without modification, are permitted"
+                   " provided that the following conditions are met: Redistributions of source code must retain the above"
+                   " copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form"
+                   " must reproduce the above copyright notice, this list of conditions and the following disclaimer in the"
+                   " documentation and/or other materials provided with the distribution.")
+_GNU = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published"
+        " by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.")
+# Public licence notices and the opening and key paragraphs of licence texts.
 TEMPLATES = (
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", _GNU.format("Affero General Public License")),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in'
                    " compliance with the License. You may obtain a copy of the License at"
-                   " http://www.apache.org/licenses/LICENSE-2.0"),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU"
-                " General Public License as published by the Free Software Foundation, either version 3 of the License,"
-                " or (at your option) any later version."),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and"
-            " associated documentation files, to deal in the Software without restriction."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-)
-_CC = "This work is licensed under a Creative Commons {} 4.0 International License."
-_REDISTRIBUTION = ("Redistribution and use in source and binary forms, with or without modification, are permitted"
-                   " provided that the following conditions are met")
-#: Further notices; OP6_SQL and so op6_licence_scan know those above only.
-MORE_TEMPLATES = (
+                   " http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing,"
+                   ' software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR'
+                   " CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing"
+                   " permissions and limitations under the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"
+                   " TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("BSD-2-Clause", _REDISTRIBUTION),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("BSD-3-Clause", _REDISTRIBUTION + ". Neither the name of the copyright holder nor the names of its contributors may"
-                     " be used to endorse or promote products derived from this software"),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("BSD-3-Clause", _REDISTRIBUTION + " Neither the name of the copyright holder nor the names of its contributors may"
+                     " be used to endorse or promote products derived from this software without specific prior written permission."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", _CC_LONG.format("Attribution")),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", _CC.format("Attribution-NonCommercial")),
+    ("CC-BY-NC-4.0", _CC_LONG.format("Attribution-NonCommercial")),
     ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
-    ("CC-BY-NC-ND-4.0", _CC.format("Attribution-NonCommercial-NoDerivatives")),
+    ("CC-BY-NC-ND-4.0", _CC_LONG.format("Attribution-NonCommercial-NoDerivatives")),
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
-    ("CC-BY-NC-SA-4.0", _CC.format("Attribution-NonCommercial-ShareAlike")),
+    ("CC-BY-NC-SA-4.0", _CC_LONG.format("Attribution-NonCommercial-ShareAlike")),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
-    ("CC-BY-ND-4.0", _CC.format("Attribution-NoDerivatives")),
+    ("CC-BY-ND-4.0", _CC_LONG.format("Attribution-NoDerivatives")),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", _CC_LONG.format("Attribution-ShareAlike")),
     ("CC0-1.0", "Licensed under CC0 1.0 Universal."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights"
                 " to this work."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", _GNU.format("General Public License")),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby"
+            " granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", _GNU.format("Lesser General Public License")),
+    ("MIT", "Released under the MIT License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
+            ' documentation files (the "Software"), to deal in the Software without restriction, including without limitation'
+            " the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and"
+            " to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions"
+            " of the Software."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was"
+                " not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,"
+                  " publish, use, compile, sell, or distribute this software."),
 )
 UNKNOWN = "unknown"
 GRANT = "(licen[cs]ed|released|distributed) under|spdx-license-identifier|all rights reserved"
-CUE = "licen[cs]|copyright|spdx|public domain"
-FILE_NAMES = ("LICENSE", "LICENCE", "COPYING", "NOTICE")
+#: Words that every template holds one of; a block or line without any is not scored.
+CUE = "licen[cs]|copyright|spdx|public domain|permission is hereby|permission to use|redistribution and use"
+#: Lines without letters and digits end a block.
+BETWEEN = r"\n(?:[ \t\r/*#;%!<>|=+-]*\n)+"
+FILE_NAME = "^(LICEN[CS]E|COPYING|NOTICE|UNLICENSE)([-._].*)?$"
 LEAST_SCORE = 0.5
 
 
@@ -77,8 +100,7 @@ def terms(text: Column) -> Column:
 
 
 def is_licence_file(path: Column) -> Column:
-    name = F.regexp_extract(F.upper(path), r"([^/.]*)[^/]*$", 1)
-    return name.isin(*FILE_NAMES)
+    return F.regexp_extract(F.upper(path), r"([^/]*)$", 1).rlike(FILE_NAME)
 
 
 def directory(path: Column) -> Column:
@@ -86,14 +108,16 @@ def directory(path: Column) -> Column:
 
 
 def segments(files: DataFrame, key: str) -> DataFrame:
-    """(key, segment) of every line that mentions a licence, and of whole licence files."""
+    """(key, segment) of the blocks and lines with a word of licences, and of whole licence files."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike(CUE))
-    whole = F.when(is_licence_file(F.col("path")) & (text != ""), F.array(text)).otherwise(F.array().cast("array<string>"))
-    return files.select(key, F.explode(F.array_distinct(F.concat(lines, whole))).alias("segment"))
+    parts = F.concat(F.split(text, "\n"), F.split(text, BETWEEN),
+                     F.when(is_licence_file(F.col("path")), F.array(text)).otherwise(F.array().cast("array<string>")))
+    cued = F.filter(parts, lambda x: F.lower(x).rlike(CUE))
+    # Most texts hold no such word at all: they are not split.
+    return (files.filter(F.lower(text).rlike(CUE)).select(key, F.explode(F.array_distinct(cued)).alias("segment")))
 
 
-def scored(found: DataFrame, least: float = LEAST_SCORE, templates: tuple = TEMPLATES + MORE_TEMPLATES) -> DataFrame:
+def scored(found: DataFrame, least: float = LEAST_SCORE, templates: tuple = TEMPLATES) -> DataFrame:
     """(segment, licence, score) of the segments of ``found`` that reach a template."""
     spark = found.sparkSession
     known = spark.createDataFrame([(f"{name}#{i}", text) for i, (name, text) in enumerate(templates)],
@@ -123,16 +147,14 @@ def scored(found: DataFrame, least: float = LEAST_SCORE, templates: tuple = TEMP
 
 
 def scan(files: DataFrame, key: str = "file_id", least: float = LEAST_SCORE,
-         templates: tuple = TEMPLATES + MORE_TEMPLATES, unknown: bool = True) -> DataFrame:
+         templates: tuple = TEMPLATES) -> DataFrame:
     """(key, path, own_licence, score, licence, inherited_from) of files (key, path, text)."""
     found = stored(segments(files, key), "licence-segments")
     hits = (found.join(scored(found, least, templates), "segment")
             .groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("b"))
             .select(key, F.col("b.licence").alias("own_licence"), (-F.col("b.minus")).alias("score")))
-    if unknown:
-        grants = found.filter(F.lower("segment").rlike(GRANT)).select(key).distinct()
-        hits = (hits.join(grants.withColumn("__grant", F.lit(True)), key, "full")
-                .select(key, F.coalesce("own_licence", F.lit(UNKNOWN)).alias("own_licence"), "score"))
+    grants = found.filter(F.lower("segment").rlike(GRANT)).select(key).distinct()
+    hits = hits.join(grants, key, "full").select(key, F.coalesce("own_licence", F.lit(UNKNOWN)).alias("own_licence"), "score")
     path = F.coalesce(F.col("path"), F.lit(""))
     named = files.select(key, "path", directory(path).alias("dir"), is_licence_file(path).alias("is_file"))
     rows = stored(named.join(hits, key, "left"), "licence-files")
@@ -152,33 +174,31 @@ def scan(files: DataFrame, key: str = "file_id", least: float = LEAST_SCORE,
 
 
 def document_files(docs: DataFrame) -> DataFrame:
-    """Paths for documents: a short text that mentions a licence is the licence file of a
-    directory one to four levels deep, every other text is a file on the fourth level."""
-    source, lang, text = (F.coalesce(c, F.lit("")) for c in ("source", "lang", "text"))
-    dirs = F.concat_ws("/", source, lang, F.concat(F.lit("a"), F.expr("doc_id % 7")), F.concat(F.lit("b"), F.expr("(doc_id div 7) % 5")))
-    short = (F.char_length(text) < 120) & F.lower(text).rlike(CUE)
-    path = F.when(short, F.concat_ws("/", F.array_join(F.slice(F.split(dirs, "/"), F.lit(1), F.expr("cast(1 + doc_id % 4 as int)")), "/"), F.lit("LICENSE")))
-    return docs.select("doc_id", path.alias("short_path"), dirs.alias("dirs"), "text").select(
-        "doc_id", F.coalesce("short_path", F.concat("dirs", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")
+    """Paths for documents: every fifth is the licence file of a directory one to four levels
+    deep, every other one is a file on the fourth level."""
+    source, lang = F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))
+    doc = F.coalesce(F.col("doc_id"), F.lit(0).cast("bigint"))
+    dirs = F.array(source, lang, F.concat(F.lit("a"), doc % 7), F.concat(F.lit("b"), F.floor(doc / 7) % 5))
+    up = F.concat_ws("/", F.slice(dirs, F.lit(1), (1 + doc % 4).cast("int")), F.lit("LICENSE"))
+    path = F.when(doc % 5 == 0, up).otherwise(F.concat_ws("/", dirs, F.concat(doc.cast("string"), F.lit(".txt"))))
+    return docs.select("doc_id", path.alias("path"), "text")
 
 
 def op6_licence_scan(spark, sf_dir: str) -> DataFrame:
-    # The results of OP6_SQL, which has neither the further templates nor an unknown licence.
-    return scan(document_files(read(spark, sf_dir, "documents")), "doc_id", templates=TEMPLATES, unknown=False)
+    return scan(document_files(read(spark, sf_dir, "documents")), "doc_id")
 
 
 _QUOTED = ",\n  ".join("('{}#{}', '{}')".format(n, i, t.replace("'", "''")) for i, (n, t) in enumerate(TEMPLATES))
 OP6_SQL = f"""
 WITH known(template, segment) AS (VALUES
   {_QUOTED}),
-base AS (SELECT doc_id, coalesce(text, '') AS text,
+base AS (SELECT doc_id, coalesce(text, '') AS text, doc_id % 5 = 0 AS is_file,
   [coalesce(source, ''), coalesce(lang, ''), 'a' || (doc_id % 7), 'b' || ((doc_id // 7) % 5)] AS dirs FROM documents),
-files AS (SELECT doc_id, text, regexp_matches(lower(text), '{CUE}') AND length(text) < 120 AS is_file,
-  CASE WHEN regexp_matches(lower(text), '{CUE}') AND length(text) < 120
-       THEN array_to_string(dirs[1:1 + doc_id % 4], '/') ELSE array_to_string(dirs, '/') END AS dir FROM base),
+files AS (SELECT doc_id, text, is_file, array_to_string(CASE WHEN is_file THEN dirs[1:1 + doc_id % 4] ELSE dirs END, '/') AS dir FROM base),
 found AS (SELECT DISTINCT doc_id, segment FROM (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS segment FROM files) WHERE regexp_matches(lower(segment), '{CUE}')
-  UNION SELECT doc_id, text FROM files WHERE is_file),
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS segment FROM files
+  UNION ALL SELECT doc_id, unnest(regexp_split_to_array(text, '{BETWEEN}')) FROM files
+  UNION ALL SELECT doc_id, text FROM files WHERE is_file) WHERE regexp_matches(lower(segment), '{CUE}')),
 seen AS (SELECT segment, count(*) AS n FROM found GROUP BY 1),
 bags AS (SELECT segment, n, term, count(*) AS tf FROM (
   SELECT segment, n, unnest(regexp_extract_all(lower(segment), '[a-z0-9]+')) AS term FROM seen) GROUP BY ALL),
@@ -194,9 +214,11 @@ dots AS (SELECT segment, template, sum(weight * unit) AS dot FROM theirs JOIN un
 scores AS (SELECT segment, split_part(template, '#', 1) AS licence, round(dot / norm, 6) AS score FROM dots JOIN norms USING (segment)),
 hits AS (SELECT doc_id, licence AS own_licence, score FROM found JOIN scores USING (segment) WHERE score >= {LEAST_SCORE}
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) = 1),
-rows AS (SELECT doc_id, dir, is_file, own_licence, score FROM files LEFT JOIN hits USING (doc_id)),
+grants AS (SELECT DISTINCT doc_id FROM found WHERE regexp_matches(lower(segment), '{GRANT}')),
+rows AS (SELECT f.doc_id, dir, is_file, coalesce(own_licence, CASE WHEN g.doc_id IS NOT NULL THEN '{UNKNOWN}' END) AS own_licence, score
+  FROM files f LEFT JOIN hits h USING (doc_id) LEFT JOIN grants g ON g.doc_id = f.doc_id),
 granted AS (SELECT dir AS above, own_licence AS from_above FROM rows WHERE is_file AND own_licence IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, own_licence) = 1),
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY coalesce(score, 0) DESC, own_licence) = 1),
 nearest AS (SELECT d.dir, above, from_above FROM (SELECT DISTINCT dir FROM rows) d
   JOIN granted ON d.dir = above OR starts_with(d.dir, above || '/') OR above = ''
   QUALIFY row_number() OVER (PARTITION BY d.dir ORDER BY length(above) DESC) = 1)

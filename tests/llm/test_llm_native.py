@@ -132,3 +132,26 @@ def test_other_licences_are_not_inherited_over(spark):
     out = {r.file_id: r.licence for r in licences.scan(spark.createDataFrame(rows, "file_id bigint, path string, text string")).collect()}
     assert out == {1: "MIT", 2: "CC-BY-NC-4.0", 3: "unknown", 4: "MIT", 5: "unknown", 6: "MIT", 7: "CC-BY-NC-SA-4.0",
                    8: "CC-BY-ND-4.0", 9: "CC0-1.0", 10: "BSD-2-Clause", 11: "MIT", 12: "unknown", 13: "unknown"}
+
+
+def test_wrapped_headers_licence_files_and_long_texts(spark):
+    apache = ('# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance\n# with the License.\n'
+              "# You may obtain a copy of the License at\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n")
+    mit = ("Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated\ndocumentation files"
+           " (the \"Software\"), to deal in the\nSoftware without restriction, including without limitation the\nrights to use, copy, modify,"
+           " merge, publish, distribute,\nsublicense, and/or sell copies of the Software, and to permit\npersons to whom the Software is"
+           " furnished to do so, subject to\nthe following conditions:\n")
+    long = "plain words of a text. " * 60_000
+    rows = [(1, "a/x.py", apache + "\nimport os\n" * 50), (2, "b/y.c", "/*\n" + mit + "*/\n\nint main;\n"), (3, "c/LICENSE-MIT", mit), (4, "c/d/z.c", "no notice"),
+            (5, "e/long.txt", long + "\nReleased under the MIT License.\n" + long), (6, "f/long.txt", long + "licence plates"),
+            (7, "g/NOTICE.txt", "The MIT text:\n\n" + mit), (8, "h/licenser.py", mit.replace("\n", " "))]
+    files = spark.createDataFrame([(*r, "own", "x") for r in rows], "file_id bigint, path string, text string, licence string, segment string")
+    out = {r.file_id: (r.licence, r.own_licence) for r in licences.scan(files).collect()}
+    assert out == {1: ("Apache-2.0",) * 2, 2: ("MIT",) * 2, 3: ("MIT",) * 2, 4: ("MIT", None), 5: ("MIT",) * 2, 6: (None, None),
+                   7: ("MIT",) * 2, 8: ("MIT",) * 2}
+
+
+def test_every_template_finds_itself(spark):
+    files = spark.createDataFrame([(i, f"d{i}/x.txt", text) for i, (_, text) in enumerate(licences.TEMPLATES)], "file_id int, path string, text string")
+    assert {r.file_id: r.licence for r in licences.scan(files).collect()} == {i: n for i, (n, _) in enumerate(licences.TEMPLATES)}
+    assert all(re.search(licences.CUE, text.lower()) for _, text in licences.TEMPLATES)
