@@ -108,23 +108,27 @@ def directory(path: Column) -> Column:
 
 
 def segments(files: DataFrame, key: str) -> DataFrame:
-    """(key, segment) of the blocks and lines with a word of licences, and of whole licence files."""
+    """(key, segment, digest) of the blocks and lines with a word of licences, and of whole licence files."""
     text = F.coalesce(F.col("text"), F.lit(""))
     parts = F.concat(F.split(text, "\n"), F.split(text, BETWEEN),
                      F.when(is_licence_file(F.col("path")), F.array(text)).otherwise(F.array().cast("array<string>")))
     cued = F.filter(parts, lambda x: F.lower(x).rlike(CUE))
     # Most texts hold no such word at all: they are not split.
-    return (files.filter(F.lower(text).rlike(CUE)).select(key, F.explode(F.array_distinct(cued)).alias("segment")))
+    return (files.filter(F.lower(text).rlike(CUE)).select(key, F.explode(F.array_distinct(cued)).alias("segment"))
+            .withColumn("digest", F.sha2("segment", 256)))
 
 
 def scored(found: DataFrame, least: float = LEAST_SCORE, templates: tuple = TEMPLATES) -> DataFrame:
-    """(segment, licence, score) of the segments of ``found`` that reach a template."""
+    """(digest, licence, score) of the segments of ``found`` that reach a template.
+
+    A segment is its digest in all tables of terms, so a long one is not repeated with each of its words.
+    """
     spark = found.sparkSession
     known = spark.createDataFrame([(f"{name}#{i}", text) for i, (name, text) in enumerate(templates)],
                                   "template string, segment string").coalesce(1)
-    seen = found.groupBy("segment").agg(F.count("*").alias("n"))
-    bags = stored(seen.select("segment", "n", F.explode(terms(F.col("segment"))).alias("term"))
-                  .groupBy("segment", "n", "term").agg(F.count("*").alias("tf")), "licence-terms")
+    seen = stored(found.groupBy("digest").agg(F.count("*").alias("n"), F.first("segment").alias("segment")), "licence-texts")
+    bags = stored(seen.select("digest", "n", F.explode(terms(F.col("segment"))).alias("term"))
+                  .groupBy("digest", "n", "term").agg(F.count("*").alias("tf")), "licence-terms")
     own = (known.select("template", F.explode(terms(F.col("segment"))).alias("term"))
            .groupBy("template", "term").agg(F.count("*").alias("tf")))
     df = (bags.select("term", "n").unionByName(own.select("term", F.lit(1).cast("long").alias("n")))
@@ -136,21 +140,21 @@ def scored(found: DataFrame, least: float = LEAST_SCORE, templates: tuple = TEMP
     length = ours.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
     # The templates are the fixed list above, so their side is always small.
     ours = F.broadcast(ours.join(length, "template").select("template", "term", (F.col("weight") / F.col("length")).alias("unit")))
-    theirs = bags.join(idf, "term").select("segment", "term", weight.alias("weight"))
-    norms = theirs.groupBy("segment").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    dots = theirs.join(ours, "term").groupBy("segment", "template").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"))
-    best = (dots.join(norms, "segment")
-            .select("segment", F.split("template", "#")[0].alias("licence"), F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    theirs = bags.join(idf, "term").select("digest", "term", weight.alias("weight"))
+    norms = theirs.groupBy("digest").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    dots = theirs.join(ours, "term").groupBy("digest", "template").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"))
+    best = (dots.join(norms, "digest")
+            .select("digest", F.split("template", "#")[0].alias("licence"), F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
             .filter(F.col("score") >= least)
-            .groupBy("segment").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("b")))
-    return best.select("segment", "b.licence", (-F.col("b.minus")).alias("score"))
+            .groupBy("digest").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("b")))
+    return best.select("digest", "b.licence", (-F.col("b.minus")).alias("score"))
 
 
 def scan(files: DataFrame, key: str = "file_id", least: float = LEAST_SCORE,
          templates: tuple = TEMPLATES) -> DataFrame:
     """(key, path, own_licence, score, licence, inherited_from) of files (key, path, text)."""
     found = stored(segments(files, key), "licence-segments")
-    hits = (found.join(scored(found, least, templates), "segment")
+    hits = (found.select(key, "digest").join(scored(found, least, templates), "digest")
             .groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("b"))
             .select(key, F.col("b.licence").alias("own_licence"), (-F.col("b.minus")).alias("score")))
     grants = found.filter(F.lower("segment").rlike(GRANT)).select(key).distinct()
