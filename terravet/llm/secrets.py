@@ -10,15 +10,17 @@ gives a calibrated probability; candidates that reach the threshold are added as
 The network is trained on labelled findings of all documents, a bounded number of either
 label by hash: runs that a keyword or a key pattern confirms are positive, plain runs are
 negative.  A positive is also shown with the context of a negative and with redrawn
-characters, so that the shape counts and not the keyword alone; a few positives are
-redrawn until there are enough to train and to calibrate.  Probabilities are calibrated by a logistic
-map on a held-out part.  The largest threshold that keeps ``RECALL`` of the held-out
-positives bounds the threshold from above; it is then placed half way down to the next
-harmless candidate, and never under one half.
-
-Defined results: a null or empty text has no findings; repeated rows get equal
-findings; offsets are code points, end exclusive; without any positive or without enough
-negatives there is no network and nothing is added.
+characters, so that the shape counts and not the keyword alone.  Since the patterns label
+few shapes, random keys of all lengths and harmless strings of known kinds (URLs, paths,
+UUIDs, dates, numbers, names) are drawn by rule and learned too, in contexts of the
+documents; so there is a network whatever the documents hold.  Probabilities are calibrated
+by a logistic map on a held-out part.  For each band of lengths the largest threshold that
+keeps ``RECALL`` of the held-out positives bounds the threshold from above; it is then
+placed half way down to the next harmless candidate, and never under one half.
+
+Defined results: a null or empty text has no findings; very long texts are read whole; repeated
+rows get equal findings; offsets are code points, end exclusive; an empty table gives an empty
+result; a column of the table with the name of a result column is replaced by it.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import own_names, per_text, pieces, plain_names, read, stored
+from .secret_shapes import CASED, HARMLESS, Shapes
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -48,11 +51,14 @@ RUN_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=
 RUN_LEAST = 12
 JOINTS = "=/.-"
 SIDE, CORE, STRIDE = 16, 48, 24
-RECALL = 0.99
+RECALL = 0.97
 SAMPLE_ROWS = 3_000
-FEWEST = 20
-LEAST_STEPS = 100
+#: Drawn keys, and drawn harmless strings of each kind; upper ends of the length bands of the thresholds.
+DRAWN_KEYS, DRAWN_OF_KIND = 6_000, 800
+BANDS = (15, 23, 1 << 30)
+KEY_LENGTHS = (12, 56)
 MASK = "[secret]"
+ROUNDS = 9
 
 _IN_RUN = np.zeros(0x110000, bool)
 _IN_RUN[[ord(c) for c in RUN_CHARS]] = True
@@ -139,13 +145,13 @@ class Network:
     offset: float
     slope: float = 1.0
     shift: float = 0.0
-    threshold: float = 1.0
+    thresholds: tuple[float, ...] = (1.0,) * len(BANDS)
 
     WIDTH = 5
     SEGMENTS = ((0, SIDE), (SIDE, SIDE + CORE), (SIDE + CORE, 2 * SIDE + CORE))
 
     @classmethod
-    def start(cls, rng: np.random.Generator, depth: int = 8, count: int = 16) -> Network:
+    def start(cls, rng: np.random.Generator, depth: int = 8, count: int = 32) -> Network:
         return cls(rng.normal(0, 0.3, (SYMBOLS, depth)), rng.normal(0, 0.2, (cls.WIDTH * depth, count)),
                    np.zeros(count), rng.normal(0, 0.1, 6 * count), 0.0)
 
@@ -158,10 +164,18 @@ class Network:
         act = np.maximum(seen @ self.filters + self.bias, 0)
         best = [act[:, a:b].argmax(1) + a for a, b in self.SEGMENTS]
         tops = [np.take_along_axis(act, at[:, None], 1)[:, 0] for at in best]
-        means = [act[:, a:b].mean(1) for a, b in self.SEGMENTS]
+        shares = self.shares(x)
+        means = [np.einsum("nlc,nl->nc", act[:, a:b], shares[:, a:b]) for a, b in self.SEGMENTS]
         pooled = np.hstack([*tops, *means])
         return around, seen, act, best, pooled, pooled @ self.out + self.offset
 
+    def shares(self, x: np.ndarray) -> np.ndarray:
+        """Weight of each place in the mean of its segment: equal over its characters."""
+        real = (x != PAD).astype(float)
+        for a, b in self.SEGMENTS:
+            real[:, a:b] /= np.maximum(real[:, a:b].sum(1, keepdims=True), 1)
+        return real
+
     def logits(self, x: np.ndarray) -> np.ndarray:
         if not len(x):
             return np.zeros(0)
@@ -176,11 +190,11 @@ class Network:
         dz = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / n
         d_pool = dz[:, None] * self.out
         count = len(self.bias)
-        d_act = np.zeros_like(act)
+        d_act, shares = np.zeros_like(act), self.shares(x)
         rows, columns = np.arange(n)[:, None], np.arange(count)[None]
         for i, (a, b) in enumerate(self.SEGMENTS):
             d_act[rows, best[i], columns] += d_pool[:, i * count:(i + 1) * count]
-            d_act[:, a:b] += d_pool[:, None, (3 + i) * count:(4 + i) * count] / (b - a)
+            d_act[:, a:b] += d_pool[:, None, (3 + i) * count:(4 + i) * count] * shares[:, a:b, None]
         d_act *= act > 0
         flat = d_act.reshape(-1, count)
         d_embed = np.zeros_like(self.embed)
@@ -217,11 +231,22 @@ class Network:
             move = np.clip(np.linalg.solve(m, g), -1, 1)
             a, b = a - move[0], b - move[1]
         self.slope, self.shift = float(max(a, 1e-3)), float(b)
-        p = self.probability(x)
+        p, band = self.probability(x), bands(x)
+        self.thresholds = tuple(self.cut(p[band == i], y[band == i]) for i in range(len(BANDS)))
+
+    @staticmethod
+    def cut(p: np.ndarray, y: np.ndarray) -> float:
         hits = np.sort(p[y == 1])
+        if not len(hits):
+            return 0.5
         most = float(hits[int(np.floor((1 - RECALL) * len(hits)))])
         below = p[(y == 0) & (p < most)]
-        self.threshold = max(0.5, (most + float(below.max(initial=0.0))) / 2)
+        return max(0.5, (most + float(below.max(initial=0.0))) / 2)
+
+
+def bands(x: np.ndarray) -> np.ndarray:
+    """Length band of the core of each row."""
+    return np.searchsorted(BANDS, (x[:, SIDE:SIDE + CORE] != PAD).sum(1))
 
 
 def examples(rows: list[tuple[int, str, str, str]], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -302,42 +327,61 @@ def sample_rows(docs: DataFrame, text: str = "text", rows_limit: int = SAMPLE_RO
     return out
 
 
-def train(docs: DataFrame, text: str = "text", rows_limit: int = SAMPLE_ROWS, seed: int = 11) -> Network | None:
+def train(docs: DataFrame, text: str = "text", rows_limit: int = SAMPLE_ROWS, seed: int = 11) -> Network:
     return fit(sample_rows(docs, text, rows_limit), seed)
 
 
-def redrawn(core: str, rng: np.random.Generator) -> str:
-    """``core`` with every letter and digit drawn anew from the characters of its kind."""
-    kinds = ("abcdef", "ghijklmnopqrstuvwxyz") if re.search("[g-z]", core) is None else ("abcdefghijklmnopqrstuvwxyz",)
-    kinds += ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
-    same = {c: kind for kind in kinds for c in kind}
-    return "".join(same[c][int(rng.integers(len(same[c])))] if c in same else c for c in core)
+def drawn_rows(rows: list[tuple[int, str, str, str]], rng: np.random.Generator) -> list[tuple[int, str, str, str]]:
+    """(label, left, core, right) of drawn keys and harmless strings, beside texts of the labelled rows."""
+    sides = [(left, right) for _, left, _, right in rows]
+    shapes = Shapes(rng, [w for side in sides for part in side for w in part.split()])
 
+    def context() -> tuple[str, str]:
+        if sides and rng.random() < 0.6:
+            return shapes.pick(sides)
+        return shapes.pick(("", " ", shapes.word() + " ", shapes.word() + ": ", '"', "=")), shapes.pick(("", " ", " " + shapes.word(), "\n", '"'))
+    out = []
+    for _ in range(DRAWN_KEYS):
+        left, right = context()
+        # Half of the keys are short: they are the hard ones.
+        most = KEY_LENGTHS[1] if rng.random() < 0.5 else 24
+        key = shapes.key(int(rng.integers(KEY_LENGTHS[0], most + 1)))
+        out += [(1, left[-SIDE:], key[a:b], (key[b:] + right)[:SIDE]) for a, b in cores(0, len(key))[:1]]
+    for kind in HARMLESS:
+        made = 0
+        while made < DRAWN_OF_KIND:
+            before, text = shapes.harmless(kind)
+            left, right = context()
+            if kind in CASED and rng.random() < 0.35:
+                text = text.upper()
+            text = left + before + text + right
+            for a, b in runs([text])[0]:
+                if not base_findings(text, [(a, b)]):
+                    out += [(0, *around(text, *core)) for core in cores(a, b)]
+            made += 1
+    return out
 
-def fit(rows: list[tuple[int, str, str, str]], seed: int = 11) -> Network | None:
-    """Every fifth row of either label is held out for calibration.
 
-    Fewer than ``FEWEST`` positives are filled up with redrawn ones, to a tenth of the
-    negatives at least; few rows are shown more often.  None without any positive, or with
-    fewer than ``FEWEST`` negatives.
-    """
-    sure, plain = ([r for r in rows if r[0] == k] for k in (1, 0))
-    if not sure or len(plain) < FEWEST:
-        return None
+def fit(rows: list[tuple[int, str, str, str]], seed: int = 11) -> Network:
+    """Network of labelled rows and drawn ones; every fifth row of either label is held out for calibration."""
     rng = np.random.default_rng(seed)
-    known = len(sure)
-    while known < FEWEST and len(sure) < max(FEWEST, len(plain) // 10):
-        label, left, core, right = sure[len(sure) % known]
-        sure.append((label, left, redrawn(core, rng), right))
-    held = sure[4::5] + plain[4::5]
-    x, y = examples([r for k in (sure, plain) for i, r in enumerate(k) if i % 5 != 4], rng)
+    drawn = drawn_rows(rows, rng)
+
+    def part(held_out: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Labelled rows in all their guises, drawn rows as they are."""
+        chosen = [[r for k in (1, 0) for i, r in enumerate(r for r in kind if r[0] == k) if (i % 5 == 4) == held_out] for kind in (rows, drawn)]
+        made = [examples(chosen[0], rng)] if chosen[0] else []
+        made.append((np.array([codes(*r[1:]) for r in chosen[1]]), np.array([r[0] for r in chosen[1]], float)))
+        return np.concatenate([x for x, _ in made]), np.concatenate([y for _, y in made])
+
+    x, y = part(False)
     network = Network.start(rng)
-    network.learn(x, y, rng, rounds=max(4, -(-LEAST_STEPS * 128 // len(x))))
-    network.calibrate(*examples(held, rng))
+    network.learn(x, y, rng, rounds=ROUNDS)
+    network.calibrate(*part(True))
     return network
 
 
-def scan_texts(texts: list[str], network: Network | None) -> list[list[tuple[int, int, int, int, float]]]:
+def scan_texts(texts: list[str], network: Network | None = None) -> list[list[tuple[int, int, int, int, float]]]:
     """Sorted (start, kind, end, secret start, probability) of each text; base findings have 1.0."""
     all_runs = runs(texts)
     out, asked, rows = [], [], []
@@ -351,12 +395,13 @@ def scan_texts(texts: list[str], network: Network | None) -> list[list[tuple[int
                     asked.append((j, a, b, len(read)))
                     rows += [codes(*around(body, *core)) for core in read]
     if rows:
-        made, at = network.probability(np.array(rows)), 0
+        x, at = np.array(rows), 0
+        made, cut = network.probability(x), np.array(network.thresholds)[bands(x)]
         for j, a, b, n in asked:
-            p = float(made[at:at + n].max())
+            best = at + int((made[at:at + n] - cut[at:at + n]).argmax())
             at += n
-            if p >= network.threshold:
-                out[j].append((a, 3, b, a, p))
+            if made[best] >= cut[best]:
+                out[j].append((a, 3, b, a, float(made[best])))
     return [sorted(f) for f in out]
 
 

@@ -1,4 +1,8 @@
 import random
+import string
+import uuid
+
+import pytest
 
 from terravet.llm import secrets
 
@@ -36,7 +40,6 @@ def test_network_adds_key_shaped_runs_only():
     found = secrets.scan_texts(texts, network)
     assert [[secrets.KINDS[f[1]] for f in r] for r in found] == [["model"], [], ["assign", "hex"]]
     assert secrets.redacted(texts[2], found[2]) == f'token = "{secrets.MASK}"'
-    assert secrets.fit(rows(3)) is None
 
 
 def test_odd_rows(spark):
@@ -49,7 +52,11 @@ def test_odd_rows(spark):
     clean = secrets.cleaned(df, None)
     assert clean.columns == df.columns
     assert {r.text for r in clean.filter("doc_id is null").collect()} == {"é😀 " + secrets.MASK}
-    assert secrets.train(df) is None and secrets.scan(df.limit(0), None, keep=["doc_id"]).count() == 0
+    again = secrets.scan(df, None).collect()
+    assert [len(r.findings) for r in again] == [0, 0, 1, 1, 1] and again[0].asDict().keys() == {"doc_id", "findings"}
+    network = secrets.train(df.limit(0))
+    assert secrets.scan(df.limit(0), network, keep=["doc_id"]).count() == 0
+    assert [[f.kind for f in r.findings] for r in secrets.scan(df, network).collect()][2:] == [["access"], ["access"], ["hex"]]
 
 
 def test_rare_secrets_of_many_documents_are_all_sampled(spark):
@@ -62,18 +69,59 @@ def test_rare_secrets_of_many_documents_are_all_sampled(spark):
     assert sample == secrets.sample_rows(docs.repartition(5), rows_limit=200)
 
 
-def test_few_positives_still_train():
-    few = [r for i, r in enumerate(rows()) if not r[0] or i < 6]
-    network = secrets.fit(few)
-    texts = ["the Zk39aQpL0xYv7TtR2mWc8HsQ1 of", "the thononandtherandoner of"]
+@pytest.fixture(scope="module")
+def general():
+    """A network of few labelled rows."""
+    return secrets.fit([r for i, r in enumerate(rows()) if not r[0] or i < 6])
+
+
+def marks(network, texts):
+    return sum(any(f[1] == 3 for f in found) for found in secrets.scan_texts(texts, network)) / len(texts)
+
+
+@pytest.mark.parametrize("size", [12, 16, 20, 24, 32, 40])
+@pytest.mark.parametrize("alphabet", [string.ascii_letters + string.digits, string.ascii_lowercase + string.digits])
+def test_random_keys_without_keyword(general, size, alphabet):
+    rng = random.Random(size)
+    keys = ["".join(rng.choice(alphabet) for _ in range(size)) for _ in range(200)]
+    assert marks(general, [f"here is {k} and so on" for k in keys]) >= 0.9
+
+
+def harmless():
+    """Strings of shapes written for this test, not by the rules that draw training rows."""
+    rng = random.Random(5)
+    number = lambda n: "".join(rng.choice(string.digits) for _ in range(n))
+    name = lambda: rng.choice(["bread", "river", "garden", "window", "market", "school", "letter", "summer"])
+    return {
+        "url": lambda: f"https://www.{name()}-{name()}.example.com/{name()}/{name()}-and-{name()}?id={number(4)}&ref=home",
+        "short url": lambda: f"http://blog.{name()}.example.net/en/{number(3)}",
+        "uuid": lambda: str(uuid.UUID(int=rng.getrandbits(128), version=4)),
+        "path": lambda: f"/usr/local/share/{name()}/{name()}-{number(1)}.{number(1)}/README.md",
+        "source path": lambda: f"src/main/java/org/{name()}/{name().capitalize()}{name().capitalize()}.java",
+        "date": lambda: f"20{number(2)}-0{rng.randint(1, 9)}-1{number(1)}T1{number(1)}:30:00Z",
+        "number": lambda: number(14), "phone": lambda: f"+49-151-{number(8)}", "book number": lambda: f"978-3-16-{number(6)}-0",
+        "slug": lambda: "-".join(["how", "to", name(), "the", "best", name(), "in", number(2), "days"]),
+        "camel": lambda: f"get{name().capitalize()}{name().capitalize()}From{name().capitalize()}",
+        "snake": lambda: f"total_number_of_{name()}_{number(1)}", "mail": lambda: f"{name()}.{name()}{number(2)}@example.org",
+        "version": lambda: f"{name()}-1.{number(2)}.3-beta.4"}
+
+
+@pytest.mark.parametrize("kind", harmless())
+def test_harmless_shapes(general, kind):
+    made = harmless()[kind]
+    assert marks(general, [f"see {made()} for more" for _ in range(200)]) <= 0.02
+
+
+def test_network_without_labelled_rows():
+    network = secrets.fit([])
+    texts = ["the Zk39aQpL0xYv7TtR2mWc8HsQ1 of", "the incomprehensibilities of"]
     assert [[secrets.KINDS[f[1]] for f in r] for r in secrets.scan_texts(texts, network)] == [["model"], []]
-    assert secrets.fit([r for r in rows() if not r[0]]) is None
 
 
 class Finder:
     """A network that knows one key by its codes."""
 
-    threshold = 0.5
+    thresholds = (0.5,) * len(secrets.BANDS)
 
     def __init__(self, key):
         self.key = secrets.codes("", key, "")[secrets.SIDE:secrets.SIDE + len(key)].tobytes()
