@@ -4,20 +4,28 @@ A benchmark item leaks into a document where some stretch of its words is within
 ``(100 - percent)`` percent word edits of the item.  Windows of the size of an item are
 embedded by the CGK random walk: step j copies the current word and then stays or moves
 on, as a random bit of (j, word) says.  Edit distance becomes Hamming distance, so a few
-sampled steps of the walk form a bucket key.  The number of repetitions follows from the
-collision rate that edited copies of the items themselves show, and the wanted recall.
-Windows and items in one bucket are then compared exactly.
+sampled steps of the walk form a bucket key.  The number of repetitions is set for each
+class of item sizes by simulation: copies of its items with as many edits as the bound
+allows are embedded, and the repetitions must find ``RECALL`` of them on average and
+``LEAST_RECALL`` of the worst.  Windows and items in one bucket are then compared exactly.
 
 Windows that cannot be within the bound are not embedded: an edit destroys at most three
 word triples, so a leak of an item of n words with d edits holds at least n - 2 - 3d word
 triples of the benchmark (a lossless count filter).  Words are compared in lower case.
 
+Items of fewer than ``MIN_WORDS`` words, and sizes for which ``MOST_TABLES`` repetitions are
+not enough, take an exact way: of the d + 1 equal parts of an item one is untouched by d
+edits, so every stretch with such a part is compared.
+
 The benchmark is a stated query set against all rows: it is read in blocks of at most
 ``BLOCK_WORDS`` words, and each block goes over all documents.
 
-Defined results: null or empty texts leak nothing; items of fewer than ``MIN_WORDS``
-words are no evidence and are left out, as are null items; repeated rows give repeated
-results; ties between stretches go to the smaller distance, then the earlier one.
+Defined results: null or empty texts leak nothing; very long texts are read whole; null and
+wordless items are left out, an item with a null item_id is searched and reported with it;
+repeated rows give repeated results; ties between stretches go to the smaller distance, then
+the earlier one; an empty benchmark leaks nothing.  ``leaks`` searches items of any length;
+``without_leaks`` takes items of ``least_words`` words or more, as one or two words are no
+evidence.  A kept column named ``leaks`` is replaced.
 """
 
 from __future__ import annotations
@@ -35,8 +43,9 @@ from .shingles import BASE, U, mix, words
 
 MIN_WORDS = 8
 SAMPLES = 2
-RECALL = 0.995
-MOST_TABLES = 64
+RECALL, LEAST_RECALL = 0.996, 0.96
+#: Copies and tables of a simulation; items of sizes within a factor share their repetitions.
+COPIES, MOST_TABLES, SIZE_CLASS = 40, 192, 1.15
 BLOCK_WORDS = 2_000_000
 LANES = 200_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -92,49 +101,75 @@ class Items:
     ids: list
     rows: list[np.ndarray]
     percent: int
-    tables: int = 1
 
     def __post_init__(self):
+        sizes = np.array([len(r) for r in self.rows])
+        count = self._repetitions(sizes)
+        # Repetitions by item size; 0 is the exact way.
+        self.tables = np.zeros(int(sizes.max()) + 1, np.int64)
+        self.tables[sizes] = count
+        self.embedded = np.flatnonzero(count > 0)
+        self._anchor(np.flatnonzero(count == 0))
+        if len(self.embedded):
+            self._embed([self.rows[i] for i in self.embedded], sizes[self.embedded])
+
+    def _embed(self, rows: list[np.ndarray], sizes: np.ndarray) -> None:
         # Word triples with the sizes of the items that hold them.
-        made = [triple_hashes(r) for r in self.rows]
-        held = np.unique(np.stack([np.concatenate(made), np.repeat([len(r) for r in self.rows], [len(m) for m in made])
+        made = [triple_hashes(r) for r in rows]
+        held = np.unique(np.stack([np.concatenate(made), np.repeat(sizes, [len(m) for m in made])
                                    .astype(U)], 1), axis=0)
         self.triples, first = np.unique(held[:, 0], return_index=True)
         self.first, self.held_sizes = np.append(first, len(held)), held[:, 1].astype(np.int64)
-        self.tables = self._tables_for(RECALL)
-        lane_item = np.repeat(np.arange(len(self.rows)), self.tables)
-        keys = self._keys(self.rows, np.array([len(r) for r in self.rows]), self.tables)
+        keys, lane_item = self._keys(rows, sizes, self.tables[sizes])
         order = np.argsort(keys, kind="stable")
-        self.keys, self.owners = keys[order], lane_item[order]
+        self.keys, self.owners = keys[order], self.embedded[lane_item[order]]
+
+    def _anchor(self, items: np.ndarray) -> None:
+        """Hashes of the parts of the items that are searched exactly, by length of the part."""
+        parts: dict[int, list[tuple[int, int, int]]] = {}
+        for i in items.tolist():
+            row = self.rows[i]
+            n, count = len(row), int(self.edits(len(row))) + 1
+            cuts = [k * n // count for k in range(count + 1)]
+            for low, high in zip(cuts, cuts[1:]):
+                parts.setdefault(high - low, []).append((int(grams(row[low:high], high - low)[0]), i, low))
+        self.parts = {}
+        for length, found in parts.items():
+            found.sort()
+            self.parts[length] = (np.array([h for h, _, _ in found], U), np.array([[i, low] for _, i, low in found], np.int64))
 
     def edits(self, size):
         return size * (100 - self.percent) // 100
 
     @staticmethod
-    def _keys(rows: list[np.ndarray], sizes: np.ndarray, tables: int) -> np.ndarray:
-        symbols = np.concatenate(rows)
+    def _keys(rows: list[np.ndarray], sizes: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(key, row) of every repetition of every row."""
         first = np.cumsum([0, *map(len, rows)])[:-1]
-        n = len(rows)
-        table = np.tile(np.arange(tables), n)
-        size = np.repeat(sizes, tables)
-        limit = np.minimum(np.repeat([len(r) for r in rows], tables), size)
-        return walk_keys(symbols, np.repeat(first, tables), limit, size, table, sample_steps(size, table))
-
-    def _tables_for(self, recall: float) -> int:
-        """Repetitions that find ``recall`` of copies with as many edits as the bound allows."""
+        lane, table = repeated(tables)
+        limit = np.minimum(np.array([len(r) for r in rows])[lane], sizes[lane])
+        return walk_keys(np.concatenate(rows), first[lane], limit, sizes[lane], table, sample_steps(sizes[lane], table)), lane
+
+    def _repetitions(self, sizes: np.ndarray) -> np.ndarray:
+        """Repetitions of each item, alike for a class of sizes; 0 where it is searched exactly."""
         rng = np.random.default_rng(3)
-        some = [self.rows[i] for i in rng.permutation(len(self.rows))[:100]]
-        sizes = np.array([len(r) for r in some])
-        trial = 16
-        own = self._keys(some, sizes, trial)
-        hits = np.mean([self._keys([edited(r, int(self.edits(len(r))), rng) for r in some], sizes, trial) == own
-                        for _ in range(3)])
-        if hits >= 1:
-            return 1
-        return int(min(MOST_TABLES, max(2, np.ceil(np.log(1 - recall) / np.log(1 - max(hits, 1e-3))))))
+        kinds = np.floor(np.log(np.maximum(sizes, 1)) / np.log(SIZE_CLASS)).astype(int)
+        out = np.zeros(len(sizes), np.int64)
+        for kind in np.unique(kinds[sizes >= MIN_WORDS]).tolist():
+            mine = np.flatnonzero((kinds == kind) & (sizes >= MIN_WORDS))
+            some = [self.rows[i] for i in rng.choice(mine, COPIES)]
+            size, many = np.array([len(r) for r in some]), np.full(COPIES, MOST_TABLES)
+            own, _ = self._keys(some, size, many)
+            copy, _ = self._keys([edited(r, int(self.edits(len(r))), rng) for r in some], size, many)
+            rate = (own == copy).reshape(COPIES, MOST_TABLES).mean(1)
+            missed = np.power.outer(1 - rate, np.arange(1, MOST_TABLES + 1))
+            enough = np.flatnonzero((missed.mean(0) <= 1 - RECALL) & (missed.max(0) <= 1 - LEAST_RECALL))
+            out[mine] = enough[0] + 1 if len(enough) else 0
+        return out
 
     def windows(self, symbols: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """(start, size) of the windows that pass the count filter."""
+        if not len(self.embedded):
+            return np.zeros((0, 2), np.int64)
         triple = triple_hashes(symbols)
         at = np.searchsorted(self.triples, triple)
         at[at == len(self.triples)] = 0
@@ -162,23 +197,35 @@ class Items:
         """Distinct (start, item) that share a bucket."""
         found = [np.zeros((0, 2), np.int64)]
         windows = self.windows(symbols, owner)
-        for low in range(0, len(windows), max(1, LANES // self.tables)):
-            part = windows[low:low + max(1, LANES // self.tables)]
-            start, size = np.repeat(part[:, 0], self.tables), np.repeat(part[:, 1], self.tables)
-            table = np.tile(np.arange(self.tables), len(part))
+        lanes = np.cumsum(self.tables[windows[:, 1]]) // LANES
+        for part in np.split(windows, np.flatnonzero(np.diff(lanes)) + 1) if len(windows) else []:
+            lane, table = repeated(self.tables[part[:, 1]])
+            start, size = part[lane, 0], part[lane, 1]
             limit = np.minimum(size, end[owner[start]] - start)
             keys = walk_keys(symbols, start, limit, size, table, sample_steps(size, table))
-            a, b = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
-            n = b - a
-            at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found.append(np.unique(np.stack([np.repeat(start, n), self.owners[at]], 1), axis=0))
+            found.append(np.unique(self._hits(self.keys, keys, start, self.owners[:, None]), axis=0))
+        for length, (hashes, held) in self.parts.items():
+            seen = grams(symbols, length)
+            inside = np.flatnonzero(owner[length - 1:] == owner[:len(seen)]) if len(seen) else np.zeros(0, np.int64)
+            hits = self._hits(hashes, seen[inside], inside, held)
+            # The item begins that far before its part, if its text does.
+            begin = np.maximum(hits[:, 0] - hits[:, 2], end[owner[hits[:, 0]]] - np.bincount(owner, minlength=len(end))[owner[hits[:, 0]]])
+            found.append(np.unique(np.stack([begin, hits[:, 1]], 1), axis=0))
         return np.unique(np.concatenate(found), axis=0)
 
+    @staticmethod
+    def _hits(sorted_keys: np.ndarray, keys: np.ndarray, start: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """(start, *held) of every equal pair of keys."""
+        a, b = np.searchsorted(sorted_keys, keys, "left"), np.searchsorted(sorted_keys, keys, "right")
+        n = b - a
+        at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.concatenate([np.repeat(start, n)[:, None], held[at]], axis=1)
+
     def matches(self, texts: list[str]) -> list[list[tuple]]:
         """Per text, (item, distance, first word, end word) of its closest stretch for each item within the bound."""
         symbols, owner = words([t.lower() for t in texts])
         out: list[list[tuple]] = [[] for _ in texts]
-        if len(symbols) < 3:
+        if not len(symbols):
             return out
         end = np.cumsum(np.bincount(owner, minlength=len(texts)))
         first = end - np.bincount(owner, minlength=len(texts))
@@ -206,6 +253,22 @@ class Items:
         return out
 
 
+def repeated(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number within the row) of ``count`` lanes of each row."""
+    lane = np.repeat(np.arange(len(count)), count)
+    return lane, np.arange(len(lane)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def grams(symbols: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all stretches of ``length`` words."""
+    if len(symbols) < length:
+        return np.zeros(0, U)
+    out = np.zeros(len(symbols) - length + 1, U)
+    for k in range(length):
+        out = mix(out * BASE + symbols[k:k + len(out)])
+    return out
+
+
 def triple_hashes(symbols: np.ndarray) -> np.ndarray:
     return mix((symbols[:-2] * BASE + symbols[1:-1]) * BASE + symbols[2:]) if len(symbols) > 2 else np.zeros(0, U)
 
@@ -228,7 +291,7 @@ def closest(item: np.ndarray, words_: np.ndarray) -> tuple[int, int, int]:
     return int(row[end] >> 32), int(row[end] & (shift - 1)), end
 
 
-def item_blocks(benchmark: DataFrame, percent: int):
+def item_blocks(benchmark: DataFrame, percent: int, least_words: int = 1):
     """The benchmark in blocks of bounded size, each collected on its own."""
     items = (benchmark.filter(F.col("text").isNotNull())
              .withColumn("n_words", F.size(F.split(F.trim("text"), r"[\x20\x09-\x0D]+"))))
@@ -236,12 +299,12 @@ def item_blocks(benchmark: DataFrame, percent: int):
     blocks = max(1, -(-int(total) // BLOCK_WORDS))
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        rows = sorted({(r["item_id"], r["text"]) for r in part.collect() if r["item_id"] is not None})
+        rows = sorted({(r["item_id"], r["text"]) for r in part.collect()}, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         if not rows:
             continue
         symbols, owner = words([text.lower() for _, text in rows])
         split = np.split(symbols, np.cumsum(np.bincount(owner, minlength=len(rows)))[:-1])
-        kept = [(rows[i][0], w) for i, w in enumerate(split) if len(w) >= MIN_WORDS]
+        kept = [(rows[i][0], w) for i, w in enumerate(split) if len(w) >= least_words]
         if kept:
             yield Items([i for i, _ in kept], [w for _, w in kept], percent)
 
@@ -282,10 +345,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, keep: list[s
     return out.select(*keep, F.inline("leaks"))
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, text: str = "text") -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, text: str = "text", least_words: int = 3) -> DataFrame:
     """The rows that hold no benchmark item, with all their columns.  Each row is judged on its own."""
     out, new = plain_names(docs)
-    for items in item_blocks(benchmark, percent):
+    for items in item_blocks(benchmark, percent, least_words):
         out = with_leaks(out, items, list(new.values()), new[text]).filter("size(leaks) = 0").drop("leaks")
     return own_names(out, new)
 
