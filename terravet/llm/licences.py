@@ -115,7 +115,7 @@ def segments(files: DataFrame, key: str) -> DataFrame:
     cued = F.filter(parts, lambda x: F.lower(x).rlike(CUE))
     # Most texts hold no such word at all: they are not split.
     return (files.filter(F.lower(text).rlike(CUE)).select(key, F.explode(F.array_distinct(cued)).alias("segment"))
-            .withColumn("digest", F.sha2("segment", 256)))
+            .withColumn("digest", F.substring(F.unhex(F.sha2("segment", 256)), 1, 16)))
 
 
 def scored(found: DataFrame, least: float = LEAST_SCORE, templates: tuple = TEMPLATES) -> DataFrame:
