@@ -4,9 +4,10 @@ Every node of the tree gets a composite text density: characters per tag, raised
 text outside links and lowered for text inside them.  The sum of the densities of its
 children is the density sum of a node; the subtree of the largest sum holds the main
 text.  The least density on the path from body to it is the threshold: the densest part
-of every other subtree that reaches the threshold is main text as well.  A chosen subtree
-inside an article element is widened to that element; inside a main element the search
-stays there.  Menus, page headers, footers,
+of every other subtree that reaches the threshold is main text as well.  With a chosen
+subtree goes the running text (headings, paragraphs, lists) that stands beside it in its
+containers below the body.  A chosen subtree inside an article element that is not mostly
+links is widened to that element; inside a main element the search stays there.  Menus, page headers, footers,
 asides, forms, adverts, notices and comments (by element, role and class name), scripts
 and styles take no part.  A form or a class name does not drop a subtree with most of the
 text of the page outside links, unless an article or main element keeps a share of it, and
@@ -14,8 +15,10 @@ drops nothing where no text would be left.  The same holds for a subtree with th
 density sum, or with more text than all that the names leave.
 
 Defined results: null or empty html gives an empty text; broken markup is read as far as
-it goes, with missing end tags implied; white space inside a block is one space, blocks
-are joined in page order by one space; nothing is cut.  Repeated rows give equal results.
+it goes, with missing end tags implied, and a comment or tag cut off by the end is left out
+(a comment mark inside a script is none); very long pages are read whole; white space inside a block is one space, blocks
+are joined in page order by one space; nothing is cut.  Repeated rows give equal results; an empty table gives an empty result; a
+column of the table named ``text`` is replaced by the result.
 """
 
 from __future__ import annotations
@@ -52,6 +55,10 @@ CLOSES_P = BLOCKS - {"br", "title", "head", "html", "body", "option", "optgroup"
 PART = re.compile(r"[-_]+|[0-9][0-9x]*")
 #: A subtree is not dropped for its name if articles keep less than this share of its text.
 KEPT_SHARE = 1 / 3
+#: Elements of running text: they belong to the main text that they stand beside.
+TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote ul ol dl table figure b i em strong span a br hr".split())
+#: A comment, or an element whose content is no markup.
+OPENER = re.compile(r"<!--|<(script|style|textarea|title)\b", re.IGNORECASE)
 CUT_TAG = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ/!?")
 
 
@@ -175,18 +182,24 @@ def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, bo
 
 
 def without_open_end(html: str) -> str:
-    """``html`` without a comment or tag that its end cuts off."""
-    at = html.rfind("<!--")
-    if at >= 0 and html.find("-->", at) < 0:
-        html = html[:at]
+    """``html`` without a comment or tag that its end cuts off; scripts and the like hold no comments."""
+    at = 0
+    while opened := OPENER.search(html, at):
+        name = opened.group(1)
+        closing = re.compile(f"</{name}" if name else "-->", re.IGNORECASE).search(html, opened.end())
+        if closing is None:
+            if name is None:
+                return html[:opened.start()]
+            break
+        at = closing.end()
     at = html.rfind("<")
     if at >= 0 and html.find(">", at) < 0 and html[at + 1:at + 2] in CUT_TAG:
         html = html[:at]
     return html
 
 
-def measured(tree: Tree, drop: list[bool]) -> tuple[list[int], int, list[float], list[float], list[int]]:
-    """End of each subtree, body, densities, density sums, and the node of the largest sum in each subtree."""
+def measured(tree: Tree, drop: list[bool]) -> tuple[list[int], int, list[float], list[float], list[int], list[bool]]:
+    """End of each subtree, body, densities, density sums, the node of the largest sum in each subtree, and which are mostly links."""
     n, parent = len(tree.tags), tree.parent
     chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     for node, text in tree.pieces:
@@ -219,7 +232,7 @@ def measured(tree: Tree, drop: list[bool]) -> tuple[list[int], int, list[float],
         up = parent[i]
         if sums[best[i]] >= sums[best[up]] and best[up] != up or sums[best[i]] > sums[best[up]]:
             best[up] = best[i]
-    return last, body, density, sums, best
+    return last, body, density, sums, best, [2 * k > c for k, c in zip(links, chars)]
 
 
 def plain_sums(tree: Tree, drop: list[bool]) -> list[int]:
@@ -249,7 +262,7 @@ def dropped(tree: Tree) -> list[bool]:
     drop = spread(tree, set(tree.named))
     left = plain_sums(tree, drop)
     article = max((left[i] for i, tag in enumerate(tree.tags) if tag in ("article", "main") and not drop[i]), default=0)
-    last, body, _, _, best = measured(tree, tree.drop)
+    last, body, _, _, best, _ = measured(tree, tree.drop)
     most = max(left[0] + 1, max(whole[i] for i in tree.named))
     main = {i for i in tree.named if article < KEPT_SHARE * whole[i]
             and (2 * whole[i] > whole[0] or whole[i] >= most or i <= best[body] < last[i])}
@@ -266,7 +279,7 @@ def main_text(html: str) -> str:
     tree.feed(without_open_end(html).replace("<![", "<!"))
     tree.close()
     n, parent, drop = len(tree.tags), tree.parent, dropped(tree)
-    last, body, density, sums, best = measured(tree, drop)
+    last, body, density, sums, best, linked = measured(tree, drop)
     top = best[body] if sums[best[body]] > 0 else body
     threshold, at = density[top], top
     while at != body and at:
@@ -286,7 +299,23 @@ def main_text(html: str) -> str:
     def choose(node: int) -> None:
         chosen[node:last[node]] = b"\1" * (last[node] - node)
 
-    choose(inside(top, "article") or top)
+    def choose_main(node: int) -> None:
+        """The subtree, or the article around it; and the text that its containers below the body hold beside it."""
+        article = inside(node, "article")
+        if article and not linked[article]:
+            choose(article)
+            return
+        choose(node)
+        while parent[node] not in (0, body):
+            node = parent[node]
+            chosen[node] = 1
+            child = node + 1
+            while child < last[node]:
+                if tree.tags[child] in TEXT_TAGS and not drop[child] and not linked[child]:
+                    choose(child)
+                child = last[child]
+
+    choose_main(top)
     scope = inside(top, "main") or body
     i = scope
     while i < last[scope]:
@@ -294,8 +323,7 @@ def main_text(html: str) -> str:
             i += 1
         elif i == scope or density[i] >= threshold:
             if i != scope and chosen.find(1, i, last[i]) < 0:
-                part = best[i] if sums[best[i]] > 0 else i
-                choose(inside(part, "article") or part)
+                choose_main(best[i] if sums[best[i]] > 0 else i)
             i += 1
         else:
             i = last[i]  # a subtree under the threshold holds no main text

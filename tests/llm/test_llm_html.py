@@ -1,3 +1,7 @@
+import math
+import random
+import re
+
 from terravet.llm import html_text
 from terravet.llm.html_text import main_text
 
@@ -80,3 +84,89 @@ def test_all_articles_and_the_lead_are_kept():
         assert main_text(page) == text
     assert main_text(f"<body>{menu}<main>{lead}{part.format('Alpha')}{part.format('Beta')}</main>{menu}</body>") == (
         "Lead words of the text before its article. " + text)
+
+
+def given_pages():
+    import pyarrow.parquet as pq
+    return [r["html"] or "" for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()]
+
+
+def renamed(html):
+    return re.sub(r"<(/?)(article|main)\b", r"<\1div", html)
+
+
+def test_density_finds_the_article_without_its_element():
+    pages = given_pages()
+    assert sum(html_text.main_text(p) == html_text.main_text(renamed(p)) for p in pages) >= len(pages) - 1
+
+
+def plain_page(rng):
+    """(html, main text) of a page of plain divs: a menu, adverts, related links and a footer around the text."""
+    word = lambda: "".join(rng.choice("abdeginorst") for _ in range(rng.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    link = lambda n: f'<a href="/{word()}">{text(n)}</a>'
+    menu = "<div>" + "".join(f"<div>{link(rng.randint(1, 3))}</div>" for _ in range(rng.randint(5, 25))) + "</div>"
+    advert = lambda: f"<div><div>{link(rng.randint(3, 6))}</div><div>{link(2)}</div></div>"
+    related = "<div>" + "".join(f"<div>{link(rng.randint(5, 9))} </div>" for _ in range(rng.randint(4, 9))) + "</div>"
+    footer = f"<div><div>{link(1)} {link(1)} {link(2)} {link(1)}</div></div>"
+    blocks = [text(rng.randint(3, 8))] + [text(rng.randint(25, 90)) for _ in range(rng.randint(3, 9))]
+    main = f"<div><h1>{blocks[0]}</h1>" + "".join(f"<p>{b}</p>" for b in blocks[1:]) + "</div>"
+    inner = f"<div>{menu}{advert()}{main}{related}{advert()}</div>" if rng.random() < 0.5 else menu + advert() + main + related
+    return f"<html><body>{inner}{footer}</body></html>", " ".join(blocks)
+
+
+def test_plain_divs_need_the_density(monkeypatch):
+    rng = random.Random(6)
+    pages = [plain_page(rng) for _ in range(120)]
+    right = sum(html_text.main_text(html) == text for html, text in pages)
+    monkeypatch.setattr(html_text, "composite_density", lambda *_: 1.0)
+    constant = sum(html_text.main_text(html) == text for html, text in pages)
+    assert right >= 0.97 * len(pages) and constant <= 0.2 * len(pages)
+
+
+def test_density_sums_and_threshold_equal_a_plain_walk():
+    rng = random.Random(9)
+    for html in [plain_page(rng)[0] for _ in range(20)] + [renamed(p) for p in given_pages()[:40]]:
+        tree = html_text.Tree()
+        tree.feed(html)
+        tree.close()
+        n = len(tree.tags)
+        children = {i: [j for j in range(1, n) if tree.parent[j] == i] for i in range(n)}
+        own = {i: "".join(t for node, t in tree.pieces if node == i and t) for i in range(n)}
+
+        def count(i):
+            """(characters, link characters, tags, link tags) of a subtree, walked from its root."""
+            if tree.drop[i]:
+                return (0, 0, 0, 0)
+            size = len(re.sub(r"[ \n\t\r]", "", own[i]))
+            total = [size, size if tree.in_link[i] else 0, 0, 0]
+            for j in children[i]:
+                c = count(j)
+                total = [a + b for a, b in zip(total, c)]
+                if not tree.drop[j]:
+                    total[2] += 1
+                    total[3] += tree.in_link[j]
+            return tuple(total)
+        last, body, density, sums, best, linked = html_text.measured(tree, tree.drop)
+        counts = {i: count(i) for i in range(n)}
+        share = counts[body][1] / max(counts[body][0], 1)
+        for i in range(n):
+            c, k, t, kt = counts[i]
+            want = 0.0 if tree.drop[i] or not c else c / max(t, 1) * math.log(max(c / max(k, 1) * max(t, 1) / max(kt, 1), 1.0)) / math.log(
+                math.log(c / max(c - k, 1) * max(k, 1) + share * c + math.e))
+            assert math.isclose(density[i], want, abs_tol=1e-12)
+        for i in range(n):
+            assert math.isclose(sums[i], sum(density[j] for j in children[i]), abs_tol=1e-9)
+        inside = [i for i in range(n) if body <= i < last[body]]
+        assert math.isclose(sums[best[body]], max(sums[i] for i in inside))
+
+
+def test_marks_in_scripts_are_no_comments():
+    assert html_text.main_text('<body><script>var s="<!--";</script><article><p>kept text</p></article></body>') == "kept text"
+    assert html_text.main_text("<body><p>kept text</p><!-- never closed <p>gone</p></body>") == "kept text"
+    assert html_text.main_text("<body><p>kept</p><!-- a --><style>/* <!-- */</style><p>too</p></body>") == "kept too"
+
+
+def test_column_of_the_result_is_replaced(spark):
+    pages = spark.createDataFrame([(1, "<p>new words</p>", "old")], "page_id bigint, html string, text string")
+    assert [r.asDict() for r in html_text.extract(pages).collect()] == [{"page_id": 1, "text": "new words"}]
