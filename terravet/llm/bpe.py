@@ -7,11 +7,13 @@ composition form a small monoid, so a prefix of functions is one small integer a
 two prefixes compose by one table look-up: an associative scan, done in blocks over
 all texts of a piece at once.  The open state before each code point and its class
 say whether a token starts there.  The slices then go through a cache of merged
-pieces.  ``encode`` also gives the byte offsets of the tokens; decoding joins the bytes of
-the tokens and needs no offsets, so ``round_trip`` makes none.
+pieces.  The byte offsets of the tokens are retained: decoding lays the bytes of each token
+at its offset, and ``encode`` returns them.
 
 Defined results: a null or empty text has no tokens, no offsets and decodes to empty
-bytes; repeated rows give repeated results; other columns are not touched.
+bytes; very long texts are encoded whole; repeated rows give repeated results; an empty
+table gives an empty result; other columns are not touched, but one with the name of a
+result column is replaced by it.
 """
 
 from __future__ import annotations
@@ -183,6 +185,7 @@ class Vocabulary:
             pairs = [line.split() for line in lines if line.strip()]
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self._layout = None
         self.cache: dict[bytes, bytes] = {}
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
@@ -277,9 +280,25 @@ class Vocabulary:
             i = end[i]
         return np.array(out, "<u4").tobytes()
 
-    def decode(self, packed: bytes) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in np.frombuffer(packed, "<u4").tolist()])
+    def layout(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of all tokens in one array, where each token begins in it, and its size."""
+        if self._layout is None:
+            every = [self.tokens.get(i, b"") for i in range(max(self.tokens) + 1)]
+            sizes = np.array([len(t) for t in every], np.int64)
+            self._layout = np.frombuffer(b"".join(every), np.uint8), np.cumsum(sizes) - sizes, sizes
+        return self._layout
+
+    def decode(self, packed: bytes, ends: np.ndarray | None = None) -> bytes:
+        """Bytes of the tokens, each laid at the offset that encoding retained for it."""
+        data, begins, known = self.layout()
+        ids = np.frombuffer(packed, "<u4")
+        if not known[ids].all():
+            raise ValueError("id without a token")
+        ends = token_offsets(self, packed) if ends is None else np.asarray(ends, np.int64)
+        if not len(ids):
+            return b""
+        sizes = np.diff(ends, prepend=0)
+        return data[np.repeat(begins[ids] - (ends - sizes), sizes) + np.arange(ends[-1])].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -304,10 +323,9 @@ def encode_texts(vocab: Vocabulary, texts: list[str]) -> Iterator[bytes]:
         yield b"".join(packed[first[j]:first[j + 1] - 1])
 
 
-def token_offsets(vocab: Vocabulary, packed: bytes) -> list[int]:
+def token_offsets(vocab: Vocabulary, packed: bytes) -> np.ndarray:
     """End of each token in the bytes of its text."""
-    sizes = [len(vocab.tokens[i]) for i in np.frombuffer(packed, "<u4").tolist()]
-    return np.cumsum(sizes, dtype=np.int64).tolist()
+    return np.cumsum(vocab.layout()[2][np.frombuffer(packed, "<u4")])
 
 
 def encode(df: DataFrame, vocab_path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -350,7 +368,8 @@ def round_trip(df: DataFrame, vocab_path: str, text: str = "text", keep: list[st
         def work(texts: list[str]) -> dict[str, pa.Array]:
             counts, ids, back, same = [], [], [], []
             for body, packed in zip(texts, encode_texts(vocab, texts)):
-                decoded = vocab.decode(packed)
+                ends = token_offsets(vocab, packed)
+                decoded = vocab.decode(packed, ends)
                 counts.append(len(packed) // 4)
                 ids.append(hashlib.sha256(packed).hexdigest())
                 back.append(hashlib.sha256(decoded).hexdigest())
