@@ -159,8 +159,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
     if not known:
         return None
     ids = docs.sparkSession.createDataFrame(known, "doc_id bigint, y int")
-    rows = feature_columns(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text"),
-                           ["doc_id", "y"]).dropDuplicates(["doc_id"]).collect()
+    # Of several texts of one doc_id the one of the smallest digest, whatever the partitions.
+    text = F.coalesce(F.col("text"), F.lit(""))
+    texts = (docs.select("doc_id", text.alias("text")).join(F.broadcast(ids), "doc_id")
+             .groupBy("doc_id", "y").agg(F.min_by("text", F.sha2("text", 256)).alias("text")))
+    rows = feature_columns(texts, ["doc_id", "y"]).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: r["doc_id"])
