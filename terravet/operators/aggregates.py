@@ -187,12 +187,14 @@ def package_sha(files: DataFrame, group: str = "submission") -> DataFrame:
     A package is at most some twenty megabytes by rule, so its bytes fit one row.
     """
     zero = F.unhex(F.lit("00"))
-    def add(acc, f):
+
+    def part(f):
         size = F.encode(F.length(f["content"]).cast("string"), "UTF-8")
-        return F.concat(acc, F.encode(f["path"], "UTF-8"), zero, size, zero, f["content"], zero)
+        return F.hex(F.concat(F.encode(f["path"], "UTF-8"), zero, size, zero, f["content"], zero))
     bits = F.array_sort(F.collect_list(F.struct("path", "content")))
+    # Joined as hex digits: one pass, where a growing binary would be copied for each file.
     return files.groupBy(group).agg(bits.alias("__b")).select(
-        group, F.sha2(F.aggregate("__b", F.unhex(F.lit("")), add), 256).alias("sha256"))
+        group, F.sha2(F.unhex(F.array_join(F.transform("__b", part), "")), 256).alias("sha256"))
 
 
 def declared_keys(metrics: DataFrame, group: str = "submission") -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,8 @@ from ..functions import text as X
 from .checks import with_each
 from .rows import for_all
 
-GRAM_SIZES = (8, 4, 2, 1)
+#: Tokens of an automaton, and characters of a token on average: they bound what a task holds of a dictionary.
+SHARD_TOKENS, SHARD_CHARS = 100_000, 64
 
 
 def missing(required: DataFrame, scopes: DataFrame, covered: DataFrame, scope: str, key: str) -> DataFrame:
@@ -33,31 +35,49 @@ def check_citations(refs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def mentions(docs: DataFrame, key: str, text: str, tokens: DataFrame, token: str = "token",
-             small: int = 2_000) -> DataFrame:
+             small: int = 2_000, shard: int = SHARD_TOKENS) -> DataFrame:
     """Distinct (key, token) where the token occurs in the text.
 
-    A token table of at most ``small`` rows becomes one literal array, tested
-    inside the row.  A larger one meets the texts through character grams: each
-    token is filed under its first 8, 4, 2 or 1 characters, the distinct grams of
-    a text are joined to them, and each candidate is verified against the text.
+    A token table of at most ``small`` rows becomes one literal array, tested inside the
+    row.  A larger one is cut into shards of bounded size by hash; each shard is one
+    automaton in every task, and the texts are read once for each shard.  A text gives one
+    row for each token that it holds; nothing else is unfolded and no text is shuffled.
     """
     words = tokens.select(F.col(token).alias("token")).filter(X.blank(F.col("token")) != "").distinct()
     head = [r[0] for r in words.limit(small + 1).collect()]
     if len(head) <= small:
         return docs.select(key, F.explode(X.hits(F.col(text), sorted(head))).alias("token"))
-    size = F.lit(GRAM_SIZES[-1])
-    for n in reversed(GRAM_SIZES):
-        size = F.when(F.length("token") >= n, n).otherwise(size)
-    filed = words.select("token", size.alias("n")).withColumn("gram", F.substr("token", F.lit(1), F.col("n")))
-    sizes = sorted(r[0] for r in filed.select("n").distinct().collect())
-    grams = F.flatten(F.array(*[_grams(F.col(text), n) for n in sizes]))
-    candidates = docs.select(key, F.explode(grams).alias("gram")).join(filed, "gram").select(key, "token").distinct()
-    return candidates.join(docs.select(key, text), key).filter(F.contains(F.col(text), F.col("token"))).select(key, "token")
-
-
-def _grams(text: Column, n: int) -> Column:
-    """Distinct substrings of n characters, found in one pass over the text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+    count, chars = words.agg(F.count("*"), F.sum(F.length("token"))).first()
+    shards = max(-(-count // shard), -(-chars // (shard * SHARD_CHARS)))
+    body = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    schema = f"__key {docs.schema[key].dataType.simpleString()}, token string"
+    out = None
+    for k in range(shards):
+        held = sorted(r[0] for r in words.filter(F.pmod(F.xxhash64("token"), F.lit(shards)) == k).collect())
+        part = body.mapInArrow(_finder(held), schema)
+        out = part if out is None else out.unionByName(part)
+    # A document of several rows is one document.
+    return out.withColumnRenamed("__key", key).distinct()
+
+
+def _finder(tokens: list[str]):
+    """Function of Arrow batches (key, text): (key, token) of the tokens of one shard."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+        automaton = ahocorasick.Automaton()
+        for token in tokens:
+            automaton.add_word(token, token)
+        automaton.make_automaton()
+        for batch in batches:
+            rows, found = [], []
+            for i, text in enumerate(batch.column(1)):
+                body = text.as_py()
+                if body and len(automaton):
+                    hits = {token for _, token in automaton.iter(body)}
+                    rows += [i] * len(hits)
+                    found += hits
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], names=["__key", "token"])
+    return run
 
 
 def match_sources(docs: DataFrame, key: str, text: str, sources: DataFrame) -> DataFrame:

@@ -137,6 +137,8 @@ def test_mentions_gram_join_equals_scan(spark):
     want = {(k, x) for k, s in docs for x in tokens if x in s}
     for small in (0, 1000):
         assert {(r.k, r.token) for r in J.mentions(d, "k", "t", t, small=small).collect()} == want
+    rows = J.mentions(d, "k", "t", t, small=0, shard=2).collect()
+    assert {(r.k, r.token) for r in rows} == want and len(rows) == len(want)
 
 
 # ---- geometry ----------------------------------------------------------------------------------------
