@@ -163,7 +163,7 @@ def _(t):
 
 
 @query("visual_page_review", "C5", """SELECT CAST(page_id AS VARCHAR) AS submission, 'VISUAL_REQUIRED_SECTION_MISSING' AS check_id, 'major' AS severity, 'no such marker' AS detail FROM pages WHERE page_id % 10 <> 0
-    UNION ALL SELECT CAST(page_id AS VARCHAR), 'VISUAL_HTML_MISSING', 'blocking', '' FROM pages WHERE page_id % 10 = 0 UNION ALL SELECT CAST(page_id AS VARCHAR), 'VISUAL_REMOTE_OR_ACTIVE_CONTENT', 'blocking', 'HTML must not contain iframe embeds' FROM pages WHERE page_id % 3 = 0 AND page_id % 10 <> 0
+    UNION ALL SELECT CAST(page_id AS VARCHAR), 'VISUAL_HTML_MISSING', 'blocking', '' FROM pages WHERE page_id % 10 = 0 UNION ALL SELECT CAST(page_id AS VARCHAR), 'VISUAL_REMOTE_OR_ACTIVE_CONTENT', 'blocking', 'embedded frame' FROM pages WHERE page_id % 3 = 0 AND page_id % 10 <> 0
     UNION ALL SELECT CAST(page_id AS VARCHAR), 'VISUAL_METRIC_MISMATCH', 'major', 'a' FROM pages WHERE page_id % 4 = 0 AND page_id % 10 <> 0 UNION ALL SELECT CAST(page_id AS VARCHAR), 'VISUAL_METRIC_MISSING', 'major', 'b' FROM pages WHERE page_id % 10 <> 0""")
 def _(t):
     k = F.col("page_id")
