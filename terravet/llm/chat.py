@@ -8,7 +8,9 @@ points: only texts of assistant turns, with their end marks, are trained on.
 Everything is built-in array functions over one row for each pair; the turns of a pair
 meet once.  Defined results: a null text or role is empty; turns are ordered by turn,
 then role and text; two equal sides give empty completions (``usable`` is false), as do
-sides without a trained segment on both; a side without turns renders as empty.
+sides without a trained segment on both; a side without turns renders as empty; very
+long texts are rendered whole; repeated turns stay repeated; only the named columns are read,
+so further columns, whatever their names, do not matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ removes that bias.
 Built-in expressions only: hashes are an array, sorting it brings the minimum of each bin
 to the front of its run.  Defined results: a text of fewer than five words is one shingle;
 a text without words (or null) has the fingerprint '' and likeness 1 to another such text
-and 0 to all others; equal texts have equal fingerprints; words are compared in lower case.
+and 0 to all others; equal texts have equal fingerprints; words are compared in lower case;
+very long texts are hashed whole; an own column with the name of the result is replaced by
+it; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -19,8 +19,9 @@
 Defined results: a text without words has an empty set and is linked with nothing; a null
 text is empty; a null doc_id is linked with nothing, has no component and is kept; a
 doc_id with several texts gives each row the component of its text, and texts carried by
-one doc_id count as linked; repeated rows get equal results; an empty table gives an
-empty result.
+one doc_id count as linked; very long texts have the set of their whole; repeated rows get equal
+results; other columns are not read (``without_near_duplicates`` carries them under names of
+its own), so clashing names do not matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations

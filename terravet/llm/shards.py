@@ -7,7 +7,8 @@ falls, so a cut is at most half a text away from its target.  Texts are read onc
 
 Defined results: a null text has no bytes (size 1) and the checksum of an empty text; a
 null doc_id comes first; rows with one doc_id are ordered by checksum and size, so
-repeated rows are interchangeable; an empty table gives an empty result.  A shard may
+repeated rows are interchangeable; very long texts are only measured; other columns are not
+read, so clashing names do not matter; an empty table gives an empty result.  A shard may
 be empty where a single text is larger than a target.
 """
 
