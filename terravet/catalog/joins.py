@@ -1,5 +1,6 @@
 """Queries of joins and set operations."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
@@ -192,10 +193,32 @@ def _(t):
     return osm_lines(nodes, ways).select("way_id", F.size("points").alias("points"), F.round(F.aggregate("points", F.lit(0.0), lambda a, p: a + p["x"]), 6).alias("lon_sum"))
 
 
-@query("json_documents", "S2", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) END AS k FROM events")
+def _written(frame, part: str) -> str:
+    """Folder of text files below the shared checkpoint folder, one for each value of ``part``; lines in the order of the frame's columns."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(frame.sparkSession)}/files-{uuid.uuid4().hex}"
+    order = [c for c in frame.columns if c != "value"]
+    frame.repartition(part).sortWithinPartitions(*order).select(part, "value").write.partitionBy(part).text(path)
+    return path
+
+
+@query("json_documents", "S2", """SELECT event_id // 500 AS doc, CASE WHEN (event_id // 500) % 3 = 0 THEN NULL ELSE sum(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT))::BIGINT END AS k,
+    CASE WHEN (event_id // 500) % 3 = 0 THEN NULL ELSE count(*) END AS rows FROM events GROUP BY 1""")
 def _(t):
-    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("{"), "props")).otherwise(F.col("props"))
-    return t.events.select("event_id", F.try_variant_get(F.try_parse_json(text), "$.k", "bigint").alias("k"))
+    """Files of 500 events as one JSON array; every third file lacks its end."""
+    from ..sources.readers import read_json_docs
+    doc, last = F.floor(F.col("event_id") / 500), F.max("event_id").over(Window.partitionBy("doc"))
+    rows = t.events.select("event_id", doc.alias("doc"), "props").withColumn("last", last)
+    opened = F.when(F.row_number().over(Window.partitionBy("doc").orderBy("event_id")) == 1, "[").otherwise("")
+    closed = F.when(F.col("event_id") < F.col("last"), ",").when(F.col("doc") % 3 == 0, "").otherwise("]")
+    lines = rows.select("doc", "event_id", F.concat(opened, "props", closed).alias("value"))
+    docs = read_json_docs(t.spark, _written(lines, "doc") + "/doc=*")
+    items = F.try_variant_get("doc", "$", "array<variant>")
+    total = F.aggregate(items, F.lit(0).cast("bigint"), lambda a, v: a + F.try_variant_get(v, "$.k", "bigint"))
+    return docs.select(F.regexp_extract("file", "doc=([0-9]+)", 1).cast("bigint").alias("doc"), total.alias("k"),
+                       F.when(items.isNotNull(), F.size(items)).cast("bigint").alias("rows"))
 
 
 @query("metric_layouts", "F43", "SELECT p_partkey, CASE WHEN p_size % 6 = 5 THEN NULL ELSE p_retailprice END AS value FROM part")
@@ -279,6 +302,12 @@ def _(t):
     return relative_listing(t.part.select(F.concat(F.lit("file:/r/pkg/"), name).alias("path"), F.col("p_size").cast("bigint").alias("length")), "/r/pkg")
 
 
-@query("package_hashes", "S8", "SELECT doc_id, octet_length(encode(text))::BIGINT AS length, sha256(text) AS sha256 FROM documents")
+@query("package_hashes", "S8", """SELECT file, octet_length(encode(body))::BIGINT AS length, sha256(body) AS sha256 FROM
+    (SELECT doc_id // 50 AS file, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS body FROM documents GROUP BY 1)""")
 def _(t):
-    return t.documents.select("doc_id", F.octet_length("text").cast("bigint").alias("length"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"))
+    """Files of 50 texts each, hashed as the scan finds them."""
+    from ..sources.readers import package_files
+    lines = t.documents.select(F.floor(F.col("doc_id") / 50).alias("file"), "doc_id", F.col("text").alias("value"))
+    files = package_files(t.spark, _written(lines, "file"))
+    return files.filter(F.col("path").contains("file=")).select(
+        F.regexp_extract("path", "file=([0-9]+)", 1).cast("bigint").alias("file"), "length", "sha256")
