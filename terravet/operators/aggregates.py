@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import geo as G
 from ..functions import text as X
 from ..scale import top_k
+from ..session import cut_lineage
 from . import overlay as O
 
 
@@ -249,11 +250,42 @@ def violations(evidence: DataFrame, keys: Sequence[str]) -> DataFrame:
     return evidence.select(*keys, F.inline(F.filter(all_rows, lambda e: e["outcome"] == "violation")))
 
 
+def exact_quantile(df: DataFrame, group: Sequence[str], value: str, q: float, out: str) -> DataFrame:
+    """Exact quantile of each group, interpolated between the two rows around its rank.
+
+    Equal values are counted before anything moves, the counted values are dealt to ranges
+    of (group, value), and the counts of the ranges say in which of them the rank lies.  No
+    task holds the values of a group, and a group of any size is spread over the ranges.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__n"))
+    dealt = cut_lineage(counted.repartitionByRange(*group, value).withColumn("__part", F.spark_partition_id()))
+    keys = [F.col(c) for c in group]
+    totals = dealt.groupBy(*group, "__part").agg(F.sum("__n").alias("__m"))  # a row for each range and group
+    every = Window.partitionBy(*keys)
+    totals = totals.withColumn("__all", F.sum("__m").over(every)).withColumn("__before", F.coalesce(F.sum("__m").over(
+        every.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    same = F.lit(True)
+    other = totals.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(group)], F.col("__part").alias("__p"), "__all", "__before")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    inside = Window.partitionBy(*keys, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.join(other, same & (F.col("__part") == F.col("__p"))).withColumn("__end", F.col("__before") + F.sum("__n").over(inside))
+    rank = (F.col("__all") - 1) * F.lit(q)
+    holds = lambda at: (F.col("__end") - F.col("__n") <= at) & (at < F.col("__end"))
+    ends = placed.groupBy(*group).agg(F.max(F.when(holds(F.floor(rank)), F.col(value))).alias("__lo"),
+                                      F.max(F.when(holds(F.ceil(rank)), F.col(value))).alias("__hi"), F.max(rank).alias("__rank"))
+    return ends.select(*group, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (F.col("__rank") - F.floor("__rank"))).alias(out))
+
+
 def osm_profile(features: DataFrame, tag: str = "tag") -> DataFrame:
     """Feature counts, non-null heights, median and total footprint by tag and overall."""
-    return features.rollup(tag).agg(
-        F.count(F.lit(1)).alias("n"), F.count("height").alias("with_height"), F.percentile("area", 0.5).alias("median_area"),
-        F.sum("area").alias("total_area"))
+    base = features.rollup(tag).agg(
+        F.grouping_id().cast("int").alias("__level"), F.count(F.lit(1)).alias("n"), F.count("height").alias("with_height"), F.sum("area").alias("total_area"))
+    kind = features.schema[tag].dataType
+    medians = exact_quantile(features, [tag], "area", 0.5, "median_area").select(F.col(tag).alias("__tag"), F.lit(0).alias("__at"), "median_area").unionByName(
+        exact_quantile(features, [], "area", 0.5, "median_area").select(F.lit(None).cast(kind).alias("__tag"), F.lit(1).alias("__at"), "median_area"))
+    met = (F.col("__level") == F.col("__at")) & F.col(tag).eqNullSafe(F.col("__tag"))
+    return base.join(medians, met, "left").select(tag, "n", "with_height", "median_area", "total_area")
 
 
 def geometry_flags(features: DataFrame, group: str = "submission") -> DataFrame:

@@ -437,3 +437,17 @@ def test_points_meet_whole_cells(spark):
     want = {(r.p, 1) for r in points.collect() if inside(r.x, r.y, (0, 0, 300, 300)) and not inside(r.x, r.y, (100, 100, 200, 200))}
     want |= {(r.p, 2) for r in points.collect() if inside(r.x, r.y, (250, 250, 252, 252))}
     assert got == want and want
+
+
+def test_exact_quantiles_equal_percentile(spark):
+    from pyspark.sql import functions as F
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 1.0, 1.0, rng.uniform(-1e9, 1e9), rng.gauss(0, 1e-9)])) for _ in range(900)] + [("c", 5.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    for q in (0.0, 0.25, 0.5, 0.9, 1.0):
+        want = {r.g: r.p for r in df.groupBy("g").agg(F.percentile("v", q).alias("p")).collect() if r.p is not None}
+        got = {r.g: r.p for r in A.exact_quantile(df, ["g"], "v", q, "p").collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1e-9 * max(1, abs(want[k])) for k in want)
+    whole = A.exact_quantile(df, [], "v", 0.5, "p").collect()
+    assert [round(r.p, 6) for r in whole] == [round(df.agg(F.percentile("v", 0.5)).first()[0], 6)]
+    assert A.exact_quantile(df.limit(0), ["g"], "v", 0.5, "p").count() == 0
