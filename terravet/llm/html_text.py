@@ -285,7 +285,7 @@ def main_text(html: str) -> str:
     while at != body and at:
         at = parent[at]
         threshold = min(threshold, density[at])
-    chosen = bytearray(n)
+    chosen, met = bytearray(n), set()
 
     def inside(node: int, tag: str) -> int:
         """The outermost element of a kind around a node, 0 if there is none."""
@@ -306,8 +306,10 @@ def main_text(html: str) -> str:
             choose(article)
             return
         choose(node)
-        while parent[node] not in (0, body):
+        # A container that was met before is done, and so are those around it.
+        while parent[node] not in (0, body) and parent[node] not in met:
             node = parent[node]
+            met.add(node)
             chosen[node] = 1
             child = node + 1
             while child < last[node]:
