@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
+from ..scale import dealt
 from ..session import cut_lineage
 from .cells import cut_batches
 
@@ -104,12 +105,12 @@ def tiled(df: DataFrame, tile: float, rings: str = "rings", near: DataFrame | No
     columns = (df.withColumn("__b", G.bbox(F.col(rings))).filter("__b.x0 IS NOT NULL")
                .select(*keep, F.col(rings).alias("__r"), F.explode(_span(F.col("__b.x0"), F.col("__b.x1"), tile)).alias("tx")))
     if near is not None:
-        columns = columns.join(near.select(*on, "tx").distinct(), [*on, "tx"], "left_semi")
+        columns = columns.join(dealt(near.select(*on, "tx").distinct()), [*on, "tx"], "left_semi")
     strips = columns.select(*keep, "tx", _built(_cut_x, "__r", "tx", tile).alias("__r")).filter(F.size("__r") > 0)
     rows = (strips.withColumn("__b", G.bbox(F.col("__r")))
             .select(*keep, "tx", "__r", F.explode(_span(F.col("__b.y0"), F.col("__b.y1"), tile)).alias("ty")))
     if near is not None:
-        rows = rows.join(near.select(*on, "tx", "ty").distinct(), [*on, "tx", "ty"], "left_semi")
+        rows = rows.join(dealt(near.select(*on, "tx", "ty").distinct()), [*on, "tx", "ty"], "left_semi")
     return rows.select(*keep, "tx", "ty", _built(_cut_y, "__r", "ty", tile).alias(rings)).filter(F.size(rings) > 0)
 
 
@@ -153,16 +154,16 @@ def _beneath(cells: DataFrame, whole: DataFrame, group: Sequence[str], levels: i
     """The cells (group..., lev, tx, ty) that are, or lie in, a whole cell."""
     own = _ancestors(cells.select(*group, "lev", "tx", "ty").distinct(), levels, strict)
     above = whole.select(*group, F.col("lev").alias("up"), F.col("tx").alias("ux"), F.col("ty").alias("uy"))
-    return own.join(above, [*group, "up", "ux", "uy"], "left_semi").select(*group, "lev", "tx", "ty").distinct()
+    return own.join(dealt(above), [*group, "up", "ux", "uy"], "left_semi").select(*group, "lev", "tx", "ty").distinct()
 
 
 def _united(cells: DataFrame, group: Sequence[str], levels: int) -> tuple[DataFrame, DataFrame]:
     """Union of a layer: (largest whole cells, border pieces that no whole cell covers)."""
     key = [*group, "lev", "tx", "ty"]
     whole = _whole(cells, group)
-    top = whole.join(_beneath(whole, whole, group, levels, strict=True), key, "left_anti")
+    top = whole.join(dealt(_beneath(whole, whole, group, levels, strict=True)), key, "left_anti")
     border = cells.filter("NOT whole")
-    return top, border.join(_beneath(border, top, group, levels), key, "left_anti")
+    return top, border.join(dealt(_beneath(border, top, group, levels)), key, "left_anti")
 
 
 def _cell(scope: Sequence[str]) -> list[str]:
@@ -189,14 +190,14 @@ def sweep(pieces: DataFrame, scope: Sequence[str]) -> DataFrame:
             & (F.least("f_y1", "f_y2") < F.greatest("y1", "y2")) & (F.greatest("f_y1", "f_y2") > F.least("y1", "y2")))
     # Each crossing is needed once: the edge with the smaller end comes first.
     once = F.struct("x1", "y1", "x2", "y2") < F.struct("f_x1", "f_y1", "f_x2", "f_y2")
-    cross = e.select(*cell, "x1", "y1", "x2", "y2").distinct().join(f.distinct(), cell).filter(meet & once).select(
+    cross = e.select(*cell, "x1", "y1", "x2", "y2").distinct().join(dealt(f.distinct()), cell).filter(meet & once).select(
         *cell, G.crossing_x(left, right).alias("x")).filter("x IS NOT NULL")
     events = e.select(*cell, F.explode(F.array("x1", "x2")).alias("x")).unionByName(cross).distinct()
     slabs = events.withColumn("r", F.lead("x").over(Window.partitionBy(*cell).orderBy("x"))).filter(
         "r IS NOT NULL").withColumnRenamed("x", "l")
     mid = (F.col("l") + F.col("r")) / 2
     height = F.col("y1") + (F.col("y2") - F.col("y1")) * (mid - F.col("x1")) / (F.col("x2") - F.col("x1"))
-    active = e.join(slabs, cell).filter((F.col("x1") <= F.col("l")) & (F.col("x2") >= F.col("r"))).select(
+    active = e.join(dealt(slabs), cell).filter((F.col("x1") <= F.col("l")) & (F.col("x2") >= F.col("r"))).select(
         *cell, "l", "r", "side", "fid", height.alias("y"))
     slab = [*cell, "l"]
     nth = F.row_number().over(Window.partitionBy(*slab, "side", "fid").orderBy("y"))
@@ -242,7 +243,7 @@ def coverage(layer: DataFrame, site: DataFrame, group: Sequence[str], tile: floa
             F.col("b_only_area").alias("gap_area"), F.col("a_only_area").alias("outside_area"), F.col("both_area").alias("covered_area"))
     (a, a_border), (b, b_border) = (_united(cut_lineage(cover(df.select(*group, "rings"), t, levels)), group, levels) for df in (layer, site))
     cell = [*group, "lev", "tx", "ty"]
-    under = lambda border, other: border.join(_beneath(border, other, group, levels).withColumn("under", F.lit(True)), cell, "left")
+    under = lambda border, other: border.join(dealt(_beneath(border, other, group, levels).withColumn("under", F.lit(True))), cell, "left")
     pieces = under(a_border, b).withColumn("side", F.lit(0)).unionByName(under(b_border, a).withColumn("side", F.lit(1)))
     pieces = pieces.select(*group, F.coalesce("under", F.lit(False)).alias("under"), "tx", "ty", "side", "rings").distinct()
     swept = sweep(pieces.withColumn("fid", F.xxhash64(F.to_json("rings"))), [*group, "under"])
@@ -272,13 +273,13 @@ def _border_areas(a: DataFrame, b: DataFrame, group: Sequence[str], key: str, ki
     """
     cell = [*group, "tx", "ty"]
     counted = b.groupBy(*cell, *kind).agg(F.count(F.lit(1)).alias("__n"))
-    alone = b.join(counted.filter("__n = 1").drop("__n"), [*cell, *kind], "left_semi")
-    crowd = b.join(counted.filter("__n > 1").drop("__n"), [*cell, *kind], "left_semi")
-    direct = a.join(alone.withColumnRenamed("rings", "__o"), cell).select(
+    alone = b.join(dealt(counted.filter("__n = 1").drop("__n")), [*cell, *kind], "left_semi")
+    crowd = b.join(dealt(counted.filter("__n > 1").drop("__n")), [*cell, *kind], "left_semi")
+    direct = a.join(dealt(alone.withColumnRenamed("rings", "__o")), cell).select(
         *group, key, *kind, _built(G.intersection_area, "rings", "__o").alias("v"))
     spots = crowd.select(*cell, *kind).distinct()
-    first = a.join(spots, cell).withColumn("side", F.lit(0))
-    second = a.select(*cell, key).join(crowd, cell).withColumn("side", F.lit(1))
+    first = a.join(dealt(spots), cell).withColumn("side", F.lit(0))
+    second = a.select(*cell, key).join(dealt(crowd), cell).withColumn("side", F.lit(1))
     pieces = first.unionByName(second).withColumn("fid", F.xxhash64(F.to_json("rings")))
     swept = sweep(pieces, [*group, key, *kind]).select(*group, key, *kind, F.col("both_area").alias("v"))
     return direct.unionByName(swept)
@@ -290,12 +291,12 @@ def _in_whole_cells(a: DataFrame, top: DataFrame, border: DataFrame, group: Sequ
     out, place = [*group, key, *kind], [*group, "up", "ux", "uy"]
     held_by = a.filter("whole")
     whole = held_by.select(*group, key, "lev", "tx", "ty").withColumnsRenamed({"lev": "up", "tx": "ux", "ty": "uy"})
-    above = _ancestors(top, levels, strict=True).join(whole, place).select(*out, F.pow(_side(tile), 2).alias("v"))
-    held = border.join(_beneath(border, held_by, group, levels), [*group, "lev", "tx", "ty"], "left_semi")
+    above = _ancestors(top, levels, strict=True).join(dealt(whole), place).select(*out, F.pow(_side(tile), 2).alias("v"))
+    held = border.join(dealt(_beneath(border, held_by, group, levels)), [*group, "lev", "tx", "ty"], "left_semi")
     united = sweep(held.select(*group, *kind, "tx", "ty", "rings").distinct().withColumn("side", F.lit(0)).withColumn(
         "fid", F.xxhash64(F.to_json("rings"))), [*group, *kind, "tx", "ty"])
     inner = _ancestors(united.select(*group, *kind, F.lit(0).alias("lev"), "tx", "ty", "a_area"), levels).join(
-        whole, place).select(*out, F.col("a_area").alias("v"))
+        dealt(whole), place).select(*out, F.col("a_area").alias("v"))
     return above, inner
 
 
@@ -319,7 +320,7 @@ def inside_areas(features: DataFrame, other: DataFrame, group: Sequence[str], ke
     named = lambda df: df.withColumnsRenamed({"lev": "up", "tx": "ux", "ty": "uy"})
     out = [*group, key, *kind]
     small = a.drop("rings", "whole")
-    beneath = _ancestors(small, levels).join(named(top), place).select(*out, F.col("size").alias("v"))
+    beneath = _ancestors(small, levels).join(dealt(named(top)), place).select(*out, F.col("size").alias("v"))
     edge = _border_areas(a.filter("NOT whole").select(*group, key, "tx", "ty", "rings"),
                          border.select(*group, *kind, "tx", "ty", "rings").distinct(), group, key, kind)
     common = beneath.unionByName(edge)
@@ -332,7 +333,7 @@ def inside_areas(features: DataFrame, other: DataFrame, group: Sequence[str], ke
 def against(features: DataFrame, other: DataFrame, group: Sequence[str], key: str, tile: float | None = None) -> DataFrame:
     """Area of each feature inside and outside the union of the other layer of its group."""
     areas, inside = inside_areas(features, other, group, key, (), tile)
-    both = areas.filter("area > 0").join(inside, [*group, key], "left").withColumn("inside_area", F.coalesce("inside_area", F.lit(0.0)))
+    both = areas.filter("area > 0").join(dealt(inside), [*group, key], "left").withColumn("inside_area", F.coalesce("inside_area", F.lit(0.0)))
     return both.select(*group, key, "area", "inside_area", F.greatest(F.col("area") - F.col("inside_area"), F.lit(0.0)).alias("outside_area"))
 
 
@@ -357,7 +358,7 @@ def overlap_pairs(features: DataFrame, group: Sequence[str], pos: str = "pos", t
     near = ((F.col(pos) < F.col("other_pos")) & (x < F.least(F.col("__b.x1"), F.col("__ob.x1")))
             & (y < F.least(F.col("__b.y1"), F.col("__ob.y1")))
             & (F.floor(x / t) == F.col("tx")) & (F.floor(y / t) == F.col("ty")))
-    pairs = a.join(b, [*group, "tx", "ty"]).filter(near)
+    pairs = a.join(dealt(b), [*group, "tx", "ty"]).filter(near)
     return pairs.select(*group, pos, "other_pos", _built(G.intersection_area, "rings", "__or").alias("overlap_area")).filter(
         F.col("overlap_area") > tolerance)
 
@@ -417,7 +418,7 @@ def self_crossing(features: DataFrame, keys: Sequence[str], cell: float | None =
         return (F.col(q[0]).between(F.least(o[0], p[0]), F.greatest(o[0], p[0]))
                 & F.col(q[1]).between(F.least(o[1], p[1]), F.greatest(o[1], p[1])))
     a, b, c, d = ("ax", "ay"), ("bx", "by"), ("fax", "fay"), ("fbx", "fby")
-    both = e.join(f, [*keys, "cx", "cy"]).filter((F.col("ring") < F.col("fring")) | (F.col("ring") == F.col("fring")) & (F.col("k") < F.col("fk")))
+    both = e.join(dealt(f), [*keys, "cx", "cy"]).filter((F.col("ring") < F.col("fring")) | (F.col("ring") == F.col("fring")) & (F.col("k") < F.col("fk")))
     both = both.select("*", turn(a, b, c).alias("t1"), turn(a, b, d).alias("t2"), turn(c, d, a).alias("t3"), turn(c, d, b).alias("t4"))
     crossing = (F.col("t1") * F.col("t2") < 0) & (F.col("t3") * F.col("t4") < 0)
     shared = lambda i: (F.least(F.greatest(a[i], b[i]), F.greatest(c[i], d[i]))
@@ -430,11 +431,24 @@ def self_crossing(features: DataFrame, keys: Sequence[str], cell: float | None =
     return both.filter(crossing | along | touching).select(*keys).distinct()
 
 
+#: A zone of at most so many points and STEP tiles a side is filed whole in its tiles: that is cheaper than to cut it.
+FEW = 64
+
+
 def points_in_zones(points: DataFrame, zones: DataFrame, tile: float) -> DataFrame:
-    """Zone of each point: points meet whole cells and border pieces, and only the latter are tested."""
-    levels = pick_grid(zones, tile=tile)[2]
+    """Zone of each point: points meet whole cells, border pieces and small zones; only the last two are tested."""
+    box, count = G.bbox(F.col("rings")), F.size(F.flatten("rings"))
+    extent = F.greatest(box["x1"] - box["x0"], box["y1"] - box["y0"])
+    most, longest = zones.agg(F.max(extent), F.max(count)).first()
+    levels = _levels(most or 0.0, tile)
     at = lambda c: F.floor(F.col(c) / tile).cast("bigint")
     p = _ancestors(points.withColumn("lev", F.lit(0)).withColumn("tx", at("x")).withColumn("ty", at("y")), levels)
-    z = cover(zones, tile, levels).withColumnsRenamed({"lev": "up", "tx": "ux", "ty": "uy"})
-    inside = F.col("whole") | G.point_in_rings(F.struct("x", "y"), F.col("rings"))
-    return p.join(z, ["up", "ux", "uy"]).filter(inside).drop("lev", "tx", "ty", "up", "ux", "uy", "whole", "rings")
+    small = F.coalesce((extent <= STEP * tile) & (count <= FEW), F.lit(False))
+    uncut = (most or 0.0) <= STEP * tile and (longest or 0) <= FEW
+    z = _boxes(zones if uncut else zones.filter(small), tile).withColumns({"lev": F.lit(0), "whole": F.lit(False)})
+    if not uncut:
+        z = z.unionByName(cover(zones.filter(~small), tile, levels), allowMissingColumns=True)
+    z = z.withColumnsRenamed({"lev": "up", "tx": "ux", "ty": "uy"})
+    boxed = F.col("__b").isNull() | F.col("x").between(F.col("__b.x0"), F.col("__b.x1")) & F.col("y").between(F.col("__b.y0"), F.col("__b.y1"))
+    inside = boxed & (F.col("whole") | G.point_in_rings(F.struct("x", "y"), F.col("rings")))
+    return p.join(dealt(z), ["up", "ux", "uy"]).filter(inside).drop("lev", "tx", "ty", "up", "ux", "uy", "whole", "rings", "__b")

@@ -12,6 +12,7 @@ from ..functions import geo as G
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import overlay as O
+from ..scale import dealt
 
 GROUP = "submission"
 
@@ -63,7 +64,7 @@ def key_area_audit(features: DataFrame, site: DataFrame, official: dict[str, flo
         named = F.when(F.col("area_id") == k, v).otherwise(named)
     sized = f.filter(is_official).withColumn("area", G.polygon_area(F.col("rings"))).withColumn("expected", F.coalesce("official_area_sqm", named))
     off = sized.filter(F.abs(F.col("expected") - F.col("area")) > F.greatest(F.lit(1.0), F.col("expected") * 0.03))
-    pairs = O.overlap_pairs(f, [GROUP], "pos", 1.0, t).join(f.select(GROUP, "pos", "feature_id"), [GROUP, "pos"])
+    pairs = O.overlap_pairs(f, [GROUP], "pos", 1.0, t).join(dealt(f.select(GROUP, "pos", "feature_id")), [GROUP, "pos"])
     gone = J.missing_areas(f, list(official), GROUP)
     return (_rows(f.filter(~is_official & ~is_provisional), "KEY_AREA_NOT_OFFICIAL", feature=F.col("feature_id"))
             .unionByName(_rows(f.filter(is_provisional), "KEY_AREA_PROVISIONAL", "minor", F.col("feature_id")))
@@ -120,8 +121,8 @@ def not_contained(features: DataFrame, site: DataFrame, key: str = "feature_id",
     v = features.filter(~kind.isin("Polygon", "MultiPolygon", "LineString", "MultiLineString")).select(
         GROUP, key, F.posexplode(F.flatten("rings")).alias("i", "p")).select(GROUP, key, "i", "p.x", "p.y")
     v = v.withColumn("tx", F.floor(F.col("x") / tile).cast("bigint")).withColumn("ty", F.floor(F.col("y") / tile).cast("bigint"))
-    hit = v.join(s, [GROUP, "tx", "ty"]).filter(G.point_in_rings(F.struct("x", "y"), F.col("rings"))).select(GROUP, key, "i").distinct()
-    out = v.join(hit, [GROUP, key, "i"], "left_anti").select(GROUP, key).distinct()
+    hit = v.join(dealt(s), [GROUP, "tx", "ty"]).filter(G.point_in_rings(F.struct("x", "y"), F.col("rings"))).select(GROUP, key, "i").distinct()
+    out = v.join(dealt(hit), [GROUP, key, "i"], "left_anti").select(GROUP, key).distinct()
     return areas.unionByName(out).unionByName(lines_leaving(lines, s, key, tile))
 
 
@@ -141,7 +142,7 @@ def lines_leaving(lines: DataFrame, pieces: DataFrame, key: str, tile: float) ->
         seg = seg.withColumn("__a", F.coalesce(F.greatest("t0", F.least(at(0), at(1))), "t0")).withColumn(
             "t1", F.coalesce(F.least("t1", F.greatest(at(0), at(1))), "t1")).withColumn("t0", F.col("__a")).drop("__a")
     held = pieces.groupBy(GROUP, "tx", "ty").agg(F.collect_list("rings").alias("site"))
-    both = seg.filter("t0 <= t1").join(held, [GROUP, "tx", "ty"], "left").withColumn(
+    both = seg.filter("t0 <= t1").join(dealt(held), [GROUP, "tx", "ty"], "left").withColumn(
         "site", F.coalesce("site", F.array().cast(held.schema["site"].dataType)))
 
     def cut(p, q):
@@ -178,7 +179,7 @@ def review(features: DataFrame, metrics: DataFrame, submissions: DataFrame, offi
     layer = lambda n: f.filter(F.col("layer") == n)
     land, keys = layer("LAND_USE"), layer("KEY_AREA")
     gap = O.coverage_gap(land, site_all, [GROUP], t).join(land.select(GROUP).distinct(), GROUP, "left_semi")
-    pairs = O.overlap_pairs(land, [GROUP], "pos", 1.0, t).join(land.select(GROUP, "pos", "feature_id"), [GROUP, "pos"])
+    pairs = O.overlap_pairs(land, [GROUP], "pos", 1.0, t).join(dealt(land.select(GROUP, "pos", "feature_id")), [GROUP, "pos"])
     inner = f.filter(F.col("layer").isin("BUILDING_FOOTPRINT", "GREEN_SPACE", "PUBLIC_SPACE"))
     out = O.outside_site(inner, site_all, [GROUP], "feature_id", None, t)
     computed = A.site_metrics(f, GROUP, t).select(GROUP, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))

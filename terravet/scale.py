@@ -4,6 +4,7 @@
   blocks, each (key, block) is summarised, the summaries (one row per block)
   are scanned, and every row is then finished inside its own block.  A key that
   holds a third of the table is spread over its blocks.
+* ``dealt``  a join side that must not be broadcast, however small its plan looks.
 * ``first_in_group`` / ``top_k``  ``row_number() <= k``: Spark pushes a group
   limit below the shuffle, so a hot key sends at most k rows per map task.
 """
@@ -15,6 +16,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Side of a join that is dealt to the tasks, never broadcast through the driver.
+
+    For tables of features: Spark counts an array as one element and an unfolded row as
+    one row, so rings and the cells or edges made of them look far smaller than they are.
+    """
+    return df.hint("merge")
+
+
 def literal_table(spark, rows: Sequence[tuple], schema: str) -> DataFrame:
     """Parameter table written in the program, as a one-partition relation."""
     return spark.createDataFrame(list(rows), schema).coalesce(1)

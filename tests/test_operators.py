@@ -177,6 +177,109 @@ def test_overlay_identities(spark):
         assert abs(r.inside_area + r.outside_area - r.area) < 1e-9
 
 
+# ---- joins of features are dealt to the tasks --------------------------------------------------
+
+def broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Broadcast")
+
+
+def some_boxes(spark, side=3):
+    rows = [(i, f"f{i}", [box(2 * i, 0, 2 * i + side, side)]) for i in range(6)]
+    return spark.createDataFrame(rows, f"pos int, feature_id string, rings array<{RING}>").withColumn("submission", F.lit("s"))
+
+
+def test_self_crossing_edges_are_not_broadcast(spark):
+    f = some_boxes(spark).withColumn("geom_type", F.lit("Polygon"))
+    assert broadcasts(O.self_crossing(f, ["pos"], 4.0)) == 0
+    assert broadcasts(spatial_review.validity(f, ["pos"], 4.0)) == 0
+
+
+def test_overlap_pairs_are_not_broadcast(spark):
+    pairs = O.overlap_pairs(some_boxes(spark), ["submission"], tile=4.0)
+    assert broadcasts(pairs) == 0 and pairs.count() == 5
+
+
+def test_matched_rings_are_not_broadcast(spark):
+    r = some_boxes(spark).select(F.col("pos").alias("part_id"), F.col("rings")[0].alias("ring"))
+    same = J.match_rings(r, r.withColumnRenamed("part_id", "zone_id"))
+    assert broadcasts(same) == 0 and same.count() == 6
+
+
+@pytest.mark.parametrize("side", [3, 90])
+def test_overlays_are_not_broadcast(spark, side):
+    f, site = some_boxes(spark, side), some_boxes(spark, 5).filter("pos = 1").select("submission", "rings")
+    assert broadcasts(O.union_area(f, ["submission"], 4.0)) == 0
+    assert broadcasts(O.coverage(f, site, ["submission"], 4.0)) == 0
+    assert broadcasts(O.against(f, site, ["submission"], "pos", 4.0)) == 0
+
+
+def test_key_area_audit_does_not_broadcast_features(spark):
+    f = some_boxes(spark).withColumns({"area_id": F.lit("x"), "official_boundary": F.lit(True), "geometry_role": F.lit("official_constraint"),
+                                       "official_area_sqm": F.lit(9.0)})
+    audit = spatial_review.key_area_audit(f, some_boxes(spark).filter("pos = 1").select("submission", "rings"), {"x": 9.0}, 4.0)
+    assert broadcasts(audit) == 0
+
+
+def test_small_zones_are_filed_uncut(spark, monkeypatch):
+    from terravet.operators import overlay
+
+    def refused(*_):
+        raise AssertionError("a small zone was cut")
+    monkeypatch.setattr(overlay, "cover", refused)
+    rng = random.Random(5)
+    rows = [(i, [star(rng, rng.uniform(0, 9), rng.uniform(0, 9), 3, 9)]) for i in range(9)]
+    zones = spark.createDataFrame(rows, f"zone int, rings array<{RING}>")
+    points = spark.createDataFrame([(i, rng.uniform(-3, 12), rng.uniform(-3, 12)) for i in range(200)], "p int, x double, y double")
+    hit = overlay.points_in_zones(points, zones, 2.0)
+    assert broadcasts(hit) == 0
+    want = points.crossJoin(zones).filter(G.point_in_rings(F.struct("x", "y"), F.col("rings"))).select("p", "zone")
+    assert {tuple(r) for r in hit.select("p", "zone").collect()} == {tuple(r) for r in want.collect()} != set()
+
+
+def test_snap_looks_at_few_of_many_near_segments(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(J, "cut_lineage", lambda df: kept.append(df.localCheckpoint()) or kept[-1])
+    rng = random.Random(3)
+    place = lambda: (116 + rng.uniform(0, 0.004), 39 + rng.uniform(0, 0.004))
+    segs = [(i, x, y, x + rng.uniform(-2e-4, 2e-4), y + rng.uniform(-2e-4, 2e-4)) for i, (x, y) in ((i, place()) for i in range(600))]
+    segs += [(600 + i, *s[1:]) for i, s in enumerate(segs[:300])]  # copies with larger ids
+    vertices = [(i, *place()) for i in range(300)] + [(300, 117.0, 39.0), (301, None, 39.0)]
+    v = spark.createDataFrame(vertices, "vertex_id int, lon double, lat double")
+    got = {r.vertex_id: r for r in J.snap(v, spark.createDataFrame(segs, "segment_id int, x1 double, y1 double, x2 double, y2 double")).collect()}
+    assert got[300].snap_lon is None and got[301].snap_lon is None and len(got) == 302
+    for k, x, y in vertices[:300]:
+        def foot(s):
+            dx, dy = s[3] - s[1], s[4] - s[2]
+            t = max(0.0, min(1.0, ((x - s[1]) * dx + (y - s[2]) * dy) / (dx * dx + dy * dy)))
+            return math.hypot(x - s[1] - t * dx, y - s[2] - t * dy), s[1] + t * dx, s[2] + t * dy
+        _, px, py = min(map(foot, segs))
+        assert abs(got[k].snap_lon - px) < 1e-12 and abs(got[k].snap_lat - py) < 1e-12
+    crowds = [r[0] for r in kept[-1].groupBy("cx", "cy").count().select("count").collect()]
+    assert sum(n * n for n in crowds) / sum(crowds) <= J.CROWD < 200
+
+
+def test_gate_joins_once_for_all_issue_tables(spark):
+    from terravet.plans import reviews
+    stages = spark.createDataFrame([("a", "formal"), ("b", "formal"), ("b", "formal"), (None, "draft")], "submission string, stage string")
+    issues = spark.createDataFrame([("a", "minor"), ("b", "major"), (None, "error"), ("z", "error")], "submission string, severity string")
+    none = issues.filter("false")
+    got = reviews.self_check(issues, none, issues.filter("severity = 'minor'"), none, stages)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    assert sorted((r.submission or "", r.validation, r.spatial, r.visual, r.stage) for r in got.collect()) == [
+        ("", True, True, True, "unknown"), ("a", True, True, True, "formal"), ("b", False, True, True, "formal"), ("b", False, True, True, "formal")]
+
+
+def test_token_texts_are_dealt_by_input_splits(spark, tmp_path):
+    import __spark_entry__ as contract
+    rows = [(k, n, k % 5, "ab"[n % 2]) for k in range(50) for n in range(4)] + [(None, 1, 2, "a")]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_suppkey bigint, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = contract.queries()["token_table_scan"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+    assert sorted((r.doc is None, r.doc, r.y, r.x, r.text, r.n) for r in got.filter("doc IS NOT NULL").collect()) == sorted(
+        (False, k, n, s, f + "z", 1) for k, n, s, f in rows[:-1]) and got.count() == 201
+
+
 def lines(spark, **kw):
     rows = [("r", k, [box(*v)]) for k, v in kw.items()]
     return spark.createDataFrame(rows, f"region string, line string, rings array<{RING}>")
