@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
 from ..functions import text as X
+from ..scale import dealt
+from ..session import cut_lineage
 from .checks import with_each
 from .rows import for_all
 
@@ -205,11 +207,31 @@ def gallery(packages: DataFrame, publication: DataFrame) -> DataFrame:
     return packages.join(live, "path").withColumn("publishable", F.col("status_key") == "formal_review_ready")
 
 
+#: Cells of ``snap`` are halved until a candidate has at most so many others in its cell, this many times at most.
+CROWD, HALVINGS = 32, 8
+
+
+def _foot(x: Column, y: Column) -> tuple[Column, Column]:
+    """Nearest point of the segment (x1, y1, x2, y2) of the row."""
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    t = F.when(dx * dx + dy * dy == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (
+        (x - F.col("x1")) * dx + (y - F.col("y1")) * dy) / (dx * dx + dy * dy))))
+    return F.col("x1") + t * dx, F.col("y1") + t * dy
+
+
+def _distance(x: Column, y: Column) -> Column:
+    px, py = _foot(x, y)
+    return F.sqrt((x - px) ** 2 + (y - py) ** 2)
+
+
 def snap(vertices: DataFrame, segments: DataFrame, radius_m: float = 200.0) -> DataFrame:
     """Nearest point on a segment within the radius; unmatched vertices are kept.
 
-    Segments are filed in all grid cells their widened box touches, a vertex
-    looks only into its own cell.
+    Segments are filed in all grid cells their widened box touches.  A cell keeps those
+    that can be nearest to one of its points: a segment that is farther from the middle
+    than another by more than the diagonal cannot.  Crowded cells are halved and judged
+    again, so the candidates of a place do not grow with the segments around it.  A vertex
+    looks only into its own cell, and vertices at one place are measured once.
     """
     def reach(lat):
         return F.greatest(G.deg_per_m(lat)["x"], G.deg_per_m(lat)["y"]) * radius_m
@@ -218,20 +240,40 @@ def snap(vertices: DataFrame, segments: DataFrame, radius_m: float = 200.0) -> D
     if far is None:
         return vertices.withColumn("snap_lon", F.lit(None).cast("double")).withColumn("snap_lat", F.lit(None).cast("double"))
     cell = vertices.sparkSession.range(1).select(reach(F.lit(float(far)))).first()[0]
+    spots = cut_lineage(vertices.select("lon", "lat").filter("lon IS NOT NULL AND lat IS NOT NULL").distinct())
+
+    def placed(side):
+        return spots.select("lon", "lat", F.floor(F.col("lon") / side).cast("bigint").alias("cx"), F.floor(F.col("lat") / side).cast("bigint").alias("cy"))
+
+    def judged(filed, side):
+        """Candidates in cells with a vertex, near enough to one of its points."""
+        held = filed.join(placed(side).select("cx", "cy").distinct(), ["cx", "cy"], "left_semi")
+        middle = _distance((F.col("cx") + 0.5) * side, (F.col("cy") + 0.5) * side)
+        diagonal = side * 2 ** 0.5
+        # 1e-9 degrees, a tenth of a millimetre, stand above any rounding of the distances.
+        kept = held.withColumn("__d", middle).withColumn("__m", F.min("__d").over(Window.partitionBy("cx", "cy"))).filter(
+            (F.col("__d") <= F.col("__m") + diagonal + 1e-9) & (F.col("__d") <= cell + diagonal / 2 + 1e-9))
+        return cut_lineage(kept.drop("__d", "__m"))
+
     low = lambda a, b: F.floor((F.least(a, b) - cell) / cell).cast("bigint")
     high = lambda a, b: F.floor((F.greatest(a, b) + cell) / cell).cast("bigint")
-    s = segments.withColumn("cx", F.explode(F.sequence(low("x1", "x2"), high("x1", "x2")))).withColumn(
-        "cy", F.explode(F.sequence(low("y1", "y2"), high("y1", "y2"))))
-    v = vertices.select("vertex_id", "lon", "lat", F.floor(F.col("lon") / cell).cast("bigint").alias("cx"),
-                        F.floor(F.col("lat") / cell).cast("bigint").alias("cy"))
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    along = F.when(dx * dx + dy * dy == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (
-        (F.col("lon") - F.col("x1")) * dx + (F.col("lat") - F.col("y1")) * dy) / (dx * dx + dy * dy))))
-    near = v.join(s, ["cx", "cy"]).withColumn("t", along).select(
-        "vertex_id", "lon", "lat", "segment_id", (F.col("x1") + F.col("t") * dx).alias("px"), (F.col("y1") + F.col("t") * dy).alias("py"))
-    dist = F.sqrt((F.col("lon") - F.col("px")) ** 2 + (F.col("lat") - F.col("py")) ** 2)
-    best = near.withColumn("d", dist).filter(F.col("d") < reach(F.col("lat"))).groupBy("vertex_id").agg(
-        F.min_by(F.struct("px", "py"), F.struct("d", "segment_id")).alias("b"))
+    # Of equal segments the smallest id counts.
+    lines = segments.groupBy("x1", "y1", "x2", "y2").agg(F.min(F.struct("segment_id")).alias("__s")).select(
+        "__s.segment_id", "x1", "y1", "x2", "y2")
+    side, found = cell, judged(lines.withColumn("cx", F.explode(F.sequence(low("x1", "x2"), high("x1", "x2")))).withColumn(
+        "cy", F.explode(F.sequence(low("y1", "y2"), high("y1", "y2")))), cell)
+    for _ in range(HALVINGS):
+        crowd = found.groupBy("cx", "cy").count().agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0]
+        if (crowd or 0) <= CROWD:
+            break
+        side, half = side / 2, lambda c: F.explode(F.sequence(F.col(c) * 2, F.col(c) * 2 + 1))
+        found = judged(found.withColumn("cx", half("cx")).withColumn("cy", half("cy")), side)
+    px, py = _foot(F.col("lon"), F.col("lat"))
+    near = placed(side).join(dealt(found), ["cx", "cy"]).select("lon", "lat", "segment_id", px.alias("px"), py.alias("py")).withColumn(
+        "d", F.sqrt((F.col("lon") - F.col("px")) ** 2 + (F.col("lat") - F.col("py")) ** 2))
+    nearest = near.filter(F.col("d") < reach(F.col("lat"))).groupBy("lon", "lat").agg(
+        F.min(F.struct("d", "segment_id", "px", "py")).alias("__n"))
+    best = vertices.select("vertex_id", "lon", "lat").join(nearest, ["lon", "lat"]).groupBy("vertex_id").agg(F.min("__n").alias("b"))
     return vertices.join(best, "vertex_id", "left").select(
         *vertices.columns, F.col("b.px").alias("snap_lon"), F.col("b.py").alias("snap_lat"))
 
@@ -249,7 +291,7 @@ def match_rings(parts: DataFrame, zones: DataFrame, eps: float = 1e-9) -> DataFr
     z = z.select("zone_id", "__z", "__n", (first(F.col("__z"), "x") + F.col("ox")).alias("__x"), (first(F.col("__z"), "y") + F.col("oy")).alias("__y"))
     p = parts.withColumn("__n", F.size("ring")).withColumn("__x", first(F.col("ring"), "x")).withColumn("__y", first(F.col("ring"), "y"))
     same = F.forall(F.zip_with("ring", "__z", lambda a, b: (F.abs(a["x"] - b["x"]) <= eps) & (F.abs(a["y"] - b["y"]) <= eps)), lambda v: v)
-    return p.join(z, ["__n", "__x", "__y"]).filter(same).drop("__n", "__x", "__y", "__z")
+    return p.join(dealt(z), ["__n", "__x", "__y"]).filter(same).drop("__n", "__x", "__y", "__z")
 
 
 def norm_paths(changes: DataFrame, path: str = "path") -> DataFrame:
