@@ -114,11 +114,15 @@ def _has_title(secs: Column, aliases) -> Column:
 
 def self_check(validation: DataFrame, spatial: DataFrame, visual: DataFrame, professional: DataFrame, stages: DataFrame) -> DataFrame:
     """Four issue tables to one gate row per submission; no blocking or major issue means passed."""
-    gates = None
-    for name, issues in (("validation", validation), ("spatial", spatial), ("visual", visual), ("professional", professional)):
-        bad = issues.filter(F.col("severity").isin("blocking", "major", "error")).select("submission").distinct().withColumn("bad", F.lit(True))
-        one = stages.select("submission").join(bad, "submission", "left").select("submission", F.lit(name).alias("gate"), F.col("bad").isNull().alias("ok"))
-        gates = one if gates is None else gates.unionByName(one)
+    tables = {"validation": validation, "spatial": spatial, "visual": visual, "professional": professional}
+    bad = None
+    for name, issues in tables.items():
+        one = issues.filter(F.col("severity").isin("blocking", "major", "error")).select("submission", F.lit(name).alias("gate"))
+        bad = one if bad is None else bad.unionByName(one)
+    # One row per submission meets the stages, so a task holds one join for all four tables.
+    flags = bad.groupBy("submission").agg(*[F.bool_or(F.col("gate") == name).alias(name) for name in tables])
+    gates = stages.select("submission").join(flags, "submission", "left").select("submission", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("gate"), (~F.coalesce(name, F.lit(False))).alias("ok")) for name in tables])))
     return A.gate(gates, stages)
 
 
