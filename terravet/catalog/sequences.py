@@ -123,7 +123,9 @@ def _(t):
 def _(t):
     from ..sources.readers import read_tokens
     line = F.concat_ws("\t", F.col("l_linenumber").cast("string"), F.col("l_suppkey").cast("string"), F.concat("l_returnflag", F.lit("z")))
-    docs = t.lineitem.groupBy(F.col("l_orderkey").alias("doc")).agg(F.array_join(F.collect_list(line), "\n").alias("text"))
+    # Parts follow the splits of the input, so that what a task sorts does not grow with the table.
+    dealt = t.lineitem.repartition(16 * t.lineitem.rdd.getNumPartitions(), "l_orderkey")
+    docs = dealt.groupBy(F.col("l_orderkey").alias("doc")).agg(F.array_join(F.collect_list(line), "\n").alias("text"))
     return read_tokens(docs, "doc", "text").groupBy("doc", F.col("y").cast("int").alias("y"), "x", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
