@@ -227,15 +227,17 @@ def check_front_matter(docs: DataFrame, key: str, text: str, required_sections:
                        min_letters: int = P.MIN_ENGLISH_LETTERS) -> DataFrame:
     """Front-matter fields and, for English texts, the translation rules."""
     sections = P.REQUIRED_SECTIONS if required_sections is None else required_sections
-    df = docs.withColumn("__f", X.front_matter(F.col(text)))
-    meta, body = F.col("__f.meta"), F.col("__f.body")
+    # Each part of the text is a column of its own, so it is found once however many rules read it.
+    df = docs.select(key, text, F.inline(F.array(X.front_matter(F.col(text)))).alias("__meta", "__body"))
+    meta, body = F.col("__meta"), F.col("__body")
     value = lambda k: X.blank(X.meta_value(meta, k))
     rules = [(value(k) == "", "FIELD_MISSING", k) for k in P.REQUIRED_METADATA]
     lang, english = value("language"), value("language") == "en"
     heading = "(?m)^" + re.escape(P.TRANSLATION_HEADING) + r"\s*$"
-    parts = F.split(body, heading, 2)
-    has_part = F.size(parts) > 1
-    first, second = F.element_at(parts, 1), F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))
+    df = df.select("*", F.inline(F.array(F.struct(F.when(english, F.split(body, heading, 2)).alias("__p")))))
+    has_part = F.size("__p") > 1
+    first, second = F.get("__p", F.lit(0)), F.coalesce(F.get("__p", F.lit(1)), F.lit(""))
+    df = df.select("*", F.inline(F.array(F.struct(F.when(has_part, X.sections(second)).alias("__s")))))
     letters = F.length(first) - F.length(F.regexp_replace(first, "[A-Za-z]", ""))
     rules += [
         (F.contains(X.blank(F.col(text)), F.lit(P.SCAFFOLD_MARKERS[0])), "SCAFFOLD_MARKER", ""),
@@ -250,7 +252,7 @@ def check_front_matter(docs: DataFrame, key: str, text: str, required_sections:
         (~value("license").isin("", *P.LICENSES), "LICENSE", value("license"))]
     for k in ("iteration", "version"):
         rules.append(((value(k) != "") & ~value(k).rlike(P.VERSION_PATTERN), "VERSION_FORM", k))
-    translated = X.sections(second)
+    translated = F.col("__s")
     for name in sections:
         match = _titled(translated, name)
         some = english & has_part & (F.size(match) > 0)

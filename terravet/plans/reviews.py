@@ -11,6 +11,7 @@ from ..operators import aggregates as A
 from ..operators import documents as D
 from ..operators import joins as J
 from ..scale import top_k
+from ..session import cut_lineage
 
 
 def _issues(df: DataFrame, check_id: str, severity: str, detail: Column) -> DataFrame:
@@ -69,7 +70,8 @@ def advisory_score(docs: DataFrame, sources: DataFrame, terms: dict | None = Non
     found = cut.select("*", *[X.find_section(F.col("secs"), p[f"{n}_ALIASES"]).alias(n.lower()) for n in ("CONCEPT", "AI", "LANDING", "RISK", "REFERENCE")])
     n = lambda col, terms_: X.count_terms(F.col(col), p[terms_])
     counted = found.select(
-        "submission", "concept", "ai", "landing", "risk", "reference", n("text", "TASK_TERMS").alias("task"), n("concept", "ORIGINALITY_TERMS").alias("orig"),
+        "submission", "reference", *[(F.col(x) == "").alias(f"no_{x}") for x in ("concept", "ai", "landing", "risk", "reference")],
+        n("text", "TASK_TERMS").alias("task"), n("concept", "ORIGINALITY_TERMS").alias("orig"),
         n("ai", "AI_TERMS").alias("ai_n"), n("ai", "URBAN_TERMS").alias("urban"), n("landing", "PHASE_TERMS").alias("phase"),
         n("landing", "ACTOR_TERMS").alias("actor"), n("landing", "METRIC_TERMS").alias("metric"), n("text", "PUBLIC_TERMS").alias("public"),
         n("risk", "RISK_TERMS").alias("risk_n"), n("text", "MANUAL_REVIEW_TERMS").alias("manual"),
@@ -77,12 +79,14 @@ def advisory_score(docs: DataFrame, sources: DataFrame, terms: dict | None = Non
         X.compact_len(F.col("body")).alias("body_len"), (F.size(X.hits(F.col("text"), p["TEMPLATE_PLACEHOLDERS"])) > 0).alias("placeholder"),
         F.exists(X.words(P.REQUIRED_METADATA), lambda k: ~F.exists(F.col("meta"), lambda m: (m["key"] == k) & (m["value"] != ""))).alias("meta_gap"),
         _group_gap(F.col("secs"), p["SECTION_GROUPS"]).alias("section_gap"))
+    # Read twice below: the counts and the reference section are kept instead of found again in the whole texts.
+    counted = cut_lineage(counted)
     matched = J.match_sources(docs, "submission", "text", sources)
-    with_section = found.select("submission", F.concat(F.lit("## r\n"), "reference").alias("reference"))
+    with_section = counted.select("submission", F.concat(F.lit("## r\n"), "reference").alias("reference"))
     loose = J.unmatched_lines(with_section, "submission", "reference", sources, matched).select("submission").distinct().withColumn("loose", F.lit(True))
     both = counted.join(matched.select("submission").distinct().withColumn("matched", F.lit(True)), "submission", "left").join(loose, "submission", "left")
     c = F.col
-    empty = lambda x: c(x) == ""
+    empty = lambda x: c(f"no_{x}")
     status = [
         X.status_from_count(c("task"), 4, 2),
         F.when(empty("concept"), "missing").when((c("concept_len") >= 120) & (c("orig") >= 2), "pass").otherwise("needs-work"),

@@ -280,6 +280,40 @@ def test_token_texts_are_dealt_by_input_splits(spark, tmp_path):
         (False, k, n, s, f + "z", 1) for k, n, s, f in rows[:-1]) and got.count() == 201
 
 
+# ---- a text is cut once --------------------------------------------------------------------
+
+SPLIT = "##(?="
+
+
+def splits(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(SPLIT)
+
+
+def test_translation_is_cut_into_sections_once(spark):
+    md = ("---\nlanguage: en\nchinese_translation: included\n---\nbody\n" + P.TRANSLATION_HEADING + "\n## part\nshort\n")
+    docs = spark.createDataFrame([(1, md), (2, None), (3, "---\nlanguage: zh\n---\nx")], "k int, t string")
+    got = D.check_front_matter(docs, "k", "t", ["part", "other"], 300, 100, 200)
+    assert splits(got) == 1
+    found = {(r.k, r.check_id, r.detail) for r in got.collect()}
+    assert {(1, "TRANSLATION_SECTION_MISSING", "other"), (1, "TRANSLATION_SECTION_THIN", "part"), (1, "ENGLISH_TOO_SHORT", "characters")} <= found
+    assert not any(k != 1 and c.startswith(("TRANSLATION", "ENGLISH")) for k, c, _ in found)
+
+
+def test_advisory_score_keeps_its_sections(spark):
+    from terravet.plans import reviews
+    docs = spark.createDataFrame([("a", "## x\ny\n")], "submission string, text string")
+    src = spark.createDataFrame([("s", "", "", "")], "id string, citation string, path string, url string")
+    got = reviews.advisory_score(docs, src)
+    assert splits(got) == 0 and got.count() == len(P.SCORE_DIMENSIONS)
+
+
+def test_strip_and_compact_length_know_all_white_space(one):
+    space = "".join(chr(c) for c in range(0x3100) if chr(c).isspace())
+    assert sorted(X.WS_CHARS) == sorted(space)
+    assert one(X.strip(F.lit(space + "a \u2003 b" + space))) == "a \u2003 b" and one(X.strip(F.lit(space))) == ""
+    assert one(X.compact_len(F.lit(space + "a b" + space))) == 2
+
+
 def lines(spark, **kw):
     rows = [("r", k, [box(*v)]) for k, v in kw.items()]
     return spark.createDataFrame(rows, f"region string, line string, rings array<{RING}>")
